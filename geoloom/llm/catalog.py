@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from geoloom.llm import exact_dedup, mixing, url_filter
+from geoloom.llm import exact_dedup, language, licenses, mixing, near_dedup, url_filter
 
 
 def queries() -> dict:
     return {
+        "op2_language_id": language.op2_language_id,
+        "op3_near_dedup": near_dedup.op3_near_dedup,
+        "op5_license_scan": licenses.op5_license_scan,
         "op7_url_filter": url_filter.op7_url_filter,
         "op8_source_mix": mixing.op8_source_mix,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
