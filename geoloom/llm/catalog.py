@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoloom.llm import exact_dedup, language, licenses, mixing, near_dedup, url_filter
+from geoloom.llm import exact_dedup, language, licenses, mixing, near_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_language_id": language.op2_language_id,
         "op3_near_dedup": near_dedup.op3_near_dedup,
         "op5_license_scan": licenses.op5_license_scan,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_url_filter": url_filter.op7_url_filter,
         "op8_source_mix": mixing.op8_source_mix,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,

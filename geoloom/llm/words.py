@@ -112,10 +112,14 @@ def chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, np.ndarra
         i = j
 
 
-def split(texts: pa.Array, of_word: np.ndarray = NOT_SPACE, table: np.ndarray = LOWER) -> Iterator[Words]:
-    """Words of each chunk, bytes mapped by ``table`` (A-Z lower-cased); ``of_word`` tells the mapped bytes of words from others."""
+def split(texts: pa.Array, of_word: np.ndarray = NOT_SPACE, table: np.ndarray = LOWER, accents: bool = False) -> Iterator[Words]:
+    """Words of each chunk, bytes mapped by ``table`` (A-Z lower-cased); ``of_word`` tells the mapped bytes of words from others. ``accents`` lower-cases the Latin-1 letters, too."""
     for at, offsets, raw in chunks(texts):
         data = table[raw]
+        if accents and len(data):
+            second = np.flatnonzero(raw[:-1] == 0xC3) + 1
+            second = second[(raw[second] <= 0x9E) & (raw[second] != 0x97)]
+            data[second] += 32
         inside = of_word[data]
         edges = np.zeros(len(data) + 1, bool)
         edges[offsets] = True  # a word ends with its text
