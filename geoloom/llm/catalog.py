@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoloom.llm import exact_dedup, language, licenses, mixing, near_dedup, toxicity, url_filter
+from geoloom.llm import exact_dedup, language, licenses, mixing, near_dedup, pii, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_url_filter": url_filter.op7_url_filter,
         "op8_source_mix": mixing.op8_source_mix,
+        "op9_pii": pii.op9_pii,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 

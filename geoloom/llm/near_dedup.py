@@ -10,9 +10,10 @@ correlated and the estimate varies less than with independent hashes.
 Documents with equal shingle sets are one class from the start. Classes that
 agree in a band share a bucket. Linking goes in two rounds, so that a bucket of
 m alike documents costs m comparisons: first each member is compared with its
-bucket's head (another head in each band), then only members that are still in
-different components are compared, unless their distances from the head show
-that they can't be linked (Jaccard distance obeys the triangle inequality).
+bucket's head, the member that shares buckets with most others, which in a
+family of copies is the original. Then only members that are still in different
+components are compared, unless their distances from the head show that they
+can't be linked (Jaccard distance obeys the triangle inequality).
 Every link is confirmed on the full shingle sets.
 """
 
@@ -146,9 +147,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = materialize(some.groupBy(*prints).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
 
     rows = classes.select("rep", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "value"))
-    heads = rows.groupBy("band", "value").agg(F.min(F.struct(F.xxhash64("band", "rep").alias("order"), "rep", "n")).alias("head"), F.count("*").alias("members"))
-    heads = heads.where("members > 1").select("band", "value", F.col("head.rep").alias("head"), F.col("head.n").alias("head_n"))
-    buckets = materialize(rows.join(heads, ["band", "value"]), "buckets")
+    shared = rows.groupBy("band", "value").agg(F.count("*").alias("members")).where("members > 1")
+    shared = materialize(rows.join(shared, ["band", "value"]), "shared")
+    central = shared.groupBy("rep").agg(F.sum("members").alias("degree"))
+    ranked = shared.join(central, "rep").withColumn("order", F.struct(-F.col("degree"), F.xxhash64("rep"), "rep", "n"))
+    heads = ranked.groupBy("band", "value").agg(F.min("order").alias("head")).select("band", "value", F.col("head.rep").alias("head"), F.col("head.n").alias("head_n"))
+    buckets = materialize(shared.drop("members").join(heads, ["band", "value"]), "buckets")
     held = materialize(rows_with(texts, buckets.select(F.col("rep").alias("doc_id")).distinct()).mapInArrow(sets, "doc_id bigint, shingles binary"), "sets")
 
     share, least = percent
