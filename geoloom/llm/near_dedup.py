@@ -9,21 +9,27 @@ correlated and the estimate varies less than with independent hashes.
 
 Documents with equal shingle sets are one class from the start. Classes that
 agree in a band share a bucket. Linking goes in two rounds, so that a bucket of
-m alike documents costs m comparisons: first each member is compared with its
+m alike documents costs m comparisons. First each member is compared with its
 bucket's head, the member that shares buckets with most others, which in a
-family of copies is the original. Then only members that are still in different
-components are compared, unless their distances from the head show that they
-can't be linked (Jaccard distance obeys the triangle inequality).
+family of copies is the original. What a head h leaves open are links of a
+member x that isn't linked with h. Let D(x) be the shingles that x and h don't
+share. If x and y are linked, they differ in at most r * (|x| + |y|) shingles,
+r = (1 - s) / (1 + s) for similarity s; they differ in |D(x)| + |D(y)| - 2 *
+|D(x) & D(y)|; and |D(x)| > r * (|x| + |h|). So fewer than (|D(y)| + r * (|y| -
+|h|)) / 2 of D(y) are outside D(x): of that many elements of D(y) x holds one at
+least. The rarest ones in h's family are taken, most of which nobody else holds,
+so an equi-join on them finds every open link and few other pairs.
 Every link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geoloom.llm.graph import components, rows_with
@@ -123,11 +129,27 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(shared, pa.int64()), pa.array(total, pa.int64())], schema=schema)
 
 
-def compared(pairs: DataFrame, held: DataFrame) -> DataFrame:
+def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As ``compare``, with the sets' sizes and the elements that only one of them holds."""
+    long = pa.int64()
+    schema = pa.schema([("a", long), ("b", long), ("shared", long), ("total", long), ("size_a", long), ("size_b", long), ("elements", pa.list_(long))])
+    for batch in batches:
+        for k in range(batch.num_rows):
+            x, y = (np.frombuffer(batch[name][k].as_buffer(), np.int64) for name in ("set_a", "set_b"))
+            only = np.setxor1d(x, y, assume_unique=True)
+            shared = (len(x) + len(y) - len(only)) // 2
+            yield pa.RecordBatch.from_arrays([batch["a"].slice(k, 1), batch["b"].slice(k, 1), *(pa.array([v], long) for v in (shared, shared + len(only), len(x), len(y))), pa.array([only], pa.list_(long))], schema=schema)
+
+
+COMPARED = "a bigint, b bigint, shared bigint, total bigint"
+DIFFERENCE = COMPARED + ", size_a bigint, size_b bigint, elements array<bigint>"
+
+
+def compared(pairs: DataFrame, held: DataFrame, how: Callable = compare, schema: str = COMPARED) -> DataFrame:
     """The pairs (a, b) with their exact similarity."""
     full = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
     full = full.join(held.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
-    return full.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a bigint, b bigint, shared bigint, total bigint")
+    return full.select("a", "b", "set_a", "set_b").mapInArrow(how, schema)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: tuple[int, int] = PERCENT) -> DataFrame:
@@ -151,28 +173,31 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = materialize(rows.join(shared, ["band", "value"]), "shared")
     central = shared.groupBy("rep").agg(F.sum("members").alias("degree"))
     ranked = shared.join(central, "rep").withColumn("order", F.struct(-F.col("degree"), F.xxhash64("rep"), "rep", "n"))
-    heads = ranked.groupBy("band", "value").agg(F.min("order").alias("head")).select("band", "value", F.col("head.rep").alias("head"), F.col("head.n").alias("head_n"))
+    heads = ranked.groupBy("band", "value").agg(F.min("order").alias("head")).select("band", "value", F.col("head.rep").alias("head"))
     buckets = materialize(shared.drop("members").join(heads, ["band", "value"]), "buckets")
     held = materialize(rows_with(texts, buckets.select(F.col("rep").alias("doc_id")).distinct()).mapInArrow(sets, "doc_id bigint, shingles binary"), "sets")
 
     share, least = percent
-    alike = lambda a, b: F.least(a, b) * share >= F.greatest(a, b) * least
     linked = F.col("shared") * share >= F.col("total") * least
-    stars = buckets.where(F.col("rep") != F.col("head")).select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
-    stars = materialize(compared(stars, held), "stars")
+    pairs = buckets.where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
+    stars = materialize(compared(pairs, held), "stars")
     first = components(stars.where(linked))
 
-    # members of a bucket that are still apart: the distance from the head may rule a pair out
-    far = 1 - F.col("shared") / F.col("total")
-    known = stars.select(F.col("a").alias("rep"), F.col("b").alias("head"), far.alias("far")).union(stars.select(F.col("b"), F.col("a"), far))
-    apart = buckets.join(known, ["rep", "head"], "left").join(first.withColumnRenamed("node", "rep"), "rep", "left")
-    apart = apart.select("band", "value", "rep", "n", F.when(F.col("rep") == F.col("head"), 0.0).otherwise(F.col("far")).alias("far"), F.coalesce("component", "rep").alias("component"))
-    mixed = apart.groupBy("band", "value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "value")
-    apart = materialize(apart.join(mixed, ["band", "value"]).where("far > 0"), "apart")
-    left, right = (apart.select("band", "value", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "far", "component")]) for s in "ab")
-    reach = 1 - least / share + 1e-9
-    near = (F.col("component_a") != F.col("component_b")) & (F.col("rep_a") < F.col("rep_b")) & alike(F.col("n_a"), F.col("n_b")) & (F.abs(F.col("far_a") - F.col("far_b")) <= reach)
-    rest = left.join(right, ["band", "value"]).where(near).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    # members that no head took in: what else could they be linked with?
+    open_heads = stars.where(~linked).select("b").distinct()
+    family = compared(stars.join(open_heads, "b", "left_semi").select("a", "b"), held, differences, DIFFERENCE)
+    elements = materialize(family.select("a", "b", "shared", "total", (F.col("size_a") - F.col("size_b")).alias("longer"), F.explode("elements").alias("element")), "differences")
+    held_by = elements.groupBy("b", "element").agg(F.count("*").alias("n")).where("n > 1")
+    elements = elements.join(held_by, ["b", "element"], "left")
+    reach = (share - least) / (share + least)
+    most = F.ceil((F.col("total") - F.col("shared") + F.col("longer") * reach) / 2 + 1e-6)
+    rarest = F.row_number().over(W.partitionBy("b", "a").orderBy(F.coalesce("n", F.lit(1)), "element"))
+    right = elements.withColumn("rank", rarest).where((F.col("rank") <= most) & F.col("n").isNotNull()).select("b", "element", F.col("a").alias("y"))
+    left = elements.where(~linked & F.col("n").isNotNull()).select("b", "element", F.col("a").alias("x"))
+    met = left.join(right, ["b", "element"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    for end in "ab":
+        met = met.join(first.select(F.col("node").alias(end), F.col("component").alias(f"in_{end}")), end, "left")
+    rest = materialize(met.where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b"), "rest")
     links = stars.where(linked).select("a", "b").union(compared(rest, held).where(linked).select("a", "b"))
     final = components(links)
 
