@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from geoloom.llm import exact_dedup, language, licenses, mixing, near_dedup, pii, toxicity, url_filter
+from geoloom.llm import decontaminate, exact_dedup, language, licenses, mixing, near_dedup, pii, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_language_id": language.op2_language_id,
         "op3_near_dedup": near_dedup.op3_near_dedup,
+        "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_license_scan": licenses.op5_license_scan,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_url_filter": url_filter.op7_url_filter,

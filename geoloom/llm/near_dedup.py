@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from geoloom.llm.graph import components, rows_with
 from geoloom.llm.words import distinct_pairs, mix, shingles, split
-from geoloom.storage import materialize
+from geoloom.storage import arrow_rows, materialize
 
 #: BANDS bands of ROWS slots miss a pair of similarity 0.85 with a chance of 1.2e-5.
 BANDS, ROWS = 24, 6
@@ -46,8 +46,12 @@ _LOW = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
 
 
-def super_minhash(of: np.ndarray, key: np.ndarray, n: int, slots: int = SLOTS) -> np.ndarray:
-    """(n, slots) values, rank in the high half, random part in the low half. (of, key): distinct elements, ordered by ``of`` in 0..n-1."""
+def super_minhash(of: np.ndarray, key: np.ndarray, n: int, slots: int = SLOTS, at_once: int = 50_000) -> np.ndarray:
+    """(n, slots) values, rank in the high half, random part in the low half. (of, key): distinct elements, ordered by ``of`` in 0..n-1. Sets are worked on in groups of about ``at_once`` elements."""
+    if len(of) > at_once and of[0] != of[-1]:
+        cut = min(max(int(of[at_once]), int(of[0]) + 1), int(of[-1]))
+        k = int(np.searchsorted(of, cut))
+        return np.concatenate([super_minhash(of[:k], key[:k], cut, slots, at_once), super_minhash(of[k:] - cut, key[k:], n - cut, slots, at_once)])
     best = np.full((n, slots), ~np.uint64(0), np.uint64)
     flat = best.reshape(-1)
     of, walk = of.astype(np.int64), None
@@ -162,7 +166,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows without an identifier are linked with nothing. Repeated rows are equal sets
     and share a component. An empty table gives an empty result.
     """
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    with arrow_rows(docs.sparkSession, 1000):
+        return _near_dedup(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), percent)
+
+
+def _near_dedup(texts: DataFrame, percent: tuple[int, int]) -> DataFrame:
     signed = materialize(texts.mapInArrow(sign, "doc_id bigint, n_shingles bigint, print_a bigint, print_b bigint, bands array<bigint>"), "signatures")
     prints = ["n_shingles", "print_a", "print_b"]
     some = signed.where("n_shingles > 0 and doc_id is not null")
@@ -198,7 +206,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for end in "ab":
         met = met.join(first.select(F.col("node").alias(end), F.col("component").alias(f"in_{end}")), end, "left")
     rest = materialize(met.where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b"), "rest")
-    links = stars.where(linked).select("a", "b").union(compared(rest, held).where(linked).select("a", "b"))
+    late = materialize(compared(rest, held).where(linked).select("a", "b"), "late")
+    links = stars.where(linked).select("a", "b").union(late)
     final = components(links)
 
     named = classes.select(*prints, "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select(*prints, F.coalesce("component", "rep").alias("component"))

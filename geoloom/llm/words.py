@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK, MOST_TEXTS = 2_000_000, 50_000
+CHUNK, MOST_TEXTS = 1_000_000, 20_000
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACES = np.zeros(256, bool)
