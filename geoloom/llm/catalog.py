@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from geoloom.llm import decontaminate, exact_dedup, language, licenses, mixing, near_dedup, pii, toxicity, url_filter
+from geoloom.llm import brown, decontaminate, exact_dedup, language, licenses, mixing, near_dedup, pii, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_brown_lm": brown.op1_brown_lm,
         "op2_language_id": language.op2_language_id,
         "op3_near_dedup": near_dedup.op3_near_dedup,
         "op4_decontaminate": decontaminate.op4_decontaminate,
