@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from geoloom.plans import geodesy
+
 FLAGSHIP = "flagship_path_boxes"
+MODULES = (geodesy,)
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: text for m in MODULES for name, text in m.SQL.items()}
