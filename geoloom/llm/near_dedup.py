@@ -198,7 +198,7 @@ def _near_dedup(texts: DataFrame, percent: tuple[int, int]) -> DataFrame:
     held_by = elements.groupBy("b", "element").agg(F.count("*").alias("n")).where("n > 1")
     elements = elements.join(held_by, ["b", "element"], "left")
     reach = (share - least) / (share + least)
-    most = F.ceil((F.col("total") - F.col("shared") + F.col("longer") * reach) / 2 + 1e-6)
+    most = F.ceil((F.col("total") - F.col("shared") + F.col("longer") * reach) / 2 - 1e-9)
     rarest = F.row_number().over(W.partitionBy("b", "a").orderBy(F.coalesce("n", F.lit(1)), "element"))
     right = elements.withColumn("rank", rarest).where((F.col("rank") <= most) & F.col("n").isNotNull()).select("b", "element", F.col("a").alias("y"))
     left = elements.where(~linked & F.col("n").isNotNull()).select("b", "element", F.col("a").alias("x"))
