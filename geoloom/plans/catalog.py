@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from geoloom.plans import geodesy
+from geoloom.plans import box_queries, geodesy
 
 FLAGSHIP = "flagship_path_boxes"
-MODULES = (geodesy,)
+MODULES = (geodesy, box_queries)
 
 
 def queries() -> dict:
