@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from geoloom.plans import box_queries, geodesy, raster_queries
+from geoloom.plans import box_queries, capture_queries, geodesy, raster_queries
 
 FLAGSHIP = "flagship_path_boxes"
-MODULES = (geodesy, box_queries, raster_queries)
+MODULES = (geodesy, box_queries, raster_queries, capture_queries)
 
 
 def queries() -> dict:
