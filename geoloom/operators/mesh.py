@@ -37,10 +37,10 @@ def globe_triangles(spark: SparkSession) -> DataFrame:
 def strip_to_triangles(strips: DataFrame, keys: list[str]) -> DataFrame:
     """Triangles of strips (pos, vertex_idx): each run of three, odd ones with the first two swapped; degenerate ones are left out but still turn the winding."""
     w = W.partitionBy(*keys).orderBy("pos")
-    t = strips.select(*keys, "pos", F.lag("vertex_idx", 2).over(w).alias("a"), F.lag("vertex_idx", 1).over(w).alias("b"), F.col("vertex_idx").alias("c"), (F.row_number().over(w) - 3).alias("k")).where("k >= 0")
-    t = t.where("a <> b and b <> c and a <> c")
-    odd = F.col("k") % 2 == 1
-    return t.select(*keys, F.col("k").cast("bigint").alias("triangle"), F.when(odd, F.col("b")).otherwise(F.col("a")).alias("v0"), F.when(odd, F.col("a")).otherwise(F.col("b")).alias("v1"), F.col("c").alias("v2"))
+    t = strips.select(*keys, F.lag("vertex_idx", 2).over(w).alias("_a"), F.lag("vertex_idx", 1).over(w).alias("_b"), F.col("vertex_idx").alias("_c"), (F.row_number().over(w) - 3).alias("_k")).where("_k >= 0")
+    t = t.where("_a <> _b and _b <> _c and _a <> _c")
+    odd = F.col("_k") % 2 == 1
+    return t.select(*keys, F.col("_k").cast("bigint").alias("triangle"), F.when(odd, F.col("_b")).otherwise(F.col("_a")).alias("v0"), F.when(odd, F.col("_a")).otherwise(F.col("_b")).alias("v1"), F.col("_c").alias("v2"))
 
 
 def compact_vertices(index: DataFrame, n_vertex: DataFrame, keys: list[str], triangles: bool = True) -> DataFrame:
