@@ -177,11 +177,12 @@ def _near_dedup(texts: DataFrame, percent: tuple[int, int]) -> DataFrame:
     classes = materialize(some.groupBy(*prints).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
 
     rows = classes.select("rep", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "value"))
-    shared = rows.groupBy("band", "value").agg(F.count("*").alias("members")).where("members > 1")
+    # both sides of the joins below are tables, so that Spark can split a hot bucket
+    shared = materialize(rows.groupBy("band", "value").agg(F.count("*").alias("members")).where("members > 1"), "crowded")
     shared = materialize(rows.join(shared, ["band", "value"]), "shared")
     central = shared.groupBy("rep").agg(F.sum("members").alias("degree"))
     ranked = shared.join(central, "rep").withColumn("order", F.struct(-F.col("degree"), F.xxhash64("rep"), "rep", "n"))
-    heads = ranked.groupBy("band", "value").agg(F.min("order").alias("head")).select("band", "value", F.col("head.rep").alias("head"))
+    heads = materialize(ranked.groupBy("band", "value").agg(F.min("order").alias("head")).select("band", "value", F.col("head.rep").alias("head")), "heads")
     buckets = materialize(shared.drop("members").join(heads, ["band", "value"]), "buckets")
     held = materialize(rows_with(texts, buckets.select(F.col("rep").alias("doc_id")).distinct()).mapInArrow(sets, "doc_id bigint, shingles binary"), "sets")
 
