@@ -24,6 +24,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Weights by source order, repeating; share of all words; most copies of a document.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 BUCKETS = 4096
+#: Documents a source that may change sides to bring its words near the target.
+TURNS = 4
 SEED = "mix-1"
 #: The table with a row a source is broadcast up to this many rows, joined beyond it.
 BROADCAST_ROWS = 50_000
@@ -64,14 +66,14 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, copies, in_sample, closing.
+    """One row per document: doc_id, size, source_size, target, taken, copies, in_sample, drawn.
 
     Null text has size 0, null source is a source of its own, ordered last. In each
-    source the sample is the longest run of ranks that fits the remaining words;
-    then one document more, the one whose size is nearest to the words still
-    missing, closes the gap if it makes it smaller. Repeated rows of one identifier
-    share a rank and are ordered among each other by size. An empty table gives an
-    empty result; further columns are ignored.
+    source the sample is the longest run of ranks that fits the remaining words. As
+    documents are whole, words may still be missing; up to TURNS documents a source
+    then change sides, each time the one that brings the words nearest to the
+    target. Repeated rows of one identifier share a rank and are ordered among each
+    other by size. An empty table gives an empty result; further columns are ignored.
     """
     spark = docs.sparkSession
     sized = materialize(
@@ -106,23 +108,37 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     order = W.partitionBy("source").orderBy("rank").rangeBetween(W.unboundedPreceding, W.currentRow)
     fits = at_edge.withColumn("reached", F.sum("size").over(order) + F.col("inside")).where(F.col("reached") <= F.col("remaining"))
     cut = fits.groupBy("source").agg(F.max("rank").alias("cut"), F.max("reached").alias("inside_cut"))
-    cut = materialize(with_source(full, cut).withColumn("missing", F.col("remaining") - F.coalesce("inside_cut", "inside")), "cutoffs")
+    state = with_source(full, cut).withColumn("missing", F.col("remaining") - F.coalesce("inside_cut", "inside"))
+    state = materialize(state.withColumn("turned", F.filter(F.array("cut"), lambda x: F.lit(False))), "cutoffs")
 
-    ranked = with_source(sized, cut).withColumn("rank", F.struct(odds.alias("q"), F.col("doc_id"), F.col("size")))
-    ranked = ranked.withColumn("in_sample", (F.col("p") > 0) & ((F.col("bucket") < F.col("edge")) | ((F.col("bucket") == F.col("edge")) & F.coalesce(F.col("rank") <= F.col("cut"), F.lit(False)))))
-    gap = F.abs(F.col("size") - F.col("missing"))
-    last = ranked.where(~F.col("in_sample") & (gap < F.col("missing"))).groupBy("source").agg(F.min(F.struct(gap.alias("gap"), F.col("rank"))).alias("last"))
-    last = materialize(last, "closing")
-    closing = F.coalesce(~F.col("in_sample") & (F.col("last.rank") == F.col("rank")), F.lit(False))
-    out = with_source(ranked, last).withColumn("closing", closing)
-    drawn = (F.col("in_sample") | F.col("closing")).cast("bigint")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("copies") + drawn)).alias("taken"), (F.col("copies") + drawn).alias("copies"), "in_sample", "closing")
+    def drawn(state: DataFrame) -> DataFrame:
+        ranked = with_source(sized, state).withColumn("rank", F.struct(odds.alias("q"), F.col("doc_id"), F.col("size")))
+        fitting = (F.col("bucket") < F.col("edge")) | ((F.col("bucket") == F.col("edge")) & F.coalesce(F.col("rank") <= F.col("cut"), F.lit(False)))
+        ranked = ranked.withColumn("in_sample", (F.col("p") > 0) & fitting)
+        return ranked.withColumn("drawn", F.col("in_sample") != F.array_contains("turned", F.col("rank")))
+
+    for _ in range(TURNS):
+        left = F.when(F.col("drawn"), F.col("missing") + F.col("size")).otherwise(F.col("missing") - F.col("size"))
+        turn = drawn(state).where(F.abs(left) < F.abs("missing")).groupBy("source").agg(F.min(F.struct(F.abs(left).alias("gap"), F.col("rank"), left.alias("left"))).alias("turn"))
+        state = with_source(state, turn)
+        state = state.withColumns({"turned": F.when(F.col("turn").isNull(), F.col("turned")).otherwise(F.concat("turned", F.array("turn.rank"))), "missing": F.coalesce("turn.left", "missing")}).drop("turn")
+        state = materialize(state, "turns")
+    copies = F.col("copies") + F.col("drawn").cast("bigint")
+    return drawn(state).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "in_sample", "drawn")
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def _turn(k: int) -> str:
+    """One document of each source changes sides."""
+    after = "CASE WHEN drawn THEN missing + size ELSE missing - size END"
+    best = f"row_number() OVER (PARTITION BY source ORDER BY CASE WHEN abs({after}) < abs(missing) THEN 0 ELSE 1 END, abs({after}), u, doc_id, size) = 1 AND abs({after}) < abs(missing)"
+    return f"""pick{k} AS (SELECT *, {after} AS after, {best} AS best FROM turn{k}),
+turn{k + 1} AS (SELECT * EXCLUDE (drawn, missing, after, best), drawn <> best AS drawn, coalesce(max(CASE WHEN best THEN after END) OVER (PARTITION BY source), missing) AS missing FROM pick{k})"""
+
+
 OP8_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
@@ -146,10 +162,9 @@ ranked AS (
   SELECT s.doc_id, s.size, s.u, r.*, sum(s.size) OVER (PARTITION BY s.source ORDER BY s.u, s.doc_id, s.size) AS reached
   FROM sized s JOIN rest r ON s.source IS NOT DISTINCT FROM r.source),
 drawn AS (SELECT *, remaining > 0 AND reached <= remaining AS in_sample FROM ranked),
-gaps AS (SELECT *, remaining - coalesce(sum(CASE WHEN in_sample THEN size END) OVER (PARTITION BY source), 0) AS missing FROM drawn),
-closers AS (SELECT *, row_number() OVER (PARTITION BY source, NOT in_sample AND abs(size - missing) < missing ORDER BY abs(size - missing), u, doc_id, size) = 1
-                   AND NOT in_sample AND abs(size - missing) < missing AS closing FROM gaps)
-SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN in_sample OR closing THEN 1 ELSE 0 END) AS BIGINT) AS taken,
-       CAST(whole + CASE WHEN in_sample OR closing THEN 1 ELSE 0 END AS BIGINT) AS copies, in_sample, closing
-FROM closers
+turn0 AS (SELECT *, in_sample AS drawn, remaining - coalesce(sum(CASE WHEN in_sample THEN size END) OVER (PARTITION BY source), 0) AS missing FROM drawn),
+{", ".join(_turn(k) for k in range(TURNS))}
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN drawn THEN 1 ELSE 0 END) AS BIGINT) AS taken,
+       CAST(whole + CASE WHEN drawn THEN 1 ELSE 0 END AS BIGINT) AS copies, in_sample, drawn
+FROM turn{TURNS}
 """
