@@ -89,7 +89,7 @@ def drawable(position: Column, position_buffer: Column, uv: Column, uv_buffer: C
 
 def validate_codes(df: DataFrame, column: str, domain: DataFrame, code: str) -> DataFrame:
     """Rows whose code isn't in the domain."""
-    return df.join(F.broadcast(domain.select(F.col(code).alias(column)).distinct()), column, "left_anti")
+    return df.join(domain.select(F.col(code).alias(column)).distinct(), column, "left_anti")
 
 
 def resolve_data_refs(records: DataFrame, data: DataFrame) -> DataFrame:
@@ -117,5 +117,5 @@ def unknown_tag_candidates(records: DataFrame, functions: DataFrame) -> DataFram
     """For commands of an unknown tag the unused functions without pointers whose parameters and return value fill the command's words."""
     unused = functions.where("pointers = 0").join(records.select(F.col("tag").alias("function_tag")).distinct(), "function_tag", "left_anti")
     named = unused.select((F.col("params") + F.col("returns")).alias("words"), "name")
-    unknown = records.join(F.broadcast(functions.select(F.col("function_tag").alias("tag"))), "tag", "left_anti").select("dump_id", "tag", "words").distinct()
-    return unknown.join(F.broadcast(named), "words").groupBy("dump_id", "tag", "words").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    unknown = records.join(functions.select(F.col("function_tag").alias("tag")), "tag", "left_anti").select("dump_id", "tag", "words").distinct()
+    return unknown.join(named, "words").groupBy("dump_id", "tag", "words").agg(F.array_sort(F.collect_list("name")).alias("names"))

@@ -47,7 +47,7 @@ def raster_blocks_to_samples(blocks: DataFrame, headers: DataFrame, size: int) -
                 yield pa.RecordBatch.from_pydict({"map_id": np.full(size * size, map_id), "row": y * size + at // size, "col": x * size + at % size, "h": h})
 
     flat = blocks.mapInArrow(unpack, "map_id bigint, row bigint, col bigint, h double")
-    return flat.join(F.broadcast(headers.select("map_id", "nx", "ny")), "map_id").where("row < ny and col < nx").drop("nx", "ny")
+    return flat.join(headers.select("map_id", "nx", "ny"), "map_id").where("row < ny and col < nx").drop("nx", "ny")
 
 
 def raster_range(samples: DataFrame, seeded: bool = False) -> DataFrame:
@@ -76,7 +76,7 @@ def data_range_ok(ranges: DataFrame) -> DataFrame:
 
 def nodata_to_null(samples: DataFrame, nodata: DataFrame) -> DataFrame:
     """Heights equal to their map's no-data value become null."""
-    joined = samples.join(F.broadcast(nodata), "map_id", "left")
+    joined = samples.join(nodata, "map_id", "left")
     return joined.select("map_id", "row", "col", F.nullif("h", "nodata").alias("h"))
 
 
@@ -205,7 +205,7 @@ def overview_grid(samples: DataFrame, level: int) -> DataFrame:
 
 def apply_palette(samples: DataFrame, palette: DataFrame) -> DataFrame:
     """Colours of the pixel values; columns that the palette lacks are 1."""
-    return samples.join(F.broadcast(palette), "value", "left").withColumns({c: F.coalesce(c, F.lit(1.0)) for c in ("red", "green", "blue", "opacity")})
+    return samples.join(palette, "value", "left").withColumns({c: F.coalesce(c, F.lit(1.0)) for c in ("red", "green", "blue", "opacity")})
 
 
 def rle_encode(pixels: DataFrame) -> DataFrame:

@@ -91,7 +91,7 @@ def w08(spark, d):
     """Points find their map by the whole tenths of a degree between the maps' corners."""
     s = samples(spark, d)
     q = view(spark, d, "gps_point").withColumn("map_id", F.floor((F.col("lon") + 122.5) / 0.1))
-    q = q.join(F.broadcast(headers(s)), "map_id").select("point_id", "map_id", ((F.col("lon") - F.col("ul_x")) / F.col("pixel")).alias("x"), ((F.col("ul_y") - F.col("lat")) / F.col("pixel")).alias("y"))
+    q = q.join(headers(s), "map_id").select("point_id", "map_id", ((F.col("lon") - F.col("ul_x")) / F.col("pixel")).alias("x"), ((F.col("ul_y") - F.col("lat")) / F.col("pixel")).alias("y"))
     return raster.bilinear_sample(q, s).select("point_id", "map_id", F.round(F.col("height").cast("double"), 2).alias("height"))
 
 
@@ -219,7 +219,7 @@ def surface(spark, d) -> DataFrame:
     """Triangles of the rasters' grids with their corners."""
     s = samples(spark, d)
     hd = headers(s)
-    xyz = s.join(F.broadcast(hd), "map_id").select("map_id", (F.col("row") * F.col("nx") + F.col("col")).alias("v"), (F.col("ul_x") + F.col("col") * F.col("pixel")).alias("x"), (F.col("ul_y") - F.col("row") * F.col("pixel")).alias("y"), F.col("h").alias("z"))
+    xyz = s.join(hd, "map_id").select("map_id", (F.col("row") * F.col("nx") + F.col("col")).alias("v"), (F.col("ul_x") + F.col("col") * F.col("pixel")).alias("x"), (F.col("ul_y") - F.col("row") * F.col("pixel")).alias("y"), F.col("h").alias("z"))
     t = raster.grid_triangles(hd).select("map_id", "v0", "v1", "v2")
     for k in range(3):
         t = t.join(xyz.withColumnsRenamed({"v": f"v{k}", "x": f"x{k}", "y": f"y{k}", "z": f"z{k}"}), ["map_id", f"v{k}"])

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo
+from geoloom.storage import numbered
 
 MAGIC, END = 0xAABBCCDD, 0xF0000000
 #: Altitude modes by number; 0 is left out, 2 and 4 are plain tags, the others carry the extension's prefix.
@@ -73,8 +74,8 @@ def curve_records(paths: DataFrame) -> DataFrame:
     knots = F.sequence(F.lit(0), n - 1)
     lines = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 20).cast("int")), lambda k: F.array_join(F.slice(knots, k * 20 + 1, F.lit(20)).cast("array<string>"), " "))
     points = F.array_join(F.transform("p", lambda s: F.format_string("%.3f %.3f %.3f", s["x"] * 100, s["y"] * 100, s["z"] * 100)), "\n")
-    number = F.row_number().over(W.orderBy("path_id")) + 100
-    return ordered.where(n > 1).withColumn("curve", number).select("path_id", "curve", (n - 1).alias("spans"), F.array_join(lines, "\n").alias("knots"), points.alias("points"))
+    number = numbered(paths.groupBy("path_id").count().where("count > 1").select("path_id"), "path_id").select("path_id", (F.col("number") + 101).cast("int").alias("curve"))
+    return ordered.where(n > 1).join(number, "path_id").select("path_id", "curve", (n - 1).alias("spans"), F.array_join(lines, "\n").alias("knots"), points.alias("points"))
 
 
 def write_curves(paths: DataFrame, directory: str) -> None:

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,3 +52,17 @@ def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, before)
+
+
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """Rows numbered from 0 in the order of a unique ``key``, without bringing them to one task.
+
+    Rows are dealt by ranges of the key and written; only a count per range is
+    summed up in one place.
+    """
+    ranged = materialize(df.repartitionByRange(F.col(key)).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_range", before.alias("_start"))
+    own = F.row_number().over(W.partitionBy("_range").orderBy(key)) - 1
+    return ranged.withColumn("_own", own).join(starts, "_range").withColumn("number", (F.col("_start") + F.col("_own")).cast("bigint")).drop("_range", "_own", "_start")
