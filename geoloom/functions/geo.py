@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -35,6 +36,11 @@ def gps(lon: Column, lat: Column, alt: Column) -> Column:
     return F.struct(lon.alias("lon"), lat.alias("lat"), alt.alias("alt"))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it. Keeps chains of conversions from growing as products."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def valid_gps(lon: Column, lat: Column) -> Column:
     return (F.abs(lon) <= 180) & (F.abs(lat) <= 90)
 
@@ -49,10 +55,14 @@ def lla_to_ecef(lon: Column, lat: Column, alt: Column, radians: bool = False) ->
 
 def ecef_to_lla(x: Column, y: Column, z: Column, radians: bool = False) -> Column:
     """Earth-centred to geodetic: at most 10 rounds, each row stops when its height correction changes by less than 1e-8. NULL at the centre."""
-    rsq = x * x + y * y
+    return let(point(x, y, z), lambda p: _ecef_to_lla(p, radians))
+
+
+def _ecef_to_lla(c: Column, radians: bool) -> Column:
+    rsq = c["x"] * c["x"] + c["y"] * c["y"]
 
     def step(s: Column, _: Column) -> Column:
-        zp = z + s["h"]
+        zp = c["z"] + s["h"]
         r = F.sqrt(rsq + zp * zp)
         sp = F.try_divide(zp, r)
         en = F.lit(A) / F.sqrt(1 - E2 * sp * sp)
@@ -61,12 +71,14 @@ def ecef_to_lla(x: Column, y: Column, z: Column, radians: bool = False) -> Colum
         new = F.struct(F.when(done, s["h"]).otherwise(p).alias("h"), zp.alias("zp"), r.alias("r"), en.alias("en"), done.alias("done"))
         return F.when(s["done"], s).otherwise(new)
 
+    def finish(end: Column) -> Column:
+        lat, lon = F.atan2(end["zp"], F.sqrt(rsq)), F.atan2(c["y"], c["x"])
+        out = (lon, lat) if radians else (deg(lon), deg(lat))
+        return F.when(end["en"].isNotNull(), gps(*out, end["r"] - end["en"]))
+
     zero = F.lit(0.0)
-    start = F.struct((E2 * z).alias("h"), zero.alias("zp"), zero.alias("r"), zero.alias("en"), F.lit(False).alias("done"))
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(10)), start, step)
-    lat, lon = F.atan2(end["zp"], F.sqrt(rsq)), F.atan2(y, x)
-    out = (lon, lat) if radians else (deg(lon), deg(lat))
-    return F.when(end["en"].isNotNull(), gps(*out, end["r"] - end["en"]))
+    start = F.struct((E2 * c["z"]).alias("h"), zero.alias("zp"), zero.alias("r"), zero.alias("en"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(10)), start, step, finish)
 
 
 def enu_rotation(lon: Column, lat: Column) -> Column:
@@ -91,8 +103,12 @@ def ecef_to_enu(target: Column, origin_lon: Column, origin_lat: Column, origin_a
 
 def enu_to_ecef(enu: Column, origin_lon: Column, origin_lat: Column, origin_alt: Column) -> Column:
     o = lla_to_ecef(origin_lon, origin_lat, origin_alt)
-    d = rotate(transpose3(enu_rotation(origin_lon, origin_lat)), enu["x"], enu["y"], enu["z"])
-    return point(o["x"] + d["x"], o["y"] + d["y"], o["z"] + d["z"])
+
+    def back(e: Column) -> Column:
+        d = rotate(transpose3(enu_rotation(origin_lon, origin_lat)), e["x"], e["y"], e["z"])
+        return point(o["x"] + d["x"], o["y"] + d["y"], o["z"] + d["z"])
+
+    return let(enu, back)
 
 
 def lla_to_enu(lon: Column, lat: Column, alt: Column, origin: tuple[Column, Column, Column], strict: bool = False) -> Column:
@@ -103,8 +119,7 @@ def lla_to_enu(lon: Column, lat: Column, alt: Column, origin: tuple[Column, Colu
 
 
 def enu_to_lla(enu: Column, origin: tuple[Column, Column, Column]) -> Column:
-    e = enu_to_ecef(enu, *origin)
-    return ecef_to_lla(e["x"], e["y"], e["z"])
+    return let(enu_to_ecef(enu, *origin), lambda e: _ecef_to_lla(e, False))
 
 
 def ecef_velocity_to_enu(v: Column, origin_lon: Column, origin_lat: Column) -> Column:
