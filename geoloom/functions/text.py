@@ -6,8 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values
-PRIMITIVES = ["POINTS", "LINES", "LINE_LOOP", "LINE_STRIP", "TRIANGLES", "TRIANGLE_STRIP", "TRIANGLE_FAN", "QUADS", "QUAD_STRIP", "POLYGON"]
-ELEMENT_SIZES = {0x1400: 1, 0x1401: 1, 0x1402: 2, 0x1403: 2, 0x1404: 4, 0x1405: 4, 0x1406: 4, 0x140A: 8, 0x140B: 2}
+PRIMITIVES = ["points", "lines", "lineloop", "linestrip", "triangles", "trianglestrip", "trianglefan", "quads", "quadstrip", "polygon"]
+#: Bytes of a data element by its graphics type; others have 4.
+ELEMENT_SIZES = {
+    0x1400: 1, 0x1401: 1, 0x8032: 1, 0x8362: 1,
+    0x1402: 2, 0x1403: 2, 0x1407: 2, 0x8363: 2, 0x8364: 2, 0x8033: 2, 0x8365: 2, 0x8034: 2, 0x8366: 2,
+    0x1408: 3,
+    0x1404: 4, 0x1405: 4, 0x1406: 4, 0x1409: 4, 0x8035: 4, 0x8367: 4, 0x8036: 4, 0x8368: 4,
+    0x140A: 8,
+}
 PIXEL_TYPES = [("u1", 1), ("u2", 2), ("u4", 4), ("u8", 8), ("s8", 8), ("u16", 16), ("s16", 16), ("u32", 32), ("s32", 32), ("f32", 32), ("f64", 64), ("c64", 64), ("c128", 128)]
 
 
@@ -16,8 +23,17 @@ def split_path(path: Column) -> dict[str, Column]:
     return {"root": F.regexp_extract(path, r"(?s)^(.*[/\\])?", 0), "stem": F.regexp_extract(path, r"([^/\\]*?)(\.[^./\\]*)?$", 1), "extension": F.regexp_extract(path, r"\.([^./\\]*)$", 1)}
 
 
+def six_digits(x: Column) -> Column:
+    """A number with six significant digits and no trailing zeros."""
+    size = F.abs(x)
+    out = F.round(x, 8)
+    for least, places in ((0.01, 7), (0.1, 6), (1, 5), (10, 4), (100, 3)):
+        out = F.when(size >= least, F.round(x, places)).otherwise(out)
+    return F.regexp_replace(out.cast("string"), r"\.0$", "")
+
+
 def tile_request_key(lon: Column, lat: Column, zoom: Column) -> Column:
-    return F.concat(F.lit("lon@"), F.format_string("%.6f", lon), F.lit("_lat@"), F.format_string("%.6f", lat), F.lit("_zoom@"), zoom.cast("string"))
+    return F.concat(F.lit("lon@"), six_digits(lon), F.lit("_lat@"), six_digits(lat), F.lit("_zoom@"), zoom.cast("string"))
 
 
 def primitive_name(code: Column) -> Column:
@@ -25,7 +41,7 @@ def primitive_name(code: Column) -> Column:
 
 
 def element_size(code: Column) -> Column:
-    out = F.lit(None).cast("int")
+    out = F.lit(4)
     for k, v in ELEMENT_SIZES.items():
         out = F.when(code == k, v).otherwise(out)
     return out
@@ -46,8 +62,8 @@ def texture_export_kind(fmt: Column) -> Column:
 
 
 def _rgb(c: Column) -> list[Column]:
-    """Channels of a 5:6:5 colour, 0..255."""
-    return [F.floor(F.shiftright(c, s).bitwiseAND(m) * 255 / m).cast("bigint") for s, m in ((11, 31), (5, 63), (0, 31))]
+    """Channels of a 5:6:5 colour in the high bits of a byte."""
+    return [F.shiftleft(F.shiftright(c, s).bitwiseAND(m), up).cast("bigint") for s, m, up in ((11, 31, 3), (5, 63, 2), (0, 31, 3))]
 
 
 def dxt1_decode(blocks: DataFrame) -> DataFrame:
@@ -64,17 +80,23 @@ def dxt1_decode(blocks: DataFrame) -> DataFrame:
 
 
 def dxt1_encode(pixels: DataFrame) -> DataFrame:
-    """Blocks of 16 pixels (pixel, r, g, b) to c0, c1, idx: corners of the colour box, inset by a sixteenth, in 5:6:5; each pixel gets the nearest of four colours."""
+    """Blocks of 16 pixels (pixel, r, g, b) to c0, c1, idx.
+
+    The ends are the corners of the colour box, inset by a sixteenth, in 5:6:5 with
+    the high bits repeated below. A pixel takes one of the two colours between them
+    if it is nearer than both ends (sum of absolute differences), else an end.
+    """
     inset = lambda c: F.expr(f"(max({c}) - min({c})) div 16")
     ends = pixels.groupBy("block_id").agg(*[(F.max(c) - inset(c)).alias(f"hi_{c}") for c in "rgb"], *[(F.min(c) + inset(c)).alias(f"lo_{c}") for c in "rgb"])
     pack = lambda p: F.expr(f"(({p}_r div 8) << 11) | (({p}_g div 4) << 5) | ({p}_b div 8)")
-    ends = ends.withColumns({"c0": pack("hi"), "c1": pack("lo")})
-    colours = ends.withColumns({f"a{k}": v for k, v in enumerate(_rgb(F.col("c0")))} | {f"b{k}": v for k, v in enumerate(_rgb(F.col("c1")))})
+    repeat = lambda c, low: F.col(c).bitwiseAND(0xFF - low).bitwiseOR(F.shiftright(c, 6 if low == 3 else 5)).cast("bigint")
+    colours = ends.withColumns({"c0": pack("hi"), "c1": pack("lo")} | {f"{n}{k}": repeat(f"{e}_{c}", 3 if c == "g" else 7) for n, e in (("a", "hi"), ("b", "lo")) for k, c in enumerate("rgb")})
     j = pixels.join(colours.select("block_id", "c0", "c1", *[f"{e}{k}" for e in "ab" for k in range(3)]), "block_id")
     tables = [[F.col(f"a{k}") for k in range(3)], [F.col(f"b{k}") for k in range(3)], [F.expr(f"(2 * a{k} + b{k}) div 3") for k in range(3)], [F.expr(f"(a{k} + 2 * b{k}) div 3") for k in range(3)]]
-    distance = [sum(((F.col(c) - t[k]) * (F.col(c) - t[k]) for k, c in enumerate("rgb")), F.lit(0)) for t in tables]
-    nearest = F.array_min(F.array(*[F.struct(d.alias("d"), F.lit(n).alias("n")) for n, d in enumerate(distance)]))["n"]
-    return j.withColumn("bits", nearest.cast("bigint")).groupBy("block_id", "c0", "c1").agg(F.sum(F.expr("shiftleft(bits, cast(2 * pixel as int))")).alias("idx"))
+    j = j.withColumns({f"d{n}": sum((F.abs(F.col(c) - t[k]) for k, c in enumerate("rgb")), F.lit(0)) for n, t in enumerate(tables)})
+    between = F.expr("(d2 < d0 and d2 < d1) or (d3 < d0 and d3 < d1)")
+    far = F.expr("d3 < d0 and d3 < d2")
+    return j.withColumn("bits", between.cast("bigint") * 2 + far.cast("bigint")).groupBy("block_id", "c0", "c1").agg(F.sum(F.expr("shiftleft(bits, cast(2 * pixel as int))")).alias("idx"))
 
 
 def flip_and_swap(pixels: DataFrame, height: str = "height", swap: bool = True) -> DataFrame:

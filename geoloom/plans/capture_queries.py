@@ -133,12 +133,12 @@ def j14(spark, d):
     return capture.unknown_tag_candidates(q, fn).withColumn("names", F.array_join("names", ","))
 
 
-@query("t03_primitive_name", sql("capture_record", "SELECT seq, (['POINTS','LINES','LINE_LOOP','LINE_STRIP','TRIANGLES','TRIANGLE_STRIP','TRIANGLE_FAN','QUADS','QUAD_STRIP','POLYGON'])[arg % 12 + 1] AS primitive FROM capture_record"))
+@query("t03_primitive_name", sql("capture_record", "SELECT seq, (['points','lines','lineloop','linestrip','triangles','trianglestrip','trianglefan','quads','quadstrip','polygon'])[arg % 12 + 1] AS primitive FROM capture_record"))
 def t03(spark, d):
     return rec(spark, d).select("seq", text.primitive_name(F.col("arg") % 12).alias("primitive"))
 
 
-@query("t04_element_size", sql("capture_record", ", e AS (SELECT seq, arg, (MAP {5120: 1, 5121: 1, 5122: 2, 5123: 2, 5124: 4, 5125: 4, 5126: 4, 5130: 8, 5131: 2})[CAST(5120 + arg % 14 AS INTEGER)] AS s FROM capture_record) SELECT seq, CAST(s AS INTEGER) AS element_size, CAST(CASE WHEN arg % 5 <> 0 THEN arg % 5 ELSE 3 * s END AS BIGINT) AS stride FROM e"))
+@query("t04_element_size", sql("capture_record", ", e AS (SELECT seq, arg, CASE WHEN arg % 14 < 2 THEN 1 WHEN arg % 14 IN (2, 3, 7) THEN 2 WHEN arg % 14 = 8 THEN 3 WHEN arg % 14 = 10 THEN 8 ELSE 4 END AS s FROM capture_record) SELECT seq, CAST(s AS INTEGER) AS element_size, CAST(CASE WHEN arg % 5 <> 0 THEN arg % 5 ELSE 3 * s END AS BIGINT) AS stride FROM e"))
 def t04(spark, d):
     code = 5120 + F.col("arg") % 14
     return rec(spark, d).select("seq", text.element_size(code).alias("element_size"), text.effective_stride(F.col("arg") % 5, F.lit(3), code).cast("bigint").alias("stride"))
@@ -150,7 +150,7 @@ def t01(spark, d):
     return view(spark, d, "gps_point").select("point_id", *[c.alias(n) for n, c in text.split_path(path).items()])
 
 
-@query("t02_tile_request_key", sql("gps_point", "SELECT point_id, 'lon@' || printf('%.6f', lon) || '_lat@' || printf('%.6f', lat) || '_zoom@' || (1 + point_id % 14) AS key FROM gps_point"))
+@query("t02_tile_request_key", sql("gps_point", "SELECT point_id, 'lon@' || printf('%g', lon) || '_lat@' || printf('%g', lat) || '_zoom@' || (1 + point_id % 14) AS key FROM gps_point"))
 def t02(spark, d):
     return view(spark, d, "gps_point").select("point_id", text.tile_request_key(F.col("lon"), F.col("lat"), 1 + F.col("point_id") % 14).alias("key"))
 
@@ -166,7 +166,7 @@ def t11(spark, d):
     return view(spark, d, "texture_level").select("write_no", text.texture_export_kind(fmt).alias("kind"))
 
 
-_ch = lambda c: [f"({c} >> 11 & 31)*255//31", f"({c} >> 5 & 63)*255//63", f"({c} & 31)*255//31"]
+_ch = lambda c: [f"({c} >> 11 & 31)*8", f"({c} >> 5 & 63)*4", f"({c} & 31)*8"]
 _DXT = ", e AS (SELECT *, " + ", ".join(f"{x} AS {n}{k}" for c, n in (("c0", "a"), ("c1", "b")) for k, x in enumerate(_ch(c))) + " FROM dxt1_block), p AS (SELECT e.*, i AS pixel, idx >> (2*i) & 3 AS code FROM e, generate_series(0, 15) g(i))"
 
 
@@ -186,10 +186,10 @@ def pixels(spark, d) -> DataFrame:
 
 _ends = ", ".join(f"max({c})-(max({c})-min({c}))//16 AS hi_{c}, min({c})+(max({c})-min({c}))//16 AS lo_{c}" for c in "rgb")
 _tab = lambda n, k: {0: f"a{k}", 1: f"b{k}", 2: f"(2*a{k}+b{k})//3", 3: f"(a{k}+2*b{k})//3"}[n]
-_dist = lambda n: " + ".join(f"({c}-{_tab(n, k)})*({c}-{_tab(n, k)})" for k, c in enumerate("rgb"))
+_dist = lambda n: " + ".join(f"abs({c}-{_tab(n, k)})" for k, c in enumerate("rgb"))
 
 
-@query("t09_dxt1_encode", "WITH" + _PIX[1:] + f", e0 AS (SELECT block_id, {_ends} FROM px GROUP BY block_id), e1 AS (SELECT block_id, ((hi_r//8) << 11) | ((hi_g//4) << 5) | (hi_b//8) AS c0, ((lo_r//8) << 11) | ((lo_g//4) << 5) | (lo_b//8) AS c1 FROM e0), e AS (SELECT *, " + ", ".join(f"{x} AS {n}{k}" for c, n in (("c0", "a"), ("c1", "b")) for k, x in enumerate(_ch(c))) + f" FROM e1), q AS (SELECT px.*, c0, c1, {', '.join(f'{_dist(n)} AS d{n}' for n in range(4))} FROM px JOIN e USING (block_id)), m AS (SELECT *, CASE least(d0,d1,d2,d3) WHEN d0 THEN 0 WHEN d1 THEN 1 WHEN d2 THEN 2 ELSE 3 END AS code FROM q) SELECT block_id, c0, c1, CAST(sum(CAST(code AS BIGINT) << (2*pixel)) AS BIGINT) AS idx FROM m GROUP BY ALL")
+@query("t09_dxt1_encode", "WITH" + _PIX[1:] + f", e0 AS (SELECT block_id, {_ends} FROM px GROUP BY block_id), e1 AS (SELECT *, ((hi_r//8) << 11) | ((hi_g//4) << 5) | (hi_b//8) AS c0, ((lo_r//8) << 11) | ((lo_g//4) << 5) | (lo_b//8) AS c1 FROM e0), e AS (SELECT *, " + ", ".join(f"({e}_{c} // {1 << low})*{1 << low} + ({e}_{c} // {1 << (8 - low)})  AS {n}{k}" for e, n in (("hi", "a"), ("lo", "b")) for k, (c, low) in enumerate((("r", 3), ("g", 2), ("b", 3)))) + f" FROM e1), q AS (SELECT px.*, c0, c1, {', '.join(f'{_dist(n)} AS d{n}' for n in range(4))} FROM px JOIN e USING (block_id)), m AS (SELECT *, CASE WHEN (d2 < d0 AND d2 < d1) OR (d3 < d0 AND d3 < d1) THEN 2 ELSE 0 END + CASE WHEN d3 < d0 AND d3 < d2 THEN 1 ELSE 0 END AS code FROM q) SELECT block_id, c0, c1, CAST(sum(CAST(code AS BIGINT) << (2*pixel)) AS BIGINT) AS idx FROM m GROUP BY ALL")
 def t09(spark, d):
     return text.dxt1_encode(pixels(spark, d))
 
@@ -397,7 +397,7 @@ def t05(spark, d):
 def j17(spark, d):
     """A dump and the KML file of the same stem; the file's first polygon is the target."""
     stem = lambda c: F.regexp_extract(c, r"([^/\\]*)\.[^.]*$", 1)
-    dumps = rec(spark, d).select("dump_id").distinct().withColumn("stem", stem(F.concat(F.lit("dumps/area_"), "dump_id", F.lit(".gpa"))))
+    dumps = rec(spark, d).select("dump_id").distinct().withColumn("stem", stem(F.concat(F.lit("dumps/area_"), "dump_id", F.lit(".dump"))))
     polygons = path_points(spark, d).where("kind = 'Polygon'").withColumn("stem", stem(F.concat(F.lit("kml/area_"), "path_id", F.lit(".kml"))))
     first = polygons.groupBy("stem").agg(F.min_by("path_id", F.struct("path_id", "point_idx")).alias("polygon"))
     return dumps.join(first, "stem", "left").select("dump_id", "polygon")
