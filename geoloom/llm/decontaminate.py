@@ -9,12 +9,16 @@
    twice through A'A, each pass one distributed job that sums a (terms x RANK +
    EXTRA) matrix, with an orthonormalisation between them, and a small eigenproblem
    at the end.
-3. Windows of HALF and of 2 * HALF words, every HALF words, and the benchmark items
-   are folded into the latent space; pairs with cosine COSINE (over the full lengths)
-   that share STOCK of the item's weight are candidates.
+3. A window of 2 * HALF words (every HALF words) and an item are a candidate if the
+   window's surroundings hold so many of the item's telling words, or fewer and its
+   answer, that step 4 could confirm it. A common subsequence is never longer than
+   the number of words shared, so no passage is lost, wherever it lies in the window.
 4. A candidate is confirmed by the longest common subsequence of the item's words
    and the window's surroundings, or by a shorter one that holds the item's answer
    (its last words), which catches paraphrases.
+5. Of the windows that confirm an item in a document, equal ones by the subsequence,
+   the one nearest to the item in the latent space is the place reported. Cosines
+   are taken within that space, so its rank need not grow with the benchmark.
 
 The driver holds matrices of the benchmark's size only; a benchmark larger than
 BLOCK items is worked off in blocks.
@@ -34,7 +38,7 @@ from geoloom.llm.words import ALNUM, split
 from geoloom.storage import materialize
 
 HALF, RANK, EXTRA, MAX_DF = 24, 160, 16, 0.2
-COSINE, STOCK, ITEM_WEIGHT = 0.35, 0.5, 1.0
+STOCK, ITEM_WEIGHT = 0.5, 1.0
 #: Share of an item's words in the common subsequence; the lower one needs ANSWER of the last ANSWER_WORDS words.
 LCS, LCS_LOW, ANSWER, ANSWER_WORDS = 0.6, 0.45, 0.8, 8
 BLOCK = 2_000
@@ -87,10 +91,11 @@ def encode(terms: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 @dataclass
 class Tokens:
-    """Known words of several documents: term, half-window, and per half-window its document."""
+    """Known words of several documents: term, half-window, place, and per half-window its document."""
 
     term: np.ndarray
     half: np.ndarray
+    place: np.ndarray  # number of the word in the group
     doc_of_half: np.ndarray
     sequences: list[np.ndarray]
     at: int
@@ -110,7 +115,7 @@ def halves(batch: pa.RecordBatch) -> Iterator[Tokens]:
         at = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
         half = np.repeat(first, n) + at // HALF
         known = np.flatnonzero(flat >= 0)
-        yield Tokens(flat[known], half[known], np.repeat(np.arange(len(n)), per_doc), sequences, i)
+        yield Tokens(flat[known], half[known], known, np.repeat(np.arange(len(n)), per_doc), sequences, i)
         i = j
 
 
@@ -131,48 +136,34 @@ def count_terms(n_terms: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 @dataclass
 class Rich:
-    """The halves that can be part of a candidate, renumbered: their tokens, number in the group, document, weight and squared norm."""
+    """The heavy halves, renumbered: their tokens, and squared norm of each."""
 
     term: np.ndarray
     half: np.ndarray
-    own: np.ndarray
-    doc: np.ndarray
-    mass: np.ndarray
     square: np.ndarray
-    follows: np.ndarray  # whether the next rich half is the next half of the same document
 
 
-def rich_halves(t: Tokens, idf: np.ndarray, least: float, alone: bool = False) -> Rich:
-    """Halves that, alone or (unless ``alone``) with a neighbour, weigh at least ``least``."""
-    n = len(t.doc_of_half)
+def rich_halves(t: Tokens, idf: np.ndarray, least: float) -> Rich:
+    """Halves that weigh at least ``least``."""
     weight = idf[t.term]
-    mass = np.bincount(t.half, weight, minlength=n)
-    joined = np.zeros(n + 1, bool)  # whether half k and k + 1 together are heavy enough
-    if not alone:
-        joined[1:n] = (mass[:-1] + mass[1:] >= least) & (t.doc_of_half[1:] == t.doc_of_half[:-1])
-    keep = (mass >= least) | joined[1:] | joined[:-1]
-    own = np.flatnonzero(keep)
-    number = np.cumsum(keep) - 1
+    keep = np.bincount(t.half, weight, minlength=len(t.doc_of_half)) >= least
     at = np.flatnonzero(keep[t.half] & (weight > 0))
-    half = number[t.half[at]]
-    square = np.bincount(half, weight[at] ** 2, minlength=len(own))
-    follows = np.zeros(len(own), bool)
-    follows[:-1] = (own[1:] == own[:-1] + 1) & (t.doc_of_half[own[1:]] == t.doc_of_half[own[:-1]])
-    return Rich(t.term[at], half, own, t.doc_of_half[own], mass[own], square, follows)
+    half = (np.cumsum(keep) - 1)[t.half[at]]
+    return Rich(t.term[at], half, np.bincount(half, weight[at] ** 2, minlength=int(keep.sum())))
 
 
-def sums_of(r: Rich, rows: np.ndarray) -> np.ndarray:
-    """Per half the sum of its tokens' rows: first all halves' first tokens, then all second ones, and so on."""
-    counts = np.bincount(r.half, minlength=len(r.own))
+def sums_of(term: np.ndarray, half: np.ndarray, n: int, rows: np.ndarray) -> np.ndarray:
+    """Per half (0..n-1, in order) the sum of its tokens' rows: first all halves' first tokens, then all second ones, and so on."""
+    counts = np.bincount(half, minlength=n)
     begin = np.cumsum(counts) - counts
     order = np.argsort(-counts, kind="stable")
     counts, begin = counts[order], begin[order]
-    out = np.zeros((len(order), rows.shape[1]), np.float32)
-    for k in range(counts[0] if len(counts) else 0):
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    for k in range(counts[0] if n else 0):
         m = int(np.searchsorted(-counts, -k, "left"))
-        out[:m] += rows[r.term[begin[:m] + k]]
+        out[:m] += rows[term[begin[:m] + k]]
     back = np.empty_like(order)
-    back[order] = np.arange(len(order))
+    back[order] = np.arange(n)
     return out[back]
 
 
@@ -184,10 +175,10 @@ def through(basis: np.ndarray, idf: np.ndarray, least: float) -> Callable[[Itera
         total = np.zeros(basis.shape)
         for batch in batches:
             for t in halves(batch):
-                r = rich_halves(t, idf, least, alone=True)
+                r = rich_halves(t, idf, least)
                 if not len(r.term):
                     continue
-                image = sums_of(r, weighted) / np.maximum(r.square, 1e-12)[:, None].astype(np.float32)
+                image = sums_of(r.term, r.half, len(r.square), weighted) / np.maximum(r.square, 1e-12)[:, None].astype(np.float32)
                 order = np.argsort(r.term, kind="stable")
                 own, half = r.term[order], r.half[order]
                 begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
@@ -200,25 +191,14 @@ def through(basis: np.ndarray, idf: np.ndarray, least: float) -> Callable[[Itera
 
 @dataclass
 class Weights:
-    """Term weights, and items as a matrix of unit rows, with the weight each asks a window to share."""
+    """Term weights, items as a matrix of unit rows, each item's telling words, and the weight of the matrix's passages."""
 
     idf: np.ndarray
     items: np.ndarray
-    needed: np.ndarray
-    stock: np.ndarray  # items x (terms + 1); the last column, for no term, is 0
+    telling: list[np.ndarray]
+    rich: float  # passages of this weight, the median of STOCK of the items' weights, are rows of the matrix
     item_weight: float
 
-    @property
-    def least(self) -> float:
-        """Halves that weigh less, even with a neighbour, share less than any item asks for."""
-        return float(self.needed.min(initial=np.inf))
-
-    @property
-    def rich(self) -> float:
-        """Passages of this weight, the median of what the items ask for, are rows of the matrix."""
-        some = self.needed[np.isfinite(self.needed)]
-        return float(np.median(some)) if len(some) else np.inf
-
 
 def weigh(coded: DataFrame, bench: Benchmark) -> Weights:
     n = len(bench.terms)
@@ -227,14 +207,13 @@ def weigh(coded: DataFrame, bench: Benchmark) -> Weights:
         df[r["term"]] = r["n"]
     passages = max(df[-1], 1)
     idf = np.where(df[:-1] <= max(MAX_DF * passages, 2), np.log((1 + passages) / (1 + df[:-1])) + 0.05, 0.0)
-    items, stock = np.zeros((len(bench.items), n), np.float32), np.zeros((len(bench.items), n + 1), np.float32)
+    telling = [x[idf[x] > 0] for x in bench.items]
+    items = np.zeros((len(bench.items), n), np.float32)
     for k, x in enumerate(bench.items):
         np.add.at(items[k], x, idf[x])
-        stock[k, x] = idf[x]
+    mass = [idf[np.unique(x)].sum() * STOCK * min(1, 2 * HALF / len(x)) for x, y in zip(bench.items, telling) if len(np.unique(y)) >= 2]
     items /= np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-9)
-    held = STOCK * np.minimum(1, 2 * HALF / np.array([len(x) for x in bench.items]))  # a window holds a part of longer items
-    needed = np.where((stock > 0).sum(axis=1) >= 2, held * stock.sum(axis=1), np.inf)
-    return Weights(idf, items, needed, stock, ITEM_WEIGHT * passages / len(items))
+    return Weights(idf, items, telling, float(np.median(mass)) if mass else np.inf, ITEM_WEIGHT * passages / len(items))
 
 
 def multiply(coded: DataFrame, basis: np.ndarray, w: Weights) -> np.ndarray:
@@ -281,50 +260,107 @@ def common_subsequence(at: dict[int, int], n: int, b: list[int]) -> int:
 HIT = "doc_id bigint, item_id bigint, start bigint, cosine double, lcs double, answer double"
 
 
+def shares(t: Tokens, counts: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Per half (row) and item (column) at least as many of the item's telling words as are around the half: in ``reach`` halves before it, itself, the next, and ``reach`` after that, of the same document."""
+    n, n_terms = len(t.doc_of_half), len(counts)
+    own = np.unique(t.half * n_terms + t.term)
+    sums = np.zeros((n + 1, counts.shape[1]), np.int32)
+    np.cumsum(sums_of(own % n_terms, own // n_terms, n, counts), axis=0, out=sums[1:])
+    begin, end = (np.searchsorted(t.doc_of_half, t.doc_of_half, side) for side in ("left", "right"))
+    out, at = np.empty((n, counts.shape[1]), np.int32), np.arange(n)
+    for k in np.unique(reach):
+        cols = np.flatnonzero(reach == k)
+        one = sums[:, cols]
+        out[:, cols] = one[np.minimum(at + 2 + k, end)] - one[np.maximum(at - k, begin)]
+    return out
+
+
+class Held:
+    """Counts of the words of ``parts`` (lists of terms) that stand in given stretches of words."""
+
+    def __init__(self, parts: list[np.ndarray]) -> None:
+        self.flat, self.sizes = np.concatenate(parts).astype(np.int64), np.array([len(x) for x in parts])
+        self.first = np.cumsum(self.sizes) - self.sizes
+
+    def __call__(self, keys: np.ndarray, n: int, q: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """For each of the parts ``q`` how many of its words are at a place from a to before z. keys: term * n + place of all words, sorted, then a larger value."""
+        out, step = np.zeros(len(q), np.int64), max(1, 1_000_000 // int(self.sizes.max(initial=1)))
+        for c in range(0, len(q), step):
+            k, size = q[c : c + step], self.sizes[q[c : c + step]]
+            of = np.repeat(np.arange(len(k)), size)
+            at = np.arange(len(of)) - (np.cumsum(size) - size)[of] + self.first[k][of]
+            low = self.flat[at] * n
+            out[c : c + step] = np.bincount(of[keys[np.searchsorted(keys, low + a[c : c + step][of])] < low + z[c : c + step][of]], minlength=len(k))
+        return out
+
+
 def search(bench: Benchmark, w: Weights, latent: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    idf, stock, needed = w.idf, w.stock, w.needed
-    weighted = (latent * idf[:, None]).astype(np.float32)
+    weighted = (latent * w.idf[:, None]).astype(np.float32)
     queries = (w.items @ latent).astype(np.float32)
-    whole, telling, tail = ([(positions(x), len(x)) for x in part] for part in (bench.items, [x[idf[x] > 0] for x in bench.items], [x[-ANSWER_WORDS:] for x in bench.items]))
+    queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-9)
+    parts = (bench.items, w.telling, [x[-ANSWER_WORDS:] for x in bench.items])
+    whole, telling, tail = ([(positions(x), len(x)) for x in part] for part in parts)
+    in_whole, in_telling, in_tail = map(Held, parts)
+    sizes = np.array([len(x) for x in bench.items])
+    counts = np.zeros((len(bench.terms), len(sizes)), np.int16 if sizes.max() < 2**15 else np.int32)
+    for k, x in enumerate(w.telling):
+        np.add.at(counts[:, k], x, 1)
+    needed = np.array([np.ceil(LCS_LOW * len(x) - 1e-9) if len(np.unique(x)) >= 2 else np.iinfo(np.int32).max for x in w.telling])
+    reach = -(-sizes // HALF)
+
+    def confirm(q: int, around: list[int]) -> tuple[float, float] | None:
+        lcs = common_subsequence(*telling[q], around) / telling[q][1]  # frequent words alone are no evidence
+        if lcs < LCS_LOW:
+            return None
+        lcs = min(lcs, common_subsequence(*whole[q], around) / whole[q][1])
+        if lcs < LCS_LOW:
+            return None
+        answer = common_subsequence(*tail[q], around) / tail[q][1]
+        return (lcs, answer) if lcs >= LCS or answer >= ANSWER else None
+
+    def candidates(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Halves, items, and the first word and the end of the surroundings, for all pairs that ``confirm`` may accept."""
+        b, q = np.nonzero(shares(t, counts, reach) >= needed)
+        lengths = np.array([len(x) for x in t.sequences])
+        ends, n = np.cumsum(lengths), int(lengths.sum())
+        doc = t.doc_of_half[b]
+        start = (b - np.searchsorted(t.doc_of_half, doc)) * HALF
+        a, z = np.maximum(0, start - sizes[q]), np.minimum(lengths[doc], start + 2 * HALF + sizes[q])
+        keys = np.append(np.sort(t.term.astype(np.int64) * n + t.place), np.iinfo(np.int64).max)
+        first = (ends - lengths)[doc]
+        some = np.arange(len(b))
+        reached = in_tail(keys, n, q, first + a, first + z) >= ANSWER * in_tail.sizes[q] - 1e-9
+        for held in (in_telling, in_whole):
+            least = np.where(reached[some], LCS_LOW, LCS) * held.sizes[q[some]] - 1e-9
+            some = some[held(keys, n, q[some], (first + a)[some], (first + z)[some]) >= least]
+        return b[some], q[some], a[some], z[some]
+
+    def nearness(q: int, sequence: np.ndarray, start: int) -> float:
+        """Cosine of the item and the nearer of the windows of one and two halves."""
+        found = 0.0
+        for n in (HALF, 2 * HALF):
+            x = sequence[start : start + n]
+            v = weighted[x[x >= 0]].sum(axis=0)
+            found = max(found, float(v @ queries[q]) / max(float(np.linalg.norm(v)), 1e-9))
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best: dict[tuple[int, int], tuple] = {}
             for t in halves(batch):
-                r = rich_halves(t, idf, w.least)
-                if not len(r.term):
+                if not len(t.term):
                     continue
-                sums = sums_of(r, weighted)
-                begin_of = np.searchsorted(t.doc_of_half, np.arange(len(t.sequences)))
-                slots = np.full((len(r.own), HALF), -1, np.int32)
-                slots[r.half, np.arange(len(r.half)) - np.searchsorted(r.half, np.arange(len(r.own)))[r.half]] = r.term
-                pairs = np.flatnonzero(r.follows)
-                found = []
-                # windows: each half by itself, and with the next one of the same document
-                for one, two in ((np.arange(len(r.own)), None), (pairs, pairs + 1)):
-                    mass, square = (x[one] if two is None else x[one] + x[two] for x in (r.mass, r.square))
-                    vectors = sums[one] if two is None else sums[one] + sums[two]
-                    cosine = (vectors @ queries.T) / np.sqrt(np.maximum(square, 1e-9))[:, None]
-                    v, q = np.nonzero((cosine >= COSINE) & (mass[:, None] >= needed))
-                    inside = slots[one[v]] if two is None else np.concatenate([slots[one[v]], slots[two[v]]], axis=1)
-                    enough = stock[q[:, None], inside].sum(axis=1) >= needed[q]
-                    found += zip(r.own[one[v[enough]]].tolist(), q[enough].tolist(), cosine[v[enough], q[enough]].tolist())
-                for b, q, cosine in found:
+                seen: dict[tuple[int, int, int, int], tuple[float, float] | None] = {}
+                for b, q, a, z in zip(*(x.tolist() for x in candidates(t))):
                     doc = int(t.doc_of_half[b])
-                    item, sequence = bench.items[q], t.sequences[doc]
-                    start = (b - int(begin_of[doc])) * HALF
-                    around = sequence[max(0, start - len(item)) : start + 2 * HALF + len(item)]
-                    around = around[around >= 0].tolist()
-                    lcs = common_subsequence(*telling[q], around) / telling[q][1]  # frequent words alone are no evidence
-                    if lcs < LCS_LOW:
-                        continue
-                    lcs = min(lcs, common_subsequence(*whole[q], around) / len(item))
-                    if lcs < LCS_LOW:
-                        continue
-                    answer = common_subsequence(*tail[q], around) / tail[q][1]
-                    if lcs >= LCS or answer >= ANSWER:
-                        key = (t.at + doc, int(q))
-                        best[key] = max(best.get(key, (0,)), (lcs, answer, cosine, -start))
+                    sequence, start = t.sequences[doc], (b - int(np.searchsorted(t.doc_of_half, doc))) * HALF
+                    key = (doc, q, a, z)
+                    if key not in seen:
+                        around = sequence[a:z]
+                        seen[key] = confirm(q, around[around >= 0].tolist())
+                    if seen[key]:
+                        key, score = (t.at + doc, q), (*seen[key], nearness(q, sequence, start), -start)
+                        best[key] = max(best.get(key, (0,)), score)
             keys = list(best)
             docs = batch["doc_id"].take(pa.array([k for k, _ in keys], pa.int64()))
             lcs, answer, cos, start = (pa.array([best[k][x] for k in keys], pa.float64() if x < 3 else pa.int64()) for x in range(4))

@@ -389,6 +389,21 @@ def test_decontamination_odd_rows(spark, odd, empty):
     assert decontaminate.contaminated(odd, b.limit(0)).count() == 0
 
 
+def test_decontamination_finds_every_whole_item_of_a_large_benchmark(spark):
+    rng = random.Random(12)
+    vocabulary = [f"t{k}" for k in range(4000)]
+    items = [rng.choices(vocabulary, k=38) for _ in range(1200)]
+    docs = []
+    for q in range(0, 1200, 4):
+        w = rng.choices(vocabulary, k=120)
+        w[q % 97 : q % 97] = items[q]
+        docs.append((q, " ".join(w)))
+    b = [(k, " ".join(x)) for k, x in enumerate(items)]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(b, "item_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(q, q) for q, _ in docs}
+    assert all(0.3 < r["cosine"] < 1.001 for r in got)
+
+
 def test_common_subsequence_against_a_table():
     rng = random.Random(3)
     for _ in range(200):
