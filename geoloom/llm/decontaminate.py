@@ -4,7 +4,8 @@
    are kept in that short form; all later passes read it instead of the texts.
 2. Passages of HALF words that hold much of the benchmark's vocabulary, and the
    items, each as heavy as many passages, form a TF-IDF matrix over the benchmark's
-   terms. Terms in more than MAX_DF of the passages carry no weight. The matrix's
+   terms. Terms in more than MAX_DF of the passages carry no weight, but for LITTLE
+   if an item has hardly others, as when it leaked into many texts. The matrix's
    leading right singular vectors come from a randomised SVD: a random subspace goes
    twice through A'A, each pass one distributed job that sums a (terms x RANK +
    EXTRA) matrix, with an orthonormalisation between them, and a small eigenproblem
@@ -15,7 +16,9 @@
    the number of words shared, so no passage is lost, wherever it lies in the window.
 4. A candidate is confirmed by the longest common subsequence of the item's words
    and the window's surroundings, or by a shorter one that holds the item's answer
-   (its last words), which catches paraphrases.
+   (its last words), which catches paraphrases. An item of frequent words (most of
+   them in more than MAX_DF of the passages) is compared by all its words with
+   stretches little longer than itself, and in whole if it is short.
 5. Of the windows that confirm an item in a document, equal ones by the subsequence,
    the one nearest to the item in the latent space is the place reported. Cosines
    are taken within that space, so its rank need not grow with the benchmark.
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 from geoloom.llm.words import ALNUM, split
 from geoloom.storage import materialize
 
-HALF, RANK, EXTRA, MAX_DF = 24, 160, 16, 0.2
+HALF, RANK, EXTRA, MAX_DF, LITTLE = 24, 160, 16, 0.2, 0.05
 STOCK, ITEM_WEIGHT = 0.5, 1.0
 #: Share of an item's words in the common subsequence; the lower one needs ANSWER of the last ANSWER_WORDS words.
 LCS, LCS_LOW, ANSWER, ANSWER_WORDS = 0.6, 0.45, 0.8, 8
@@ -196,6 +199,7 @@ class Weights:
     idf: np.ndarray
     items: np.ndarray
     telling: list[np.ndarray]
+    plain: np.ndarray  # items with few words that aren't frequent: all their words count as telling
     rich: float  # passages of this weight, the median of STOCK of the items' weights, are rows of the matrix
     item_weight: float
 
@@ -208,12 +212,16 @@ def weigh(coded: DataFrame, bench: Benchmark) -> Weights:
     passages = max(df[-1], 1)
     idf = np.where(df[:-1] <= max(MAX_DF * passages, 2), np.log((1 + passages) / (1 + df[:-1])) + 0.05, 0.0)
     telling = [x[idf[x] > 0] for x in bench.items]
+    plain = np.array([len(np.unique(y)) < 2 or 4 * len(y) < len(x) for x, y in zip(bench.items, telling)])
+    telling = [x if p else y for x, y, p in zip(bench.items, telling, plain)]
+    for k in np.flatnonzero(plain):
+        idf[bench.items[k]] = np.maximum(idf[bench.items[k]], LITTLE)
     items = np.zeros((len(bench.items), n), np.float32)
     for k, x in enumerate(bench.items):
         np.add.at(items[k], x, idf[x])
     mass = [idf[np.unique(x)].sum() * STOCK * min(1, 2 * HALF / len(x)) for x, y in zip(bench.items, telling) if len(np.unique(y)) >= 2]
     items /= np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-9)
-    return Weights(idf, items, telling, float(np.median(mass)) if mass else np.inf, ITEM_WEIGHT * passages / len(items))
+    return Weights(idf, items, telling, plain, float(np.median(mass)) if mass else np.inf, ITEM_WEIGHT * passages / len(items))
 
 
 def multiply(coded: DataFrame, basis: np.ndarray, w: Weights) -> np.ndarray:
@@ -306,17 +314,19 @@ def search(bench: Benchmark, w: Weights, latent: np.ndarray) -> Callable[[Iterat
     for k, x in enumerate(w.telling):
         np.add.at(counts[:, k], x, 1)
     needed = np.array([np.ceil(LCS_LOW * len(x) - 1e-9) if len(np.unique(x)) >= 2 else np.iinfo(np.int32).max for x in w.telling])
-    reach = -(-sizes // HALF)
+    stretch, step = sizes + sizes // 4, np.maximum(1, sizes // 4)  # of plain items; the item itself is in one of the stretches
+    reach = -(-np.where(w.plain, stretch, sizes) // HALF)
+    low, high = (np.where(w.plain & (sizes < ANSWER_WORDS), 1.0, x) for x in (LCS_LOW, LCS))
 
     def confirm(q: int, around: list[int]) -> tuple[float, float] | None:
         lcs = common_subsequence(*telling[q], around) / telling[q][1]  # frequent words alone are no evidence
-        if lcs < LCS_LOW:
+        if lcs < low[q]:
             return None
         lcs = min(lcs, common_subsequence(*whole[q], around) / whole[q][1])
-        if lcs < LCS_LOW:
+        if lcs < low[q]:
             return None
         answer = common_subsequence(*tail[q], around) / tail[q][1]
-        return (lcs, answer) if lcs >= LCS or answer >= ANSWER else None
+        return (lcs, answer) if lcs >= high[q] or answer >= ANSWER else None
 
     def candidates(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Halves, items, and the first word and the end of the surroundings, for all pairs that ``confirm`` may accept."""
@@ -325,13 +335,20 @@ def search(bench: Benchmark, w: Weights, latent: np.ndarray) -> Callable[[Iterat
         ends, n = np.cumsum(lengths), int(lengths.sum())
         doc = t.doc_of_half[b]
         start = (b - np.searchsorted(t.doc_of_half, doc)) * HALF
-        a, z = np.maximum(0, start - sizes[q]), np.minimum(lengths[doc], start + 2 * HALF + sizes[q])
+        a, z = np.maximum(0, start - sizes[q]), start + 2 * HALF + sizes[q]
+        if w.plain[q].any():  # every stretch that begins in the half
+            n_of = np.where(w.plain[q], -(-HALF // step[q]), 1)
+            at = np.repeat(np.arange(len(q)), n_of)
+            b, q, doc, start = b[at], q[at], doc[at], start[at]
+            a = np.where(w.plain[q], start + (np.arange(len(at)) - (np.cumsum(n_of) - n_of)[at]) * step[q], a[at])
+            z = np.where(w.plain[q], a + stretch[q], z[at])
+        z = np.minimum(z, lengths[doc])
         keys = np.append(np.sort(t.term.astype(np.int64) * n + t.place), np.iinfo(np.int64).max)
         first = (ends - lengths)[doc]
         some = np.arange(len(b))
         reached = in_tail(keys, n, q, first + a, first + z) >= ANSWER * in_tail.sizes[q] - 1e-9
         for held in (in_telling, in_whole):
-            least = np.where(reached[some], LCS_LOW, LCS) * held.sizes[q[some]] - 1e-9
+            least = np.where(reached[some], low[q[some]], high[q[some]]) * held.sizes[q[some]] - 1e-9
             some = some[held(keys, n, q[some], (first + a)[some], (first + z)[some]) >= least]
         return b[some], q[some], a[some], z[some]
 
@@ -374,7 +391,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """A row per document and benchmark item it holds: doc_id, item_id, start (word), cosine, lcs, answer.
 
     Clean documents have no row. Null and empty texts and items match nothing, nor
-    do items without two weighted terms. Repeated rows give repeated results. An
+    do items of a single word, repeated or not. Repeated rows give repeated results. An
     empty table on either side gives an empty result; further columns are ignored.
     """
     spark = docs.sparkSession

@@ -404,6 +404,35 @@ def test_decontamination_finds_every_whole_item_of_a_large_benchmark(spark):
     assert all(0.3 < r["cosine"] < 1.001 for r in got)
 
 
+def test_decontamination_finds_items_that_leaked_often(spark):
+    rng = random.Random(13)
+    vocabulary = [f"t{k}" for k in range(4000)]
+    items = [rng.choices(vocabulary, k=n) for n in (30, 7, 40, 36)]
+    docs, want = [], set()
+    for k in range(90):  # a third of all rows is the first two items, each text a passage or two
+        w = rng.choices(vocabulary, k=rng.randrange(5, 12))
+        if k % 3 == 0:
+            w[k % 5 : k % 5] = items[0] + items[1]
+            want |= {(k, 0), (k, 1)}
+        elif k % 30 == 1:
+            w += items[2]
+            want.add((k, 2))
+        docs.append((k, " ".join(w)))
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} bigint, text string")
+    b = [(k, " ".join(x)) for k, x in enumerate(items)] + [(9, "t1")]
+    got = decontaminate.contaminated(frame(docs, "doc_id"), frame(b, "item_id")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and all(r["cosine"] > 0 for r in got)
+    # ten texts of one passage, three of them the item
+    docs = [(k, " ".join(items[1] if k < 3 else rng.choices(vocabulary, k=20))) for k in range(10)]
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(frame(docs, "doc_id"), frame(b, "item_id")).collect()) == [(k, 1) for k in range(3)]
+    # frequent words in another order are no item
+    common = "the of and to in is that for it as was with be by on".split()
+    docs = [(k, " ".join(rng.choices(common, k=120) + rng.choices(vocabulary, k=80) if k else common)) for k in range(30)]
+    docs = [(k, " ".join(rng.sample(w.split(), len(w.split())) if k else w.split())) for k, w in docs]
+    assert 0 in {r["doc_id"] for r in decontaminate.contaminated(frame(docs, "doc_id"), frame([(0, " ".join(common))], "item_id")).collect()}
+    assert [r["doc_id"] for r in decontaminate.contaminated(frame(docs, "doc_id"), frame([(0, " ".join(common[::-1]))], "item_id")).collect()] == []
+
+
 def test_common_subsequence_against_a_table():
     rng = random.Random(3)
     for _ in range(200):
