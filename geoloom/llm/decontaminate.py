@@ -269,7 +269,7 @@ HIT = "doc_id bigint, item_id bigint, start bigint, cosine double, lcs double, a
 
 
 def shares(t: Tokens, counts: np.ndarray, reach: np.ndarray) -> np.ndarray:
-    """Per half (row) and item (column) at least as many of the item's telling words as are around the half: in ``reach`` halves before it, itself, the next, and ``reach`` after that, of the same document."""
+    """Per half (row) and item (column) at least as many of the item's words, of which ``counts`` (terms x items) are asked for, as are around the half: in ``reach`` halves before it, itself, the next, and ``reach`` after that, of the same document."""
     n, n_terms = len(t.doc_of_half), len(counts)
     own = np.unique(t.half * n_terms + t.term)
     sums = np.zeros((n + 1, counts.shape[1]), np.int32)
@@ -310,10 +310,11 @@ def search(bench: Benchmark, w: Weights, latent: np.ndarray) -> Callable[[Iterat
     whole, telling, tail = ([(positions(x), len(x)) for x in part] for part in parts)
     in_whole, in_telling, in_tail = map(Held, parts)
     sizes = np.array([len(x) for x in bench.items])
-    counts = np.zeros((len(bench.terms), len(sizes)), np.int16 if sizes.max() < 2**15 else np.int32)
-    for k, x in enumerate(w.telling):
-        np.add.at(counts[:, k], x, 1)
-    needed = np.array([np.ceil(LCS_LOW * len(x) - 1e-9) if len(np.unique(x)) >= 2 else np.iinfo(np.int32).max for x in w.telling])
+    counts, answers = (np.zeros((len(bench.terms), len(sizes)), np.int16 if sizes.max() < 2**15 else np.int32) for _ in range(2))
+    for k in range(len(sizes)):
+        np.add.at(counts[:, k], parts[1][k], 1)
+        np.add.at(answers[:, k], parts[2][k], 1)
+    several = np.array([len(np.unique(x)) >= 2 for x in w.telling])
     stretch, step = sizes + sizes // 4, np.maximum(1, sizes // 4)  # of plain items; the item itself is in one of the stretches
     reach = -(-np.where(w.plain, stretch, sizes) // HALF)
     low, high = (np.where(w.plain & (sizes < ANSWER_WORDS), 1.0, x) for x in (LCS_LOW, LCS))
@@ -330,7 +331,10 @@ def search(bench: Benchmark, w: Weights, latent: np.ndarray) -> Callable[[Iterat
 
     def candidates(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Halves, items, and the first word and the end of the surroundings, for all pairs that ``confirm`` may accept."""
-        b, q = np.nonzero(shares(t, counts, reach) >= needed)
+        held = shares(t, counts, reach)
+        enough = held >= high * in_telling.sizes - 1e-9
+        enough |= (held >= low * in_telling.sizes - 1e-9) & (shares(t, answers, reach) >= ANSWER * in_tail.sizes - 1e-9)
+        b, q = np.nonzero(enough & several)
         lengths = np.array([len(x) for x in t.sequences])
         ends, n = np.cumsum(lengths), int(lengths.sum())
         doc = t.doc_of_half[b]

@@ -433,6 +433,30 @@ def test_decontamination_finds_items_that_leaked_often(spark):
     assert [r["doc_id"] for r in decontaminate.contaminated(frame(docs, "doc_id"), frame([(0, " ".join(common[::-1]))], "item_id")).collect()] == []
 
 
+def test_decontamination_loses_nothing_that_would_be_confirmed(spark):
+    """Paraphrases keeping 45 to 60 % of the words at all places in a half-window, against the confirmation of every window."""
+    rng = random.Random(14)
+    vocabulary = [f"t{k}" for k in range(6000)]
+    items = [rng.choices(vocabulary, k=n) for n in (18, 30, 38, 50, 75, 110)]
+    docs = []
+    for kept in (0.45, 0.5, 0.55, 0.6):
+        for at in range(24):
+            for item in items:
+                keep = set(rng.sample(range(len(item) - 8), max(0, math.ceil(kept * len(item)) - 8))) | set(range(len(item) - 8, len(item)))
+                docs.append(rng.choices(vocabulary, k=48 + at) + [x if k in keep else rng.choice(vocabulary) for k, x in enumerate(item)] + rng.choices(vocabulary, k=60))
+    want = set()
+    longest = lambda a, b: decontaminate.common_subsequence({x: sum(1 << k for k, y in enumerate(a) if y == x) for x in a}, len(a), b) / len(a)
+    for k, w in enumerate(docs):
+        for q, item in enumerate(items):
+            around = [w[max(0, s - len(item)) : s + 48 + len(item)] for s in range(0, len(w), 24)] if set(item) & set(w) else []
+            if any((lcs := longest(item, x)) >= 0.6 or lcs >= 0.45 and longest(item[-8:], x) >= 0.8 for x in around):
+                want.add((k, q))
+    b = [(k, " ".join(x)) for k, x in enumerate(items)]
+    got = decontaminate.contaminated(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(docs)], "doc_id bigint, text string"), spark.createDataFrame(b, "item_id bigint, text string")).collect()
+    assert len(want) >= len(docs)
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+
+
 def test_common_subsequence_against_a_table():
     rng = random.Random(3)
     for _ in range(200):
