@@ -41,6 +41,8 @@ BANDS, ROWS = 24, 6
 SLOTS = BANDS * ROWS
 #: Linked: PERCENT[0] * shared >= PERCENT[1] * all shingles of the two.
 PERCENT = (100, 85)
+#: For links from a similarity of 0.8 on, which the pipeline asks for: 28 bands of 5 miss such a pair with a chance of 1.5e-5.
+WIDE, WIDE_BANDS = (100, 80), (28, 5)
 _STEP = 0x9E3779B97F4A7C15
 _LOW = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
@@ -82,28 +84,32 @@ def super_minhash(of: np.ndarray, key: np.ndarray, n: int, slots: int = SLOTS, a
     return best
 
 
-def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sign(n_bands: int, n_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """doc_id, n_shingles, a 128-bit fingerprint of the shingle set, and a hash per band."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("print_a", pa.int64()), ("print_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
-    for batch in batches:
-        for words in split(batch["text"]):
-            n = len(words.first) - 1
-            of, key = distinct_pairs(*shingles(words))
-            sizes = np.bincount(of, minlength=n).astype(np.int64)
-            prints = []
-            for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(key ^ np.uint64(salt)))])
-                ends = np.cumsum(sizes)
-                prints.append((total[ends] - total[ends - sizes]).view(np.int64))
-            values = super_minhash(of, key, n)
-            bands = np.zeros((n, BANDS), np.uint64)
-            for k in range(ROWS):
-                bands = mix(bands * np.uint64(31) + values[:, k::ROWS] + np.uint64(k))
-            bands = bands.view(np.int64).reshape(-1)
-            full = sizes > 0
-            offsets = np.concatenate([[0], np.cumsum(np.where(full, BANDS, 0))]).astype(np.int32)
-            kept = bands.reshape(n, BANDS)[full].reshape(-1)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(words.at, n).cast(pa.int64()), pa.array(sizes), *map(pa.array, prints), pa.ListArray.from_arrays(offsets, kept)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words in split(batch["text"]):
+                n = len(words.first) - 1
+                of, key = distinct_pairs(*shingles(words))
+                sizes = np.bincount(of, minlength=n).astype(np.int64)
+                prints = []
+                for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
+                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(key ^ np.uint64(salt)))])
+                    ends = np.cumsum(sizes)
+                    prints.append((total[ends] - total[ends - sizes]).view(np.int64))
+                values = super_minhash(of, key, n, n_bands * n_rows)
+                bands = np.zeros((n, n_bands), np.uint64)
+                for k in range(n_rows):
+                    bands = mix(bands * np.uint64(31) + values[:, k::n_rows] + np.uint64(k))
+                bands = bands.view(np.int64).reshape(-1)
+                full = sizes > 0
+                offsets = np.concatenate([[0], np.cumsum(np.where(full, n_bands, 0))]).astype(np.int32)
+                kept = bands.reshape(n, n_bands)[full].reshape(-1)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(words.at, n).cast(pa.int64()), pa.array(sizes), *map(pa.array, prints), pa.ListArray.from_arrays(offsets, kept)], schema=schema)
+
+    return run
 
 
 def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +162,7 @@ def compared(pairs: DataFrame, held: DataFrame, how: Callable = compare, schema:
     return full.select("a", "b", "set_a", "set_b").mapInArrow(how, schema)
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: tuple[int, int] = PERCENT) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: tuple[int, int] = PERCENT, bands: tuple[int, int] = (BANDS, ROWS)) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Linked are documents whose sets of 5-word shingles have a similarity of at
@@ -167,11 +173,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and share a component. An empty table gives an empty result.
     """
     with arrow_rows(docs.sparkSession, 1000):
-        return _near_dedup(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), percent)
+        return _near_dedup(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), percent, bands)
 
 
-def _near_dedup(texts: DataFrame, percent: tuple[int, int]) -> DataFrame:
-    signed = materialize(texts.mapInArrow(sign, "doc_id bigint, n_shingles bigint, print_a bigint, print_b bigint, bands array<bigint>"), "signatures")
+def _near_dedup(texts: DataFrame, percent: tuple[int, int], bands: tuple[int, int]) -> DataFrame:
+    signed = materialize(texts.mapInArrow(sign(*bands), "doc_id bigint, n_shingles bigint, print_a bigint, print_b bigint, bands array<bigint>"), "signatures")
     prints = ["n_shingles", "print_a", "print_b"]
     some = signed.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(some.groupBy(*prints).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")

@@ -484,3 +484,11 @@ def test_pipeline_stages(spark, sf):
             n = docs.count()
         else:
             assert out.count() == n
+
+
+def test_pipeline_drops_near_copies_from_a_similarity_of_four_fifths(spark, sf):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    base = [[f"d{d}w{k}" for k in range(50)] for d in range(40)]
+    texts = [" ".join(w) for w in base] + [" ".join([*w[:20], "changed", *w[21:]]) for w in base]  # 41 of 51 shingles shared
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], DOCS)
+    assert {r["doc_id"] for r in pipeline.near_copies(spark, docs, sf).collect()} == set(range(40))
