@@ -36,7 +36,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_SECRET = re.compile(r"(?i)(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_.-]{16,512})")
+_SECRET = re.compile(r"(?i)(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_.-]{16,}+)")
 _PLAIN = re.compile(r"(?<![0-9+])(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
 _DIGIT = re.compile(r"[0-9]")
 
@@ -132,13 +132,12 @@ def features(kind: str, text: str, a: int, b: int) -> tuple[int, ...]:
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans the base kinds leave out: long numbers of another length or checksum, secrets, plain phone numbers; none overlaps a base span or another."""
     out: list[tuple[str, int, int]] = []
-    if not _DIGIT.search(text):
-        return out
     found = [("secret", *m.span(1)) for m in _SECRET.finditer(text)] if "=" in text or ":" in text else []
-    for m in _CARD.finditer(text):
-        if m.end() - m.start() <= 64 and 13 <= sum(c.isdigit() for c in m.group()) <= 19:
-            found.append(("account", *m.span()))
-    found += [("phone_plain", *m.span()) for m in _PLAIN.finditer(text)]
+    if _DIGIT.search(text):
+        for m in _CARD.finditer(text):
+            if m.end() - m.start() <= 64 and 13 <= sum(c.isdigit() for c in m.group()) <= 19:
+                found.append(("account", *m.span()))
+        found += [("phone_plain", *m.span()) for m in _PLAIN.finditer(text)]
     taken = sorted((a, b) for _, a, b in base)
     for kind, a, b in sorted(found, key=lambda x: (x[1], -x[2])):
         k = int(np.searchsorted([x[0] for x in taken], b)) if taken else 0

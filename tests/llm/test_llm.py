@@ -270,6 +270,12 @@ def test_pii_query(spark, sf, odd, empty):
     assert pii.find_pii(odd).count() == len(odd_rows()) and pii.find_pii(empty).count() == 0
 
 
+def test_pii_secrets_without_digits_and_of_any_length():
+    assert pii.candidates("password: CorrectHorseBatteryStaple", []) == [("secret", 10, 35)]
+    assert pii.candidates("token=" + "aB3-" * 500 + " end", []) == [("secret", 6, 2006)]
+    assert pii.candidates("no secrets: none here", []) == []
+
+
 def test_labelers_reliability_is_recovered():
     rng = np.random.default_rng(1)
     truth = rng.random(4000) < 0.4
