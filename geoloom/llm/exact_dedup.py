@@ -2,11 +2,17 @@
 
 Every partition turns its rows into a sorted run of digests, equal neighbours
 folded into one record that holds the smallest identifier and a count. Runs are
-then exchanged in rounds: in round r the runs whose slot numbers agree above
-r * BITS bits meet (a binomial tree of fan-in 2**BITS), each meeting split over
-many tasks by the digest's leading byte. A task merges all runs that reach it
-with Spark's external sort and folds equal neighbours again, so a text that
-fills a third of the table is at most one record a run after level 0.
+then exchanged in rounds: in a round the runs whose slot numbers agree but for
+their last BITS bits meet (a binomial tree of fan-in 2**BITS), each meeting split
+over many tasks by the digest's first two bytes. A task merges all runs that reach
+it and folds equal neighbours again, so a text that fills a third of the table is
+at most one record a run after level 0. A slot is a partition of the table, however
+many there are; the tree has as many rounds as it takes to reach one slot.
+
+The merge in a task is Spark's external sorter: it sorts what fits into memory and
+merges the sorted spills, so a meeting may be larger than memory. A merge of the
+runs in Python would have to hold one batch of every run, and the shuffle doesn't
+say where a run begins.
 
 Records are equal only if SHA-256, length and a second 64-bit hash all agree.
 The group found at the root goes back down the same tree: root -> run records
@@ -22,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.storage import materialize
+from geoloom.storage import job, materialize, result
 
-#: Fan-in of a round is 2**BITS; ROUNDS rounds merge up to 2**(BITS * ROUNDS) slots.
-BITS, ROUNDS = 6, 2
+#: Fan-in of a round is 2**BITS.
+BITS = 6
 NO_ID = 2**63 - 1
 RUN = "slot int, digest binary, chars int, second bigint, doc_id bigint, n bigint"
 KEY = ["digest", "chars", "second"]
@@ -70,33 +76,36 @@ def fold(df: DataFrame) -> DataFrame:
     return df.sortWithinPartitions("slot", *KEY, "doc_id").mapInArrow(fold_sorted, RUN)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null text equals empty text. A null identifier sorts after all others and is
     kept only if its whole group has none. Repeated rows of one identifier count
-    each and share their fate. An empty table gives an empty result; further
-    columns are ignored.
+    each and share their fate. Texts of any length are read whole. An empty table
+    gives an empty result; further columns are ignored.
     """
-    norm = normalised(F.col(text_col))
+    with job(docs.sparkSession):
+        return result(_exact_dedup(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), normalised(F.col(text_col)).alias("norm")), bits), "exact-dedup")
+
+
+def _exact_dedup(texts: DataFrame, bits: int) -> DataFrame:
     base = materialize(
-        docs.select(
-            F.col(id_col).cast("bigint").alias("doc_id"),
-            norm.alias("norm"),
-            F.pmod(F.spark_partition_id(), F.lit(2 ** (BITS * ROUNDS))).alias("slot"),
-        ).select("doc_id", "slot", F.unhex(F.sha2("norm", 256)).alias("digest"), F.length("norm").alias("chars"), F.xxhash64("norm").alias("second")),
+        texts.withColumn("slot", F.spark_partition_id()).select("doc_id", "slot", F.unhex(F.sha2("norm", 256)).alias("digest"), F.length("norm").alias("chars"), F.xxhash64("norm").alias("second")),
         "digests",
     )
     leaves = materialize(
         fold(base.select("slot", *KEY, F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.lit(1).cast("bigint").alias("n"))),
         "runs",
     )
-    runs = leaves
-    for _ in range(ROUNDS):
-        met = runs.withColumn("slot", F.shiftright("slot", BITS))
-        runs = fold(met.repartition("slot", F.substring("digest", 1, 2)))
+    runs, last = leaves, leaves.agg(F.max("slot")).first()[0] or 0
+    while True:
+        runs = fold(runs.withColumn("slot", F.shiftright("slot", bits)).repartition("slot", F.substring("digest", 1, 2)))
+        last >>= bits
+        if not last:
+            break
     root = runs.select(*KEY, F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size"))
-    down = leaves.select("slot", *KEY).join(root, KEY)
+    # a slot's digests may have been read, and folded, in several pieces
+    down = leaves.select("slot", *KEY).distinct().join(root, KEY)
     keep = F.when(F.col("keep_id") != NO_ID, F.col("keep_id"))
     return base.join(down, ["slot", *KEY]).select(
         "doc_id",

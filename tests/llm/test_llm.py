@@ -90,6 +90,30 @@ def test_exact_dedup_one_hot_text(spark):
     assert tuple(got) == (1000, 1, 1, 1000)
 
 
+def test_exact_dedup_of_more_partitions_than_one_round_merges(spark):
+    """Eight rounds of fan-in 2; a row per document, whatever the number of partitions."""
+    df = spark.range(900).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same").otherwise((F.col("id") % 50).cast("string")).alias("text")).repartition(150)
+    got = exact_dedup.exact_dedup(df, bits=1)
+    assert got.count() == 900 and got.agg(F.sum(F.col("kept").cast("int"))).first()[0] == 51
+    assert got.where("doc_id % 3 = 0").agg(F.min("keep_id"), F.max("keep_id"), F.max("group_size")).first()[:] == (0, 0, 300)
+
+
+def test_exact_dedup_of_a_digest_file_that_is_read_in_pieces(spark):
+    df = spark.range(20000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "same").otherwise(F.col("id").cast("string")).alias("text")).repartition(2)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    rows = spark.sparkContext._jsc.hadoopConfiguration()
+    rows.set("parquet.block.size", "65536")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = exact_dedup.exact_dedup(df)
+        assert got.count() == 20000 and got.where("kept").count() == 10001
+    finally:
+        rows.unset("parquet.block.size")
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 # 3
 
 
