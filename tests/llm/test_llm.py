@@ -202,6 +202,32 @@ def test_mixing_hits_targets(spark, sf):
     assert again == {(r["doc_id"], r["taken"]) for r in rows}
 
 
+def test_mixing_includes_by_its_probabilities(spark, monkeypatch):
+    """600 sources with documents of the same sizes are 600 draws: inclusion rates follow p, and every sample has the same size."""
+    monkeypatch.setattr(mixing, "TURNS", 0)
+    sizes = [1, 2, 3, 4, 6, 9, 9, 12, 20, 33, 50, 120]
+    rows = [(s * 100 + k, " ".join(["w"] * n), f"s{s:04d}") for s in range(600) for k, n in enumerate(sizes)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4), weights=(1,), share=1.75).collect()
+    rate, p, per_source = collections.Counter(), {}, collections.Counter()
+    for r in got:
+        k = r["doc_id"] % 100
+        rate[k] += r["in_sample"] / 600
+        assert p.setdefault(k, r["p"]) == pytest.approx(r["p"])
+        per_source[r["doc_id"] // 100] += r["in_sample"]
+        assert r["copies"] == 1 + r["in_sample"]
+    assert sum(p[k] * n for k, n in enumerate(sizes)) == pytest.approx(0.75 * sum(sizes))
+    assert p[11] == 1 and len({round(x, 6) for x in p.values()}) == 11  # the longest is certain, equal sizes have equal chances
+    assert set(per_source.values()) == {round(sum(p.values()))}
+    for k in p:  # Pareto sampling of few documents keeps its probabilities closely, not exactly
+        assert abs(rate[k] - p[k]) < 0.08, (k, rate[k], p[k])
+
+
+def test_mixing_of_many_sources_without_a_broadcast(spark, sf, monkeypatch):
+    want = {(r["doc_id"], r["taken"], round(r["target"], 6)) for r in mixing.op8_source_mix(spark, sf).collect()}
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert {(r["doc_id"], r["taken"], round(r["target"], 6)) for r in mixing.op8_source_mix(spark, sf).collect()} == want
+
+
 def test_mixing_odd_rows(odd, empty, spark):
     rows = mixing.mix_sources(odd).collect()
     assert len(rows) == len(odd_rows()) and all(r["taken"] <= 2 * r["size"] for r in rows)
