@@ -17,8 +17,15 @@ share. If x and y are linked, they differ in at most r * (|x| + |y|) shingles,
 r = (1 - s) / (1 + s) for similarity s; they differ in |D(x)| + |D(y)| - 2 *
 |D(x) & D(y)|; and |D(x)| > r * (|x| + |h|). So fewer than (|D(y)| + r * (|y| -
 |h|)) / 2 of D(y) are outside D(x): of that many elements of D(y) x holds one at
-least. The rarest ones in h's family are taken, most of which nobody else holds,
-so an equi-join on them finds every open link and few other pairs.
+least. The
+proof holds for any h, so a family with many open members is compared with its
+shortest member: then what y has and h lacks is at least half of D(y), and in a
+family of pages around one template it is y's own. Taken are the elements of D(y)
+with the fewest holders among open members that aren't linked with y by now; most
+have none. An equi-join on them finds every open link. Within an element, members
+of its commonest component meet the others only, so that two families that are
+unlike each other cost no pairs within them, and pairs whose distances from h
+differ too much are left out.
 Every link is confirmed on the full shingle sets.
 """
 
@@ -28,13 +35,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from geoloom.llm.graph import components, rows_with
+from geoloom.llm.graph import components, rows_with, spread_join
 from geoloom.llm.words import distinct_pairs, mix, shingles, split
-from geoloom.storage import arrow_rows, materialize
+from geoloom.storage import arrow_rows, job, materialize, result
 
 #: BANDS bands of ROWS slots miss a pair of similarity 0.85 with a chance of 1.2e-5.
 BANDS, ROWS = 24, 6
@@ -125,24 +132,25 @@ def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b, and the exact sizes of the two sets' intersection and union."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("total", pa.int64())])
+    """a, b, the exact sizes of the two sets' intersection and union, and of the sets."""
+    long = pa.int64()
+    schema = pa.schema([(c, long) for c in ("a", "b", "shared", "total", "size_a", "size_b")])
     for batch in batches:
-        shared, total = [], []
+        shared, sizes = [], []
         for x, y in zip(batch["set_a"], batch["set_b"]):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             both = np.concatenate([x, y])
             both.sort(kind="stable")
-            same = int((both[1:] == both[:-1]).sum())
-            shared.append(same)
-            total.append(len(both) - same)
-        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(shared, pa.int64()), pa.array(total, pa.int64())], schema=schema)
+            shared.append(int((both[1:] == both[:-1]).sum()))
+            sizes.append((len(x), len(y)))
+        both, sizes = np.array(shared, np.int64), np.array(sizes, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *map(pa.array, (both, sizes.sum(axis=1) - both, sizes[:, 0], sizes[:, 1]))], schema=schema)
 
 
 def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """As ``compare``, with the sets' sizes and the elements that only one of them holds."""
+    """As ``compare``, with the elements that only one of the sets holds."""
     long = pa.int64()
-    schema = pa.schema([("a", long), ("b", long), ("shared", long), ("total", long), ("size_a", long), ("size_b", long), ("elements", pa.list_(long))])
+    schema = pa.schema([*((c, long) for c in ("a", "b", "shared", "total", "size_a", "size_b")), ("elements", pa.list_(long))])
     for batch in batches:
         for k in range(batch.num_rows):
             x, y = (np.frombuffer(batch[name][k].as_buffer(), np.int64) for name in ("set_a", "set_b"))
@@ -151,17 +159,51 @@ def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch["a"].slice(k, 1), batch["b"].slice(k, 1), *(pa.array([v], long) for v in (shared, shared + len(only), len(x), len(y))), pa.array([only], pa.list_(long))], schema=schema)
 
 
-COMPARED = "a bigint, b bigint, shared bigint, total bigint"
-DIFFERENCE = COMPARED + ", size_a bigint, size_b bigint, elements array<bigint>"
+COMPARED = "a bigint, b bigint, shared bigint, total bigint, size_a bigint, size_b bigint"
+DIFFERENCE = COMPARED + ", elements array<bigint>"
+#: Pairs of one head, and rows of one shingle set, that a task meets.
+PAIRS_AT_ONCE, ROWS_AT_ONCE = 64, 4096
+#: Up to this many open members a family keeps its head for the second round.
+FEW = 16
 
 
 def compared(pairs: DataFrame, held: DataFrame, how: Callable = compare, schema: str = COMPARED) -> DataFrame:
-    """The pairs (a, b) with their exact similarity."""
+    """The pairs (a, b) with their exact similarity. Many may name the same b."""
     full = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
-    full = full.join(held.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
+    full = spread_join(full, held.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), ["b"], "a", PAIRS_AT_ONCE, counts=pairs.groupBy("b").agg(F.count("*").alias("n")))
     return full.select("a", "b", "set_a", "set_b").mapInArrow(how, schema)
 
 
+def second_heads(stars: DataFrame, linked: Column) -> DataFrame:
+    """Families (by head b) with open members as pairs (a, b) of each member and the family's head for the second round."""
+    size = F.struct(F.col("size_a").alias("size"), F.col("a").alias("id"))
+    family = stars.groupBy("b").agg(F.sum((~linked).cast("bigint")).alias("open"), F.least(F.min(size), F.min(F.struct(F.col("size_b").alias("size"), F.col("b").alias("id")))).alias("shortest"), F.count("*").alias("n"))
+    family = materialize(family.where("open > 0").select("b", "n", F.when(F.col("open") <= FEW, F.col("b")).otherwise(F.col("shortest.id")).alias("head")), "families")
+    members = spread_join(stars.select("a", "b"), family.select("b", "head"), ["b"], "a", ROWS_AT_ONCE, counts=family.select("b", "n"))
+    members = members.select("a", F.col("head").alias("b")).union(family.select(F.col("b").alias("a"), F.col("head").alias("b")))
+    return members.where("a <> b").distinct()
+
+
+def meetings(elements: DataFrame, percent: tuple[int, int]) -> DataFrame:
+    """Pairs (x, y) that may be linked, from the rows (a, b, component, open, distance, size, head_size, element) of families: x is open and holds one of the elements of y that can't all be missing. Pairs come once an element."""
+    share, least = percent
+    reach = (share - least) / (share + least)
+    held = elements.groupBy("b", "element", "component").agg(F.sum(F.col("open").cast("bigint")).alias("own"))
+    by_element = held.groupBy("b", "element").agg(F.sum("own").alias("opens"), F.count("*").alias("components"), F.max_by("component", F.struct("own", "component")).alias("main"))
+    several = by_element.where("components > 1 and opens > 0")
+    info = materialize(held.join(several, ["b", "element"]).select("b", "element", "component", (F.col("opens") - F.col("own")).alias("others"), (F.col("component") == F.col("main")).alias("in_main")), "holders")
+    e = elements.join(info, ["b", "element", "component"], "left").withColumn("others", F.coalesce("others", F.lit(0)))
+    most = F.ceil((F.col("distance") + (F.col("size") - F.col("head_size")) * reach) / 2 - 1e-9)
+    rank = F.row_number().over(W.partitionBy("b", "a").orderBy("others", "element"))
+    y = e.withColumn("rank", rank).where((F.col("rank") <= most) & (F.col("others") > 0))
+    side = F.when(F.col("in_main"), F.array(F.lit("other"))).otherwise(F.array(F.lit("other"), F.lit("main")))
+    y = y.select("b", "element", F.explode(side).alias("side"), F.col("a").alias("y"), F.col("component").alias("of_y"), F.col("distance").alias("distance_y"), F.col("size").alias("size_y"))
+    x = e.where(F.col("open") & F.col("in_main").isNotNull())
+    x = x.select("b", "element", F.when(F.col("in_main"), "main").otherwise("other").alias("side"), F.col("a").alias("x"), F.col("component").alias("of_x"), "distance", "size")
+    near = F.abs(F.col("distance") - F.col("distance_y")) <= (F.col("size") + F.col("size_y")) * reach + 1e-9
+    return x.join(y, ["b", "element", "side"]).where(near & (F.col("of_x") != F.col("of_y"))).select("x", "y")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: tuple[int, int] = PERCENT, bands: tuple[int, int] = (BANDS, ROWS)) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -170,55 +212,49 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``component_id`` is their smallest doc_id. Null, empty and white-space texts have
     no shingles and are linked with nothing; a text of 1 to 4 words is one shingle.
     Rows without an identifier are linked with nothing. Repeated rows are equal sets
-    and share a component. An empty table gives an empty result.
+    and share a component. Texts of any length are compared whole. An empty table
+    gives an empty result; further columns are ignored.
     """
-    with arrow_rows(docs.sparkSession, 1000):
-        return _near_dedup(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), percent, bands)
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    with arrow_rows(docs.sparkSession, 1000), job(docs.sparkSession):
+        return result(_near_dedup(texts, percent, bands), "near-dedup")
 
 
 def _near_dedup(texts: DataFrame, percent: tuple[int, int], bands: tuple[int, int]) -> DataFrame:
     signed = materialize(texts.mapInArrow(sign(*bands), "doc_id bigint, n_shingles bigint, print_a bigint, print_b bigint, bands array<bigint>"), "signatures")
     prints = ["n_shingles", "print_a", "print_b"]
     some = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = materialize(some.groupBy(*prints).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    classes = materialize(some.groupBy(*prints).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("n")), "classes")
 
-    rows = classes.select("rep", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "value"))
+    rows = classes.select("rep", F.posexplode("bands").alias("band", "value"))
     # both sides of the joins below are tables, so that Spark can split a hot bucket
     shared = materialize(rows.groupBy("band", "value").agg(F.count("*").alias("members")).where("members > 1"), "crowded")
     shared = materialize(rows.join(shared, ["band", "value"]), "shared")
     central = shared.groupBy("rep").agg(F.sum("members").alias("degree"))
-    ranked = shared.join(central, "rep").withColumn("order", F.struct(-F.col("degree"), F.xxhash64("rep"), "rep", "n"))
+    ranked = shared.join(central, "rep").withColumn("order", F.struct(-F.col("degree"), F.xxhash64("rep"), "rep"))
     heads = materialize(ranked.groupBy("band", "value").agg(F.min("order").alias("head")).select("band", "value", F.col("head.rep").alias("head")), "heads")
     buckets = materialize(shared.drop("members").join(heads, ["band", "value"]), "buckets")
     held = materialize(rows_with(texts, buckets.select(F.col("rep").alias("doc_id")).distinct()).mapInArrow(sets, "doc_id bigint, shingles binary"), "sets")
 
     share, least = percent
     linked = F.col("shared") * share >= F.col("total") * least
-    pairs = buckets.where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
+    pairs = materialize(buckets.where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct(), "pairs")
     stars = materialize(compared(pairs, held), "stars")
-    first = components(stars.where(linked))
+    first = materialize(components(stars.where(linked)), "first")
 
     # members that no head took in: what else could they be linked with?
-    open_heads = stars.where(~linked).select("b").distinct()
-    family = compared(stars.join(open_heads, "b", "left_semi").select("a", "b"), held, differences, DIFFERENCE)
-    elements = materialize(family.select("a", "b", "shared", "total", (F.col("size_a") - F.col("size_b")).alias("longer"), F.explode("elements").alias("element")), "differences")
-    held_by = elements.groupBy("b", "element").agg(F.count("*").alias("n")).where("n > 1")
-    elements = elements.join(held_by, ["b", "element"], "left")
-    reach = (share - least) / (share + least)
-    most = F.ceil((F.col("total") - F.col("shared") + F.col("longer") * reach) / 2 - 1e-9)
-    rarest = F.row_number().over(W.partitionBy("b", "a").orderBy(F.coalesce("n", F.lit(1)), "element"))
-    right = elements.withColumn("rank", rarest).where((F.col("rank") <= most) & F.col("n").isNotNull()).select("b", "element", F.col("a").alias("y"))
-    left = elements.where(~linked & F.col("n").isNotNull()).select("b", "element", F.col("a").alias("x"))
-    met = left.join(right, ["b", "element"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    for end in "ab":
-        met = met.join(first.select(F.col("node").alias(end), F.col("component").alias(f"in_{end}")), end, "left")
-    rest = materialize(met.where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b"), "rest")
-    late = materialize(compared(rest, held).where(linked).select("a", "b"), "late")
-    links = stars.where(linked).select("a", "b").union(late)
+    again = materialize(second_heads(stars, linked), "again")
+    family = compared(again, held, differences, DIFFERENCE)
+    family = family.join(first.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    family = materialize(family.withColumns({"open": ~linked, "distance": F.col("total") - F.col("shared")}), "differences")
+    elements = family.select("a", "b", "component", "open", "distance", F.col("size_a").alias("size"), F.col("size_b").alias("head_size"), F.explode("elements").alias("element"))
+    met = meetings(elements, percent).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    late = materialize(compared(materialize(met, "rest"), held).where(linked).select("a", "b"), "late")
+    links = stars.where(linked).select("a", "b").union(family.where("not open").select("a", "b")).union(late)
     final = components(links)
 
     named = classes.select(*prints, "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select(*prints, F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", *prints).join(named, prints, "left")
+    out = spread_join(signed.select("doc_id", *prints), named, prints, "doc_id", ROWS_AT_ONCE, "left", classes.select(*prints, "n"))
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 

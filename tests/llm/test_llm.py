@@ -167,6 +167,54 @@ def test_near_dedup_families_around_the_threshold(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == want
 
 
+def families(n, shared=180, own=24):
+    """Two families of n near copies whose founders are alike below the threshold, every third member cut short."""
+    rng = random.Random(n)
+    common, texts = [f"c{k}" for k in range(shared)], {}
+    for f in "ab":
+        founder = common[:90] + [f"{f}{k}" for k in range(own)] + common[90:]
+        for k in range(n):
+            w = list(founder)
+            w[rng.randrange(len(w))] = f"{f}own{k}"
+            texts[2 * k + (f == "b")] = " ".join(w[: len(w) - k % 3])
+    return texts
+
+
+def template(n):
+    """Pages around one template, all of them alike below the threshold, of many lengths."""
+    return {k: " ".join([*(f"t{j}" for j in range(100)), *(f"p{k}x{j}" for j in range(24 + k % 9))]) for k in range(n)}
+
+
+def test_near_dedup_compares_members_and_not_pairs_of_families(spark, monkeypatch):
+    met = []
+
+    def counted(elements, percent):
+        rows = near_dedup_meetings(elements, percent)
+        met.append(rows.count())
+        return rows
+
+    near_dedup_meetings = near_dedup.meetings
+    monkeypatch.setattr(near_dedup, "meetings", counted)
+    for make, per_member in ((families, 2), (template, 2)):
+        for n in (100, 400):
+            texts = make(n)
+            got = near_dedup.near_dedup(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)).collect()
+            assert len({r["component_id"] for r in got}) == (2 if make is families else n)
+            assert met[-1] <= per_member * len(texts), (make.__name__, n, met)
+        small = make(30)
+        got = near_dedup.near_dedup(spark.createDataFrame(list(small.items()), "doc_id bigint, text string"))
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == linked_components(small)
+
+
+def test_a_crowded_key_is_joined_in_pieces(spark, monkeypatch):
+    left = spark.range(1000).select(F.col("id").alias("a"), F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("b"))
+    right = spark.range(500).select(F.col("id").alias("b"), (F.col("id") * 2).alias("x"))
+    want = sorted(left.join(right, ["b"], "left").select("a", "b", "x").collect(), key=repr)
+    for bound in (graph.BROADCAST_IDS, 0):
+        monkeypatch.setattr(graph, "BROADCAST_IDS", bound)
+        assert sorted(graph.spread_join(left, right, ["b"], "a", 20, "left").select("a", "b", "x").collect(), key=repr) == want
+
+
 def test_super_minhash_estimates_similarity():
     of = np.repeat([0, 1], 1000)
     x = np.arange(1000, dtype=np.uint64) * np.uint64(7919)
