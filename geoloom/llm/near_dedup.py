@@ -19,13 +19,14 @@ r = (1 - s) / (1 + s) for similarity s; they differ in |D(x)| + |D(y)| - 2 *
 |h|)) / 2 of D(y) are outside D(x): of that many elements of D(y) x holds one at
 least. The
 proof holds for any h, so a family with many open members is compared with its
-shortest member: then what y has and h lacks is at least half of D(y), and in a
-family of pages around one template it is y's own. Taken are the elements of D(y)
-with the fewest holders among open members that aren't linked with y by now; most
-have none. An equi-join on them finds every open link. Within an element, members
-of its commonest component meet the others only, so that two families that are
-unlike each other cost no pairs within them, and pairs whose distances from h
-differ too much are left out.
+shortest member near the head: then what y has and h lacks is at least half of
+D(y), and in a family of pages around one template it is y's own. Elements are put
+into one order, those with the fewest holders in different components first; most
+have none. An equi-join on the first elements of D(y) with D(x), or its first ones
+if y is open too, finds every open link. Within an element, members of its
+commonest component meet the others only, so that two families that are unlike
+each other cost no pairs within them; pairs whose distances from h differ too much,
+or that have too few elements left to share, are left out.
 Every link is confirmed on the full shingle sets.
 """
 
@@ -175,33 +176,45 @@ def compared(pairs: DataFrame, held: DataFrame, how: Callable = compare, schema:
 
 
 def second_heads(stars: DataFrame, linked: Column) -> DataFrame:
-    """Families (by head b) with open members as pairs (a, b) of each member and the family's head for the second round."""
+    """Families (by head b) with open members as pairs (a, b) of each member and the family's head for the second round: the shortest of the half that is nearest to the first head."""
+    distance = F.col("total") - F.col("shared")
     size = F.struct(F.col("size_a").alias("size"), F.col("a").alias("id"))
-    family = stars.groupBy("b").agg(F.sum((~linked).cast("bigint")).alias("open"), F.least(F.min(size), F.min(F.struct(F.col("size_b").alias("size"), F.col("b").alias("id")))).alias("shortest"), F.count("*").alias("n"))
-    family = materialize(family.where("open > 0").select("b", "n", F.when(F.col("open") <= FEW, F.col("b")).otherwise(F.col("shortest.id")).alias("head")), "families")
+    family = stars.groupBy("b").agg(F.sum((~linked).cast("bigint")).alias("open"), F.percentile_approx(distance, 0.5).alias("half"), F.count("*").alias("n")).where("open > 0")
+    near = spread_join(stars, family.select("b", "open", "half"), ["b"], "a", ROWS_AT_ONCE, counts=family.select("b", "n"))
+    shortest = near.where(distance <= F.col("half")).groupBy("b").agg(F.least(F.min(size), F.min(F.struct(F.col("size_b").alias("size"), F.col("b").alias("id")))).alias("shortest"))
+    family = materialize(family.join(shortest, "b").select("b", "n", F.when(F.col("open") <= FEW, F.col("b")).otherwise(F.col("shortest.id")).alias("head")), "families")
     members = spread_join(stars.select("a", "b"), family.select("b", "head"), ["b"], "a", ROWS_AT_ONCE, counts=family.select("b", "n"))
     members = members.select("a", F.col("head").alias("b")).union(family.select(F.col("b").alias("a"), F.col("head").alias("b")))
     return members.where("a <> b").distinct()
 
 
 def meetings(elements: DataFrame, percent: tuple[int, int]) -> DataFrame:
-    """Pairs (x, y) that may be linked, from the rows (a, b, component, open, distance, size, head_size, element) of families: x is open and holds one of the elements of y that can't all be missing. Pairs come once an element."""
+    """Pairs (x, y) that may be linked, from the rows (a, b, component, open, distance, size, head_size, element) of families. x is open; pairs come once an element they meet in.
+
+    Elements have one order in a family: by how many open members outside their
+    commonest component hold them, so that most of a member's first ones are held by
+    its own component only, and drop out.
+    """
     share, least = percent
     reach = (share - least) / (share + least)
     held = elements.groupBy("b", "element", "component").agg(F.sum(F.col("open").cast("bigint")).alias("own"))
-    by_element = held.groupBy("b", "element").agg(F.sum("own").alias("opens"), F.count("*").alias("components"), F.max_by("component", F.struct("own", "component")).alias("main"))
-    several = by_element.where("components > 1 and opens > 0")
-    info = materialize(held.join(several, ["b", "element"]).select("b", "element", "component", (F.col("opens") - F.col("own")).alias("others"), (F.col("component") == F.col("main")).alias("in_main")), "holders")
-    e = elements.join(info, ["b", "element", "component"], "left").withColumn("others", F.coalesce("others", F.lit(0)))
+    by_element = held.groupBy("b", "element").agg(F.sum("own").alias("opens"), F.max("own").alias("most_own"), F.count("*").alias("components"), F.max_by("component", F.struct("own", "component")).alias("main"))
+    several = materialize(by_element.where("components > 1 and opens > 0").select("b", "element", "main", (F.col("opens") - F.col("most_own")).alias("others")), "holders")
+    e = elements.join(several, ["b", "element"], "left")
+    rank = F.row_number().over(W.partitionBy("b", "a").orderBy(F.coalesce("others", F.lit(-1)), "element"))
     most = F.ceil((F.col("distance") + (F.col("size") - F.col("head_size")) * reach) / 2 - 1e-9)
-    rank = F.row_number().over(W.partitionBy("b", "a").orderBy("others", "element"))
-    y = e.withColumn("rank", rank).where((F.col("rank") <= most) & (F.col("others") > 0))
-    side = F.when(F.col("in_main"), F.array(F.lit("other"))).otherwise(F.array(F.lit("other"), F.lit("main")))
-    y = y.select("b", "element", F.explode(side).alias("side"), F.col("a").alias("y"), F.col("component").alias("of_y"), F.col("distance").alias("distance_y"), F.col("size").alias("size_y"))
-    x = e.where(F.col("open") & F.col("in_main").isNotNull())
-    x = x.select("b", "element", F.when(F.col("in_main"), "main").otherwise("other").alias("side"), F.col("a").alias("x"), F.col("component").alias("of_x"), "distance", "size")
-    near = F.abs(F.col("distance") - F.col("distance_y")) <= (F.col("size") + F.col("size_y")) * reach + 1e-9
-    return x.join(y, ["b", "element", "side"]).where(near & (F.col("of_x") != F.col("of_y"))).select("x", "y")
+    e = e.withColumns({"rank": rank, "left": F.col("distance") - F.col("rank"), "in_main": F.col("component") == F.col("main")}).where(F.col("main").isNotNull())
+    e = e.withColumn("first", F.col("rank") <= most)
+    kept = ["component", "distance", "size", "left"]
+    y = e.where("first").select("b", "element", F.explode(F.when(F.col("in_main"), F.array(F.lit("other"))).otherwise(F.array(F.lit("other"), F.lit("main")))).alias("side"), F.col("open").alias("both"), F.col("a").alias("y"), *[F.col(c).alias(f"y_{c}") for c in kept])
+    both = F.when(F.col("first"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    x = e.where("open").select("b", "element", F.when(F.col("in_main"), "main").otherwise("other").alias("side"), F.explode(both).alias("both"), F.col("a").alias("x"), *kept)
+    span = (F.col("size") + F.col("y_size")) * reach
+    near = F.abs(F.col("distance") - F.col("y_distance")) <= span + 1e-9
+    # an element is the first that the two share only if enough can follow it
+    enough = 2 * (F.least("left", "y_left") + 1) >= F.col("distance") + F.col("y_distance") - span - 1e-9
+    met = x.join(y, ["b", "element", "side", "both"]).where((F.col("component") != F.col("y_component")) & (~F.col("both") | (F.col("x") < F.col("y"))) & near & enough)
+    return met.select("x", "y")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: tuple[int, int] = PERCENT, bands: tuple[int, int] = (BANDS, ROWS)) -> DataFrame:
