@@ -2,29 +2,29 @@
 
 1. Documents become sequences of benchmark term numbers (other words are -1) and
    are kept in that short form; all later passes read it instead of the texts.
-2. Passages of HALF words that hold much of the benchmark's vocabulary, and the
-   items, each as heavy as many passages, form a TF-IDF matrix over the benchmark's
-   terms. Terms in more than MAX_DF of the passages carry no weight, but for LITTLE
-   if an item has hardly others, as when it leaked into many texts. The matrix's
-   leading right singular vectors come from a randomised SVD: a random subspace goes
-   twice through A'A, each pass one distributed job that sums a (terms x RANK +
-   EXTRA) matrix, with an orthonormalisation between them, and a small eigenproblem
-   at the end.
-3. A window of 2 * HALF words (every HALF words) and an item are a candidate if the
-   window's surroundings hold so many of the item's telling words, or fewer and its
-   answer, that step 4 could confirm it. A common subsequence is never longer than
-   the number of words shared, so no passage is lost, wherever it lies in the window.
+2. Items, in parts of up to PART words, are dealt to blocks of about PARTS parts.
+   Each block has a latent space of its own, so its rank keeps up with the benchmark,
+   and all blocks of a group are worked off in the same passes. A block's TF-IDF
+   matrix holds its parts, as heavy as all passages together, and the passages of
+   HALF words that carry much of its vocabulary. Weights are roots of inverse
+   document frequencies over all documents, so that a few rare words beside an item
+   don't hide it. The matrix's leading right singular vectors come from a randomised
+   SVD: a random subspace goes twice through A'A, each pass one distributed job that
+   sums a (terms x RANK + EXTRA) matrix a block, with an orthonormalisation between
+   them, and a small eigenproblem at the end.
+3. Candidates are windows of HALF and 2 * HALF words (every HALF words) whose cosine
+   with a part of an item, within the latent space, is COSINE at least. Since the
+   space holds the block's parts, this cosine is never below that of the TF-IDF
+   vectors themselves, whatever else is in the block.
 4. A candidate is confirmed by the longest common subsequence of the item's words
    and the window's surroundings, or by a shorter one that holds the item's answer
-   (its last words), which catches paraphrases. An item of frequent words (most of
-   them in more than MAX_DF of the passages) is compared by all its words with
+   (its last words), which catches paraphrases. Counts of shared words, which bound
+   the subsequence, spare most of these comparisons. An item of frequent words (most
+   of them in more than MAX_DF of the passages) is compared by all its words with
    stretches little longer than itself, and in whole if it is short.
-5. Of the windows that confirm an item in a document, equal ones by the subsequence,
-   the one nearest to the item in the latent space is the place reported. Cosines
-   are taken within that space, so its rank need not grow with the benchmark.
 
-The driver holds matrices of the benchmark's size only; a benchmark larger than
-BLOCK items is worked off in blocks.
+The driver holds the benchmark's words and a group's matrices, about 40 MB for
+GROUP blocks of PARTS parts; a larger benchmark takes more groups.
 """
 
 from __future__ import annotations
@@ -37,14 +37,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.words import ALNUM, split
-from geoloom.storage import materialize
+from geoloom.llm.words import ALNUM, mix, split
+from geoloom.storage import job, materialize, result
 
 HALF, RANK, EXTRA, MAX_DF, LITTLE = 24, 160, 16, 0.2, 0.05
-STOCK, ITEM_WEIGHT = 0.5, 1.0
+#: Words of an item in a row of the matrix; rows in a block; blocks in a pass.
+PART, PARTS, GROUP = 2 * HALF, 128, 16
+#: Least cosine of a candidate.
+COSINE = 0.35
+#: A passage is a row of a block's matrix if it weighs this share of the block's median part.
+STOCK = 0.5
 #: Share of an item's words in the common subsequence; the lower one needs ANSWER of the last ANSWER_WORDS words.
 LCS, LCS_LOW, ANSWER, ANSWER_WORDS = 0.6, 0.45, 0.8, 8
-BLOCK = 2_000
 TOKENS = 60_000  # worked on at a time
 
 
@@ -146,13 +150,13 @@ class Rich:
     square: np.ndarray
 
 
-def rich_halves(t: Tokens, idf: np.ndarray, least: float) -> Rich:
-    """Halves that weigh at least ``least``."""
-    weight = idf[t.term]
-    keep = np.bincount(t.half, weight, minlength=len(t.doc_of_half)) >= least
-    at = np.flatnonzero(keep[t.half] & (weight > 0))
-    half = (np.cumsum(keep) - 1)[t.half[at]]
-    return Rich(t.term[at], half, np.bincount(half, weight[at] ** 2, minlength=int(keep.sum())))
+def rich_halves(term: np.ndarray, half: np.ndarray, n: int, weight: np.ndarray, least: float) -> Rich:
+    """Of n halves those that weigh at least ``least``."""
+    own = weight[term]
+    keep = np.bincount(half, own, minlength=n) >= least
+    at = np.flatnonzero(keep[half])
+    half = (np.cumsum(keep) - 1)[half[at]]
+    return Rich(term[at], half, np.bincount(half, own[at] ** 2, minlength=int(keep.sum())))
 
 
 def sums_of(term: np.ndarray, half: np.ndarray, n: int, rows: np.ndarray) -> np.ndarray:
@@ -170,79 +174,124 @@ def sums_of(term: np.ndarray, half: np.ndarray, n: int, rows: np.ndarray) -> np.
     return out[back]
 
 
-def through(basis: np.ndarray, idf: np.ndarray, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (term, values) of A'A times ``basis``, summed over the partition; A's rows are the rich passages, of unit length."""
-    weighted = (basis * idf[:, None]).astype(np.float32)
+@dataclass
+class Block:
+    """Items that share a latent space. Terms are the block's own, numbered in the order of the benchmark's."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(basis.shape)
-        for batch in batches:
-            for t in halves(batch):
-                r = rich_halves(t, idf, least)
-                if not len(r.term):
-                    continue
-                image = sums_of(r.term, r.half, len(r.square), weighted) / np.maximum(r.square, 1e-12)[:, None].astype(np.float32)
-                order = np.argsort(r.term, kind="stable")
-                own, half = r.term[order], r.half[order]
-                begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                total[own[begin]] += idf[own[begin]][:, None] * np.add.reduceat(image[half], begin, axis=0)
-        some = np.flatnonzero(np.abs(total).max(axis=1)) if len(total) else np.empty(0, int)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(total[some, k]) for k in range(basis.shape[1]))], names=["term", *(f"v{k}" for k in range(basis.shape[1]))])
+    terms: np.ndarray
+    weight: np.ndarray
+    parts: np.ndarray  # unit rows over the terms
+    item_of: np.ndarray  # item of each part
+    rich: float  # passages of this weight are rows of the matrix
+    part_weight: float  # of a part's row, a passage weighing 1
 
-    return run
+    def tokens(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """Own term numbers and half-windows of a group's tokens that are among the block's terms."""
+        k = np.searchsorted(self.terms, t.term)
+        k[k == len(self.terms)] = 0
+        own = np.flatnonzero(self.terms[k] == t.term)
+        return k[own], t.half[own]
 
 
 @dataclass
 class Weights:
-    """Term weights, items as a matrix of unit rows, each item's telling words, and the weight of the matrix's passages."""
+    """Term weights, each item's telling words, and which items have hardly any, so that all their words count as telling."""
 
-    idf: np.ndarray
-    items: np.ndarray
+    weight: np.ndarray
     telling: list[np.ndarray]
-    plain: np.ndarray  # items with few words that aren't frequent: all their words count as telling
-    rich: float  # passages of this weight, the median of STOCK of the items' weights, are rows of the matrix
-    item_weight: float
+    plain: np.ndarray
+    passages: float
 
 
 def weigh(coded: DataFrame, bench: Benchmark) -> Weights:
     n = len(bench.terms)
     df = np.zeros(n + 1)
-    for r in coded.mapInArrow(count_terms(n), "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
-        df[r["term"]] = r["n"]
+    counts = coded.mapInArrow(count_terms(n), "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df[counts["term"].to_numpy()] = counts["n"].to_numpy()
     passages = max(df[-1], 1)
-    idf = np.where(df[:-1] <= max(MAX_DF * passages, 2), np.log((1 + passages) / (1 + df[:-1])) + 0.05, 0.0)
-    telling = [x[idf[x] > 0] for x in bench.items]
+    idf = np.log((1 + passages) / (1 + df[:-1])) + LITTLE
+    rare = df[:-1] <= max(MAX_DF * passages, 2)
+    telling = [x[rare[x]] for x in bench.items]
     plain = np.array([len(np.unique(y)) < 2 or 4 * len(y) < len(x) for x, y in zip(bench.items, telling)])
-    telling = [x if p else y for x, y, p in zip(bench.items, telling, plain)]
-    for k in np.flatnonzero(plain):
-        idf[bench.items[k]] = np.maximum(idf[bench.items[k]], LITTLE)
-    items = np.zeros((len(bench.items), n), np.float32)
-    for k, x in enumerate(bench.items):
-        np.add.at(items[k], x, idf[x])
-    mass = [idf[np.unique(x)].sum() * STOCK * min(1, 2 * HALF / len(x)) for x, y in zip(bench.items, telling) if len(np.unique(y)) >= 2]
-    items /= np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-9)
-    return Weights(idf, items, telling, plain, float(np.median(mass)) if mass else np.inf, ITEM_WEIGHT * passages / len(items))
-
-
-def multiply(coded: DataFrame, basis: np.ndarray, w: Weights) -> np.ndarray:
-    """A'A times ``basis``: partial sums by partition, added by term. The items are rows of A, too."""
-    names = [f"v{k}" for k in range(basis.shape[1])]
-    rows = coded.mapInArrow(through(basis, w.idf, w.rich), "term int, " + ", ".join(f"{c} double" for c in names)).groupBy("term").agg(*(F.sum(c).alias(c) for c in names))
-    out = np.zeros(basis.shape)
-    for r in rows.toLocalIterator():
-        out[r["term"]] = r[1:]
-    return out + w.item_weight * (w.items.T @ (w.items @ basis))
-
-
-def latent_space(coded: DataFrame, w: Weights) -> np.ndarray:
-    """Terms x rank: the leading right singular vectors of the passages."""
-    n = len(w.idf)
-    width = min(RANK + EXTRA, n)
-    start, _ = np.linalg.qr(np.random.default_rng(4).standard_normal((n, width)))
-    basis, _ = np.linalg.qr(multiply(coded, start, w))
-    small = basis.T @ multiply(coded, basis, w)
-    values, vectors = np.linalg.eigh((small + small.T) / 2)
-    return basis @ vectors[:, np.argsort(-values)[: min(RANK, width)]]
+    return Weights(np.sqrt(idf), [x if p else y for x, y, p in zip(bench.items, telling, plain)], plain, passages)
+
+
+def blocks_of(bench: Benchmark, w: Weights) -> list[Block]:
+    """Items in the order of a hash of their words, dealt in turn to blocks of about PARTS parts. The last part of a long item begins early enough to be whole."""
+    starts = [[0] if len(x) <= PART else [*range(0, len(x) - PART, PART), len(x) - PART] for x in bench.items]
+    order = sorted(range(len(starts)), key=lambda q: (int(mix(bench.terms[bench.items[q][:1]])[0]), q))
+    taken, dealt = 0, []
+    for q in order:
+        if not dealt or taken + len(starts[q]) > PARTS:
+            dealt.append([])
+            taken = 0
+        dealt[-1].append(q)
+        taken += len(starts[q])
+    out = []
+    for items in dealt:
+        terms = np.unique(np.concatenate([bench.items[q] for q in items]))
+        rows = [(q, bench.items[q][a : a + PART]) for q in items for a in starts[q]]
+        parts = np.zeros((len(rows), len(terms)), np.float32)
+        for k, (_, x) in enumerate(rows):
+            np.add.at(parts[k], np.searchsorted(terms, x), w.weight[x])
+        parts /= np.maximum(np.linalg.norm(parts, axis=1, keepdims=True), 1e-9)
+        mass = np.median([w.weight[np.unique(x)].sum() for _, x in rows]) * STOCK
+        out.append(Block(terms, w.weight[terms], parts, np.array([q for q, _ in rows]), float(mass), w.passages / len(rows)))
+    return out
+
+
+def through(blocks: list[Block], bases: list[np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (block, term, values) of each block's A'A times its basis, summed over the partition; A's rows are the rich passages, of unit length."""
+    width = max(b.shape[1] for b in bases)
+    weighted = [(basis * b.weight[:, None]).astype(np.float32) for b, basis in zip(blocks, bases)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = [np.zeros(basis.shape, np.float64) for basis in bases]
+        for batch in batches:
+            for t in halves(batch):
+                for b, rows, total in zip(blocks, weighted, totals):
+                    r = rich_halves(*b.tokens(t), len(t.doc_of_half), b.weight, b.rich)
+                    if not len(r.term):
+                        continue
+                    image = sums_of(r.term, r.half, len(r.square), rows) / np.maximum(r.square, 1e-12)[:, None].astype(np.float32)
+                    order = np.argsort(r.term, kind="stable")
+                    own, half = r.term[order], r.half[order]
+                    begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                    total[own[begin]] += b.weight[own[begin]][:, None] * np.add.reduceat(image[half], begin, axis=0)
+        for k, total in enumerate(totals):
+            some = np.flatnonzero(np.abs(total).max(axis=1))
+            values = np.zeros((len(some), width), np.float32)
+            values[:, : total.shape[1]] = total[some]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some.astype(np.int32)), *(pa.array(values[:, j]) for j in range(width))], names=["block", "term", *(f"v{j}" for j in range(width))])
+
+    return run
+
+
+def multiply(coded: DataFrame, blocks: list[Block], bases: list[np.ndarray]) -> list[np.ndarray]:
+    """A'A times the basis of each block: partial sums by partition, added by term. The parts are rows of A, too."""
+    names = [f"v{j}" for j in range(max(b.shape[1] for b in bases))]
+    rows = coded.mapInArrow(through(blocks, bases), "block int, term int, " + ", ".join(f"{c} float" for c in names)).groupBy("block", "term").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
+    block, term = rows["block"].to_numpy(), rows["term"].to_numpy()
+    values = np.stack([rows[c].to_numpy() for c in names], axis=1) if len(rows) else np.zeros((0, len(names)))
+    out = []
+    for k, (b, basis) in enumerate(zip(blocks, bases)):
+        total = np.zeros(basis.shape)
+        total[term[block == k]] = values[block == k, : basis.shape[1]]
+        out.append(total + b.part_weight * (b.parts.T @ (b.parts @ basis)))
+    return out
+
+
+def latent_spaces(coded: DataFrame, blocks: list[Block], rank: int = RANK) -> list[np.ndarray]:
+    """Terms x rank of each block: the leading right singular vectors of its passages and parts."""
+    rng = np.random.default_rng(4)
+    starts = [np.linalg.qr(rng.standard_normal((len(b.terms), min(rank + EXTRA, len(b.terms)))))[0] for b in blocks]
+    bases = [np.linalg.qr(x)[0] for x in multiply(coded, blocks, starts)]
+    out = []
+    for basis, image in zip(bases, multiply(coded, blocks, bases)):
+        small = basis.T @ image
+        values, vectors = np.linalg.eigh((small + small.T) / 2)
+        out.append(basis @ vectors[:, np.argsort(-values)[: min(rank, basis.shape[1])]])
+    return out
 
 
 def positions(a: np.ndarray) -> dict[int, int]:
@@ -268,21 +317,6 @@ def common_subsequence(at: dict[int, int], n: int, b: list[int]) -> int:
 HIT = "doc_id bigint, item_id bigint, start bigint, cosine double, lcs double, answer double"
 
 
-def shares(t: Tokens, counts: np.ndarray, reach: np.ndarray) -> np.ndarray:
-    """Per half (row) and item (column) at least as many of the item's words, of which ``counts`` (terms x items) are asked for, as are around the half: in ``reach`` halves before it, itself, the next, and ``reach`` after that, of the same document."""
-    n, n_terms = len(t.doc_of_half), len(counts)
-    own = np.unique(t.half * n_terms + t.term)
-    sums = np.zeros((n + 1, counts.shape[1]), np.int32)
-    np.cumsum(sums_of(own % n_terms, own // n_terms, n, counts), axis=0, out=sums[1:])
-    begin, end = (np.searchsorted(t.doc_of_half, t.doc_of_half, side) for side in ("left", "right"))
-    out, at = np.empty((n, counts.shape[1]), np.int32), np.arange(n)
-    for k in np.unique(reach):
-        cols = np.flatnonzero(reach == k)
-        one = sums[:, cols]
-        out[:, cols] = one[np.minimum(at + 2 + k, end)] - one[np.maximum(at - k, begin)]
-    return out
-
-
 class Held:
     """Counts of the words of ``parts`` (lists of terms) that stand in given stretches of words."""
 
@@ -302,39 +336,66 @@ class Held:
         return out
 
 
-def search(bench: Benchmark, w: Weights, latent: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    weighted = (latent * w.idf[:, None]).astype(np.float32)
-    queries = (w.items @ latent).astype(np.float32)
-    queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-9)
+def unit_rows(x: np.ndarray, least: float = 1e-9) -> np.ndarray:
+    """Rows of unit length; rows shorter than ``least`` stay short."""
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), least)
+
+
+def retriever(blocks: list[Block], spaces: list[np.ndarray]) -> Callable[[Tokens], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """A function from a group of documents to the candidates by the latent spaces: halves, items, and cosines."""
+    rows = [(space * b.weight[:, None]).astype(np.float32) for b, space in zip(blocks, spaces)]
+    queries = [unit_rows(b.parts @ space, 0.01).astype(np.float32).T for b, space in zip(blocks, spaces)]
+
+    def retrieve(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = len(t.doc_of_half)
+        more = np.append(t.doc_of_half[1:] == t.doc_of_half[:-1], False)[:, None]
+        found = []
+        for b, row, query in zip(blocks, rows, queries):
+            one = sums_of(*b.tokens(t), n, row)
+            two = one + np.where(more, np.concatenate([one[1:], one[:1]]), 0)
+            cosine = np.maximum(unit_rows(one) @ query, unit_rows(two) @ query)
+            half, part = np.nonzero(cosine >= COSINE)
+            found.append((half, b.item_of[part], cosine[half, part]))
+        half, item, cosine = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((-cosine, item, half))
+        half, item, cosine = half[order], item[order], cosine[order]
+        new = np.ones(len(half), bool)
+        new[1:] = (half[1:] != half[:-1]) | (item[1:] != item[:-1])
+        return half[new], item[new], cosine[new]
+
+    return retrieve
+
+
+def search(bench: Benchmark, w: Weights, retrieve: Callable[[Tokens], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Hits of the items that ``retrieve`` offers for a window and that the subsequence and answer checks confirm."""
     parts = (bench.items, w.telling, [x[-ANSWER_WORDS:] for x in bench.items])
-    whole, telling, tail = ([(positions(x), len(x)) for x in part] for part in parts)
     in_whole, in_telling, in_tail = map(Held, parts)
     sizes = np.array([len(x) for x in bench.items])
-    counts, answers = (np.zeros((len(bench.terms), len(sizes)), np.int16 if sizes.max() < 2**15 else np.int32) for _ in range(2))
-    for k in range(len(sizes)):
-        np.add.at(counts[:, k], parts[1][k], 1)
-        np.add.at(answers[:, k], parts[2][k], 1)
     several = np.array([len(np.unique(x)) >= 2 for x in w.telling])
     stretch, step = sizes + sizes // 4, np.maximum(1, sizes // 4)  # of plain items; the item itself is in one of the stretches
-    reach = -(-np.where(w.plain, stretch, sizes) // HALF)
     low, high = (np.where(w.plain & (sizes < ANSWER_WORDS), 1.0, x) for x in (LCS_LOW, LCS))
+    placed: list[dict[int, dict[int, int]]] = [{}, {}, {}]
+
+    def subsequence(kind: int, q: int, around: list[int]) -> float:
+        x = parts[kind][q]
+        if q not in placed[kind]:
+            placed[kind][q] = positions(x)
+        return common_subsequence(placed[kind][q], len(x), around) / len(x)
 
     def confirm(q: int, around: list[int]) -> tuple[float, float] | None:
-        lcs = common_subsequence(*telling[q], around) / telling[q][1]  # frequent words alone are no evidence
+        lcs = subsequence(1, q, around)  # frequent words alone are no evidence
         if lcs < low[q]:
             return None
-        lcs = min(lcs, common_subsequence(*whole[q], around) / whole[q][1])
+        lcs = min(lcs, subsequence(0, q, around))
         if lcs < low[q]:
             return None
-        answer = common_subsequence(*tail[q], around) / tail[q][1]
+        answer = subsequence(2, q, around)
         return (lcs, answer) if lcs >= high[q] or answer >= ANSWER else None
 
-    def candidates(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Halves, items, and the first word and the end of the surroundings, for all pairs that ``confirm`` may accept."""
-        held = shares(t, counts, reach)
-        enough = held >= high * in_telling.sizes - 1e-9
-        enough |= (held >= low * in_telling.sizes - 1e-9) & (shares(t, answers, reach) >= ANSWER * in_tail.sizes - 1e-9)
-        b, q = np.nonzero(enough & several)
+    def candidates(t: Tokens) -> tuple[np.ndarray, ...]:
+        """Halves, items, first word and end of the surroundings, and cosines, of what was retrieved and ``confirm`` may accept."""
+        b, q, cosine = retrieve(t)
+        b, q, cosine = (x[several[q]] for x in (b, q, cosine))
         lengths = np.array([len(x) for x in t.sequences])
         ends, n = np.cumsum(lengths), int(lengths.sum())
         doc = t.doc_of_half[b]
@@ -343,7 +404,7 @@ def search(bench: Benchmark, w: Weights, latent: np.ndarray) -> Callable[[Iterat
         if w.plain[q].any():  # every stretch that begins in the half
             n_of = np.where(w.plain[q], -(-HALF // step[q]), 1)
             at = np.repeat(np.arange(len(q)), n_of)
-            b, q, doc, start = b[at], q[at], doc[at], start[at]
+            b, q, cosine, doc, start = b[at], q[at], cosine[at], doc[at], start[at]
             a = np.where(w.plain[q], start + (np.arange(len(at)) - (np.cumsum(n_of) - n_of)[at]) * step[q], a[at])
             z = np.where(w.plain[q], a + stretch[q], z[at])
         z = np.minimum(z, lengths[doc])
@@ -354,16 +415,7 @@ def search(bench: Benchmark, w: Weights, latent: np.ndarray) -> Callable[[Iterat
         for held in (in_telling, in_whole):
             least = np.where(reached[some], low[q[some]], high[q[some]]) * held.sizes[q[some]] - 1e-9
             some = some[held(keys, n, q[some], (first + a)[some], (first + z)[some]) >= least]
-        return b[some], q[some], a[some], z[some]
-
-    def nearness(q: int, sequence: np.ndarray, start: int) -> float:
-        """Cosine of the item and the nearer of the windows of one and two halves."""
-        found = 0.0
-        for n in (HALF, 2 * HALF):
-            x = sequence[start : start + n]
-            v = weighted[x[x >= 0]].sum(axis=0)
-            found = max(found, float(v @ queries[q]) / max(float(np.linalg.norm(v)), 1e-9))
-        return found
+        return b[some], q[some], a[some], z[some], cosine[some]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -372,20 +424,20 @@ def search(bench: Benchmark, w: Weights, latent: np.ndarray) -> Callable[[Iterat
                 if not len(t.term):
                     continue
                 seen: dict[tuple[int, int, int, int], tuple[float, float] | None] = {}
-                for b, q, a, z in zip(*(x.tolist() for x in candidates(t))):
+                for b, q, a, z, cosine in zip(*(x.tolist() for x in candidates(t))):
                     doc = int(t.doc_of_half[b])
-                    sequence, start = t.sequences[doc], (b - int(np.searchsorted(t.doc_of_half, doc))) * HALF
+                    start = (b - int(np.searchsorted(t.doc_of_half, doc))) * HALF
                     key = (doc, q, a, z)
                     if key not in seen:
-                        around = sequence[a:z]
+                        around = t.sequences[doc][a:z]
                         seen[key] = confirm(q, around[around >= 0].tolist())
                     if seen[key]:
-                        key, score = (t.at + doc, q), (*seen[key], nearness(q, sequence, start), -start)
+                        key, score = (t.at + doc, q), (*seen[key], cosine, -start)
                         best[key] = max(best.get(key, (0,)), score)
             keys = list(best)
             docs = batch["doc_id"].take(pa.array([k for k, _ in keys], pa.int64()))
-            lcs, answer, cos, start = (pa.array([best[k][x] for k in keys], pa.float64() if x < 3 else pa.int64()) for x in range(4))
-            starts = pa.array([-s for s in start.to_pylist()], pa.int64())
+            lcs, answer, cos = (pa.array([best[k][x] for k in keys], pa.float64()) for x in range(3))
+            starts = pa.array([-best[k][3] for k in keys], pa.int64())
             yield pa.RecordBatch.from_arrays([docs, pa.array([int(bench.ids[q]) for _, q in keys], pa.int64()), starts, cos, lcs, answer], names=["doc_id", "item_id", "start", "cosine", "lcs", "answer"])
 
     return run
@@ -395,23 +447,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """A row per document and benchmark item it holds: doc_id, item_id, start (word), cosine, lcs, answer.
 
     Clean documents have no row. Null and empty texts and items match nothing, nor
-    do items of a single word, repeated or not. Repeated rows give repeated results. An
-    empty table on either side gives an empty result; further columns are ignored.
+    do items of a single word, repeated or not. Repeated rows give repeated results,
+    equal items a row each. Texts of any length are read whole. An empty table on
+    either side gives an empty result; further columns are ignored.
     """
-    spark = docs.sparkSession
-    n = benchmark.count()
-    blocks = -(-n // BLOCK) or 1
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    found = spark.createDataFrame([], HIT)
-    for k in range(blocks):
-        part = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.col(item_text).alias("text")).where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
-        bench = read_benchmark(part.collect(), "item", "text")
-        if not len(bench.terms):
-            continue
+    rows = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.col(item_text).alias("text")).where("item is not null").orderBy("item", "text").collect()
+    bench = read_benchmark(rows, "item", "text")
+    if not len(bench.terms):
+        return docs.sparkSession.createDataFrame([], HIT)
+    with job(docs.sparkSession):
         coded = materialize(texts.mapInArrow(encode(bench.terms), "doc_id bigint, terms binary"), "coded")
         weights = weigh(coded, bench)
-        found = found.unionByName(coded.mapInArrow(search(bench, weights, latent_space(coded, weights)), HIT))
-    return found
+        blocks, found = blocks_of(bench, weights), None
+        for k in range(0, len(blocks), GROUP):
+            group = blocks[k : k + GROUP]
+            hits = coded.mapInArrow(search(bench, weights, retriever(group, latent_spaces(coded, group))), HIT)
+            found = hits if found is None else found.unionByName(hits)
+        return result(found, "hits")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
