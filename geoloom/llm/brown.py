@@ -2,39 +2,48 @@
 
 Words are mapped to items: the HEAD most frequent words are items of their own,
 all others share an item per word ending (a hash of their last bytes, BUCKETS of
-them). Items are clustered by exchange: in each round an item may move to the
+them). Every item takes part in the clustering. In a round each item finds the
 class that raises the likelihood of the class bigrams most, given the classes of
-all items around it. Half of the items, chosen by round, move at a time, so that
-neighbours don't chase each other.
+all other items; those of half of the items, chosen by round, move. Moves at a
+time may disturb each other, so the likelihood of the new classes is counted, and
+if it fell, only the moves with the largest gains are kept, down to one, whose gain
+is exact. So the likelihood never falls, and the rounds end when it gains less than
+TOLERANCE a token.
 
     P(text) = product of P(class | class before) * P(item | class) * P(word | item)
 
 The text's end is an item in a class of its own, and begins the next text. All
 three factors are smoothed by adding a little to every count, so the word factor
-leaves room for one unseen word in each item. Frequent words, classes and endings
+leaves room for one unseen word in each item. Items, classes and the class bigrams
 are tables of bounded size that go to every task; all other words' counts are
-joined by shuffle, so the vocabulary may grow with the corpus.
+joined by shuffle, so the vocabulary may grow with the corpus. Each item's
+neighbours are one row, made by a tree of merges, so a round is two scans of that
+table without a shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.llm.words import Words, mix, split
-from geoloom.storage import materialize
+from geoloom.storage import arrow_rows, job, materialize, result, running_sums
 
-HEAD, BUCKETS, CLASSES, ROUNDS = 2**17, 2**13, 48, 8
-#: Items that take part in the exchange: the most frequent words, and all endings. Other head words join the class of their ending.
-MOVING = 2**13
+HEAD, BUCKETS, CLASSES = 2**17, 2**13, 48
+#: Words with fewer places share the item of their ending: their few neighbours would choose a class that fits the training texts only.
+LEAST_COUNT = 5
+#: The clustering ends when a round gains less than this likelihood (natural logarithm) a token.
+TOLERANCE = 5e-4
 ENDING = 3
 SMOOTH = 0.5
 END = -1  # hash of the text's end
+FAN_IN = 8  # bits of the number of tables that a merge of neighbours takes in
 
 
 def word_keys(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -48,7 +57,7 @@ def word_keys(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.where(key == END, np.int64(1), key), (mix(last + np.uint64(7)) % np.uint64(BUCKETS)).astype(np.int32)
 
 
-AT_ONCE = 1_000_000  # tokens that are counted before their sums go out
+AT_ONCE = 4_000_000  # tokens that are counted before their sums go out
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,8 +92,6 @@ class Items:
     bucket_n: np.ndarray
     bucket_words: np.ndarray
     n_texts: int
-    moving: np.ndarray  # of the head words, which take part in the exchange
-    head_bucket: np.ndarray
 
     @property
     def size(self) -> int:
@@ -97,37 +104,26 @@ class Items:
         known = self.head[at] == key if len(self.head) else np.zeros(len(key), bool)
         return np.where(known, BUCKETS + 1 + at, bucket)
 
-    def unit(self) -> np.ndarray:
-        """For each item the number of the unit it is clustered with: endings and the end by themselves, moving head words after them, other head words with their ending."""
-        own = np.arange(self.size)
-        own[BUCKETS + 1 :] = np.where(self.moving, BUCKETS + np.cumsum(self.moving), self.head_bucket)
-        return own
-
-    @property
-    def units(self) -> int:
-        return BUCKETS + 1 + int(self.moving.sum())
-
     def counts(self) -> np.ndarray:
         return np.concatenate([self.bucket_n, [self.n_texts], self.head_n])
 
 
 def read_items(counts: DataFrame) -> Items:
-    top = counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(HEAD).collect()
-    least = min((r["n"], r["word"]) for r in top) if len(top) == HEAD else None
-    top.sort(key=lambda r: r["word"])
-    rank = {r["word"]: k for k, r in enumerate(sorted(top, key=lambda r: (-r["n"], r["word"])))}
-    rest = counts.where(F.col("word") != END)
-    if least:
-        # in the order of the limit: rarer, or as rare and later
-        last = max(r["word"] for r in top if r["n"] == least[0])
-        rest = rest.where((F.col("n") < least[0]) | ((F.col("n") == least[0]) & (F.col("word") > last)))
-    else:
-        rest = rest.limit(0)
+    """Head words are those of LEAST_COUNT places or more, of the largest counts as many as HEAD has room for."""
+    words = counts.where(F.col("word") != END)
+    by_n = words.groupBy("n").agg(F.count("*").alias("words"))
+    before = running_sums(by_n, [-F.col("n")], {"before": F.col("words")})
+    least = before.where(F.col("before") + F.col("words") <= HEAD).agg(F.min("n")).first()[0]
+    least = max(least, LEAST_COUNT) if least else None
+    head = words.where(F.col("n") >= least).select("word", "n").toArrow() if least else None
+    rest = words.where(F.col("n") < least) if least else words
+    sums = rest.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("words")).toArrow()
     bucket_n, bucket_words = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for r in rest.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
-        bucket_n[r["bucket"]], bucket_words[r["bucket"]] = r["n"], r["words"]
+    bucket_n[sums["bucket"].to_numpy()], bucket_words[sums["bucket"].to_numpy()] = sums["n"].to_numpy(), sums["words"].to_numpy()
     ends = counts.where(F.col("word") == END).agg(F.sum("n")).first()[0]
-    return Items(np.array([r["word"] for r in top], np.int64), np.array([r["n"] for r in top], np.int64), bucket_n, bucket_words, ends or 0, np.array([rank[r["word"]] < MOVING for r in top], bool), np.array([r["bucket"] for r in top], np.int64))
+    key, n = (head[c].to_numpy() if head else np.empty(0, np.int64) for c in ("word", "n"))
+    order = np.argsort(key)
+    return Items(key[order], n[order], bucket_n, bucket_words, ends or 0)
 
 
 def sequences(words: Words, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,84 +138,193 @@ def sequences(words: Words, items: Items) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.concatenate([[BUCKETS], line[:-1]]), line, text
 
 
-def count_pairs(items: Items) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts of neighbouring units, summed over some texts at a time."""
-    unit, size = items.unit(), items.units
+#: An item's neighbours: int32 codes (2 * item after it, 2 * item before it + 1) in order, and int64 counts.
+NEIGHBOURS = "slot int, item int, codes binary, counts binary"
+
+
+def rows_of(item: np.ndarray, code: np.ndarray, n: np.ndarray, slot: int) -> pa.RecordBatch:
+    """One row an item from its sorted codes."""
+    first = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]])) if len(item) else np.empty(0, int)
+    ends = np.append(first[1:], len(item)).astype(int)
+    codes, counts = code.astype(np.int32), n.astype(np.int64)
+    parts = [pa.array([x[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()) for x in (codes, counts)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), slot, np.int32)), pa.array(item[first].astype(np.int32)), *parts], names=["slot", "item", "codes", "counts"])
 
-    def sums(keys: list[np.ndarray]) -> pa.RecordBatch:
+
+def count_neighbours(items: Items) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Neighbours of each item, summed over AT_ONCE tokens at a time."""
+    size = items.size
+
+    def sums(keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        slot = TaskContext.get().partitionId()
         pair, n = np.unique(np.concatenate(keys), return_counts=True)
-        return pa.RecordBatch.from_pydict({"a": pair // size, "b": pair % size, "n": n.astype(np.int64)})
+        a, b = pair // size, pair % size
+        key = np.concatenate([a * (2 * size) + 2 * b, b * (2 * size) + 2 * a + 1])
+        order = np.argsort(key)
+        item, code, n = key[order] // (2 * size), key[order] % (2 * size), np.concatenate([n, n])[order]
+        cuts = np.searchsorted(item, np.arange(0, size + 20_000, 20_000))
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            if y > x:
+                yield rows_of(item[x:y], code[x:y], n[x:y], slot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, held = [], 0
         for batch in batches:
             for words in split(batch["text"]):
                 before, own, _ = sequences(words, items)
-                keys.append(unit[before] * size + unit[own])
+                keys.append(before * size + own)
                 held += len(own)
                 if held >= AT_ONCE:
-                    yield sums(keys)
+                    yield from sums(keys)
                     keys, held = [], 0
         if held:
-            yield sums(keys)
+            yield from sums(keys)
 
     return run
 
 
-def neighbours(classes: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per unit the counts of the classes after it (cells 0..CLASSES-1) and before it (from CLASSES on), a batch's sums."""
+@dataclass
+class Flat:
+    """Neighbours of the items in a batch, one entry a code."""
+
+    items: np.ndarray
+    row: np.ndarray
+    code: np.ndarray
+    n: np.ndarray
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> Flat:
+        codes = [np.frombuffer(x.as_buffer(), np.int32) for x in batch["codes"]]
+        counts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch["counts"]]
+        row = np.repeat(np.arange(batch.num_rows), [len(x) for x in codes])
+        flat = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
+        return cls(batch["item"].to_numpy(), row, flat(codes, np.int32).astype(np.int64), flat(counts, np.int64))
+
+
+def merge_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (slot, item) to one row each. What is open at a batch's end is carried on, merged."""
+    carry: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([*carry, batch]).combine_chunks().to_batches()[0]
+        flat, slot = Flat.of(table), table["slot"].to_numpy().astype(np.int64)
+        group = np.cumsum(np.concatenate([[0], (slot[1:] != slot[:-1]) | (flat.items[1:] != flat.items[:-1])]))
+        first = np.searchsorted(group, np.arange(group[-1] + 1))
+        of = group[flat.row]
+        order = np.lexsort((flat.code, of))
+        of, code, n = of[order], flat.code[order], flat.n[order]
+        new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (code[1:] != code[:-1])]))
+        of, code, n = of[new], code[new], np.add.reduceat(n, new)
+        out = rows_of(of, code, n, 0)
+        out = pa.RecordBatch.from_arrays([pa.array(slot[first].astype(np.int32)), pa.array(flat.items[first]), out["codes"], out["counts"]], names=["slot", "item", "codes", "counts"])
+        if out.num_rows > 1:
+            yield out.slice(0, out.num_rows - 1)
+        carry = [out.slice(out.num_rows - 1)]
+    yield from carry
+
+
+def neighbours(training: DataFrame, items: Items) -> DataFrame:
+    """One row an item with all of its neighbours. Slots (tasks) are merged 2**FAN_IN at a time, so that a frequent word's rows from all tasks don't meet in one."""
+    with arrow_rows(training.sparkSession, 500):
+        table = materialize(training.mapInArrow(count_neighbours(items), NEIGHBOURS), "neighbours")
+        last = table.agg(F.max("slot")).first()[0] or 0
+        while True:
+            table = table.withColumn("slot", F.shiftright("slot", FAN_IN)).repartition("slot", "item").sortWithinPartitions("slot", "item").mapInArrow(merge_neighbours, NEIGHBOURS)
+            last >>= FAN_IN
+            if not last:
+                return materialize(table.drop("slot"), "merged")
+
+
+def by_class(flat: Flat, classes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(items x classes) counts of classes after and before each item, and how often it follows itself, which the others leave out."""
+    other, before = flat.code >> 1, flat.code & 1
+    itself = other == flat.items[flat.row]
+    m = len(flat.items)
+    cells = np.bincount((flat.row * 2 + before) * k + classes[other], np.where(itself, 0, flat.n), minlength=2 * k * m).reshape(m, 2, k)
+    return cells[:, 0], cells[:, 1], np.bincount(flat.row, flat.n * (itself & (before == 0)), minlength=m)
+
+
+def count_bigrams(classes: np.ndarray, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Cells of the class bigrams, summed over a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, k))
         for batch in batches:
-            a, b, n = (batch[c].to_numpy() for c in ("a", "b", "n"))
-            cell = np.concatenate([a * (2 * CLASSES) + classes[b], b * (2 * CLASSES) + CLASSES + classes[a]])
-            cell, inverse = np.unique(cell, return_inverse=True)
-            yield pa.RecordBatch.from_pydict({"cell": cell, "n": np.bincount(inverse, np.concatenate([n, n])).astype(np.int64)})
+            flat = Flat.of(batch)
+            after, _, itself = by_class(flat, classes, k)
+            own = classes[flat.items]
+            np.add.at(total, own, after)
+            np.add.at(total, (own, own), itself)
+        yield pa.RecordBatch.from_pydict({"cell": np.arange(k * k), "n": total.reshape(-1).astype(np.int64)})
 
     return run
 
 
-def neighbour_table(pairs: DataFrame, classes: np.ndarray, size: int) -> np.ndarray:
-    """(units x 2 CLASSES) counts; its size is bounded by the units in the exchange."""
-    rows = pairs.mapInArrow(neighbours(classes), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-    out = np.zeros(size * 2 * CLASSES)
-    for batch in rows.toArrow().to_batches():
-        out[batch["cell"].to_numpy()] = batch["n"].to_numpy()
-    return out.reshape(size, 2 * CLASSES)
+def bigrams_of(table: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
+    rows = table.mapInArrow(count_bigrams(classes, k), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(k * k)
+    out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
+    return out.reshape(k, k)
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
-    return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
-
-
-def exchange(table: np.ndarray, classes: np.ndarray, movable: np.ndarray) -> tuple[np.ndarray, int]:
-    """Move each of ``movable`` to its best class. The gain is that of the sum of n log n over class bigrams less that over class sizes, before and after."""
-    after, before = table[:, :CLASSES], table[:, CLASSES:]
-    bigrams = np.zeros((CLASSES, CLASSES))
-    np.add.at(bigrams, classes, after)
-    size = bigrams.sum(axis=1)
-    moved, new = 0, classes.copy()
-    for i in movable:
-        out, into, own = after[i], before[i], classes[i]
-        total = out.sum()
-        if not total:
-            continue
-        rows, columns = bigrams.copy(), None
-        rows[own] -= out
-        rows[:, own] -= into
-        rows = np.maximum(rows, 0)
-        left = size.copy()
-        left[own] -= total
-        gain = (xlogx(rows + out[None, :]) - xlogx(rows)).sum(axis=1)
-        columns = rows.T
-        gain += (xlogx(columns + into[None, :]) - xlogx(columns)).sum(axis=1)
-        gain -= 2 * (xlogx(left + total) - xlogx(left))
-        gain[-1] = -np.inf  # the end's class
-        best = int(gain.argmax())
-        if best != own and gain[best] > gain[own] + 1e-9:
-            new[i] = best
-            moved += 1
-    return new, moved
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def likelihood(bigrams: np.ndarray) -> float:
+    """What of the log-likelihood of the class bigrams and emissions depends on the classes."""
+    return float(xlogx(bigrams).sum() - xlogx(bigrams.sum(axis=1)).sum() - xlogx(bigrams.sum(axis=0)).sum())
+
+
+def gains(bigrams: np.ndarray, own: np.ndarray, after: np.ndarray, before: np.ndarray, itself: np.ndarray) -> np.ndarray:
+    """(items x classes) by how much the likelihood changes if an item of class ``own`` moves to a class, all others staying."""
+    m, r, k = len(own), np.arange(len(own)), len(bigrams)
+    full = xlogx(bigrams)
+    score = np.zeros((m, k))
+    for counts, table, logs in ((after, bigrams, full), (before, bigrams.T, full.T)):
+        row, d = np.nonzero(counts)
+        if len(row):
+            x = counts[row, d]
+            change = xlogx(table.T[d] + x[:, None]) - logs.T[d]
+            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            score[row[first]] += np.add.reduceat(change, first, axis=0)
+    diagonal = bigrams.diagonal()
+    score += xlogx(diagonal + after + before + itself[:, None]) + xlogx(diagonal) - xlogx(diagonal + after) - xlogx(diagonal + before)
+    # the cells that the item itself leaves with its own class
+    for counts, back, table in ((after, before, bigrams), (before, after, bigrams.T)):
+        cell, x = table[:, own].T, counts[r, own][:, None]
+        score += xlogx(np.maximum(cell - back, 0) + x) - xlogx(np.maximum(cell - back, 0)) - xlogx(cell + x) + xlogx(cell)
+    rows, columns = bigrams.sum(axis=1), bigrams.sum(axis=0)
+    out, into = (after.sum(axis=1) + itself), (before.sum(axis=1) + itself)
+    score -= xlogx(rows + out[:, None]) - xlogx(rows) + xlogx(columns + into[:, None]) - xlogx(columns)
+    # to stay: what the item holds in its own class
+    mine, theirs = bigrams[own], bigrams[:, own].T
+    gone = np.ones((m, k))
+    gone[r, own] = 0
+    stay = (gone * (xlogx(mine) - xlogx(np.maximum(mine - after, 0)) + xlogx(theirs) - xlogx(np.maximum(theirs - before, 0)))).sum(axis=1)
+    corner = diagonal[own]
+    stay += xlogx(corner) - xlogx(np.maximum(corner - after[r, own] - before[r, own] - itself, 0))
+    stay -= xlogx(rows[own]) - xlogx(rows[own] - out) + xlogx(columns[own]) - xlogx(columns[own] - into)
+    score -= stay[:, None]
+    score[r, own] = 0.0
+    return score
+
+
+def best_moves(classes: np.ndarray, bigrams: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Items whose best class is another, and by how much."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = Flat.of(batch)
+            score = gains(bigrams, classes[flat.items], *by_class(flat, classes, len(bigrams)))
+            score[:, -1] = -np.inf  # the end's class
+            best = score.argmax(axis=1)
+            gain = score[np.arange(len(best)), best]
+            some = np.flatnonzero((gain > 1e-6) & (flat.items != BUCKETS))
+            yield pa.RecordBatch.from_pydict({"item": flat.items[some], "best": best[some].astype(np.int32), "gain": gain[some]})
+
+    return run
 
 
 @dataclass
@@ -230,40 +335,53 @@ class Model:
     classes: np.ndarray
     n_tokens: int
     n_distinct: int
+    likelihoods: list[float] = field(default_factory=list)  # by round
 
 
-def fit(training: DataFrame, counts: DataFrame) -> Model:
+def cluster(table: DataFrame, weight: np.ndarray, tolerance: float, k: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Classes of all items, their bigrams, and the likelihood after each round."""
+    # begin: items by frequency, dealt in turn; the end alone in the last class
+    order = np.argsort(-weight, kind="stable")
+    used = order[(weight[order] > 0) & (order != BUCKETS)]
+    classes = np.zeros(len(weight), np.int64)
+    classes[used] = np.arange(len(used)) % (k - 1)
+    classes[BUCKETS] = k - 1
+    bigrams = bigrams_of(table, classes, k)
+    reached, least, idle, turn_of = [likelihood(bigrams)], tolerance * max(weight.sum(), 1), 0, 0
+    while idle < 2:  # both halves had their turn
+        moves = table.mapInArrow(best_moves(classes, bigrams), "item int, best int, gain double").toArrow()
+        item, best, gain = (moves[c].to_numpy() for c in ("item", "best", "gain"))
+        turn = np.flatnonzero(mix(item.astype(np.uint64)) % np.uint64(2) == np.uint64(turn_of % 2))
+        turn = turn[np.lexsort((item[turn], -gain[turn]))]
+        before = reached[-1]
+        while len(turn):
+            new = classes.copy()
+            new[item[turn]] = best[turn]
+            table_of_new = bigrams_of(table, new, k)
+            if likelihood(table_of_new) > before:
+                classes, bigrams = new, table_of_new
+                reached.append(likelihood(bigrams))
+                break
+            turn = turn[: len(turn) // 2]
+        idle = idle + 1 if reached[-1] - before <= least else 0
+        turn_of += 1
+    return classes, bigrams, reached
+
+
+def fit(training: DataFrame, counts: DataFrame, tolerance: float | None = None) -> Model:
     """Classes and probabilities from the texts and their word counts."""
     items = read_items(counts)
     total = counts.agg(F.sum("n"), F.count("*")).first()
-    pairs = materialize(training.mapInArrow(count_pairs(items), "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
-    unit, size = items.unit(), items.units
-    # begin: units by frequency, dealt in turn; the end alone in the last class
-    weight = np.bincount(unit, items.counts(), minlength=size)
-    order = np.argsort(-weight, kind="stable")
-    units = order[(weight[order] > 0) & (order != BUCKETS)]
-    classes = np.zeros(size, np.int64)
-    classes[units] = np.arange(len(units)) % (CLASSES - 1)
-    classes[BUCKETS] = CLASSES - 1
-    for k in range(ROUNDS):
-        table = neighbour_table(pairs, classes, size)
-        turn = units[mix(units.astype(np.uint64) + np.uint64(k)) % np.uint64(2) == np.uint64(0)] if k else units
-        classes, moved = exchange(table, classes, turn)
-        if not moved:
-            break
-    table = neighbour_table(pairs, classes, size)
-    bigrams = np.zeros((CLASSES, CLASSES))
-    np.add.at(bigrams, classes, table[:, :CLASSES])
+    classes, bigrams, reached = cluster(neighbours(training, items), items.counts(), TOLERANCE if tolerance is None else tolerance, CLASSES)
     transition = np.log10((bigrams + SMOOTH) / (bigrams.sum(axis=1, keepdims=True) + SMOOTH * CLASSES))
-    of_item = classes[unit]
     n = items.counts().astype(float)
-    in_class = np.bincount(of_item, n + SMOOTH, minlength=CLASSES)
-    emission = np.log10((n + SMOOTH) / in_class[of_item])
+    in_class = np.bincount(classes, n + SMOOTH, minlength=CLASSES)
+    emission = np.log10((n + SMOOTH) / in_class[classes])
     # the end is the only item of its class; P(word | item) of other words: (n + SMOOTH) / (bucket_n + SMOOTH * (bucket_words + 1))
     emission[BUCKETS] = 0.0
     room = items.bucket_n + SMOOTH * (items.bucket_words + 1.0)
     emission[:BUCKETS] -= np.log10(room)
-    return Model(items, transition, emission, classes, int(total[0] or 0), int(total[1] or 0))
+    return Model(items, transition, emission, classes, int(total[0] or 0), int(total[1] or 0), reached)
 
 
 SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, head_base double, head_score double, others array<bigint>"
@@ -271,8 +389,7 @@ SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, head
 
 def score_heads(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Everything of a text's scores but the counts of its words outside the head, which are listed."""
-    items, unit = model.items, model.items.unit()
-    of_item = model.classes[unit]
+    items, of_item = model.items, model.classes
     n = items.counts().astype(float)
     base = np.log10(n + 0.5)
     base[:BUCKETS] = 0.0
@@ -300,9 +417,14 @@ def score_texts(docs: DataFrame, held_out: str = "false", id_col: str = "doc_id"
     The model is learned from the documents for which the SQL expression ``held_out``
     is false. Null text is empty: one token, the end. Scores are log10 probabilities.
     Repeated rows are scored alike (and counted as often as they stand in the
-    table). Rows without an identifier get no result. An empty training set leaves
+    table). Texts of any length are read whole. An empty training set leaves
     every word unseen; an empty table gives an empty result.
     """
+    with job(docs.sparkSession):
+        return result(_score_texts(docs, held_out, id_col, text_col), "scores")
+
+
+def _score_texts(docs: DataFrame, held_out: str, id_col: str, text_col: str) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.expr(held_out).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     training = texts.where("not held_out").select("text")
     counts = materialize(training.mapInArrow(count_words, "word bigint, bucket int, n bigint").groupBy("word").agg(F.min("bucket").alias("bucket"), F.sum("n").alias("n")).select("word", "bucket", "n"), "words")

@@ -448,12 +448,76 @@ def test_language_model_adds_up_to_one(spark):
     counts = df.select("text").mapInArrow(brown.count_words, "word bigint, bucket int, n bigint").groupBy("word").agg(F.min("bucket").alias("bucket"), F.sum("n").alias("n"))
     m = brown.fit(df.select("text"), counts)
     assert (10**m.transition).sum(axis=1) == pytest.approx(np.ones(brown.CLASSES))
-    of = m.classes[m.items.unit()]
+    of = m.classes
     room = np.where(np.arange(m.items.size) < brown.BUCKETS, np.append(m.items.bucket_n + 0.5 * (m.items.bucket_words + 1.0), np.ones(m.items.size - brown.BUCKETS)), 1.0)
     total = np.bincount(of, 10**m.emission * room, minlength=brown.CLASSES)
     assert total[np.unique(of)] == pytest.approx(np.ones(len(np.unique(of))))
 
 
+def test_language_model_gains_are_the_changes_of_the_likelihood():
+    """Each move of each item against the likelihood counted anew, pairs of equal items included."""
+    rng = np.random.default_rng(8)
+    line = rng.integers(0, 9, 400)
+    pair, n = np.unique(line[:-1] * 9 + line[1:], return_counts=True)
+    classes = rng.integers(0, 5, 9)
+
+    def bigrams(of):
+        out = np.zeros((5, 5))
+        np.add.at(out, (of[pair // 9], of[pair % 9]), n)
+        return out
+
+    a, b = pair // 9, pair % 9
+    key = np.concatenate([a * 18 + 2 * b, b * 18 + 2 * a + 1])
+    order = np.argsort(key)
+    flat = brown.Flat.of(brown.rows_of(key[order] // 18, key[order] % 18, np.concatenate([n, n])[order], 0))
+    got = brown.gains(bigrams(classes), classes, *brown.by_class(flat, classes, 5))
+    for i in range(9):
+        for c in range(5):
+            moved = classes.copy()
+            moved[i] = c
+            assert got[i, c] == pytest.approx(brown.likelihood(bigrams(moved)) - brown.likelihood(bigrams(classes)), abs=1e-8)
+
+
+def test_language_model_likelihood_rises_to_where_no_move_helps(spark, monkeypatch):
+    monkeypatch.setattr(brown, "CLASSES", 6)
+    monkeypatch.setattr(brown, "FAN_IN", 1)
+    rng = random.Random(4)
+    texts = [" ".join(f"{'abcd'[(k + j) % 4]}{rng.randrange(12)}" for j in range(rng.randrange(3, 30))) for k in range(120)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    counts = df.mapInArrow(brown.count_words, "word bigint, bucket int, n bigint").groupBy("word").agg(F.min("bucket").alias("bucket"), F.sum("n").alias("n"))
+    m = brown.fit(df, counts, tolerance=0)
+    assert len(m.likelihoods) > 2 and all(y > x for x, y in zip(m.likelihoods, m.likelihoods[1:]))
+    # counted anew from the texts, and every single move tried
+    words_of = {int(k): i for i, k in enumerate(m.items.head)}
+    import pyarrow as pa
+
+    pairs = collections.Counter()
+    for part in split(pa.array(texts)):
+        before, own, _ = brown.sequences(part, m.items)
+        pairs.update(zip(before.tolist(), own.tolist()))
+    assert sum(pairs.values()) == m.n_tokens and len(words_of) == 48
+
+    def reached(classes):
+        out = np.zeros((6, 6))
+        for (x, y), n in pairs.items():
+            out[classes[x], classes[y]] += n
+        return brown.likelihood(out)
+
+    best = reached(m.classes)
+    assert best == pytest.approx(m.likelihoods[-1])
+    for i in range(len(words_of)):
+        for c in range(5):
+            other = m.classes.copy()
+            other[brown.BUCKETS + 1 + i] = c
+            assert reached(other) <= best + 1e-5
+    # four groups of words that follow each other in turn lie in classes apart
+    kinds = collections.defaultdict(set)
+    for w in {w for t in texts for w in t.split()}:
+        (part,) = split(pa.array([w]))
+        kinds[m.classes[m.items.of(*brown.word_keys(part))[0]]].add(w[0])
+    assert all(len(x) == 1 for x in kinds.values())
+
+
 def test_language_model_odd_rows(odd, empty):
     rows = brown.score_texts(odd).collect()
     assert len(rows) == len(odd_rows()) and all(math.isfinite(r["score"]) for r in rows)
@@ -561,6 +625,51 @@ def test_decontamination_loses_nothing_that_would_be_confirmed(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == want
 
 
+def test_decontamination_finds_by_its_latent_spaces(spark, monkeypatch):
+    """Candidates are near in the space: with a space of noise away from the items nothing is found, and no cosine is below that of the plain vectors."""
+    rng = random.Random(15)
+    vocabulary = [f"t{k}" for k in range(2000)]
+    items = [rng.choices(vocabulary, k=n) for n in (12, 20, 38, 60, 130) for _ in range(60)]  # three blocks
+    docs = []
+    for k in range(300):
+        item = [x if rng.random() < 0.7 else rng.choice(vocabulary) for x in items[k]]
+        docs.append((k, " ".join(rng.choices(vocabulary, k=k % 60) + item + rng.choices(vocabulary, k=50))))
+    docs, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id bigint, text string")
+    longest = lambda a, b: decontaminate.common_subsequence({x: sum(1 << k for k, y in enumerate(a) if y == x) for x in a}, len(a), b) / len(a)
+    want = set()  # every item against every window of every document, by the subsequence alone
+    for r in docs.collect():
+        w = r["text"].split()
+        for q, item in enumerate(items):
+            if 2 * len(set(item) & set(w)) >= 0.4 * len(item):
+                around = [w[max(0, s - len(item)) : s + 48 + len(item)] for s in range(0, len(w), 24)]
+                if any((lcs := longest(item, x)) >= 0.6 or lcs >= 0.45 and longest(item[-8:], x) >= 0.8 for x in around):
+                    want.add((r["doc_id"], q))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, b).collect()}
+    assert len(want) > 200 and not got - want and len(got) >= 0.99 * len(want)
+    learned = decontaminate.latent_spaces
+
+    def noise(coded, blocks, rank=160):
+        spaces = []
+        for block in blocks:
+            basis = np.linalg.qr(block.parts.T)[0]
+            x = np.random.default_rng(1).standard_normal((len(block.terms), 40))
+            spaces.append(np.linalg.qr(x - basis @ (basis.T @ x))[0])
+        return spaces
+
+    def checked(coded, blocks, rank=160):
+        spaces = learned(coded, blocks, rank)
+        for block, space in zip(blocks, spaces):  # the space holds the block's parts
+            assert np.linalg.norm(block.parts @ space, axis=1).min() > 0.9
+        return spaces
+
+    monkeypatch.setattr(decontaminate, "latent_spaces", checked)
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, b).collect()} == got
+    monkeypatch.setattr(decontaminate, "GROUP", 1)  # however the blocks are dealt to passes
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, b).collect()} == got
+    monkeypatch.setattr(decontaminate, "latent_spaces", noise)
+    assert decontaminate.contaminated(docs, b).count() < 0.1 * len(got)
+
+
 def test_common_subsequence_against_a_table():
     rng = random.Random(3)
     for _ in range(200):
