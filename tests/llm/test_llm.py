@@ -374,6 +374,50 @@ def test_pii_secrets_without_digits_and_of_any_length():
     assert pii.candidates("no secrets: none here", []) == []
 
 
+def test_pii_added_spans_on_planted_data(spark):
+    """Precision and recall of the spans outside the base kinds, decoys among the texts."""
+    rng = random.Random(21)
+    filler = "lorem tel hotel true monkey data report value table total result order item page note line".split()
+    prose = lambda n: " ".join(rng.choice(filler) for _ in range(n))
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+
+    def iban():
+        body = "".join(rng.choice("0123456789") for _ in range(18))
+        return f"DE{98 - int(body + '131400') % 97:02d}{body}"
+
+    real = [
+        ("secret", "token = ", lambda: hexa(40)), ("secret", "password: ", lambda: hexa(24)), ("secret", "key ", lambda: "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOP234567") for _ in range(16))),
+        ("iban", "bank account ", iban), ("national_id", "ssn ", lambda: f"{rng.randrange(100, 600)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}"),
+        ("phone_plain", "phone ", lambda: f"({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}"),
+        ("person", "signed by Dr. ", lambda: f"{rng.choice(pii.GIVEN)} {rng.choice(['Miller', 'Meyer', 'Lopez', 'Durand'])}"),
+        ("address", "lives at ", lambda: f"{rng.randrange(1, 999)} {rng.choice(['Oak', 'Maple', 'Mill'])} Street"),
+    ]
+    false = [("token = ", lambda: "xxxxxxxxxxxxxxxxxxxxxxxx"), ("row ", lambda: "1" + "".join(rng.choice("0123456789") for _ in range(14)) + "7"), ("part ", lambda: "AB12 ABCD ABCD ABCD"), ("password: ", lambda: "aaaaaaaaaaaaaaaaaaaa")]
+    docs, want = [], set()
+    for d in range(600):
+        text = prose(rng.randrange(3, 20)) + " "
+        if d % 3 == 0:
+            kind, lead, make = rng.choice(real)
+            text += lead
+            span = make()
+            want.add((d, kind, len(text), len(text) + len(span)))
+            text += span + " " + prose(5)
+        elif d % 3 == 1:
+            lead, make = rng.choice(false)
+            text += lead + make() + " " + prose(5)
+        docs.append((d, text))
+    rows = pii.find_pii(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)).collect()
+    got = {(r["doc_id"], s["kind"], s["start"], s["end"]) for r in rows for s in r["added"]}
+    assert len(got & want) >= 0.95 * len(want), sorted({k for _, k, *_ in want - got})
+    assert len(got & want) >= 0.95 * len(got), collections.Counter(k for _, k, *_ in got - want)
+
+
+def test_pii_words_match_as_whole_words():
+    assert pii.votes("phone_plain", "a hotel 030 555 1234", 8, 20)[3] == 0
+    assert pii.votes("phone_plain", "a tel 030 555 1234", 6, 18)[3] == 1
+    assert pii.votes("secret", "monkey abcdefghijklmnopqrst", 7, 27)[3] == 0
+
+
 def test_labelers_reliability_is_recovered():
     rng = np.random.default_rng(1)
     truth = rng.random(4000) < 0.4
