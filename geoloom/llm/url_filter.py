@@ -1,24 +1,38 @@
 """URL filter: pattern rules indexed by their rarest literal token.
 
-All work is DataFrame expressions on the url column: no shuffle but one small
-count of the rules' own tokens. Each pattern rule is filed under the one of its
-literal tokens that the urls use least. A url's tokens fetch the rules filed
-under them, and only these run their regular expression. Rules without a literal
-token can't be filed; they are tried on every url, so none is lost.
+All work is DataFrame expressions on the url column. The literal tokens that every
+url matching a pattern must hold are read off the pattern (an alternation gives a
+token for each way through it), and the rule is filed under the one that the urls
+use least. A url's tokens fetch the rules filed under them, and only these run their
+regular expression. Rules without such a token can't be filed; they are tried on
+every url, so none is lost. Host rules are fetched by the url's host and its parent
+domains in the same way.
+
+Up to INLINE rules the index is part of the plan, and nothing is shuffled but a
+count of the rules' own tokens. Longer lists are tables that are joined by token and
+by host.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
+from re import _constants, _parser
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rules go into the plan as literals; a longer list is refused, not cut.
-MAX_RULES = 20_000
-RULE = "array<struct<token:string,k:int,pattern:string,verdict:string>>"
+from geoloom.llm.graph import spread_join
+from geoloom.storage import job, materialize, result
+
+#: Rules that go into the plan as literals; longer lists are joined.
+INLINE = 2_000
+#: Ways through a pattern's alternations that are followed; a pattern with more is tried on every url.
+WAYS = 64
+#: Urls of one token or domain that a task of the join meets.
+AT_ONCE = 100_000
 
 
 @dataclass(frozen=True)
@@ -32,11 +46,10 @@ class HostRule:
 
 @dataclass(frozen=True)
 class PatternRule:
-    """``tokens`` are whole tokens that every url matching ``pattern`` holds."""
+    """A regular expression, in the part of the language that Java and RE2 share, that is searched in host + path."""
 
     verdict: str
     pattern: str
-    tokens: tuple[str, ...] = ()
 
 
 BASE_RULES = [
@@ -48,19 +61,74 @@ BASE_RULES = [
 ]
 
 PATTERN_RULES = [
-    PatternRule("block", r"^[^/]*\bcasino[.-]", ("casino",)),
-    PatternRule("block", r"^[^/]*\bcheap-pills\.", ("cheap", "pills")),
-    PatternRule("block", r"^[^/]*\bfree-bets\.", ("free", "bets")),
-    PatternRule("block", r"^[^/]*\bspam-farm\.", ("spam", "farm")),
-    PatternRule("block", r"^([^/]*\.)?ads-track\.", ("ads", "track")),
-    PatternRule("block", r"^(?:[^/]*\.)?doubleclick\.", ("doubleclick",)),
-    PatternRule("block", r"/(?:adserver|banner-ads)/", ()),
-    PatternRule("block", r"^[^/]*\bxxx\b", ("xxx",)),
-    PatternRule("block", r"^[^/]*\bpoker[.-]", ("poker",)),
-    PatternRule("block", r"/wp-login\.php", ("wp", "login")),
+    *(PatternRule("block", rf"^[^/]*\b{word}[.-]") for word in ("casino", "poker", "bingo", "roulette", "jackpot", "sportsbook", "viagra", "cialis", "xxx", "porn", "escorts", "payday", "replica", "torrents", "warez")),
+    *(PatternRule("block", rf"^(?:[^/]*\.)?{name}\.") for name in ("doubleclick", "ads-track", "adserver", "adnxs", "taboola", "outbrain", "popads", "clickbank", "spam-farm")),
+    PatternRule("block", r"^[^/]*\b(?:cheap-pills|free-bets|free-coins|quick-loans)\."),
+    PatternRule("block", r"/(?:adserver|banner-ads|sponsored|affiliate-link)/"),
+    PatternRule("block", r"/(?:wp-login|wp-admin|xmlrpc)(?:\.php|/|$)"),
+    PatternRule("block", r"/(?:cart|checkout|basket)/(?:add|remove)\b"),
+    PatternRule("block", r"/(?:login|signin|signup|register|logout)(?:\.html|\.php|\.aspx|/)?$"),
+    PatternRule("block", r"/tags?/[^/]*/page/[0-9]+"),
+    PatternRule("block", r"/calendar/[0-9]{4}/[0-9]{2}"),
+    PatternRule("block", r"\.(?:exe|apk|dmg|iso|torrent)$"),
 ]
 
 
+# What a pattern demands, element by element: a character of a token, a place where a token ends, or anything.
+_EDGE, _ANY = "edge", "any"
+
+
+def _ends_tokens(members: list) -> bool:
+    """Whether a class of characters holds nothing that may be part of a token."""
+    edge = lambda c: c < 128 and not chr(c).isalnum()
+    for op, arg in members:
+        if op == _constants.LITERAL and edge(arg) or op == _constants.CATEGORY and arg == _constants.CATEGORY_SPACE:
+            continue
+        if op == _constants.RANGE and all(edge(c) for c in range(arg[0], min(arg[1], 128) + 1)):
+            continue
+        return False
+    return True
+
+
+def _ways(parsed: list) -> list[list[str]]:
+    """The ways through a parsed pattern as lists of elements; an empty list if there are too many."""
+    ways: list[list[str]] = [[]]
+    for op, arg in parsed:
+        if op == _constants.LITERAL:
+            c = chr(arg)
+            tails = [[c.lower() if c.isascii() and c.isalnum() else _EDGE if c.isascii() else _ANY]]
+        elif op == _constants.AT and arg != _constants.AT_NON_BOUNDARY:
+            tails = [[_EDGE]]
+        elif op == _constants.IN:
+            tails = [[_EDGE if _ends_tokens(arg) else _ANY]]
+        elif op == _constants.SUBPATTERN:
+            tails = _ways(arg[-1])
+        elif op == _constants.BRANCH:
+            parts = [_ways(x) for x in arg[1]]
+            tails = [y for x in parts for y in x] if all(parts) else []
+        elif op in (_constants.MAX_REPEAT, _constants.MIN_REPEAT) and arg[1] == 1:
+            inner = _ways(arg[2])
+            tails = inner and ([[]] if arg[0] == 0 else []) + inner
+        else:
+            tails = [[_ANY]]
+        ways = [x + y for x in ways for y in tails]
+        if not ways or len(ways) > WAYS:
+            return []
+    return ways
+
+
+def required_tokens(pattern: str) -> list[list[str]]:
+    """For each way through the pattern the whole tokens that a match holds; empty if some way demands none."""
+    out = []
+    for way in _ways(list(_parser.parse(pattern))) or [[]]:
+        # a match may begin and end inside a token
+        found = re.findall(r"(?<=\|)[a-z0-9]+(?=\|)", "".join({_EDGE: "|", _ANY: "?"}.get(x, x) for x in way))
+        if not found:
+            return []
+        out.append(sorted(set(found)))
+    return out
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host after the first ``://``, A-Z lower-cased, and path; both empty for null or no ``://``."""
     rest = F.when(url.contains("://"), F.expr("substring(url, locate('://', url) + 3)")).otherwise(F.lit(""))
@@ -74,68 +142,107 @@ def tokens_of(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda t: t != ""))
 
 
-def rules_literal(rules: list[tuple[str, PatternRule, int]]) -> Column:
-    """An array of rules; empty arrays keep the type."""
-    if not rules:
-        return F.expr(f"cast(array() as {RULE})")
-    return F.array(*[F.struct(F.lit(t).alias("token"), F.lit(k).alias("k"), F.lit(r.pattern).alias("pattern"), F.lit(r.verdict).alias("verdict")) for t, r, k in rules])
+def domains_of(host: Column) -> Column:
+    """The host and its parent domains."""
+    parts = F.split(host, r"\.")
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), ".")))
 
 
-def rarest_tokens(urls: DataFrame, rules: list[PatternRule]) -> dict[str, int]:
-    """How many urls hold each of the rules' tokens. Only those tokens are counted, so the answer is as long as the rule list."""
-    wanted = sorted({t for r in rules for t in r.tokens})
-    if not wanted:
+def token_counts(urls: DataFrame, tokens: list[str]) -> dict[str, int]:
+    """How many urls hold each of the tokens. Only those are counted, so the answer is as long as the rule list."""
+    if not tokens:
         return {}
-    held = urls.select(F.explode(F.array_intersect(tokens_of(F.col("target")), F.array(*map(F.lit, wanted)))).alias("token"))
-    return {t: 0 for t in wanted} | {r["token"]: r["count"] for r in held.groupBy("token").count().collect()}
+    if len(tokens) <= INLINE:
+        held = urls.select(F.explode(F.array_intersect(tokens_of(F.col("target")), F.array(*map(F.lit, tokens)))).alias("token"))
+    else:
+        held = urls.select(F.explode(tokens_of(F.col("target"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+        wanted = urls.sparkSession.createDataFrame([(t,) for t in tokens], "token string")
+        return dict.fromkeys(tokens, 0) | {r["token"]: r["n"] for r in held.join(wanted, "token").collect()}
+    return dict.fromkeys(tokens, 0) | {r["token"]: r["count"] for r in held.groupBy("token").count().collect()}
+
+
+HOST_FIELDS, PATTERN_FIELDS = "key string, path string, length int, rule string, verdict string", "key string, k int, pattern string, verdict string"
+
+
+def host_rows(rules: list[HostRule]) -> list[tuple]:
+    return [(r.host, r.path, len(r.host + r.path), r.host + r.path, r.verdict) for r in rules]
+
+
+def pattern_rows(rules: list[PatternRule], count: Callable[[list[str]], dict[str, int]]) -> list[tuple]:
+    """Each rule under its rarest token of each way; under an empty key those without."""
+    demands = [required_tokens(r.pattern) for r in rules]
+    seen = count(sorted({t for ways in demands for way in ways for t in way}))
+    keys = [sorted({min(way, key=lambda t: (seen[t], t)) for way in ways}) or [""] for ways in demands]
+    return [(key, k, r.pattern, r.verdict) for k, r in enumerate(rules) for key in keys[k]]
+
+
+def index(rows: list[tuple], fields: str) -> Callable[[Column], Column]:
+    """A lookup from a key to the rows under it, as a literal of cells by the key's checksum."""
+    names = [f.split()[0] for f in fields.split(", ")]
+    kind = "array<struct<" + ",".join(f.replace(" ", ":", 1) for f in fields.split(", ")) + ">>"
+    cells: list[list[Column]] = [[] for _ in range(2 ** max(3, (2 * len(rows)).bit_length()))]
+    for row in rows:
+        cells[zlib.crc32(row[0].encode()) % len(cells)].append(F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]))
+    table = F.array(*[F.array(*cell) if cell else F.expr(f"cast(array() as {kind})") for cell in cells])
+    return lambda key: F.filter(F.element_at(table, (F.crc32(key.cast("binary")) % len(cells)).cast("int") + 1), lambda r: r["key"] == key)
+
+
+def longest_fit(rules: Column) -> Column:
+    fits = F.filter(rules, lambda r: F.col("path").startswith(r["path"]))
+    return F.array_max(F.transform(fits, lambda r: F.struct(r["length"], r["rule"], r["verdict"])))
+
+
+def first_match(rules: Column) -> Column:
+    hits = F.filter(rules, lambda r: F.regexp(F.col("target"), r["pattern"]))
+    return F.array_min(F.transform(hits, lambda r: F.struct(r["k"], r["pattern"], r["verdict"])))
+
+
+def joined(judged: DataFrame, keys: Column, rows: list[tuple], fields: str, choose: Callable[[Column], Column], best: Callable[[str], Column], name: str) -> DataFrame:
+    """``judged`` with the best rule by ``name``, the rules being a table joined by key."""
+    rules = judged.sparkSession.createDataFrame(rows, fields)
+    rules = materialize(rules.groupBy("key").agg(F.collect_list(F.struct("*")).alias("rules")), "rules")
+    asked = judged.select("row", "path", "target", F.explode(keys).alias("key"))
+    asked = asked.join(F.broadcast(rules.select("key")), "key", "left_semi") if len(rows) <= 1_000_000 else asked
+    met = spread_join(materialize(asked, "asked"), rules, ["key"], "row", AT_ONCE)
+    found = met.select("row", choose(F.col("rules")).alias(name)).groupBy("row").agg(best(name).alias(name))
+    return judged.join(found, "row", "left")
 
 
 def filter_urls(pages: DataFrame, host_rules: list[HostRule] = BASE_RULES, pattern_rules: list[PatternRule] = PATTERN_RULES, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, pattern.
 
-    ``rule`` is the longest host rule that fits, else null; its verdict stands.
+    ``rule`` is the longest host rule that fits, else null; its verdict stands (of
+    equally long ones the last by name, of equal ones the last verdict by name).
     Else the first pattern rule (list order) that matches ``host + path`` decides,
     else ``default``. Null or malformed urls have empty host and path, no rule and
-    the default verdict. Repeated rows are judged alike, one result each.
+    the default verdict unless a pattern matches the empty text. Urls of any length
+    are judged whole; repeated rows are judged alike, one result each; an empty table
+    gives an empty result; further columns are ignored.
     """
-    if len(host_rules) + len(pattern_rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     for r in pattern_rules:
         re.compile(r.pattern)
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     host, path = host_and_path(F.col("url"))
-    base = base.select("page_id", host.alias("host"), path.alias("path"))
-    judged = base.withColumn("target", F.concat("host", "path"))
-
-    seen = rarest_tokens(judged, pattern_rules)
-    filed: dict[str, list[int]] = {}
-    loose = [k for k, r in enumerate(pattern_rules) if not r.tokens]
-    for k, r in enumerate(pattern_rules):
-        if r.tokens:
-            filed.setdefault(min(r.tokens, key=lambda t: (seen[t], t)), []).append(k)
-
-    ordered = sorted(host_rules, key=lambda r: -len(r.host + r.path))
-    fits = [((F.col("host") == r.host) | F.col("host").endswith("." + r.host)) & F.col("path").startswith(r.path) for r in ordered]
-    rule = F.coalesce(*[F.when(f, F.lit(r.host + r.path)) for f, r in zip(fits, ordered)], F.lit(None).cast("string"))
-    said = F.coalesce(*[F.when(f, F.lit(r.verdict)) for f, r in zip(fits, ordered)], F.lit(None).cast("string"))
-
-    cells: list[list[tuple[str, int]]] = [[] for _ in range(2 ** max(3, (2 * len(filed)).bit_length()))]
-    for token, ks in filed.items():
-        cells[zlib.crc32(token.encode()) % len(cells)] += [(token, k) for k in ks]
-    index = F.array(*[rules_literal([(t, pattern_rules[k], k) for t, k in cell]) for cell in cells])
-    fetched = F.flatten(
-        F.transform("tokens", lambda t: F.filter(F.element_at(index, (F.crc32(t.cast("binary")) % len(cells)).cast("int") + 1), lambda r: r["token"] == t))
-    )
-    fetched = F.concat(fetched, rules_literal([("", pattern_rules[k], k) for k in loose]))
-    first = F.array_min(F.transform(F.filter("fetched", lambda r: F.regexp(F.col("target"), r["pattern"])), lambda r: F.struct(r["k"], r["pattern"], r["verdict"])))
-    return (
-        judged.withColumn("rule", rule)
-        .withColumn("said", said)
-        .withColumn("tokens", tokens_of(F.col("target")))
-        .withColumn("fetched", fetched)
-        .withColumn("hit", first)
-        .select("page_id", "host", "path", "rule", F.coalesce("said", "hit.verdict", F.lit(default)).alias("verdict"), F.col("hit.pattern").alias("pattern"))
-    )
+    judged = base.select("page_id", host.alias("host"), path.alias("path")).withColumn("target", F.concat("host", "path"))
+    hosts = host_rows(host_rules)
+    patterns = pattern_rows(pattern_rules, lambda tokens: token_counts(judged, tokens))
+    loose = [r for r in patterns if not r[0]]
+    every = first_match(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(p).alias("pattern"), F.lit(v).alias("verdict")) for _, k, p, v in loose])) if loose else F.lit(None).cast("struct<k:int,pattern:string,verdict:string>")
+    if len(hosts) + len(patterns) <= INLINE:
+        by_host, by_token = index(hosts, HOST_FIELDS), index([r for r in patterns if r[0]], PATTERN_FIELDS)
+        judged = judged.withColumn("fit", longest_fit(F.flatten(F.transform(domains_of(F.col("host")), by_host))))
+        judged = judged.withColumn("filed", first_match(F.flatten(F.transform(tokens_of(F.col("target")), by_token))))
+        return verdicts(judged, every, default)
+    with job(pages.sparkSession):
+        judged = materialize(judged.withColumn("row", F.monotonically_increasing_id()), "urls")
+        judged = joined(judged, domains_of(F.col("host")), hosts, HOST_FIELDS, longest_fit, F.max, "fit")
+        judged = joined(judged, tokens_of(F.col("target")), [r for r in patterns if r[0]], PATTERN_FIELDS, first_match, F.min, "filed")
+        return result(verdicts(judged, every, default), "verdicts")
+
+
+def verdicts(judged: DataFrame, every: Column, default: str) -> DataFrame:
+    judged = judged.withColumn("every", every).withColumn("hit", F.least("filed", "every"))
+    return judged.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", "hit.verdict", F.lit(default)).alias("verdict"), F.col("hit.pattern").alias("pattern"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -301,12 +301,47 @@ def test_url_filter_edges(spark):
     assert url_filter.filter_urls(df.limit(0)).count() == 0
 
 
-def test_url_index_loses_no_rule(spark, sf):
-    rules = [url_filter.PatternRule("block", rf"\bth{a}{b}", ()) for a in "te" for b in "hr"] + [url_filter.PatternRule("block", rf"/{k}\b", (str(k),)) for k in range(0, 1000, 7)]
+def test_url_index_loses_no_rule(spark, sf, monkeypatch):
+    """Every rule on every url, with the index in the plan and with rules as a table."""
+    rules = [url_filter.PatternRule("block", rf"\bth{a}{b}") for a in "te" for b in "hr"] + [url_filter.PatternRule("allow" if k % 2 else "block", rf"/{k}\b") for k in range(0, 1000, 7)] + [url_filter.PatternRule("block", r"/(?:en|fr)/[0-9]+\.html$")]
+    hosts = [*url_filter.BASE_RULES, url_filter.HostRule("block", "example.org", "/de/1"), url_filter.HostRule("allow", "m.therer.example.org", "/")]
     pages = spark.read.parquet(f"{sf}/pages.parquet")
-    for r in url_filter.filter_urls(pages, [], rules).collect():
-        hit = next((p.pattern for p in rules if re.search(p.pattern, r["host"] + r["path"])), None)
-        assert r["pattern"] == hit
+    pages = pages.unionByName(pages.limit(5))  # repeated rows
+    want = {}
+    for r in url_filter.filter_urls(pages, [], []).collect():
+        fits = [h for h in hosts if (r["host"] == h.host or r["host"].endswith("." + h.host)) and r["path"].startswith(h.path)]
+        rule = max(fits, key=lambda h: len(h.host + h.path), default=None)
+        hit = next((p for p in rules if re.search(p.pattern, r["host"] + r["path"])), None)
+        want[r["page_id"]] = (rule and rule.host + rule.path, rule.verdict if rule else hit.verdict if hit else "allow", hit and hit.pattern)
+    for inline in (url_filter.INLINE, 0):
+        monkeypatch.setattr(url_filter, "INLINE", inline)
+        rows = url_filter.filter_urls(pages, hosts, rules).collect()
+        assert len(rows) == pages.count() and {r["page_id"]: (r["rule"], r["verdict"], r["pattern"]) for r in rows} == want
+
+
+def test_url_patterns_tell_their_tokens():
+    assert url_filter.required_tokens(r"^[^/]*\bcasino[.-]") == [["casino"]]
+    assert url_filter.required_tokens(r"^([^/]*\.)?ads-track\.") == [["ads", "track"], ["ads", "track"]]
+    assert url_filter.required_tokens(r"/(?:adserver|banner-ads)/") == [["adserver"], ["ads", "banner"]]
+    for loose in (r"casino", r"/casino", r"\bth", r"^[^/]*", r"/[0-9]+/", r"(?:/a/|b)", r"/(?:x|.*)/", r"/ab?/"):
+        assert not url_filter.required_tokens(loose) or loose == r"/ab?/"
+    tokens = lambda text: {t for t in re.split(r"[^a-z0-9]+", text.lower()) if t}
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab/.-0_A") for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
+    for pattern in (r"/a/", r"\bab\b", r"^(?:b\.)?a-b\.", r"/(?:a|b-0)(?:/|$)", r"[./]a?b[/-]", r"^[^/]*\ba[.-]", r"(?i)/ab/", r"/a{1}b\b", r"/(ab|a)/", r"_a_", r"\.(?:b|a0)$"):
+        ways = url_filter.required_tokens(pattern)
+        for text in texts:
+            if ways and re.search(pattern, text):
+                assert any(set(way) <= tokens(text) for way in ways), (pattern, text)
+
+
+def test_url_filter_odd_rows(spark):
+    long = "http://casino.example.org/" + "a/" * 40_000 + "en"
+    rows = [(1, long), (1, long), (None, "http://x.net/es/1"), (2, None), (3, ""), (4, "://"), (5, "http:///p"), (6, "http://EXAMPLE.com")]
+    df = spark.createDataFrame(rows, "page_id int, url string").withColumns({c: F.lit(7) for c in ("row", "key", "path", "target", "rules", "fit", "filed", "hit")})
+    got = sorted(((r["page_id"], r["host"], len(r["path"]), r["verdict"]) for r in url_filter.filter_urls(df).collect()), key=repr)
+    want = [(1, "casino.example.org", 80_003, "block")] * 2 + [(2, "", 0, "allow"), (3, "", 0, "allow"), (4, "", 0, "allow"), (5, "", 2, "allow"), (6, "example.com", 0, "allow"), (None, "x.net", 5, "block")]
+    assert got == sorted(want, key=repr)
 
 
 # 5
