@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from geoloom.llm.words import chunks
 
-#: N-grams in a profile; languages at most (their profiles go to every executor).
-PROFILE, MOST_LANGUAGES = 300, 1000
+#: N-grams in a profile. Profiles go to every executor, PROFILE numbers a language.
+PROFILE = 300
 SPACE, RARE = 32, 0xFFFF
 _table: list[np.ndarray] = []
 
@@ -96,9 +96,7 @@ def learn_profiles(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -
     named = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     counts = named.mapInArrow(count_grams, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    top = counts.withColumn("rank", rank).where(F.col("rank") <= PROFILE).limit(PROFILE * MOST_LANGUAGES + 1).collect()
-    if len(top) > PROFILE * MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    top = counts.withColumn("rank", rank).where(F.col("rank") <= PROFILE).collect()
     found: dict[str, list[tuple[int, int]]] = {}
     for r in top:
         found.setdefault(r["lang"], []).append((r["rank"], r["gram"]))
@@ -149,7 +147,11 @@ def identify(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_
     ``held_out`` is an SQL expression over ``docs`` that is passed through. The
     language nearest by out-of-place distance wins, ties by name. Score is 1 minus
     that distance over its largest value. Texts that are null or have no letter are
-    ``und`` with score 0, as is everything if nothing could be learned.
+    ``und`` with score 0, as is everything if nothing could be learned. Equally
+    frequent n-grams rank in the order of their code points. Texts of any length are
+    read whole. Rows without a language or text teach nothing. Repeated rows get a
+    result each, and count as often in training; an empty table gives an empty
+    result; further columns are ignored.
     """
     profiles = learn_profiles(training, id_col, text_col, lang_col)
     wanted = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.expr(held_out).alias("held_out"), F.col(text_col).alias("text"))

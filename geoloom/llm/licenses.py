@@ -184,7 +184,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, notices, expressions.
 
     Null text is empty: no words, no labels, score 0. Score is how binding the
-    strictest notice is. Repeated rows get a result each; an empty table gives an
+    strictest notice is. Texts of any length are read whole. Repeated rows get a result each; an empty table gives an
     empty result; further columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))

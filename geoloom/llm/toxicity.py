@@ -42,7 +42,6 @@ SAMPLE = 20_000
 SHORTEST, LONGEST, SUPPORT, SUPPORT_SHARE, RATIO = 3, 10, 3, 0.02, 15
 #: A beginning is made longer as long as it keeps this share of its places in toxic texts.
 CLOSE = 0.95
-MOST_ENTRIES = 5_000
 
 _TABLE = LOWER.copy()
 for _from, _to in DIGITS.items():
@@ -102,7 +101,7 @@ def choose(rows: list[tuple[bytes, int, int]], n_toxic: int, n_other: int) -> di
         while b in longer and longer[b] in telling:
             b = longer[b]
         out[b] = weight[b]
-    return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:MOST_ENTRIES])
+    return dict(sorted(out.items(), key=lambda x: (-x[1], x[0])))
 
 
 def automaton(lexicon: dict[bytes, float]) -> ahocorasick.Automaton:
@@ -182,11 +181,21 @@ def best_cut(counts: dict[int, list[int]]) -> float:
     return math.exp(cut / _BINS)
 
 
+def about(rows: DataFrame, sample: int) -> DataFrame:
+    """All rows if they are at most ``sample``, else about as many, chosen by a hash of doc_id: the same ones whatever the order."""
+    n = rows.count()
+    return rows if n <= sample else rows.where(F.shiftright(F.xxhash64(F.col("doc_id"), F.lit(6)), 1) + F.lit(2**62) < F.lit(int(2**63 * (sample / n))))
+
+
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> tuple[dict[bytes, float], float]:
-    """Lexicon and cut from rows (doc_id, text, toxic), at most about ``sample`` of them. Equal texts count once."""
-    n = labelled.count()
-    if n > sample:
-        labelled = labelled.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(6)), F.lit(1_000_000)) < int(1_000_000 * sample / n))
+    """Lexicon and cut from rows (doc_id, text, toxic), at most about ``sample`` of them.
+
+    Equal texts count once, as toxic if one of them is. Null texts and labels teach
+    nothing; empty texts hold no words. Texts of any length are read whole, a text's
+    repeats by their logarithm. Without toxic rows the lexicon is empty. Further
+    columns are ignored.
+    """
+    labelled = about(labelled.where("text is not null and toxic is not null").select("doc_id", "text", F.col("toxic").cast("boolean").alias("toxic")), sample)
     once = labelled.groupBy(F.sha2("text", 256).alias("digest")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic").persist()
     sizes = {bool(r["toxic"]): r["count"] for r in once.groupBy("toxic").count().collect()}
     counts = once.mapInArrow(count_beginnings, "entry binary, other bigint, toxic bigint, texts bigint").groupBy("entry").agg(*(F.sum(c).alias(c) for c in ("toxic", "other", "texts")))
@@ -204,9 +213,9 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> tuple[dict[bytes, float]
 def score_toxicity(docs: DataFrame, lexicon: dict[bytes, float], cut: float, id_col: str = "doc_id", text_col: str = "text", held_out: str = "false") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, hits, n_words.
 
-    Null and empty texts have score 0. Repeated rows get a result each; an empty
-    table gives an empty result. Without toxic labels the lexicon is empty and every
-    score 0.
+    Null and empty texts have score 0. Texts of any length are read whole. Repeated
+    rows get a result each; an empty table gives an empty result; further columns
+    are ignored. Without toxic labels the lexicon is empty and every score 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,11 +234,14 @@ HELD_OUT = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 5 = 0, fals
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, text, toxic) of labelled documents outside the held-out fold, chosen down to about ``sample`` before the join, so that the labels can be broadcast."""
+    """(doc_id, text, toxic) of labelled documents outside the held-out fold, chosen down to about ``sample`` before the join, so that the labels can be broadcast.
+
+    Of several labels of a document one that says toxic counts; null labels and
+    identifiers are left out, as are labels of unknown documents. A document that
+    stands in the table several times is returned as often.
+    """
     marks = labels.where(f"toxic is not null and doc_id is not null and not {HELD_OUT}").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    n = marks.count()
-    if n > sample:
-        marks = marks.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(6)), F.lit(1_000_000)) < int(1_000_000 * sample / n))
+    marks = about(marks, sample)
     return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(marks), "doc_id")
 
 

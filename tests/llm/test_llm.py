@@ -358,6 +358,52 @@ def test_license_scan_against_lists(spark, odd, empty, sf):
     assert licenses.scan_licenses(odd).count() == len(odd_rows()) and licenses.scan_licenses(empty).count() == 0
 
 
+def test_license_labels_and_score_one_by_one(spark, sf):
+    """Every phrase looked for at every word, every tag's line parsed by recursive descent."""
+    names = r"[A-Za-z0-9][A-Za-z0-9.+:-]*"
+
+    def parse(terms):
+        def atom():
+            if terms and terms[0] == "(":
+                terms.pop(0)
+                x = level(0)
+                terms.pop(0)
+                return x
+            t = terms.pop(0)
+            return {t}, licenses.binding(t)
+
+        def level(k):
+            word = ("or", "and", "with")[k]
+            below = atom if k == 2 else lambda: level(k + 1)
+            x = below()
+            while terms and terms[0] == word:
+                terms.pop(0)
+                y = below()
+                x = (x[0], max(0.0, x[1] - licenses.RELAXED)) if word == "with" else (x[0] | y[0], (min if word == "or" else max)(x[1], y[1]))
+            return x
+
+        return level(0)
+
+    extra = ["SPDX-License-Identifier: (MIT OR GPL-2.0-only) AND BSD-3-Clause\nnext", "x SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception", "GNU General Public License version 3, creative commons; CC BY-SA 4.0", "the MIT\nlicense and Public Domain", "cc0 " * 300]
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [(-1 - k, t) for k, t in enumerate(extra)]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)).collect()}
+    phrases = licenses.PHRASES | licenses.BASE
+    for d, t in docs:
+        text = (t or "").translate(LOWER)
+        spans = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)]
+        w = [text[a:b] for a, b in spans]
+        labels = {phrases[p] for p in phrases for i in range(len(w)) if w[i : i + len(p.split())] == p.split()}
+        score = max(map(licenses.binding, labels), default=0.0)
+        for i in range(len(w) - 2):
+            if w[i : i + 3] == licenses.TAG.split():
+                line = text[spans[i + 2][1] :].split("\n")[0]
+                terms = [x.rstrip(".:") for x in re.findall(rf"\(|\)|{names}", line)]
+                found, bound = parse(terms) if d < 0 else licenses.evaluate(line)
+                labels, score = labels | found, max(score, bound)
+        assert got[d]["labels"] == ",".join(sorted(labels)) and got[d]["score"] == pytest.approx(score), (d, t[:80])
+    assert got[-1]["labels"] == "bsd-3-clause,gpl-2.0-only,mit" and got[-2]["score"] == pytest.approx(licenses.binding("apache") - licenses.RELAXED)
+
+
 def test_license_expressions(spark):
     assert licenses.to_postfix("a or b and c".split()) == "a b c and or".split()
     assert licenses.to_postfix("( a or b ) and c with d".split()) == "a b or c d with and".split()
@@ -480,9 +526,85 @@ def test_language_held_out_accuracy(spark, sf, odd, empty):
     assert {r["lang_pred"] for r in language.identify(odd, empty).collect()} == {"und"}
 
 
+def test_language_against_profiles_counted_one_by_one(spark, sf, odd):
+    """Profiles, out-of-place distances and ties written out for one document at a time."""
+
+    def of(text):
+        counts = collections.Counter()
+        for word in re.findall(r"[^\W\d_]+", text or ""):
+            w = " " + "".join(c.lower() if len(c.lower()) == 1 else c for c in word) + " "
+            counts.update(w[i : i + 2] for i in range(len(w) - 2))
+            counts.update(w[i : i + 3] for i in range(len(w) - 2))
+        return counts
+
+    def ranked(counts):
+        code = lambda g: int("".join(f"{ord(c):04x}" for c in g), 16)
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))][: language.PROFILE]
+
+    docs = [r for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if all(ord(c) < 0x250 for c in r["text"] or "")]
+    learned = collections.defaultdict(collections.Counter)
+    for r in docs:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 and r["lang"] is not None:
+            learned[r["lang"]] += of(r["text"])
+    profiles = {lang: {g: k for k, g in enumerate(ranked(c))} for lang, c in learned.items()}
+    frame = spark.createDataFrame(docs)
+    held_out = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 3 = 1, false)"
+    got = {r["doc_id"]: r for r in language.identify(frame, frame.where(f"not {held_out}")).collect()}
+    for r in docs:
+        own = ranked(of(r["text"]))
+        if not own:
+            assert (got[r["doc_id"]]["lang_pred"], got[r["doc_id"]]["score"]) == ("und", 0.0)
+            continue
+        away = {lang: sum(abs(p[g] - k) if g in p else language.PROFILE for k, g in enumerate(own)) / (len(own) * language.PROFILE) for lang, p in profiles.items()}
+        best = min(sorted(away), key=away.get)
+        assert got[r["doc_id"]]["lang_pred"] == best and got[r["doc_id"]]["score"] == pytest.approx(1 - away[best])
+    rows = language.identify(odd, odd).collect()
+    assert len(rows) == len(odd_rows())
+
+
 # 6
 
 
+def test_toxicity_learns_what_the_labels_say(spark):
+    """Word beginnings that are many times as frequent in toxic texts, from labels with nulls, repeats and ties."""
+    rng = random.Random(9)
+    plain = [f"word{k}" for k in range(60)]
+    rows = []
+    for k in range(400):
+        w = rng.choices(plain, k=20)
+        if k % 4 == 0:
+            w[rng.randrange(20)] = rng.choice(["grumbly", "grumblier", "zork"])
+        rows.append((k, " ".join(w), k % 4 == 0))
+    rows += [rows[0], rows[0], (None, rows[4][1], True), (901, None, True), (902, "", False), (903, rows[1][1], None), (904, "grumbly " * 5000, True)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic boolean").withColumns({c: F.lit(1) for c in ("entry", "other", "digest", "bin")})
+    lexicon, cut = toxicity.learn(df)
+    assert {b[:4] for b in lexicon} == {b"grum", b"zork"} and cut > 0
+    texts = [(k, t) for k, t, _ in rows]
+    scored = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(spark.createDataFrame(texts, "doc_id bigint, text string"), lexicon, cut).collect()}
+    assert all(scored[k] == bool(t) for k, _, t in rows[:400])
+    for few in (df.where("not toxic"), df.limit(0), df.where("text is null")):
+        assert toxicity.learn(few)[0] == {}
+    many = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    assert 300 < toxicity.about(many, 500).count() < 700 and toxicity.about(many, 5000).count() == 5000
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (3, 0), (999999, 1)], "doc_id bigint, toxic int").withColumn("text", F.lit("x"))
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.labelled_texts(df, labels).collect()}
+    assert got == {k: v for k, v in {1: True, 3: False}.items() if zlib.crc32(str(k).encode()) % 5}
+
+
+def test_toxicity_scores_against_words_one_by_one(spark, sf):
+    """Weights of all words that begin with an entry, less those in exceptions, over the root of the length."""
+    lexicon, cut = {b"th": 1.5, b"tho": 2.5, b"en": 0.5, b"trash": 3.0}, 0.7
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(-1, "trash can trash bag thou en"), (-2, None), (-3, "thrush 7rash $en"), (-4, "trash, can")], "doc_id bigint, text string"))
+    table = str.maketrans({**toxicity.HOMOGLYPHS, **toxicity.DIGITS, **{chr(65 + k): chr(97 + k) for k in range(26)}, **{chr(c): chr(c + 32) for c in range(0xC0, 0xDF) if c != 0xD7}})
+    for r in docs.join(toxicity.score_toxicity(docs, lexicon, cut), "doc_id").collect():
+        w = re.findall(r"[a-z\u0080-\U0010ffff]+", (r["text"] or "").translate(str.maketrans(toxicity.HOMOGLYPHS)).translate(table))
+        out = {k + j for p in toxicity.EXCEPTIONS for x in [p.translate(table).split()] for k in range(len(w)) if w[k : k + len(x)] == x for j in range(len(x))}
+        total = sum(max((v for b, v in lexicon.items() if x.startswith(b.decode())), default=0.0) for k, x in enumerate(w) if k not in out)
+        value = total / math.sqrt(len(w) + 16)
+        assert r["n_words"] == len(w) and r["score"] == pytest.approx(value / (value + cut)) and r["predicted"] == (value / (value + cut) >= 0.5)
+
+
 def test_toxicity_held_out(spark, odd, empty, sf):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/labels.parquet").collect()}
     rows = toxicity.op6_toxicity(spark, sf.replace("0.001", "0.01")).collect()
