@@ -42,6 +42,11 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
+def text_digest(text_col: str = "text") -> Column:
+    """What equal texts share: the hex digest of the normalised text."""
+    return F.sha2(normalised(F.col(text_col)), 256)
+
+
 def fold_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fold equal neighbours of a sorted run; the open group is carried over batches."""
     schema = pa.schema([("slot", pa.int32()), ("digest", pa.binary()), ("chars", pa.int32()), ("second", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64())])

@@ -885,6 +885,87 @@ def test_common_subsequence_against_a_table():
 # the pipeline
 
 
+def folder_of(spark, path, docs, labels, benchmark):
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", benchmark)):
+        df.write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+def test_pipeline_run_against_plain_python(spark, sf, duck, tmp_path):
+    """Each stage of run() written out for one document or pair at a time, the mix in SQL."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    frame = spark.read.parquet(f"{sf}/documents.parquet")
+    lexicon, cut = toxicity.trained(spark, frame, sf)
+    bad = {r["doc_id"] for r in toxicity.score_toxicity(frame, lexicon, cut).where("predicted = 1").collect()}
+    left = {r["doc_id"]: r["text"] or "" for r in frame.collect() if r["doc_id"] not in bad}
+    first = {}
+    for d in sorted(left):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", left[d]), d)
+    left = {d: left[d] for d in first.values()}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words(t)) else set() for d, t in left.items()}
+    parent = {d: d for d in left}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in left:
+        for b in left:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    left = {d: t for d, t in left.items() if find(d) == d}
+    low = str.maketrans({chr(c): chr(c + 32) for c in [*range(65, 91), *range(0xC0, 0xDF)] if c != 0xD7})
+    split_ = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(low))
+    items = [split_(r["text"] or "") for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    longest = lambda a, b: decontaminate.common_subsequence({x: sum(1 << k for k, y in enumerate(a) if y == x) for x in a}, len(a), b) / len(a)
+    leaks = set()
+    for d, t in left.items():
+        w = split_(t)
+        for item in items:
+            for s in range(0, len(w), 24):
+                x = w[max(0, s - len(item)) : s + 48 + len(item)]
+                if sum((collections.Counter(item) & collections.Counter(x)).values()) >= 0.45 * len(item):
+                    lcs = longest(item, x)
+                    if lcs >= 0.6 or lcs >= 0.45 and longest(item[-8:], x) >= 0.8:
+                        leaks.add(d)
+    left = [d for d in left if d not in leaks]
+    kept = tmp_path / "kept.parquet"
+    frame.where(F.col("doc_id").isin(left)).toPandas().to_parquet(kept)
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{kept}'")
+    want = {(r[0], r[1], r[4]) for r in c.sql(mixing.OP8_SQL).fetchall()}
+    got = pipeline.run(spark, sf)
+    assert {(r["doc_id"], r["size"], r["taken"]) for r in got.collect()} == want and len(bad) and len(leaks) and len(left) == got.count()
+
+
+def test_pipeline_odd_rows_and_empty_tables(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = odd_rows() + [(3, "another text of the same number", None, None, None), (77, "only once here", "en", "s", 1), (77, "only once here", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(1) for c in ("size", "digest", "component_id", "kept", "score", "taken", "count")}).repartition(3)
+    labels = spark.createDataFrame([(1, None, 0), (None, 1, 1), (5, 0, None), (2, 0, 0), (2, 0, 0)], "doc_id bigint, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "no document holds this item at all"), (None, "x"), (3, None), (4, "")], "item_id bigint, text string")
+    path = folder_of(spark, tmp_path / "odd", docs, labels, bench)
+    step = spark.read.parquet(f"{path}/documents.parquet")
+    for name, stage in pipeline.STAGES[:-1]:
+        step = materialize(stage(spark, step, path), "step")
+        assert step.columns == docs.columns, name
+        if name == "exact dedup":  # equal texts by their smallest number, rows without a number all
+            seen = collections.Counter((r["doc_id"], re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or "")) for r in step.collect())
+            assert all(n == 1 for (d, _), n in seen.items() if d is not None) and sum(n for (d, _), n in seen.items() if d is None) == 2
+            assert {d for d, _ in seen} == {None, 0, 2, 3, 4, 6, 7, 8, 9, 10, 11, 12, 14, 15, 77}
+            assert sum(d == 3 for d, _ in seen) == 2
+    got = pipeline.run(spark, path).collect()
+    assert len(got) == step.count() and all(r["taken"] <= 2 * r["size"] for r in got)
+    path = folder_of(spark, tmp_path / "empty", docs.limit(0), labels.limit(0), bench.limit(0))
+    assert pipeline.run(spark, path).count() == 0
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, spark.read.parquet(f"{path}/documents.parquet"), path).count() == 0, name
+
+
 def test_pipeline_stages(spark, sf):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
