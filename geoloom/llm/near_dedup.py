@@ -163,7 +163,7 @@ def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 COMPARED = "a bigint, b bigint, shared bigint, total bigint, size_a bigint, size_b bigint"
 DIFFERENCE = COMPARED + ", elements array<bigint>"
 #: Pairs of one head, and rows of one shingle set, that a task meets.
-PAIRS_AT_ONCE, ROWS_AT_ONCE = 64, 4096
+PAIRS_AT_ONCE, ROWS_AT_ONCE = 64, 256
 #: Up to this many open members a family keeps its head for the second round.
 FEW = 16
 
