@@ -1,11 +1,13 @@
 """Raster samples, statistics, grids and tiles.
 
-Samples are rows (map_id, row, col, h); headers rows (map_id, ul_x, ul_y, pixel,
-nx, ny), y decreasing with the row.
+Samples are rows (map_id, row, col, h), with a ``band`` after the map where maps
+have several, each of which is then worked on by itself; headers rows (map_id, ul_x,
+ul_y, pixel, nx, ny), y decreasing with the row.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,57 +19,100 @@ from pyspark.sql import functions as F
 STEPS = 33  # of a height block
 
 
-def samples_to_blocks(samples: DataFrame, size: int) -> DataFrame:
-    """Square tiles of little-endian doubles, rows after rows, padded with zeros past the map's edge."""
+# Bits of the pixel types, and how those of whole bytes lie in memory.
+PIXEL_BITS = {"u1": 1, "u2": 2, "u4": 4, "u8": 8, "s8": 8, "u16": 16, "s16": 16, "u32": 32, "s32": 32, "f32": 32, "f64": 64, "c64": 64, "c128": 128}
+LAYOUT = {"u8": "<u1", "s8": "<i1", "u16": "<u2", "s16": "<i2", "u32": "<u4", "s32": "<i4", "f32": "<f4", "f64": "<f8", "c64": "<c8", "c128": "<c16"}
+
+
+def band_keys(*frames: DataFrame) -> list[str]:
+    """What tells rasters apart in all of the frames: the map, and the band if there are bands."""
+    return ["map_id", *(["band"] if all("band" in f.columns for f in frames) else [])]
+
+
+def encode_pixels(values: np.ndarray, pixel_type: str) -> bytes:
+    """Pixels in memory order; several in a byte begin with its low bits."""
+    bits = PIXEL_BITS[pixel_type]
+    if bits >= 8:
+        return values.astype(LAYOUT[pixel_type]).tobytes()
+    x = values.astype(np.uint8).reshape(-1, 8 // bits) << (bits * np.arange(8 // bits, dtype=np.uint8))
+    return np.bitwise_or.reduce(x, axis=1).astype(np.uint8).tobytes()
+
+
+def decode_pixels(data: bytes, pixel_type: str) -> np.ndarray:
+    bits = PIXEL_BITS[pixel_type]
+    if bits >= 8:
+        return np.frombuffer(data, LAYOUT[pixel_type])
+    x = np.frombuffer(data, np.uint8)[:, None] >> (bits * np.arange(8 // bits, dtype=np.uint8))
+    return (x & (2**bits - 1)).reshape(-1)
+
+
+def samples_to_blocks(samples: DataFrame, size: int, pixel_type: str = "f64") -> DataFrame:
+    """Square tiles of pixels in little-endian order, rows after rows, padded with zeros past the map's edge. The imaginary part of complex ones is ``h_im``. ``size`` squared is a multiple of 8."""
+    keys = band_keys(samples)
     where = [F.floor(F.col(c) / size).cast("int").alias(n) for c, n in (("row", "block_y"), ("col", "block_x"))]
     cell = ((F.col("row") % size) * size + F.col("col") % size).cast("int")
+    parts = ["h", *(["h_im"] if pixel_type[0] == "c" else [])]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for cells in b["cells"].to_pylist():
-                x = np.zeros(size * size)
-                for c in cells:
-                    x[c["cell"]] = c["h"]
-                out.append(x.astype("<f8").tobytes())
-            yield pa.RecordBatch.from_arrays([b["map_id"], b["block_y"], b["block_x"], pa.array(out, pa.binary())], names=["map_id", "block_y", "block_x", "data"])
+            cells = b["cells"].combine_chunks() if isinstance(b["cells"], pa.ChunkedArray) else b["cells"]
+            flat = cells.flatten()
+            tile = np.repeat(np.arange(len(cells)), np.diff(cells.offsets.to_numpy()))
+            x = np.zeros((len(cells), size * size), complex if len(parts) == 2 else float)
+            value = flat.field("h").to_numpy(zero_copy_only=False)
+            x[tile, flat.field("cell").to_numpy()] = value + 1j * flat.field("h_im").to_numpy(zero_copy_only=False) if len(parts) == 2 else value
+            names = [*keys, "block_y", "block_x"]
+            yield pa.RecordBatch.from_arrays([*(b[n] for n in names), pa.array([encode_pixels(row, pixel_type) for row in x], pa.binary())], names=[*names, "data"])
 
-    tiles = samples.groupBy("map_id", *where).agg(F.collect_list(F.struct(cell.alias("cell"), "h")).alias("cells"))
-    return tiles.mapInArrow(pack, "map_id bigint, block_y int, block_x int, data binary")
+    tiles = samples.groupBy(*keys, *where).agg(F.collect_list(F.struct(cell.alias("cell"), *parts)).alias("cells"))
+    return tiles.mapInArrow(pack, ", ".join(f"{k} bigint" for k in keys) + ", block_y int, block_x int, data binary")
 
 
-def raster_blocks_to_samples(blocks: DataFrame, headers: DataFrame, size: int) -> DataFrame:
-    """A row per pixel inside the map; tiles without data are zeros."""
+def raster_blocks_to_samples(blocks: DataFrame, headers: DataFrame, size: int, pixel_type: str = "f64") -> DataFrame:
+    """A row per pixel inside the map; tiles without data are zeros. Complex pixels give ``h_im``, too."""
+    keys = band_keys(blocks)
+    complex_ = pixel_type[0] == "c"
+    names = [*keys, "row", "col", "h", *(["h_im"] if complex_ else [])]
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = np.arange(size * size)
         for b in batches:
-            for k, (data, map_id, y, x) in enumerate(zip(b["data"], b["map_id"].to_pylist(), b["block_y"].to_pylist(), b["block_x"].to_pylist())):
-                h = np.frombuffer(data.as_buffer(), "<f8") if data.is_valid else np.zeros(size * size)
-                at = np.arange(size * size)
-                yield pa.RecordBatch.from_pydict({"map_id": np.full(size * size, map_id), "row": y * size + at // size, "col": x * size + at % size, "h": h})
+            for k, (data, y, x, *own) in enumerate(zip(b["data"], b["block_y"].to_pylist(), b["block_x"].to_pylist(), *(b[c].to_pylist() for c in keys))):
+                h = decode_pixels(data.as_buffer(), pixel_type)[: size * size] if data.is_valid else np.zeros(size * size)
+                values = [h.real.astype(float), h.imag.astype(float)] if complex_ else [h.astype(float)]
+                columns = [*(np.full(size * size, v) for v in own), y * size + at // size, x * size + at % size, *values]
+                yield pa.RecordBatch.from_pydict(dict(zip(names, columns)))
 
-    flat = blocks.mapInArrow(unpack, "map_id bigint, row bigint, col bigint, h double")
-    return flat.join(headers.select("map_id", "nx", "ny"), "map_id").where("row < ny and col < nx").drop("nx", "ny")
+    flat = blocks.mapInArrow(unpack, ", ".join(f"{n} {'double' if n[0] == 'h' else 'bigint'}" for n in names))
+    own = band_keys(blocks, headers)
+    inside = flat.join(headers.select(*own, "nx", "ny"), own).where("row < ny and col < nx")
+    return inside.select(*names)
 
 
 def raster_range(samples: DataFrame, seeded: bool = False) -> DataFrame:
-    """Least and greatest height per map; ``seeded`` starts from 100000 and -100000."""
+    """Least and greatest height per map and band; ``seeded`` starts from 100000 and -100000."""
     lo, hi = F.min("h"), F.max("h")
     if seeded:
         lo, hi = F.least(lo, F.lit(100000.0)), F.greatest(hi, F.lit(-100000.0))
-    return samples.groupBy("map_id").agg(lo.alias("lo"), hi.alias("hi"))
+    return samples.groupBy(*band_keys(samples)).agg(lo.alias("lo"), hi.alias("hi"))
 
 
 def raster_statistics(samples: DataFrame) -> DataFrame:
-    return samples.groupBy("map_id").agg(F.min("h").alias("minimum"), F.max("h").alias("maximum"), F.avg("h").alias("mean"), F.percentile("h", F.lit(0.5)).alias("median"), F.mode("h", deterministic=True).alias("mode"), F.stddev_samp("h").alias("stddev"))
+    """Minimum, maximum, mean, median, mode (the least of several) and standard deviation per map and band. Median and mode come from counts of the distinct heights."""
+    keys = band_keys(samples)
+    plain = samples.groupBy(*keys).agg(F.min("h").alias("minimum"), F.max("h").alias("maximum"), F.avg("h").alias("mean"), F.stddev_samp("h").alias("stddev"))
+    heights = samples.where("h is not null").groupBy(*keys, "h").agg(F.count("*").alias("n"))
+    ranked = heights.groupBy(*keys).agg(F.percentile("h", F.lit(0.5), F.col("n")).alias("median"), F.max_by("h", F.struct(F.col("n"), -F.col("h"))).alias("mode"))
+    return plain.join(ranked, keys, "left").select(*keys, "minimum", "maximum", "mean", "median", "mode", "stddev")
 
 
 def raster_histogram(samples: DataFrame, bins: int, lo: float, hi: float) -> DataFrame:
-    """Counts of linear bins between the limits, values at or past them in the outer bins; empty bins count 0."""
+    """Counts of linear bins between the limits per map and band, values at or past them in the outer bins; empty bins count 0."""
+    keys = band_keys(samples)
     b = F.least(F.greatest(F.floor((F.col("h") - lo) / (hi - lo) * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
-    counts = samples.groupBy("map_id", b.alias("bin")).agg(F.count("*").alias("n"))
-    frame = samples.select("map_id").distinct().select("map_id", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    return frame.join(counts, ["map_id", "bin"], "left").select("map_id", "bin", F.coalesce("n", F.lit(0)).alias("n"))
+    counts = samples.groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("n"))
+    frame = samples.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return frame.join(counts, [*keys, "bin"], "left").select(*keys, "bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def data_range_ok(ranges: DataFrame) -> DataFrame:
@@ -75,17 +120,9 @@ def data_range_ok(ranges: DataFrame) -> DataFrame:
 
 
 def nodata_to_null(samples: DataFrame, nodata: DataFrame) -> DataFrame:
-    """Heights equal to their map's no-data value become null."""
-    joined = samples.join(nodata, "map_id", "left")
-    return joined.select("map_id", "row", "col", F.nullif("h", "nodata").alias("h"))
-
-
-def with_neighbours(samples: DataFrame) -> DataFrame:
-    """Each sample with its right, lower and lower right neighbours; past the edge the nearer one is used again."""
-    along = W.partitionBy("map_id", "row").orderBy("col")
-    down = W.partitionBy("map_id", "col").orderBy("row")
-    s = samples.withColumn("h01", F.coalesce(F.lead("h").over(along), F.col("h")))
-    return s.withColumn("h10", F.coalesce(F.lead("h").over(down), F.col("h"))).withColumn("h11", F.coalesce(F.lead("h01").over(down), F.col("h01")))
+    """Heights equal to their map's (and band's) no-data value become null."""
+    joined = samples.join(nodata, band_keys(samples, nodata), "left")
+    return joined.select(*band_keys(samples), "row", "col", F.nullif("h", "nodata").alias("h"))
 
 
 def bilinear(fx: Column, fy: Column) -> Column:
@@ -98,9 +135,23 @@ def bilinear(fx: Column, fy: Column) -> Column:
 
 
 def bilinear_sample(queries: DataFrame, samples: DataFrame) -> DataFrame:
-    """Heights at fractional (map_id, x, y); points outside their map have none. One equi-join on the pixel."""
-    at = queries.withColumn("col", F.floor("x")).withColumn("row", F.floor("y"))
-    return at.join(with_neighbours(samples), ["map_id", "row", "col"]).withColumn("height", bilinear(F.col("x") - F.col("col"), F.col("y") - F.col("row")))
+    """Heights at fractional (map_id, x, y); points outside their map have none.
+
+    Four equi-joins on the pixel, for it and its right, lower and lower right
+    neighbours, that share one distribution of the samples. Where a neighbour is
+    missing, at the edge or in a gap, the nearer pixel is used again.
+    """
+    keys = band_keys(queries, samples)
+    out = queries.withColumn("col", F.floor("x")).withColumn("row", F.floor("y"))
+    for name, down, right in (("h", 0, 0), ("h01", 0, 1), ("h10", 1, 0), ("h11", 1, 1)):
+        s = samples.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("row").alias("_row"), F.col("col").alias("_col"), F.col("h").alias(name))
+        same = (F.col("row") + down == F.col("_row")) & (F.col("col") + right == F.col("_col"))
+        for k in keys:
+            same = same & (F.col(k) == F.col(f"_{k}"))
+        out = out.join(s, same, "left" if name != "h" else "inner").drop("_row", "_col", *[f"_{k}" for k in keys])
+    out = out.withColumn("h11", F.when(F.col("h10").isNull(), F.col("h01")).otherwise(F.coalesce("h11", "h10")))
+    out = out.withColumns({c: F.coalesce(c, F.col("h")) for c in ("h01", "h10", "h11")})
+    return out.withColumn("height", bilinear(F.col("x") - F.col("col"), F.col("y") - F.col("row")))
 
 
 def map_extent(headers: DataFrame) -> DataFrame:
@@ -199,8 +250,8 @@ def texture_window(blocks: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def overview_grid(samples: DataFrame, level: int) -> DataFrame:
-    """Means of level x level cells."""
-    return samples.groupBy("map_id", F.floor(F.col("row") / level).alias("row"), F.floor(F.col("col") / level).alias("col")).agg(F.avg("h").alias("h"))
+    """Means of level x level cells per map and band."""
+    return samples.groupBy(*band_keys(samples), F.floor(F.col("row") / level).alias("row"), F.floor(F.col("col") / level).alias("col")).agg(F.avg("h").alias("h"))
 
 
 def apply_palette(samples: DataFrame, palette: DataFrame) -> DataFrame:
@@ -231,16 +282,88 @@ def rle_decode(runs: DataFrame) -> DataFrame:
     return e.select("block_id", (F.col("start") + F.col("k")).alias("pos"), (F.col("value") + F.col("minimum")).alias("v"))
 
 
-def drape(points: DataFrame, triangles: DataFrame, cell: float) -> DataFrame:
-    """Add the highest hit of the vertical ray through each point to its altitude; points without a hit keep theirs.
+#: A run's repeat takes 1 to 4 bytes, high byte first, whose first two bits say how many more there are.
+def pack_runs(runs: DataFrame) -> DataFrame:
+    """Runs of ``rle_encode`` as one block of bytes each: (block_id, pixels, data).
 
-    Triangles have corners x0, y0, z0 .. x2, y2, z2. They go to all cells of their
-    box, points to one cell; the greatest t per point is folded before it is joined
-    back. Bounds are inclusive, flat-on-edge triangles (|a| < 1e-30) never hit.
+    Minimum, number of runs and where the values begin, 4 bytes each, the bit width,
+    then the repeats and the values less the minimum, high byte first. Blocks that
+    runs don't make smaller hold all values in that width, and -1 for the runs.
     """
-    span = lambda a: F.explode(F.sequence(F.floor(F.least(*[f"{a}{k}" for k in range(3)]) / cell), F.floor(F.greatest(*[f"{a}{k}" for k in range(3)]) / cell)))
-    tri = triangles.withColumn("cell_x", span("x")).withColumn("cell_y", span("y"))
-    pts = points.withColumn("cell_x", F.floor(F.col("lon") / cell)).withColumn("cell_y", F.floor(F.col("lat") / cell))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out, sizes = [], []
+            for rows in b["runs"].to_pylist():
+                bits, low = rows[0]["bits"], rows[0]["minimum"]
+                values, repeats = np.array([r["value"] for r in rows]), np.array([r["repeat"] for r in rows])
+                if rows[0]["smaller"]:
+                    counts = b"".join((n | (k - 1) << (8 * k - 2)).to_bytes(k, "big") for n in repeats.tolist() for k in (1 + (n >= 2**6) + (n >= 2**14) + (n >= 2**22),))
+                    head = struct.pack("<iiiB", low, len(rows), 13 + len(counts), bits)
+                else:
+                    counts, values = b"", np.repeat(values, repeats)
+                    head = struct.pack("<iiiB", low, -1, 13, bits)
+                sizes.append(int(repeats.sum()))
+                out.append(head + counts + values.astype(f">u{bits // 8}").tobytes())
+            yield pa.RecordBatch.from_arrays([b["block_id"].cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], names=["block_id", "pixels", "data"])
+
+    rows = runs.groupBy(F.col("block_id").cast("bigint").alias("block_id")).agg(F.array_sort(F.collect_list(F.struct("run_no", "value", "repeat", "minimum", "bits", "smaller"))).alias("runs"))
+    return rows.mapInArrow(pack, "block_id bigint, pixels bigint, data binary")
+
+
+def _values(data: bytes, bits: int, n: int) -> np.ndarray:
+    """n values of 0 to 32 bits, several in a byte from its low bits, several bytes high byte first."""
+    if not bits:
+        return np.zeros(n, np.int64)
+    if bits < 8:
+        return decode_pixels(data[: -(-n * bits // 8)], f"u{bits}")[:n].astype(np.int64)
+    return np.frombuffer(data, f">u{bits // 8}", n).astype(np.int64)
+
+
+def decode_block(data: bytes, pixels: int) -> np.ndarray:
+    """Pixels of a compressed block; runs that go past its size are cut."""
+    low, n, begin, bits = struct.unpack_from("<iiiB", data)
+    if n == -1:
+        return _values(data[13:], bits, pixels) + low
+    repeats, at = np.zeros(n, np.int64), 13
+    for k in range(n):
+        more = data[at] >> 6
+        repeats[k] = int.from_bytes(data[at : at + 1 + more], "big") & (1 << (6 + 8 * more)) - 1
+        at += 1 + more
+    return np.repeat(_values(data[begin:], bits, n) + low, repeats)[:pixels]
+
+
+def unpack_runs(blocks: DataFrame) -> DataFrame:
+    """Pixels (block_id, pos, v) of blocks of bytes (block_id, pixels, data)."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, pixels, data in zip(b["block_id"].to_pylist(), b["pixels"].to_pylist(), b["data"].to_pylist()):
+                v = decode_block(data, pixels)
+                yield pa.RecordBatch.from_pydict({"block_id": np.full(len(v), block), "pos": np.arange(len(v)), "v": v})
+
+    return blocks.select("block_id", "pixels", "data").mapInArrow(unpack, "block_id bigint, pos bigint, v bigint")
+
+
+def ray_hits(points: DataFrame, triangles: DataFrame, cell: float, levels: int = 12) -> DataFrame:
+    """Hits (point columns, triangle columns, t) of the vertical rays through the points (lon, lat, alt).
+
+    Triangles have corners x0, y0, z0 .. x2, y2, z2. Each lies on the level whose
+    cells, ``cell`` times a power of two, are as large as its box, and so in four
+    cells at most; points look into one cell a level that occurs. Triangles larger
+    than the last level's cells take more cells there. Bounds are inclusive,
+    flat-on-edge triangles (|a| < 1e-30) never hit.
+    """
+    low = {a: F.least(*[f"{a}{k}" for k in range(3)]) for a in "xy"}
+    high = {a: F.greatest(*[f"{a}{k}" for k in range(3)]) for a in "xy"}
+    size = F.greatest(*[high[a] - low[a] for a in "xy"])
+    level = F.greatest(F.lit(0), F.least(F.lit(levels - 1), F.ceil(F.log2(F.greatest(size, F.lit(cell)) / cell)))).cast("int")
+    tri = triangles.withColumn("_level", level)
+    width = F.lit(cell) * F.pow(F.lit(2.0), F.col("_level"))
+    span = lambda a: F.explode(F.sequence(F.floor(low[a] / width), F.floor(high[a] / width)))
+    used = tri.select("_level").distinct()
+    tri = tri.withColumn("_cell_x", span("x")).withColumn("_cell_y", span("y"))
+    pts = points.join(F.broadcast(used)).withColumns({"_cell_x": F.floor(F.col("lon") / width), "_cell_y": F.floor(F.col("lat") / width)})
     e1, e2 = ([F.col(f"{a}{k}") - F.col(f"{a}0") for a in "xyz"] for k in (1, 2))
     a = e1[1] * e2[0] - e1[0] * e2[1]
     s = [F.col("lon") - F.col("x0"), F.col("lat") - F.col("y0"), F.col("alt") - F.col("z0")]
@@ -249,6 +372,16 @@ def drape(points: DataFrame, triangles: DataFrame, cell: float) -> DataFrame:
     q = [s[1] * e1[2] - s[2] * e1[1], s[2] * e1[0] - s[0] * e1[2], s[0] * e1[1] - s[1] * e1[0]]
     v = f * q[2]
     t = f * (e2[0] * q[0] + e2[1] * q[1] + e2[2] * q[2])
-    hit = pts.join(tri, ["cell_x", "cell_y"]).where((u >= 0) & (u <= 1) & (v >= 0) & (u + v <= 1))
-    best = hit.groupBy("point_id").agg(F.max(t).alias("t"))
+    hit = pts.join(tri, ["_level", "_cell_x", "_cell_y"]).where((u >= 0) & (u <= 1) & (v >= 0) & (u + v <= 1))
+    return hit.withColumn("t", t).drop("_level", "_cell_x", "_cell_y")
+
+
+def topmost_hit(hits: DataFrame, triangle: str, point: str = "point_id") -> DataFrame:
+    """The greatest t of each point, and its triangle (of equal ones the least)."""
+    return hits.groupBy(point).agg(F.max("t").alias("t"), F.max_by(triangle, F.struct(F.col("t"), -F.col(triangle))).alias(triangle))
+
+
+def drape(points: DataFrame, triangles: DataFrame, cell: float) -> DataFrame:
+    """Add the highest hit of the vertical ray through each point to its altitude; points without a hit keep theirs. The greatest t per point is folded before it is joined back."""
+    best = ray_hits(points, triangles, cell).groupBy("point_id").agg(F.max("t").alias("t"))
     return points.join(best, "point_id", "left").withColumn("draped", F.col("alt") + F.coalesce("t", F.lit(0.0)))

@@ -434,11 +434,6 @@ def m16(spark, d):
 # order
 
 
-@query("o01_topmost_hit", sql("gps_point", "SELECT path_id, arg_max(point_id, alt) AS top, max(alt) AS alt FROM gps_point GROUP BY path_id"))
-def o01(spark, d):
-    return view(spark, d, "gps_point").groupBy("path_id").agg(F.max_by("point_id", "alt").alias("top"), F.max("alt").alias("alt"))
-
-
 @query("o02_first_and_last", sql("capture_record", "SELECT dump_id, arg_min(arg, seq) AS first_matrix, max(CASE WHEN tag='draw' THEN seq END) AS last_draw FROM (SELECT * FROM capture_record WHERE tag IN ('matrix','draw')) GROUP BY dump_id"))
 def o02(spark, d):
     return rec(spark, d).where("tag in ('matrix', 'draw')").groupBy("dump_id").agg(F.min_by("arg", "seq").alias("first_matrix"), F.max_by(F.when(F.col("tag") == "draw", F.col("seq")), F.when(F.col("tag") == "draw", F.col("seq"))).alias("last_draw"))

@@ -15,8 +15,10 @@ VIEWS = {
     "texture_level": ("part", "SELECT p_partkey % 200 AS texture_id, p_size % 6 AS level, p_partkey AS write_no, 64*(1 + p_partkey % 4) AS width, 128 AS height, 1024 + p_partkey % 977 AS size FROM part"),
     "dxt1_block": ("orders", "SELECT o_orderkey AS block_id, (o_orderkey*7919) % 65536 AS c0, (o_custkey*104729) % 65536 AS c1, (o_orderkey*2654435761) % 4294967296 AS idx FROM orders"),
     "raster_sample": ("embeddings", "SELECT CAST(floor(vec_id/64e0) AS BIGINT) AS map_id, vec_id % 64 AS row, CAST(p AS BIGINT) AS col, CAST(v AS DOUBLE)*1000e0 AS h FROM embeddings LATERAL VIEW posexplode(embedding) t AS p, v"),
+    "band_sample": ("embeddings", "SELECT CAST(floor(vec_id/128e0) AS BIGINT) AS map_id, CAST(floor(vec_id/64e0) AS BIGINT) % 2 AS band, vec_id % 64 AS row, CAST(p AS BIGINT) AS col, CAST(v AS DOUBLE)*1000e0 AS h FROM embeddings LATERAL VIEW posexplode(embedding) t AS p, v"),
 }
 DUCKDB = VIEWS | {
+    "band_sample": ("embeddings", 'SELECT CAST(floor(vec_id/128e0) AS BIGINT) AS map_id, CAST(floor(vec_id/64e0) AS BIGINT) % 2 AS band, vec_id % 64 AS "row", i-1 AS col, CAST(embedding[i] AS DOUBLE)*1000e0 AS h FROM embeddings, generate_series(1,64) g(i)'),
     "raster_sample": ("embeddings", 'SELECT CAST(floor(vec_id/64e0) AS BIGINT) AS map_id, vec_id % 64 AS "row", i-1 AS col, CAST(embedding[i] AS DOUBLE)*1000e0 AS h FROM embeddings, generate_series(1,64) g(i)'),
 }
 

@@ -278,10 +278,10 @@ def g20(spark, d):
     return p.select("point_id", "a.x", "a.y", "a.z", c("b.x").alias("bx"), c("b.y").alias("by_"), c("b.z").alias("bz"))
 
 
-@query("g21_rotation_euler", sql("gps_point", "SELECT point_id, round(lat/100,6) AS rx, round(lon/300,6) AS ry, round(alt/1000,6) AS rz, round(cos(alt/1000)*cos(lon/300),6)+0.0 AS m0, round(-sin(lon/300),6)+0.0 AS m6 FROM gps_point WHERE alt < 3000"))
+@query("g21_rotation_euler", sql("gps_point", "SELECT point_id, round(lat/100,6) AS rx, round(lon/300,6) AS ry, round(atan2(sin(alt/1000),cos(alt/1000)),6)+0.0 AS rz, round(cos(alt/1000)*cos(lon/300),6)+0.0 AS m0, round(-sin(lon/300),6)+0.0 AS m6 FROM gps_point"))
 def g21(spark, d):
-    p = points(spark, d).where("alt < 3000").withColumn("m", geo.rotation_euler(c("lat") / 100, c("lon") / 300, c("alt") / 1000)).withColumn("e", geo.euler_angles(c("m")))
-    return p.select("point_id", *[F.round(c("e")[f], 6).alias(f) for f in ("rx", "ry", "rz")], r(c("m")[0], 6).alias("m0"), r(c("m")[6], 6).alias("m6"))
+    p = points(spark, d).withColumn("m", geo.rotation_euler(c("lat") / 100, c("lon") / 300, c("alt") / 1000)).withColumn("e", geo.euler_angles(c("m")))
+    return p.select("point_id", *[r(c("e")[f], 6).alias(f) for f in ("rx", "ry", "rz")], r(c("m")[0], 6).alias("m0"), r(c("m")[6], 6).alias("m6"))
 
 
 @query("g22_uv_of", sql("gps_point", "SELECT point_id, round(greatest(least((lon+122.25e0)/0.5e0,1e0),0e0),9) AS u, round(greatest(least((lat-37.25e0)/0.5e0,1e0),0e0),9) AS v FROM gps_point"))

@@ -29,9 +29,14 @@ def samples(spark, d) -> DataFrame:
     return view(spark, d, "raster_sample").select(F.col("map_id"), F.col("row").cast("bigint").alias("row"), "col", "h")
 
 
+def bands(spark, d) -> DataFrame:
+    """Rasters of two bands."""
+    return view(spark, d, "band_sample").select("map_id", "band", F.col("row").cast("bigint").alias("row"), "col", "h")
+
+
 def headers(s: DataFrame) -> DataFrame:
-    h = s.groupBy("map_id").agg((F.max("row") + 1).alias("ny"), (F.max("col") + 1).alias("nx"))
-    return h.select("map_id", (F.lit(-122.5) + F.col("map_id") * 0.1).alias("ul_x"), F.lit(37.9).alias("ul_y"), F.lit(0.001).alias("pixel"), F.col("nx").cast("int").alias("nx"), F.col("ny").cast("int").alias("ny"))
+    h = s.groupBy(*raster.band_keys(s)).agg((F.max("row") + 1).alias("ny"), (F.max("col") + 1).alias("nx"))
+    return h.select(*raster.band_keys(s), (F.lit(-122.5) + F.col("map_id") * 0.1).alias("ul_x"), F.lit(37.9).alias("ul_y"), F.lit(0.001).alias("pixel"), F.col("nx").cast("int").alias("nx"), F.col("ny").cast("int").alias("ny"))
 
 
 HEAD = """, hd AS (SELECT map_id, -122.5e0 + map_id*0.1e0 AS ul_x, 37.9e0 AS ul_y, 0.001e0 AS pixel, CAST(max(col)+1 AS INTEGER) AS nx, CAST(max("row")+1 AS INTEGER) AS ny FROM raster_sample GROUP BY map_id)"""
@@ -61,9 +66,60 @@ def a05(spark, d):
     return raster.raster_histogram(samples(spark, d), 16, -300.0, 300.0)
 
 
-@query("a06_data_range_ok", sql("raster_sample", 'SELECT map_id, min(h) AS lo, max(h) AS hi FROM raster_sample WHERE col = "row" OR map_id % 2 = 0 GROUP BY map_id HAVING max(h) > min(h)'))
+@query("a06_data_range_ok", sql("raster_sample", 'SELECT map_id, min(CASE WHEN map_id % 3 = 0 THEN 1e0 ELSE h END) AS lo, max(CASE WHEN map_id % 3 = 0 THEN 1e0 ELSE h END) AS hi FROM raster_sample GROUP BY map_id HAVING map_id % 3 <> 0 AND max(h) > min(h)'))
 def a06(spark, d):
-    return raster.data_range_ok(raster.raster_range(samples(spark, d).where("col = row or map_id % 2 = 0")))
+    """Every third map is flat and has no range."""
+    s = samples(spark, d).withColumn("h", F.when(F.col("map_id") % 3 == 0, 1.0).otherwise(F.col("h")))
+    return raster.data_range_ok(raster.raster_range(s))
+
+
+@query("a03_band_range", sql("band_sample", "SELECT map_id, band, min(h) AS lo, max(h) AS hi FROM band_sample GROUP BY ALL"))
+def a03b(spark, d):
+    return raster.raster_range(bands(spark, d))
+
+
+_K2 = ", k AS (SELECT map_id, band, floor(h/50e0) AS h FROM band_sample)"
+
+
+@query("a04_band_statistics", sql("band_sample", _K2 + ", n AS (SELECT map_id, band, h, count(*) AS n FROM k GROUP BY ALL), m AS (SELECT map_id, band, min(h) AS mode FROM (SELECT *, rank() OVER (PARTITION BY map_id, band ORDER BY n DESC) AS k FROM n) WHERE k = 1 GROUP BY ALL) SELECT k.map_id, k.band, min(h) AS minimum, max(h) AS maximum, round(avg(h),6)+0.0 AS mean, quantile_cont(h, 0.5) AS median, any_value(mode) AS mode, round(stddev_samp(h),6) AS stddev FROM k JOIN m ON k.map_id = m.map_id AND k.band = m.band GROUP BY k.map_id, k.band"))
+def a04b(spark, d):
+    s = raster.raster_statistics(bands(spark, d).withColumn("h", F.floor(F.col("h") / 50.0).cast("double")))
+    return s.withColumn("mean", r(F.col("mean"), 6)).withColumn("stddev", F.round("stddev", 6))
+
+
+@query("a05_band_histogram", sql("band_sample", ", c AS (SELECT map_id, band, CAST(least(greatest(floor((h+300)/600e0*16),0),15) AS INTEGER) AS bin, count(*) AS n FROM band_sample GROUP BY ALL), m AS (SELECT DISTINCT map_id, band FROM band_sample) SELECT m.map_id, m.band, CAST(g.i AS INTEGER) AS bin, coalesce(n, 0) AS n FROM m CROSS JOIN generate_series(0, 15) g(i) LEFT JOIN c ON c.map_id = m.map_id AND c.band = m.band AND c.bin = g.i"))
+def a05b(spark, d):
+    return raster.raster_histogram(bands(spark, d), 16, -300.0, 300.0)
+
+
+@query("f07_band_nodata", sql("band_sample", ', k AS (SELECT map_id, band, "row", col, floor(h/50e0) AS h FROM band_sample) SELECT map_id, band, "row", col, nullif(h, CAST(map_id % 3 + band*2 - 1 AS DOUBLE)) AS h FROM k'))
+def f07b(spark, d):
+    s = bands(spark, d).withColumn("h", F.floor(F.col("h") / 50.0).cast("double"))
+    return raster.nodata_to_null(s, s.select("map_id", "band").distinct().withColumn("nodata", (F.col("map_id") % 3 + F.col("band") * 2 - 1).cast("double")))
+
+
+@query("m13_band_overview", sql("band_sample", 'SELECT map_id, band, "row"//8 AS "row", col//8 AS col, round(avg(h),6)+0.0 AS h FROM band_sample GROUP BY ALL'))
+def m13b(spark, d):
+    return raster.overview_grid(bands(spark, d), 8).withColumn("h", r(F.col("h"), 6))
+
+
+# the pixel types in their order, and a value of each for a row and a column
+_TYPES = list(raster.PIXEL_BITS)
+_PIXEL = ["({r}+{c}) % 2", "({r}+{c}) % 4", "({r}+{c}*3) % 16", "({r}*{c}) % 256", "({r}*{c}) % 256 - 128", "({r}*{c}*17) % 65536", "({r}*{c}) % 4000 - 2000", "({r}*{c}*1000003) % 4294967296", "({r}*{c}*1000003) % 2147483648 - 1073741824", "{r}*0.25e0 - {c}", "{r}/3e0 - {c}", "{r}*0.5e0 - {c}", "{r}/7e0 - {c}"]
+
+
+@query("s04_pixel_types", sql("band_sample", "SELECT t.i AS pixel_type, map_id, band, \"row\", col, CAST(CASE t.i " + " ".join(f"WHEN {k} THEN {e.format(r='CAST(\"row\" AS BIGINT)', c='col')}" for k, e in enumerate(_PIXEL)) + " END AS DOUBLE) AS h, CASE WHEN t.i >= 11 THEN CAST(band - \"row\" AS DOUBLE) END AS h_im FROM band_sample, generate_series(0, 12) t(i)"))
+def s04b(spark, d):
+    """Tiles of all pixel types, packed and unpacked."""
+    s, out = bands(spark, d), None
+    head = headers(s)
+    for k, (name, e) in enumerate(zip(_TYPES, _PIXEL)):
+        t = s.withColumn("h", F.expr(f"cast({e.format(r='row', c='col')} as double)")).withColumn("h_im", (F.col("band") - F.col("row")).cast("double"))
+        back = raster.raster_blocks_to_samples(raster.samples_to_blocks(t, 16, name), head, 16, name)
+        im = F.col("h_im") if "h_im" in back.columns else F.lit(None).cast("double")
+        back = back.select(F.lit(k).cast("bigint").alias("pixel_type"), "map_id", "band", "row", "col", "h", im.alias("h_im"))
+        out = back if out is None else out.union(back)
+    return out
 
 
 @query("f07_nodata_to_null", sql("raster_sample", ', k AS (SELECT map_id, "row", col, floor(h/50e0) AS h FROM raster_sample) SELECT map_id, "row", col, nullif(h, CAST(map_id % 5 AS DOUBLE)) AS h FROM k'))
@@ -95,6 +151,19 @@ def w08(spark, d):
     return raster.bilinear_sample(q, s).select("point_id", "map_id", F.round(F.col("height").cast("double"), 2).alias("height"))
 
 
+NB2 = NB.replace("nb AS", "nb2 AS").replace("a.map_id, a.", "a.map_id, a.band, a.").replace("raster_sample", "band_sample").replace(".map_id=a.map_id", ".map_id=a.map_id AND {}.band=a.band")
+for _t in "bce":
+    NB2 = NB2.replace(f"{_t}.map_id=a.map_id AND {{}}", f"{_t}.map_id=a.map_id AND {_t}")
+
+
+@query("w08_band_bilinear", sql("band_sample gps_point", f"""{NB2}, q AS (SELECT point_id, band, point_id % 3 AS map_id, (lon+122.5e0)*63 AS x, (lat-37)*63 AS y FROM gps_point, generate_series(0, 1) g(band))
+SELECT point_id, q.map_id, q.band, round(CAST({_bil('(x-floor(x))', '(y-floor(y))')} AS DOUBLE), 2) AS height FROM q JOIN nb2 nb ON nb.map_id=q.map_id AND nb.band=q.band AND nb."row"=floor(y) AND nb.col=floor(x)"""))
+def w08b(spark, d):
+    """Each point in both bands of a map."""
+    q = view(spark, d, "gps_point").select("point_id", (F.col("point_id") % 3).alias("map_id"), F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("band"), ((F.col("lon") + 122.5) * 63).alias("x"), ((F.col("lat") - 37) * 63).alias("y"))
+    return raster.bilinear_sample(q, bands(spark, d)).select("point_id", "map_id", "band", F.round(F.col("height").cast("double"), 2).alias("height"))
+
+
 @query("m01_map_extent", sql("raster_sample", f"{HEAD} SELECT map_id, round(ul_x+pixel*(nx-1),9) AS lr_x, round(ul_y-pixel*(ny-1),9) AS lr_y FROM hd"))
 def m01(spark, d):
     return raster.map_extent(headers(samples(spark, d))).select("map_id", F.round("lr_x", 9).alias("lr_x"), F.round("lr_y", 9).alias("lr_y"))
@@ -215,6 +284,12 @@ def w10(spark, d):
     return raster.rle_decode(raster.rle_encode(view(spark, d, "pixel_run_input")))
 
 
+@query("w10_rle_bytes", sql("pixel_run_input", "SELECT block_id, pos, v FROM pixel_run_input"))
+def w10b(spark, d):
+    """Blocks as bytes, of runs or of all values, and back."""
+    return raster.unpack_runs(raster.pack_runs(raster.rle_encode(view(spark, d, "pixel_run_input"))))
+
+
 def surface(spark, d) -> DataFrame:
     """Triangles of the rasters' grids with their corners."""
     s = samples(spark, d)
@@ -236,7 +311,21 @@ def j05(spark, d):
     return raster.drape(view(spark, d, "gps_point"), surface(spark, d), 0.004).select("point_id", r(F.col("draped")).alias("draped"))
 
 
-_S2 = "round({},6)+0.0"
+def surface_numbers(spark, d) -> DataFrame:
+    """Triangles with a number: map, then cell, then half."""
+    t = surface(spark, d)
+    return t.withColumn("triangle", (F.col("map_id") * 4096 + F.least("v0", "v1", "v2")) * 2 + (F.col("v2") - F.col("v0") == 64).cast("bigint"))
+
+
+@query("o01_topmost_hit", SQL["j05_drape_points"].split("tri AS (")[0] + """tri AS (SELECT (a.map_id*4096+a.y*64+a.x)*2 AS triangle, a.px AS x0, a.py AS y0, a.h AS z0, b.px AS x1, b.py AS y1, b.h AS z1, d.px AS x2, d.py AS y2, d.h AS z2 FROM g a JOIN g b ON b.map_id=a.map_id AND b.y=a.y AND b.x=a.x+1 JOIN g d ON d.map_id=a.map_id AND d.y=a.y+1 AND d.x=a.x+1
+ UNION ALL SELECT (a.map_id*4096+a.y*64+a.x)*2+1, a.px, a.py, a.h, d.px, d.py, d.h, c.px, c.py, c.h FROM g a JOIN g d ON d.map_id=a.map_id AND d.y=a.y+1 AND d.x=a.x+1 JOIN g c ON c.map_id=a.map_id AND c.y=a.y+1 AND c.x=a.x),
+hit AS (SELECT point_id, triangle, ((lat-y0)*(x2-x0)-(lon-x0)*(y2-y0))/((y1-y0)*(x2-x0)-(x1-x0)*(y2-y0)) AS u, ((lon-x0)*(y1-y0)-(lat-y0)*(x1-x0))/((y1-y0)*(x2-x0)-(x1-x0)*(y2-y0)) AS v, alt, z0, z1, z2 FROM gps_point JOIN tri ON lon >= x0 - 0.0011e0 AND lon <= x0 + 0.0011e0 AND lat <= y0 + 0.0011e0 AND lat >= y0 - 0.0011e0),
+k AS (SELECT *, z0+u*(z1-z0)+v*(z2-z0)-alt AS t FROM hit WHERE u >= 0 AND u <= 1 AND v >= 0 AND u+v <= 1), o AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY t DESC, triangle) AS n FROM k)
+SELECT point_id, triangle, round(t,3)+0.0 AS t FROM o WHERE n = 1""")
+def o01(spark, d):
+    """The highest triangle over each point."""
+    hits = raster.ray_hits(view(spark, d, "gps_point"), surface_numbers(spark, d), 0.001)
+    return raster.topmost_hit(hits, "triangle").select("point_id", "triangle", r(F.col("t")).alias("t"))
 
 
 @query("m12_globe_vertices", sql("gps_point_raw", "SELECT CAST(CASE WHEN lat = 90 THEN 0 WHEN lat = -90 THEN 64620 ELSE 1 + (89-lat)*361 + lon+180 END AS BIGINT) AS vertex_idx, count(*) AS points FROM gps_point_raw WHERE abs(lon) <= 180 AND abs(lat) <= 90 GROUP BY ALL"))
@@ -248,3 +337,17 @@ def m12(spark, d):
     pole = F.abs("lat") == 90
     at = p.select(F.col("lat").cast("int").alias("lat"), F.when(pole, 0).otherwise(F.col("lon").cast("int")).alias("lon"))
     return at.join(globe_vertices(spark).select("lat", "lon", "vertex_idx"), ["lat", "lon"]).groupBy("vertex_idx").agg(F.count("*").alias("points"))
+
+
+@query("m12_globe_triangles", sql("gps_point_raw", """, p AS (SELECT DISTINCT CAST(lat AS BIGINT) AS lat, CAST(lon AS BIGINT) AS lon FROM gps_point_raw WHERE lat < 89 AND lat > -89 AND lon >= -180 AND lon < 180),
+v AS (SELECT lat, lon, 1 + (89-lat)*361 + lon+180 AS a FROM p)
+SELECT lat, lon, k AS half, a AS v0, CASE WHEN k = 0 THEN a+361 ELSE a+362 END AS v1, CASE WHEN k = 0 THEN a+362 ELSE a+1 END AS v2, round((lon+180)/360e0, 6) AS u, round((90-lat)/180e0, 6) AS v FROM v, generate_series(0, 1) g(k)"""))
+def m12t(spark, d):
+    """The globe's two triangles at each point's degree, with the uv of their first corner."""
+    from geoloom.operators.mesh import globe_triangles, globe_vertices
+
+    p = view(spark, d, "gps_point_raw").where("lat < 89 and lat > -89 and lon >= -180 and lon < 180").select(F.col("lat").cast("bigint").alias("lat"), F.col("lon").cast("bigint").alias("lon")).distinct()
+    v = globe_vertices(spark).select(F.col("lat").cast("bigint").alias("lat"), F.col("lon").cast("bigint").alias("lon"), F.col("vertex_idx").alias("v0"), F.round("u", 6).alias("u"), F.round("v", 6).alias("v"))
+    t = globe_triangles(spark).where("v0 > 0 and v0 < 64620")
+    half = (F.col("v2") == F.col("v0") + 1).cast("bigint")
+    return p.join(v, ["lat", "lon"]).join(t, "v0").select("lat", "lon", half.alias("half"), "v0", "v1", "v2", "u", "v")
