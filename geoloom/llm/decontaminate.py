@@ -341,40 +341,67 @@ def unit_rows(x: np.ndarray, least: float = 1e-9) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), least)
 
 
-def retriever(blocks: list[Block], spaces: list[np.ndarray]) -> Callable[[Tokens], tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """A function from a group of documents to the candidates by the latent spaces: halves, items, and cosines."""
-    rows = [(space * b.weight[:, None]).astype(np.float32) for b, space in zip(blocks, spaces)]
-    queries = [unit_rows(b.parts @ space, 0.01).astype(np.float32).T for b, space in zip(blocks, spaces)]
+def retriever(block: Block, space: np.ndarray) -> Callable[[Tokens], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """A function from a group of documents to the candidates by the block's latent space: halves, items (numbers in the block), and cosines."""
+    rows = (space * block.weight[:, None]).astype(np.float32)
+    query = unit_rows(block.parts @ space, 0.01).astype(np.float32).T
+    _, item = np.unique(block.item_of, return_inverse=True)
 
     def retrieve(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n = len(t.doc_of_half)
-        more = np.append(t.doc_of_half[1:] == t.doc_of_half[:-1], False)[:, None]
-        found = []
-        for b, row, query in zip(blocks, rows, queries):
-            one = sums_of(*b.tokens(t), n, row)
-            two = one + np.where(more, np.concatenate([one[1:], one[:1]]), 0)
-            cosine = np.maximum(unit_rows(one) @ query, unit_rows(two) @ query)
-            half, part = np.nonzero(cosine >= COSINE)
-            found.append((half, b.item_of[part], cosine[half, part]))
-        half, item, cosine = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((-cosine, item, half))
-        half, item, cosine = half[order], item[order], cosine[order]
+        one = sums_of(*block.tokens(t), len(t.doc_of_half), rows)
+        next_ = np.append(t.doc_of_half[1:] == t.doc_of_half[:-1], False)
+        length = np.einsum("ij,ij->i", one, one)
+        both = length.copy()
+        both[next_] += length[1:][next_[:-1]] + 2 * np.einsum("ij,ij->i", one[:-1], one[1:])[next_[:-1]]
+        near = one @ query
+        wide = near.copy()
+        wide[next_] += near[1:][next_[:-1]]
+        length, both = (np.sqrt(np.maximum(x, 1e-12))[:, None] for x in (length, both))
+        half, part = np.nonzero((near >= COSINE * length) | (wide >= COSINE * both))
+        cosine = np.maximum(near[half, part] / length[half, 0], wide[half, part] / both[half, 0])
+        order = np.lexsort((-cosine, item[part], half))
+        half, own, cosine = half[order], item[part][order], cosine[order]
         new = np.ones(len(half), bool)
-        new[1:] = (half[1:] != half[:-1]) | (item[1:] != item[:-1])
-        return half[new], item[new], cosine[new]
+        new[1:] = (half[1:] != half[:-1]) | (own[1:] != own[:-1])
+        return half[new], own[new], cosine[new]
 
     return retrieve
 
 
-def search(bench: Benchmark, w: Weights, retrieve: Callable[[Tokens], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Hits of the items that ``retrieve`` offers for a window and that the subsequence and answer checks confirm."""
+def held_around(t: Tokens, block: Block, counts: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Per half (row) and item of the block (column) at least as many of the item's words, of which ``counts`` (terms x items) are asked for, as are around the half: in ``reach`` halves before it, itself, the next, and ``reach`` after that, of the same document."""
+    n, n_terms = len(t.doc_of_half), len(counts)
+    term, half = block.tokens(t)
+    own = np.unique(half * n_terms + term)
+    sums = np.zeros((n + 1, counts.shape[1]), np.int32)
+    np.cumsum(sums_of(own % n_terms, own // n_terms, n, counts), axis=0, out=sums[1:])
+    begin, end = (np.searchsorted(t.doc_of_half, t.doc_of_half, side) for side in ("left", "right"))
+    out, at = np.empty((n, counts.shape[1]), np.int32), np.arange(n)
+    for k in np.unique(reach):
+        cols = np.flatnonzero(reach == k)
+        one = sums[:, cols]
+        out[:, cols] = one[np.minimum(at + 2 + k, end)] - one[np.maximum(at - k, begin)]
+    return out
+
+
+def search(bench: Benchmark, w: Weights, blocks: list[Block], spaces: list[np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Hits of the items that are near a window in their block's latent space and that the subsequence and answer checks confirm."""
     parts = (bench.items, w.telling, [x[-ANSWER_WORDS:] for x in bench.items])
     in_whole, in_telling, in_tail = map(Held, parts)
     sizes = np.array([len(x) for x in bench.items])
     several = np.array([len(np.unique(x)) >= 2 for x in w.telling])
     stretch, step = sizes + sizes // 4, np.maximum(1, sizes // 4)  # of plain items; the item itself is in one of the stretches
     low, high = (np.where(w.plain & (sizes < ANSWER_WORDS), 1.0, x) for x in (LCS_LOW, LCS))
+    reach = -(-np.where(w.plain, stretch, sizes) // HALF)
     placed: list[dict[int, dict[int, int]]] = [{}, {}, {}]
+    retrievers = [retriever(block, space) for block, space in zip(blocks, spaces)]
+    own_items = [np.unique(block.item_of) for block in blocks]
+    asked = []
+    for block, items in zip(blocks, own_items):
+        asked.append([np.zeros((len(block.terms), len(items)), np.int16 if sizes.max() < 2**15 else np.int32) for _ in range(2)])
+        for k, q in enumerate(items):
+            for counts, x in zip(asked[-1], (parts[1][q], parts[2][q])):
+                np.add.at(counts[:, k], np.searchsorted(block.terms, x), 1)
 
     def subsequence(kind: int, q: int, around: list[int]) -> float:
         x = parts[kind][q]
@@ -394,8 +421,17 @@ def search(bench: Benchmark, w: Weights, retrieve: Callable[[Tokens], tuple[np.n
 
     def candidates(t: Tokens) -> tuple[np.ndarray, ...]:
         """Halves, items, first word and end of the surroundings, and cosines, of what was retrieved and ``confirm`` may accept."""
-        b, q, cosine = retrieve(t)
-        b, q, cosine = (x[several[q]] for x in (b, q, cosine))
+        near = []
+        for block, retrieve, items, (telling, tail) in zip(blocks, retrievers, own_items, asked):
+            half, k, cosine = retrieve(t)
+            if len(half):
+                held = held_around(t, block, telling, reach[items])[half, k]
+                answer = held_around(t, block, tail, reach[items])[half, k]
+                k = items[k]
+                enough = held >= high[k] * in_telling.sizes[k] - 1e-9
+                enough |= (held >= low[k] * in_telling.sizes[k] - 1e-9) & (answer >= ANSWER * in_tail.sizes[k] - 1e-9)
+                near.append([x[enough & several[k]] for x in (half, k, cosine)])
+        b, q, cosine = (np.concatenate(x) for x in zip(*near)) if near else (np.empty(0, int), np.empty(0, int), np.empty(0))
         lengths = np.array([len(x) for x in t.sequences])
         ends, n = np.cumsum(lengths), int(lengths.sum())
         doc = t.doc_of_half[b]
@@ -462,7 +498,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         blocks, found = blocks_of(bench, weights), None
         for k in range(0, len(blocks), GROUP):
             group = blocks[k : k + GROUP]
-            hits = coded.mapInArrow(search(bench, weights, retriever(group, latent_spaces(coded, group))), HIT)
+            hits = coded.mapInArrow(search(bench, weights, group, latent_spaces(coded, group)), HIT)
             found = hits if found is None else found.unionByName(hits)
         return result(found, "hits")
 
