@@ -317,23 +317,10 @@ def common_subsequence(at: dict[int, int], n: int, b: list[int]) -> int:
 HIT = "doc_id bigint, item_id bigint, start bigint, cosine double, lcs double, answer double"
 
 
-class Held:
-    """Counts of the words of ``parts`` (lists of terms) that stand in given stretches of words."""
-
-    def __init__(self, parts: list[np.ndarray]) -> None:
-        self.flat, self.sizes = np.concatenate(parts).astype(np.int64), np.array([len(x) for x in parts])
-        self.first = np.cumsum(self.sizes) - self.sizes
-
-    def __call__(self, keys: np.ndarray, n: int, q: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
-        """For each of the parts ``q`` how many of its words are at a place from a to before z. keys: term * n + place of all words, sorted, then a larger value."""
-        out, step = np.zeros(len(q), np.int64), max(1, 1_000_000 // int(self.sizes.max(initial=1)))
-        for c in range(0, len(q), step):
-            k, size = q[c : c + step], self.sizes[q[c : c + step]]
-            of = np.repeat(np.arange(len(k)), size)
-            at = np.arange(len(of)) - (np.cumsum(size) - size)[of] + self.first[k][of]
-            low = self.flat[at] * n
-            out[c : c + step] = np.bincount(of[keys[np.searchsorted(keys, low + a[c : c + step][of])] < low + z[c : c + step][of]], minlength=len(k))
-        return out
+def present(keys: np.ndarray, n: int, terms: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """(terms x stretches) whether a term is at a place from a to before z. keys: term * n + place of all words, sorted, then a larger value; a in order, so that each term's look-ups go forward."""
+    low = terms.astype(np.int64)[:, None] * n
+    return keys[np.searchsorted(keys, (low + a).reshape(-1)).reshape(len(terms), len(a))] < low + z
 
 
 def unit_rows(x: np.ndarray, least: float = 1e-9) -> np.ndarray:
@@ -341,14 +328,14 @@ def unit_rows(x: np.ndarray, least: float = 1e-9) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), least)
 
 
-def retriever(block: Block, space: np.ndarray) -> Callable[[Tokens], tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """A function from a group of documents to the candidates by the block's latent space: halves, items (numbers in the block), and cosines."""
+def retriever(block: Block, space: np.ndarray) -> Callable[[Tokens, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """A function from a group of documents, and its tokens in the block, to the candidates by the block's latent space: halves, items (numbers in the block), and cosines."""
     rows = (space * block.weight[:, None]).astype(np.float32)
     query = unit_rows(block.parts @ space, 0.01).astype(np.float32).T
     _, item = np.unique(block.item_of, return_inverse=True)
 
-    def retrieve(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        one = sums_of(*block.tokens(t), len(t.doc_of_half), rows)
+    def retrieve(t: Tokens, term: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        one = sums_of(term, at, len(t.doc_of_half), rows)
         next_ = np.append(t.doc_of_half[1:] == t.doc_of_half[:-1], False)
         length = np.einsum("ij,ij->i", one, one)
         both = length.copy()
@@ -368,10 +355,9 @@ def retriever(block: Block, space: np.ndarray) -> Callable[[Tokens], tuple[np.nd
     return retrieve
 
 
-def held_around(t: Tokens, block: Block, counts: np.ndarray, reach: np.ndarray) -> np.ndarray:
-    """Per half (row) and item of the block (column) at least as many of the item's words, of which ``counts`` (terms x items) are asked for, as are around the half: in ``reach`` halves before it, itself, the next, and ``reach`` after that, of the same document."""
+def held_around(t: Tokens, term: np.ndarray, half: np.ndarray, counts: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Per half (row) and item (column) at least as many of the item's words, of which ``counts`` (terms x items) are asked for, as are around the half: in ``reach`` halves before it, itself, the next, and ``reach`` after that, of the same document."""
     n, n_terms = len(t.doc_of_half), len(counts)
-    term, half = block.tokens(t)
     own = np.unique(half * n_terms + term)
     sums = np.zeros((n + 1, counts.shape[1]), np.int32)
     np.cumsum(sums_of(own % n_terms, own // n_terms, n, counts), axis=0, out=sums[1:])
@@ -387,7 +373,8 @@ def held_around(t: Tokens, block: Block, counts: np.ndarray, reach: np.ndarray)
 def search(bench: Benchmark, w: Weights, blocks: list[Block], spaces: list[np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Hits of the items that are near a window in their block's latent space and that the subsequence and answer checks confirm."""
     parts = (bench.items, w.telling, [x[-ANSWER_WORDS:] for x in bench.items])
-    in_whole, in_telling, in_tail = map(Held, parts)
+    telling_sizes, tail_sizes = (np.array([len(x) for x in part]) for part in parts[1:])
+    is_telling = [np.isin(x, y) for x, y in zip(bench.items, w.telling)]
     sizes = np.array([len(x) for x in bench.items])
     several = np.array([len(np.unique(x)) >= 2 for x in w.telling])
     stretch, step = sizes + sizes // 4, np.maximum(1, sizes // 4)  # of plain items; the item itself is in one of the stretches
@@ -398,10 +385,10 @@ def search(bench: Benchmark, w: Weights, blocks: list[Block], spaces: list[np.nd
     own_items = [np.unique(block.item_of) for block in blocks]
     asked = []
     for block, items in zip(blocks, own_items):
-        asked.append([np.zeros((len(block.terms), len(items)), np.int16 if sizes.max() < 2**15 else np.int32) for _ in range(2)])
+        asked.append(np.zeros((len(block.terms), 2 * len(items)), np.int16 if sizes.max() < 2**15 else np.int32))  # telling words, then those of the answers
         for k, q in enumerate(items):
-            for counts, x in zip(asked[-1], (parts[1][q], parts[2][q])):
-                np.add.at(counts[:, k], np.searchsorted(block.terms, x), 1)
+            for column, x in ((k, parts[1][q]), (len(items) + k, parts[2][q])):
+                np.add.at(asked[-1][:, column], np.searchsorted(block.terms, x), 1)
 
     def subsequence(kind: int, q: int, around: list[int]) -> float:
         x = parts[kind][q]
@@ -422,14 +409,14 @@ def search(bench: Benchmark, w: Weights, blocks: list[Block], spaces: list[np.nd
     def candidates(t: Tokens) -> tuple[np.ndarray, ...]:
         """Halves, items, first word and end of the surroundings, and cosines, of what was retrieved and ``confirm`` may accept."""
         near = []
-        for block, retrieve, items, (telling, tail) in zip(blocks, retrievers, own_items, asked):
-            half, k, cosine = retrieve(t)
+        for block, retrieve, items, counts in zip(blocks, retrievers, own_items, asked):
+            tokens = block.tokens(t)
+            half, k, cosine = retrieve(t, *tokens)
             if len(half):
-                held = held_around(t, block, telling, reach[items])[half, k]
-                answer = held_around(t, block, tail, reach[items])[half, k]
-                k = items[k]
-                enough = held >= high[k] * in_telling.sizes[k] - 1e-9
-                enough |= (held >= low[k] * in_telling.sizes[k] - 1e-9) & (answer >= ANSWER * in_tail.sizes[k] - 1e-9)
+                around = held_around(t, *tokens, counts, np.tile(reach[items], 2))
+                held, answer, k = around[half, k], around[half, len(items) + k], items[k]
+                enough = held >= high[k] * telling_sizes[k] - 1e-9
+                enough |= (held >= low[k] * telling_sizes[k] - 1e-9) & (answer >= ANSWER * tail_sizes[k] - 1e-9)
                 near.append([x[enough & several[k]] for x in (half, k, cosine)])
         b, q, cosine = (np.concatenate(x) for x in zip(*near)) if near else (np.empty(0, int), np.empty(0, int), np.empty(0))
         lengths = np.array([len(x) for x in t.sequences])
@@ -446,12 +433,16 @@ def search(bench: Benchmark, w: Weights, blocks: list[Block], spaces: list[np.nd
         z = np.minimum(z, lengths[doc])
         keys = np.append(np.sort(t.term.astype(np.int64) * n + t.place), np.iinfo(np.int64).max)
         first = (ends - lengths)[doc]
-        some = np.arange(len(b))
-        reached = in_tail(keys, n, q, first + a, first + z) >= ANSWER * in_tail.sizes[q] - 1e-9
-        for held in (in_telling, in_whole):
-            least = np.where(reached[some], low[q[some]], high[q[some]]) * held.sizes[q[some]] - 1e-9
-            some = some[held(keys, n, q[some], (first + a)[some], (first + z)[some]) >= least]
-        return b[some], q[some], a[some], z[some], cosine[some]
+        order = np.lexsort((first + a, q))
+        b, q, a, z, first, cosine = (x[order] for x in (b, q, a, z, first, cosine))
+        kept = np.zeros(len(q), bool)
+        for x, y in zip(cuts := np.flatnonzero(np.diff(q, prepend=-1)).tolist(), [*cuts[1:], len(q)]):
+            k = q[x]
+            there = present(keys, n, bench.items[k], (first + a)[x:y], (first + z)[x:y])
+            answered = there[-ANSWER_WORDS:].sum(axis=0) >= ANSWER * tail_sizes[k] - 1e-9
+            least = np.where(answered, low[k], high[k])
+            kept[x:y] = (there[is_telling[k]].sum(axis=0) >= least * telling_sizes[k] - 1e-9) & (there.sum(axis=0) >= least * sizes[k] - 1e-9)
+        return b[kept], q[kept], a[kept], z[kept], cosine[kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
