@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from geoloom.storage import materialize
+from geoloom.storage import job, materialize, result
 
 SIDES = ("min_x", "min_y", "max_x", "max_y")
 
@@ -23,6 +23,12 @@ def bbox_rollup(points: DataFrame, levels: list[str], axes: dict[str, str]) -> D
     return low.rollup(*levels).agg(*parts, F.grouping_id().cast("int").alias("level"))
 
 
+def union_batches(world: DataFrame, batch: DataFrame, level: str, axes: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """The world with a new batch appended, and the merged boxes of each batch and of all."""
+    both = world.unionByName(batch)
+    return both, bbox_rollup(both, [level], axes)
+
+
 def box_measures(d: int = 2) -> dict[str, Column]:
     """Centroid, diagonal, radius, longest axis and area or volume of the columns min_<axis>, max_<axis>."""
     axes = "xyz"[:d]
@@ -41,24 +47,46 @@ def intersection(a: str, b: str) -> dict[str, Column]:
     return out | {"overlaps": (out["min_x"] < out["max_x"]) & (out["min_y"] < out["max_y"])}
 
 
-def _cells(boxes: DataFrame, cell: float) -> DataFrame:
-    span = lambda axis: F.explode(F.sequence(F.floor(F.col(f"min_{axis}") / cell), F.floor(F.col(f"max_{axis}") / cell)))
-    return boxes.where("min_x < max_x and min_y < max_y").withColumn("cell_x", span("x")).withColumn("cell_y", span("y"))
+#: Levels of cells; each is twice as wide as the one before.
+LEVELS = 12
+
+
+def _levels(boxes: DataFrame, cell: float) -> DataFrame:
+    """Boxes with an inside, and the level whose cells are as large as they are."""
+    size = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
+    level = F.greatest(F.lit(0), F.least(F.lit(LEVELS - 1), F.ceil(F.log2(F.greatest(size, F.lit(cell)) / cell)))).cast("int")
+    return boxes.where("min_x < max_x and min_y < max_y").withColumn("_level", level)
+
+
+def _cells(boxes: DataFrame, cell: float, level: Column) -> DataFrame:
+    """A row for each cell of the level that a box touches."""
+    width = F.lit(cell) * F.pow(F.lit(2.0), level)
+    span = lambda axis: F.explode(F.sequence(F.floor(F.col(f"min_{axis}") / width), F.floor(F.col(f"max_{axis}") / width)))
+    return boxes.withColumn("cell_x", span("x")).withColumn("cell_y", span("y"))
 
 
 def box_overlap_join(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
     """All pairs of boxes that overlap, with their intersection as min_x..max_y; the other box columns are dropped.
 
-    Both sides go to the grid cells they touch and meet there by an equi-join. A
-    pair that meets in several cells is kept in the one that holds the smallest
-    corner of its intersection, so no distinct is needed. ``cell`` should be about
-    the size of the larger boxes. Columns but the box must differ between the sides.
+    Boxes of each side have levels by their size, from cells of ``cell`` on. A pair
+    meets by an equi-join on the cells of the larger one's level, of which it touches
+    four at most and the smaller one four, too, so a few huge boxes don't multiply
+    into small cells. A pair that meets in several cells is kept in the one that
+    holds the smallest corner of its intersection, so no distinct is needed. Only
+    levels that occur on the other side are looked into. Columns but the box must
+    differ between the sides.
     """
-    left = _cells(a.withColumnsRenamed({s: s + "_a" for s in SIDES}).withColumns({s: F.col(s + "_a") for s in SIDES}), cell).drop(*SIDES)
-    right = _cells(b.withColumnsRenamed({s: s + "_b" for s in SIDES}).withColumns({s: F.col(s + "_b") for s in SIDES}), cell).drop(*SIDES)
+    left = _levels(a, cell).withColumnsRenamed({s: s + "_a" for s in SIDES}).withColumns({s: F.col(s + "_a") for s in SIDES})
+    right = _levels(b, cell).withColumnsRenamed({s: s + "_b" for s in SIDES}).withColumns({s: F.col(s + "_b") for s in SIDES})
+    # of a pair, the larger box is at its own level, the smaller one goes up to it
+    used = left.select("_level").union(right.select("_level")).agg(F.collect_set("_level")).scalar()
+    left = _cells(left.withColumn("_at", F.explode(used)).where("_at >= _level"), cell, F.col("_at")).drop(*SIDES).withColumnRenamed("_level", "_own_a")
+    right = _cells(right.withColumn("_at", F.explode(used)).where("_at >= _level"), cell, F.col("_at")).drop(*SIDES).withColumnRenamed("_level", "_own_b")
     cut = intersection("_a", "_b")
-    met = left.join(right, ["cell_x", "cell_y"]).where(cut["overlaps"] & (F.floor(cut["min_x"] / cell) == F.col("cell_x")) & (F.floor(cut["min_y"] / cell) == F.col("cell_y")))
-    return met.withColumns({s: cut[s] for s in SIDES}).drop("cell_x", "cell_y", *[s + e for s in SIDES for e in ("_a", "_b")])
+    width = F.lit(cell) * F.pow(F.lit(2.0), F.col("_at"))
+    corner = (F.floor(cut["min_x"] / width) == F.col("cell_x")) & (F.floor(cut["min_y"] / width) == F.col("cell_y"))
+    met = left.join(right, ["_at", "cell_x", "cell_y"]).where((F.greatest("_own_a", "_own_b") == F.col("_at")) & cut["overlaps"] & corner)
+    return met.withColumns({s: cut[s] for s in SIDES}).drop("_at", "_own_a", "_own_b", "cell_x", "cell_y", *[s + e for s in SIDES for e in ("_a", "_b")])
 
 
 def patch_overlap_index(patches: DataFrame, patch: str, others: dict[str, tuple[DataFrame, str]], cell: float) -> DataFrame:
@@ -106,48 +134,51 @@ def visible(boxes: DataFrame, matrix: list[float], scale: float = 1.0) -> DataFr
 
 
 def near_duplicate_pairs(meshes: DataFrame, share: float = 0.8) -> DataFrame:
-    """(mesh_id, earlier_id) of different files with equal vertex and index counts whose boxes overlap by more than ``share`` of both volumes, in 32-bit floats.
+    """(mesh_id, earlier_id) of different files with equal vertex and index counts whose boxes overlap by more than ``share`` (at least a half) of both volumes, in 32-bit floats.
 
-    A pair that shares more than half of both extents along x has minimum corners
-    less than one extent apart, so cells of the larger extent and their neighbours
-    hold all pairs; the later mesh looks into three cells a key.
+    Such boxes differ in size by less than a factor of two and in their corners by
+    less than the larger size along every axis. So they meet at the level of the
+    larger box, whose cells are at least as wide: the earlier mesh stands in its
+    corner's cell of its own level and the next, the later one looks into the 27
+    cells around its corner there.
     """
     f32 = lambda c: c.cast("float")
     low, high = [F.col(f"{a}0") for a in "xyz"], [F.col(f"{a}0") + F.col("size") for a in "xyz"]
-    cell = F.floor(F.col("x0") / F.col("cell"))
-    width = meshes.groupBy("n_vertex", "n_index").agg(F.max("size").alias("cell"))
-    base = meshes.join(width, ["n_vertex", "n_index"]).withColumn("volume", f32(F.col("size") * F.col("size") * F.col("size")))
-    mine = base.select("n_vertex", "n_index", "mesh_id", "file_no", F.explode(F.array(cell - 1, cell, cell + 1)).alias("at"), *[c.alias(f"lo_{a}") for a, c in zip("xyz", low)], *[c.alias(f"hi_{a}") for a, c in zip("xyz", high)], "volume")
-    other = base.select("n_vertex", "n_index", F.col("mesh_id").alias("earlier_id"), F.col("file_no").alias("earlier_file"), cell.alias("at"), *[c.alias(f"olo_{a}") for a, c in zip("xyz", low)], *[c.alias(f"ohi_{a}") for a, c in zip("xyz", high)], F.col("volume").alias("other_volume"))
+    level = F.ceil(F.log2("size")).cast("int")
+    base = meshes.where("size > 0").withColumn("volume", f32(F.col("size") * F.col("size") * F.col("size"))).withColumn("level", level)
+    base = base.withColumn("at_level", F.explode(F.array(F.col("level"), F.col("level") + 1)))
+    cells = [F.floor(c / F.pow(F.lit(2.0), F.col("at_level"))) for c in low]
+    mine = base.select("n_vertex", "n_index", "mesh_id", "file_no", "level", "at_level", *[c.alias(f"at_{a}") for a, c in zip("xyz", cells)], *[c.alias(f"lo_{a}") for a, c in zip("xyz", low)], *[c.alias(f"hi_{a}") for a, c in zip("xyz", high)], "volume")
+    for a in "xyz":
+        mine = mine.withColumn(f"at_{a}", F.explode(F.array(F.col(f"at_{a}") - 1, F.col(f"at_{a}"), F.col(f"at_{a}") + 1)))
+    other = base.select("n_vertex", "n_index", F.col("mesh_id").alias("earlier_id"), F.col("file_no").alias("earlier_file"), F.col("level").alias("earlier_level"), "at_level", *[c.alias(f"at_{a}") for a, c in zip("xyz", cells)], *[c.alias(f"olo_{a}") for a, c in zip("xyz", low)], *[c.alias(f"ohi_{a}") for a, c in zip("xyz", high)], F.col("volume").alias("other_volume"))
     cut = [F.least(f"hi_{a}", f"ohi_{a}") - F.greatest(f"lo_{a}", f"olo_{a}") for a in "xyz"]
     both = f32(cut[0] * cut[1] * cut[2])
-    met = mine.join(other, ["n_vertex", "n_index", "at"]).where((F.col("file_no") > F.col("earlier_file")) & (cut[0] > 0) & (cut[1] > 0) & (cut[2] > 0))
+    met = mine.join(other, ["n_vertex", "n_index", "at_level", "at_x", "at_y", "at_z"]).where((F.greatest("level", "earlier_level") == F.col("at_level")) & (F.col("file_no") > F.col("earlier_file")) & (cut[0] > 0) & (cut[1] > 0) & (cut[2] > 0))
     return met.where((f32(both / F.col("volume")) > F.lit(share).cast("float")) & (f32(both / F.col("other_volume")) > F.lit(share).cast("float"))).select("mesh_id", "earlier_id")
 
 
-def dedup_meshes(meshes: DataFrame, pairs: DataFrame, most_rounds: int = 200) -> DataFrame:
+def dedup_meshes(meshes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Meshes that match no kept mesh of an earlier file, decided in file order.
 
     Rounds: an undecided mesh without a kept or undecided earlier match is kept; one
     with a kept earlier match is dropped. Each round decides at least the earliest
-    undecided file, and is written, so lineage stays short.
+    undecided file, and is written, so lineage stays short; the table of open pairs
+    shrinks until it is empty.
     """
-    kept = materialize(meshes.select("mesh_id").join(pairs.select("mesh_id").distinct(), "mesh_id", "left_anti"), "kept")
-    open_pairs, all_kept = materialize(pairs, "pairs"), kept
-    for _ in range(most_rounds):
+    with job(meshes.sparkSession):
+        return result(meshes.join(_kept_meshes(meshes, pairs), "mesh_id", "left_semi"), "deduped")
+
+
+def _kept_meshes(meshes: DataFrame, pairs: DataFrame) -> DataFrame:
+    open_pairs = materialize(pairs, "pairs")
+    kept = materialize(meshes.select("mesh_id").join(open_pairs.select("mesh_id").distinct(), "mesh_id", "left_anti"), "kept")
+    all_kept = kept
+    while not open_pairs.isEmpty():
         # a match with a kept mesh drops
         dropped = materialize(open_pairs.join(kept.select(F.col("mesh_id").alias("earlier_id")), "earlier_id", "left_semi").select("mesh_id").distinct(), "dropped")
-        left = open_pairs.join(dropped, "mesh_id", "left_anti")
-        gone = left.join(dropped.select(F.col("mesh_id").alias("earlier_id")), "earlier_id", "left_anti")
-        undecided, open_next = left.select("mesh_id").distinct(), materialize(gone, "pairs")
-        kept = materialize(undecided.join(open_next.select("mesh_id").distinct(), "mesh_id", "left_anti"), "kept")
+        left = materialize(open_pairs.join(dropped, "mesh_id", "left_anti"), "left")
+        open_pairs = materialize(left.join(dropped.select(F.col("mesh_id").alias("earlier_id")), "earlier_id", "left_anti"), "pairs")
+        kept = materialize(left.select("mesh_id").distinct().join(open_pairs.select("mesh_id").distinct(), "mesh_id", "left_anti"), "kept")
         all_kept = all_kept.union(kept)
-        open_pairs = open_next
-        if open_next.isEmpty():
-            return meshes.join(materialize(all_kept, "all-kept"), "mesh_id", "left_semi")
-    raise RuntimeError(f"dedup didn't settle in {most_rounds} rounds")
-
-
-def running_prune(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Number rows from 0 in each group."""
-    return df.withColumn("number", (F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1).cast("bigint"))
+    return all_kept

@@ -19,17 +19,35 @@ def in_order(keys: tuple[str, ...] = ("dump_id",)) -> W:
     return W.partitionBy(*keys).orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
+#: Attribute slots of meshes: position, colour, texture coordinates.
+ATTRIBUTES = (0, 2, 3)
+
+
 def draw_state_asof(records: DataFrame, slots: int = 4) -> DataFrame:
-    """State at each draw: matrix in force, active slot, texture bound in slot 0.
+    """State at each draw: matrix, active slot, texture in slot 0, bound array and element buffer, and per attribute its flag and pointer.
 
-    A bind goes to the slot that is active at that moment, so the slot is carried
-    to the binds first and their result to the draws. Nothing set yet is UNSET.
+    Records have a tag, an argument, and an index (of the attribute). A texture goes
+    to the slot that is active at that moment, and a pointer keeps the array buffer
+    that is bound at that moment (``buffer_<k>``), so slot and buffer are carried to
+    those records first and their results to the draws. Binding nothing, disabling
+    and what isn't set yet are UNSET, which a later record can't look through.
     """
-    last = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(in_order()), F.lit(UNSET))
-    s = records.withColumn("matrix", last(F.when(F.col("tag") == "matrix", F.col("arg"))))
-    s = s.withColumn("slot", F.coalesce(F.last(F.when(F.col("tag") == "enable", F.col("arg") % slots), ignorenulls=True).over(in_order()), F.lit(0)))
-    s = s.withColumn("texture", last(F.when((F.col("tag") == "bind_texture") & (F.col("slot") == 0), F.col("arg"))))
-    return s.where(F.col("tag") == "draw").select("dump_id", "seq", "matrix", "slot", "texture")
+    index = F.col("index") if "index" in records.columns else F.lit(0)
+    last = lambda c, none: F.coalesce(F.last(c, ignorenulls=True).over(in_order()), F.lit(none))
+    of = lambda tag, value: F.when(F.col("tag") == tag, value)
+    at = lambda k, tag, value: F.when((F.col("tag") == tag) & (index == k), value)
+    s = records.withColumns({
+        "matrix": last(of("matrix", F.col("arg")), UNSET),
+        "slot": last(of("enable", F.col("arg") % slots), 0),
+        "array_buffer": last(of("array_buffer", F.when(F.col("arg") != 0, F.col("arg")).otherwise(UNSET)), UNSET),
+        "element_buffer": last(of("element_buffer", F.when(F.col("arg") != 0, F.col("arg")).otherwise(UNSET)), UNSET),
+        **{f"enabled_{k}": last(F.coalesce(at(k, "enable_attribute", F.lit(1)), at(k, "disable_attribute", F.lit(0))), 0) for k in ATTRIBUTES},
+        **{f"pointer_{k}": last(at(k, "attribute_pointer", F.col("arg")), UNSET) for k in ATTRIBUTES},
+    })
+    texture = F.when(F.col("slot") == 0, F.coalesce(of("bind_texture", F.col("arg")), of("disable_texture", F.lit(UNSET))))
+    s = s.withColumns({"texture": last(texture, UNSET), **{f"buffer_{k}": last(at(k, "attribute_pointer", F.col("array_buffer")), UNSET) for k in ATTRIBUTES}})
+    per = [f"{name}_{k}" for k in ATTRIBUTES for name in ("enabled", "pointer", "buffer")]
+    return s.where(F.col("tag") == "draw").select("dump_id", "seq", "matrix", "slot", "texture", "array_buffer", "element_buffer", *per)
 
 
 def dispatch_number(records: DataFrame) -> DataFrame:
@@ -45,13 +63,15 @@ def data_sequence_gaps(records: DataFrame) -> DataFrame:
 
 
 def matrix_inverse(m: pd.Series) -> pd.Series:
-    """Inverses of row-major 4x4 matrices; null where singular."""
-
-    def one(x):
-        a = np.array(x, float).reshape(4, 4)
-        return np.linalg.inv(a).reshape(-1).tolist() if abs(np.linalg.det(a)) > 1e-300 else None
-
-    return m.map(lambda x: None if x is None else one(x))
+    """Inverses of row-major 4x4 matrices, a batch at a time; null where singular."""
+    out = pd.Series([None] * len(m), index=m.index, dtype=object)
+    some = np.flatnonzero(m.notna())
+    if len(some):
+        a = np.stack(m.iloc[some].to_list()).astype(float).reshape(-1, 4, 4)
+        regular = np.abs(np.linalg.det(a)) > 1e-300
+        for k, x in zip(some[regular], np.linalg.inv(a[regular]).reshape(-1, 16)):
+            out.iloc[k] = x
+    return out
 
 
 def relative_matrices(draws: DataFrame, matrix: str = "m") -> DataFrame:
@@ -63,6 +83,23 @@ def relative_matrices(draws: DataFrame, matrix: str = "m") -> DataFrame:
     return draws.join(first, "dump_id").withColumn("relative", geo.multiply_matrices(F.col(matrix), F.col("inverse")))
 
 
+def first_of(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """The value of each key's first row."""
+    return df.groupBy(*keys).agg(F.min_by(value, order).alias(value))
+
+
+def last_triangle_draw(draws: DataFrame, keys: list[str], order: str, triangles: int = 4) -> DataFrame:
+    """The last draw of triangles of each key; none if it has none."""
+    return draws.where(F.col("primitive") == triangles).groupBy(*keys).agg(F.max(order).alias(order))
+
+
+def polyline_source_target(dumps: DataFrame, polygons: DataFrame) -> DataFrame:
+    """Dumps (dump_id, file) with the first polygon (by path_id) of the path file (file) of the same stem; none if there is no such file."""
+    stem = lambda c: F.regexp_extract(c, r"([^/\\]*)\.[^.]*$", 1)
+    first = polygons.groupBy(stem(F.col("file")).alias("stem")).agg(F.min("path_id").alias("polygon"))
+    return dumps.withColumn("stem", stem(F.col("file"))).join(first, "stem", "left").select("dump_id", "polygon")
+
+
 def texture_slots_by_first_use(binds: DataFrame, texture: str) -> DataFrame:
     """List index of each texture of a dump in order of its first bind."""
     first = binds.groupBy("dump_id", texture).agg(F.min("seq").alias("first"))

@@ -27,7 +27,9 @@ def lookup_first(df: DataFrame, key: str, table: DataFrame, table_key: str, fiel
 def metadata_map(columns: DataFrame) -> DataFrame:
     """Key to value per map, of text columns with one row whose name doesn't begin with #; values cut to LONGEST bytes."""
     some = columns.where("type = 'string' and rows = 1 and not startswith(name, '#')")
-    cut = F.substring("value", 1, LONGEST)
+    cut = F.when(F.octet_length("value") <= LONGEST, F.col("value")).otherwise(F.try_validate_utf8(F.substring(F.col("value").cast("binary"), 1, LONGEST).cast("string")))
+    for k in (1, 2, 3):  # a character that the cut would split is left out
+        cut = F.coalesce(cut, F.try_validate_utf8(F.substring(F.col("value").cast("binary"), 1, LONGEST - k).cast("string")))
     return some.groupBy("map_id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("name", cut.alias("value"))))).alias("metadata"))
 
 

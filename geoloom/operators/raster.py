@@ -361,9 +361,9 @@ def ray_hits(points: DataFrame, triangles: DataFrame, cell: float, levels: int =
     tri = triangles.withColumn("_level", level)
     width = F.lit(cell) * F.pow(F.lit(2.0), F.col("_level"))
     span = lambda a: F.explode(F.sequence(F.floor(low[a] / width), F.floor(high[a] / width)))
-    used = tri.select("_level").distinct()
+    used = tri.agg(F.collect_set("_level")).scalar()
     tri = tri.withColumn("_cell_x", span("x")).withColumn("_cell_y", span("y"))
-    pts = points.join(F.broadcast(used)).withColumns({"_cell_x": F.floor(F.col("lon") / width), "_cell_y": F.floor(F.col("lat") / width)})
+    pts = points.withColumn("_level", F.explode(used)).withColumns({"_cell_x": F.floor(F.col("lon") / width), "_cell_y": F.floor(F.col("lat") / width)})
     e1, e2 = ([F.col(f"{a}{k}") - F.col(f"{a}0") for a in "xyz"] for k in (1, 2))
     a = e1[1] * e2[0] - e1[0] * e2[1]
     s = [F.col("lon") - F.col("x0"), F.col("lat") - F.col("y0"), F.col("alt") - F.col("z0")]

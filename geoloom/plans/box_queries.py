@@ -63,7 +63,7 @@ def u01(spark, d):
     """A new batch is appended to the world and the boxes merge."""
     a = view(spark, d, "gps_point").select(F.lit("paths").alias("batch"), "lon", "lat", "alt")
     b = view(spark, d, "footprint_map").select(F.lit("maps").alias("batch"), F.col("min_lon").alias("lon"), F.col("min_lat").alias("lat"), F.col("size").alias("alt"))
-    return boxes.bbox_rollup(a.unionByName(b), ["batch"], GPS)
+    return boxes.union_batches(a, b, "batch", GPS)[1]
 
 
 _PATH3 = "SELECT path_id, min(lon) AS min_x, max(lon) AS max_x, min(lat) AS min_y, max(lat) AS max_y, min(alt) AS min_z, max(alt) AS max_z FROM gps_point GROUP BY path_id"

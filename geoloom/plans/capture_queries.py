@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
 
 from pyspark.sql import DataFrame
@@ -35,10 +36,21 @@ def rec(spark, d) -> DataFrame:
 _W = "OVER (PARTITION BY dump_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
-@query("w01_draw_state_asof", sql("capture_record", f""", s AS (SELECT *, coalesce(last_value(CASE WHEN tag='matrix' THEN arg END IGNORE NULLS) {_W}, -1) AS matrix, coalesce(last_value(CASE WHEN tag='enable' THEN arg % 4 END IGNORE NULLS) {_W}, 0) AS slot FROM capture_record),
-t AS (SELECT *, coalesce(last_value(CASE WHEN tag='bind_texture' AND slot=0 THEN arg END IGNORE NULLS) {_W}, -1) AS texture FROM s) SELECT dump_id, seq, matrix, slot, texture FROM t WHERE tag='draw'"""))
+_last = lambda e, none: f"coalesce(last_value({e} IGNORE NULLS) {_W}, {none})"
+_when = lambda tag, value, k=None: f"CASE WHEN tag='{tag}'{'' if k is None else f' AND index={k}'} THEN {value} END"
+_STATE = {
+    "matrix": _last(_when("matrix", "arg"), -1), "slot": _last(_when("enable", "arg % 4"), 0),
+    "array_buffer": _last(_when("array_buffer", "CASE WHEN arg <> 0 THEN arg ELSE -1 END"), -1), "element_buffer": _last(_when("element_buffer", "CASE WHEN arg <> 0 THEN arg ELSE -1 END"), -1),
+    **{f"enabled_{k}": _last(f"coalesce({_when('enable_attribute', 1, k)}, {_when('disable_attribute', 0, k)})", 0) for k in (0, 2, 3)},
+    **{f"pointer_{k}": _last(_when("attribute_pointer", "arg", k), -1) for k in (0, 2, 3)},
+}
+_STATE2 = {"texture": _last("CASE WHEN slot = 0 THEN CASE tag WHEN 'bind_texture' THEN arg WHEN 'disable_texture' THEN -1 END END", -1), **{f"buffer_{k}": _last(_when("attribute_pointer", "array_buffer", k), -1) for k in (0, 2, 3)}}
+_cols = lambda d: ", ".join(f"{e} AS {n}" for n, e in d.items())
+
+
+@query("w01_draw_state_asof", sql("state_record", f", s AS (SELECT *, {_cols(_STATE)} FROM state_record), t AS (SELECT *, {_cols(_STATE2)} FROM s) SELECT dump_id, seq, {', '.join([*_STATE, *_STATE2])} FROM t WHERE tag='draw'"))
 def w01(spark, d):
-    return capture.draw_state_asof(rec(spark, d))
+    return capture.draw_state_asof(view(spark, d, "state_record"))
 
 
 @query("w02_dispatch_number", sql("capture_record", "SELECT dump_id, seq, tag, row_number() OVER (PARTITION BY dump_id ORDER BY seq) - 1 AS dispatch FROM capture_record WHERE tag IN ('draw','clear')"))
@@ -51,12 +63,28 @@ def w03(spark, d):
     return capture.data_sequence_gaps(rec(spark, d)).select("dump_id", "seq", "expected")
 
 
-@query("w04_first_inverse_matrix", sql("capture_record", """, k AS (SELECT dump_id, seq, 1e0 + arg % 7 AS s, CAST(arg % 100 AS DOUBLE) AS t FROM capture_record WHERE tag='draw'), f AS (SELECT dump_id, arg_min(s, seq) AS s1, arg_min(t, seq) AS t1 FROM k GROUP BY dump_id)
-SELECT dump_id, seq, round(s/s1,9)+0.0 AS m0, round((t-t1)/s1,9)+0.0 AS m12 FROM k JOIN f USING (dump_id)"""))
+_TRI = [["1e0 + arg % 7", "CAST(arg % 3 AS DOUBLE)", "CAST(arg % 5 AS DOUBLE)", "0e0"], ["0e0", "2e0 + arg % 4", "CAST(arg % 2 AS DOUBLE)", "0e0"], ["0e0", "0e0", "1e0 + arg % 6", "0e0"], ["CAST(arg % 100 AS DOUBLE)", "CAST(arg % 90 AS DOUBLE)", "CAST(arg % 80 AS DOUBLE)", "1e0"]]
+_m = lambda i, j: f"m[{4 * i + j + 1}]"
+
+
+def _solve() -> str:
+    """SQL of M * inverse(F) for the matrices of _TRI."""
+    steps = []
+    for i in range(4):
+        last = f"(k.{_m(i, 3)})"
+        move = lambda j: f"(k.{_m(i, j)} - {last}*f.{_m(3, j)})"  # noqa: B023, E731
+        a = f"({move(0)}/f.{_m(0, 0)})"
+        b = f"(({move(1)}-{a}*f.{_m(0, 1)})/f.{_m(1, 1)})"
+        c = f"(({move(2)}-{a}*f.{_m(0, 2)}-{b}*f.{_m(1, 2)})/f.{_m(2, 2)})"
+        steps += [f"round({x},6)+0.0 AS m{4 * i + j}" for j, x in enumerate((a, b, c, last))]
+    return ", ".join(steps)
+
+
+@query("w04_first_inverse_matrix", sql("capture_record", f", k AS (SELECT dump_id, seq, [{', '.join(x for row in _TRI for x in row)}] AS m FROM capture_record WHERE tag='draw'), f AS (SELECT dump_id, arg_min(m, seq) AS m FROM k GROUP BY dump_id) SELECT k.dump_id, seq, {_solve()} FROM k JOIN f ON f.dump_id = k.dump_id"))
 def w04(spark, d):
-    s, t, o = 1.0 + F.col("arg") % 7, (F.col("arg") % 100).cast("double"), F.lit(0.0)
-    draws = rec(spark, d).where("tag = 'draw'").withColumn("m", F.array(s, o, o, o, o, s, o, o, o, o, s, o, t, o, o, F.lit(1.0)))
-    return capture.relative_matrices(draws).select("dump_id", "seq", r(F.col("relative")[0], 9).alias("m0"), r(F.col("relative")[12], 9).alias("m12"))
+    """Matrices with scales, shears and translations of their own."""
+    draws = rec(spark, d).where("tag = 'draw'").withColumn("m", F.array(*[F.expr(x) for row in _TRI for x in row]))
+    return capture.relative_matrices(draws).select("dump_id", "seq", *[r(F.col("relative")[k], 6).alias(f"m{k}") for k in range(16)])
 
 
 @query("w05_texture_slots_by_first_use", sql("capture_record", ", f AS (SELECT dump_id, arg % 20 AS texture, min(seq) AS first FROM capture_record WHERE tag='bind_texture' GROUP BY ALL) SELECT dump_id, texture, row_number() OVER (PARTITION BY dump_id ORDER BY first) - 1 AS index FROM f"))
@@ -326,16 +354,18 @@ def s01(spark, d):
     return p.select(F.regexp_extract("file", "file=([^/]*)/", 1).alias("file"), "kind", "point_idx", "lon", "lat", "alt")
 
 
-@query("s07_write_kml", sql("gps_point", f"{_PATHS} SELECT file, CAST(count(*) AS BIGINT) AS points, CAST(1 AS BIGINT) AS marks FROM pp GROUP BY file"))
+@query("s07_write_kml", sql("gps_point", f"""{_PATHS}, c AS (SELECT file, path_id, kind, string_agg(printf('%d,%d,%d', CAST(floor(lon*1000) AS BIGINT), CAST(floor(lat*1000) AS BIGINT), CAST(floor(alt) AS BIGINT)), ' ' ORDER BY point_idx) AS c FROM pp GROUP BY ALL)
+SELECT file, '<Placemark><name>path_' || path_id || '</name><styleUrl>#line</styleUrl>' || CASE kind WHEN 'Polygon' THEN '<Polygon><tessellate>1</tessellate><altitudeMode>clampToSeaFloor</altitudeMode><outerBoundaryIs><LinearRing><coordinates>' || c || '</coordinates></LinearRing></outerBoundaryIs></Polygon>' ELSE '<LineString><tessellate>1</tessellate><altitudeMode>clampToSeaFloor</altitudeMode><coordinates>' || c || '</coordinates></LineString>' END || '</Placemark>' AS mark FROM c"""))
 def s07(spark, d):
-    t = files.kml_texts(path_points(spark, d), mode=2)
-    return t.select("file", F.size(F.split(F.regexp_extract("text", "<coordinates>(.*?)</coordinates>", 1), " ")).cast("bigint").alias("points"), F.regexp_count("text", F.lit("<Placemark>")).cast("bigint").alias("marks"))
+    """Whole placemarks, of whole numbers, which both engines print alike."""
+    p = path_points(spark, d).withColumns({"lon": F.floor(F.col("lon") * 1000), "lat": F.floor(F.col("lat") * 1000), "alt": F.floor("alt")})
+    return files.kml_texts(p, mode=2).select("file", F.regexp_extract("text", "(?s)(<Placemark>.*</Placemark>)", 1).alias("mark"))
 
 
-@query("s08_write_curves", sql("gps_point", f"{_PATHS}, o AS (SELECT path_id, count(*) AS n, string_agg(printf('%.3f %.3f %.3f', lon*100, lat*100, alt*100), chr(10) ORDER BY point_idx) AS points FROM pp GROUP BY path_id) SELECT path_id, CAST(100 + row_number() OVER (ORDER BY path_id) AS INTEGER) AS curve, CAST(n-1 AS INTEGER) AS spans, points FROM o WHERE n > 1"))
+@query("s08_write_curves", sql("gps_point", f"{_PATHS}, o AS (SELECT path_id, count(*) AS n, string_agg(printf('%.3f %.3f %.3f', lon*100, lat*100, alt*100), chr(10) ORDER BY point_idx) AS points FROM pp GROUP BY path_id) SELECT path_id, CAST(100 + row_number() OVER (ORDER BY path_id) AS INTEGER) AS curve, CAST(n-1 AS INTEGER) AS spans, (SELECT string_agg(CASE WHEN k > 0 AND k % 20 = 0 THEN chr(10) WHEN k > 0 THEN ' ' ELSE '' END || k, '' ORDER BY k) FROM generate_series(0, n-1) g(k)) AS knots, points FROM o WHERE n > 1"))
 def s08(spark, d):
     p = path_points(spark, d).withColumnsRenamed({"lon": "x", "lat": "y", "alt": "z"})
-    return files.curve_records(p).select("path_id", "curve", "spans", "points")
+    return files.curve_records(p).select("path_id", "curve", "spans", "knots", "points")
 
 
 @query("m14_polygons_to_loops", sql("gps_point", f"{_PATHS} SELECT path_id, point_idx FROM (SELECT *, count(*) OVER (PARTITION BY path_id) AS n FROM pp) WHERE kind = 'LineString' OR point_idx < n - 1"))
@@ -367,40 +397,47 @@ _TAGN = "CASE tag WHEN 'matrix' THEN 268435456 WHEN 'bind_texture' THEN 26843545
 
 
 def capture_files(spark, d) -> DataFrame:
+    """Data records hold a link index and two sub-blocks of 16 bytes: a float (a number of eighths), a colour, and both again, one more each."""
     le = lambda c, n: F.unhex(F.concat(*[F.substring(F.lpad(F.hex(c), 2 * n, "0"), k, 2) for k in range(2 * n - 1, 0, -2)]))
-    sub = F.concat(le(F.col("arg"), 8), le(F.lit(16).cast("bigint"), 8), le(F.col("seq"), 8), le(F.col("arg"), 8))
+    four = lambda k: F.element_at(F.array(*[F.unhex(F.lit(struct.pack("<f", n / 8).hex())) for n in range(64)]), (F.pmod(F.col("arg") + k, F.lit(64)) + 1).cast("int"))
+    vertex = lambda k: F.concat(four(k), le(F.col("seq") * 2 + k, 4))
+    sub = F.concat(le(F.col("arg"), 8), le(F.lit(16).cast("bigint"), 8), vertex(0), vertex(1))
     payload = F.when(F.col("tag") == "enable", F.concat(le(F.col("seq"), 4), sub, sub)).otherwise(le(F.col("arg"), 8))
     p = rec(spark, d).select(F.col("dump_id").cast("string").alias("path"), "seq", F.expr(_TAGN).cast("bigint").alias("tag"), payload.alias("payload"))
     return files.pack_capture(p)
 
 
-@query("s05_read_capture", sql("capture_record", f"SELECT CAST(dump_id AS VARCHAR) AS file, row_number() OVER (PARTITION BY dump_id ORDER BY seq) - 1 AS seq, CAST({_TAGN} AS BIGINT) AS tag, CASE WHEN tag = 'enable' THEN 'data' WHEN tag = 'clear' THEN 'picture' ELSE 'command' END AS kind, CASE WHEN tag = 'enable' THEN seq END AS link_index, CAST(CASE WHEN tag = 'enable' THEN 64 ELSE 8 END AS INTEGER) AS bytes FROM capture_record"))
+_le = lambda c, n: "||".join(f"printf('%02X', ({c} >> {8 * k}) & 255)" for k in range(n))
+_four = lambda k: "list_extract([" + ",".join(f"'{struct.pack('<f', n / 8).hex().upper()}'" for n in range(64)) + f"], CAST((arg+{k}) % 64 + 1 AS BIGINT))"
+_vert = "||".join(f"{_four(k)}||{_le(f'(seq*2+{k})', 4)}" for k in (0, 1))
+_sub = f"{_le('arg', 8)}||'1000000000000000'||{_vert}"
+
+
+@query("s05_read_capture", sql("capture_record", f"SELECT CAST(dump_id AS VARCHAR) AS file, row_number() OVER (PARTITION BY dump_id ORDER BY seq) - 1 AS seq, CAST({_TAGN} AS BIGINT) AS tag, CASE WHEN tag = 'enable' THEN 'data' WHEN tag = 'clear' THEN 'picture' ELSE 'command' END AS kind, CASE WHEN tag = 'enable' THEN seq END AS link_index, CASE WHEN tag = 'enable' THEN {_sub}||{_sub} ELSE {_le('arg', 8)} END AS payload FROM capture_record"))
 def s05(spark, d):
-    return files.parse_capture(capture_files(spark, d)).select("file", "seq", "tag", "kind", "link_index", F.length("payload").alias("bytes"))
+    return files.parse_capture(capture_files(spark, d)).withColumn("payload", F.hex("payload"))
 
 
-@query("s06_explode_vertex_stream_blocks", sql("capture_record", ", n AS (SELECT *, row_number() OVER (PARTITION BY dump_id ORDER BY seq) - 1 AS no FROM capture_record) SELECT CAST(dump_id AS VARCHAR) AS file, no AS seq, b AS block_no, arg AS ref_tag, CAST(16 AS INTEGER) AS bytes FROM n, generate_series(0, 1) g(b) WHERE tag = 'enable'"))
+@query("s06_explode_vertex_stream_blocks", sql("capture_record", f", n AS (SELECT *, row_number() OVER (PARTITION BY dump_id ORDER BY seq) - 1 AS no FROM capture_record) SELECT CAST(dump_id AS VARCHAR) AS file, no AS seq, b AS block_no, arg AS ref_tag, {_vert} AS data FROM n, generate_series(0, 1) g(b) WHERE tag = 'enable'"))
 def s06(spark, d):
     data = files.parse_capture(capture_files(spark, d)).where("kind = 'data'")
-    return files.explode_vertex_stream_blocks(data).select("file", "seq", "block_no", "ref_tag", F.length("data").alias("bytes"))
+    return files.explode_vertex_stream_blocks(data).withColumn("data", F.hex("data"))
 
 
-@query("t05_unpack_vertices", sql("capture_record", ", n AS (SELECT *, row_number() OVER (PARTITION BY dump_id ORDER BY seq) - 1 AS no FROM capture_record) SELECT CAST(dump_id AS VARCHAR) AS file, no AS seq, b AS block_no, v AS vertex_idx, CASE WHEN v = 0 THEN 0e0 ELSE 0e0 END AS z, CASE WHEN v = 0 THEN arg % 4294967296 ELSE 0 END AS color FROM n, generate_series(0, 1) g(b), generate_series(0, 1) h(v) WHERE tag = 'enable'"))
+@query("t05_unpack_vertices", sql("capture_record", ", n AS (SELECT *, row_number() OVER (PARTITION BY dump_id ORDER BY seq) - 1 AS no FROM capture_record) SELECT CAST(dump_id AS VARCHAR) AS file, no AS seq, b AS block_no, v AS vertex_idx, ((arg + v) % 64)/8e0 AS z, (c.seq*2 + v) % 4294967296 AS color FROM (SELECT dump_id, no, arg, tag, seq FROM n) c, generate_series(0, 1) g(b), generate_series(0, 1) h(v) WHERE tag = 'enable'"))
 def t05(spark, d):
-    """The high halves of the packed numbers are the float 0, the bytes after them the colour."""
+    """A float and a colour a vertex."""
     data = files.parse_capture(capture_files(spark, d)).where("kind = 'data'")
-    v = files.unpack_vertices(files.explode_vertex_stream_blocks(data), 8, 4, 1)
+    v = files.unpack_vertices(files.explode_vertex_stream_blocks(data), 8, 0, 1)
     return v.select("file", "seq", "block_no", "vertex_idx", F.col("values")[0].alias("z"), "color")
 
 
 @query("j17_polyline_source_target", sql("capture_record gps_point", f"{_PATHS}, f AS (SELECT 'area_' || path_id AS stem, min(path_id) AS first FROM pp WHERE kind = 'Polygon' GROUP BY ALL) SELECT DISTINCT dump_id, first AS polygon FROM capture_record LEFT JOIN f ON stem = 'area_' || dump_id"))
 def j17(spark, d):
     """A dump and the KML file of the same stem; the file's first polygon is the target."""
-    stem = lambda c: F.regexp_extract(c, r"([^/\\]*)\.[^.]*$", 1)
-    dumps = rec(spark, d).select("dump_id").distinct().withColumn("stem", stem(F.concat(F.lit("dumps/area_"), "dump_id", F.lit(".dump"))))
-    polygons = path_points(spark, d).where("kind = 'Polygon'").withColumn("stem", stem(F.concat(F.lit("kml/area_"), "path_id", F.lit(".kml"))))
-    first = polygons.groupBy("stem").agg(F.min_by("path_id", F.struct("path_id", "point_idx")).alias("polygon"))
-    return dumps.join(first, "stem", "left").select("dump_id", "polygon")
+    dumps = rec(spark, d).select("dump_id").distinct().withColumn("file", F.concat(F.lit("dumps/area_"), "dump_id", F.lit(".dump")))
+    polygons = path_points(spark, d).where("kind = 'Polygon'").withColumn("file", F.concat(F.lit("kml/area_"), "path_id", F.lit(".kml")))
+    return capture.polyline_source_target(dumps, polygons)
 
 
 _KS = (3.0, 10.0, -20.0, 5.0)
@@ -434,9 +471,17 @@ def m16(spark, d):
 # order
 
 
-@query("o02_first_and_last", sql("capture_record", "SELECT dump_id, arg_min(arg, seq) AS first_matrix, max(CASE WHEN tag='draw' THEN seq END) AS last_draw FROM (SELECT * FROM capture_record WHERE tag IN ('matrix','draw')) GROUP BY dump_id"))
-def o02(spark, d):
-    return rec(spark, d).where("tag in ('matrix', 'draw')").groupBy("dump_id").agg(F.min_by("arg", "seq").alias("first_matrix"), F.max_by(F.when(F.col("tag") == "draw", F.col("seq")), F.when(F.col("tag") == "draw", F.col("seq"))).alias("last_draw"))
+@query("o02_first_polygon", sql("gps_point", f"{_PATHS} SELECT path_id % 10 AS file, min(path_id) AS path_id FROM pp WHERE kind = 'Polygon' GROUP BY 1"))
+def o02a(spark, d):
+    """The first polygon of each file of several paths."""
+    p = path_points(spark, d).where("kind = 'Polygon'").withColumn("file", F.col("path_id") % 10)
+    return capture.first_of(p, ["file"], "path_id", "path_id")
+
+
+@query("o02_last_triangle_draw", "SELECT l_orderkey AS mesh_id, max(l_linenumber) AS draw_no FROM lineitem WHERE l_suppkey % 10 = 4 GROUP BY l_orderkey")
+def o02b(spark, d):
+    draws = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("mesh_id"), F.col("l_linenumber").alias("draw_no"), (F.col("l_suppkey") % 10).alias("primitive"))
+    return capture.last_triangle_draw(draws, ["mesh_id"], "draw_no")
 
 
 @query("o03_ordered_points", sql("gps_point", "SELECT path_id, array_to_string(list(point_id ORDER BY point_id), ' ') AS points FROM gps_point GROUP BY path_id"))
