@@ -87,45 +87,69 @@ def export_item_count(meshes: DataFrame) -> DataFrame:
     return per.withColumn("items", F.col("groups") + F.col("textures"))
 
 
-def write_mesh_tables(vertices: DataFrame, meshes: DataFrame, path: str) -> None:
-    """Absolute vertices of the meshes that are no splines, partitioned by batch and group."""
-    m = meshes.where("not is_spline").select("batch_id", "group_id", "mesh_id", "tx", "ty", "tz")
-    out = vertices.join(m, ["batch_id", "group_id", "mesh_id"]).withColumns({a: F.col(a) + F.col(f"t{a}") for a in "xyz"}).drop("tx", "ty", "tz")
-    out.write.mode("overwrite").partitionBy("batch_id", "group_id").parquet(path)
+def export_names(meshes: DataFrame, stem: Column) -> DataFrame:
+    """Node, mesh, material and texture names of meshes (batch_id, group_id, mesh_id, texture_idx), numbered within their batch and group."""
+    n = mesh_numbers(meshes, stem)
+    texture = F.when(F.col("texture_idx").isNotNull(), F.concat(F.lit("texture_"), "g", F.lit("_"), F.col("texture_idx").cast("string")))
+    return n.withColumn("node_name", F.col("mesh_name")).withColumn("texture_name", texture)
+
+
+def write_mesh_tables(vertices: DataFrame, triangles: DataFrame, meshes: DataFrame, path: str, stem: Column) -> None:
+    """The export set of the meshes that are no splines: tables ``vertices`` (absolute, with uv), ``triangles`` and ``meshes`` (names), partitioned by batch and group."""
+    keys = ["batch_id", "group_id", "mesh_id"]
+    m = export_names(meshes, stem).where("not is_spline")
+    moved = vertices.join(m.select(*keys, "tx", "ty", "tz"), keys).withColumns({a: F.col(a) + F.col(f"t{a}") for a in "xyz"})
+    tables = {"vertices": moved.select(*keys, "vertex_idx", "x", "y", "z", "u", "v"), "triangles": triangles.join(m.select(*keys), keys), "meshes": m.drop("tx", "ty", "tz", "is_spline", "g", "m")}
+    for name, table in tables.items():
+        table.write.mode("overwrite").partitionBy("batch_id", "group_id").parquet(f"{path}/{name}")
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    """Vectors of length 1; null vectors stay."""
+    size = np.linalg.norm(v, axis=-1, keepdims=True)
+    return v / np.where(size > 0, size, 1.0)
+
+
+def turn(axis: np.ndarray, angle: float) -> np.ndarray:
+    """Rotation about a unit axis, for row vectors."""
+    x, y, z = axis
+    k = np.array([[0, z, -y], [-z, 0, x], [y, -x, 0]])
+    return np.eye(3) + np.sin(angle) * k + (1 - np.cos(angle)) * k @ k
 
 
 def rigid_transform(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
-    """Row-vector 4x4 that takes three source points to three targets: move to the centroid, turn the normal, turn in the plane, scale, move."""
+    """Row-vector 4x4 that takes three source points to three targets: move to the centroid, turn the normal, turn in the plane, scale, move.
+
+    Scale is the ratio of the mean distances from the centroids. A normal is the sum
+    of the unit normals of successive points, weighted by the angle between their
+    directions (taken as at most a right one). Turns come from sines, so they reach a
+    right angle; the one in the plane is the mean of the three points'. Fewer points,
+    or points in one place, give the identity; parallel normals aren't turned.
+    """
     if len(src) < 3 or len(dst) < 3:
         return np.eye(4)
     src, dst = src[:3], dst[:3]
     cs, cd = src.mean(axis=0), dst.mean(axis=0)
     a, b = src - cs, dst - cd
-    ra, rb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-    if (ra == 0).any():
+    spread = np.linalg.norm(a, axis=1).mean()
+    if spread == 0:
         return np.eye(4)
-    scale = (rb / ra).mean()
+    scale = np.linalg.norm(b, axis=1).mean() / spread
 
     def normal(v: np.ndarray) -> np.ndarray:
-        u = v / np.linalg.norm(v, axis=1, keepdims=True)
-        n = sum(np.cross(u[k], u[(k + 1) % 3]) for k in range(3))
-        size = np.linalg.norm(n)
-        return n / size if size else np.array([0.0, 0, 1])
-
-    def turn(axis: np.ndarray, angle: float) -> np.ndarray:
-        x, y, z = axis
-        k = np.array([[0, -z, y], [z, 0, -x], [-y, x, 0]])
-        return (np.eye(3) + np.sin(angle) * k + (1 - np.cos(angle)) * k @ k).T  # for row vectors
+        u, w = unit(v), unit(np.roll(v, -1, axis=0))
+        weight = np.arccos(np.clip(np.abs((u * w).sum(axis=1)), 0, 1))
+        return unit((unit(np.cross(u, w)) * weight[:, None]).sum(axis=0))
 
     na, nb = normal(a), normal(b)
-    cross = np.cross(na, nb)
-    size = np.linalg.norm(cross)
-    r0 = turn(cross / size, np.arctan2(size, na @ nb)) if size > 1e-12 else np.eye(3)
-    a0 = a @ r0
-    angles = [np.arctan2(np.cross(p, q) @ nb, p @ q) for p, q in zip(a0, b)]
-    mean = np.arctan2(np.mean(np.sin(angles)), np.mean(np.cos(angles)))
+    axis = np.cross(na, nb)
+    sine = np.linalg.norm(axis)
+    level = turn(axis / sine, np.arcsin(min(sine, 1.0))) if sine > 1e-12 else np.eye(3)
+    p, q = unit(np.cross(nb, unit(a @ level))), unit(np.cross(nb, unit(b)))
+    cross = np.cross(p, q)
+    angles = np.arcsin(np.clip(np.linalg.norm(cross, axis=1), 0, 1)) * np.where(cross @ nb < 0, -1, 1)
     out = np.eye(4)
-    out[:3, :3] = r0 @ turn(nb, mean) * scale
+    out[:3, :3] = level @ turn(nb, angles.mean()) * scale
     out[3, :3] = cd - cs @ out[:3, :3]
     return out
 
@@ -148,3 +172,20 @@ def georeference(vertices: DataFrame, transforms: DataFrame, origin: tuple[Colum
     v = v.withColumn("g", geo.cartesian_to_gps_sphere(F.col("w.x"), F.col("w.y"), F.col("w.z")))
     v = v.withColumn("e", geo.lla_to_enu(F.col("g.lon"), F.col("g.lat"), F.col("g.alt"), origin))
     return v.select(*vertices.columns, "g.lon", "g.lat", "g.alt", F.col("e.x").alias("east"), F.col("e.y").alias("north"), F.col("e.z").alias("up"))
+
+
+def place_meshes(vertices: DataFrame, transforms: DataFrame, origin: tuple[Column, Column, Column]) -> tuple[DataFrame, DataFrame]:
+    """Meshes (dump_id, mesh_id, vertex_idx, x, y, z) in the local frame, and their boxes.
+
+    Vertices of dumps with a transform are georeferenced, moved to their mesh's box
+    centre, which is kept as tx, ty, tz, and have lon, lat and alt; the others stay as
+    they are and have none. Boxes are in the local frame, and in lon, lat and alt.
+    """
+    placed = georeference(vertices, transforms, origin).select("dump_id", "mesh_id", "vertex_idx", F.col("east").alias("x"), F.col("north").alias("y"), F.col("up").alias("z"), "lon", "lat", "alt")
+    loose = vertices.join(transforms, "dump_id", "left_anti").select("dump_id", "mesh_id", "vertex_idx", "x", "y", "z", *[F.lit(None).cast("double").alias(c) for c in ("lon", "lat", "alt")])
+    all_ = placed.union(loose)
+    axes = [*"xyz", "lon", "lat", "alt"]
+    box = all_.groupBy("dump_id", "mesh_id").agg(*[f(c).alias(f"{n}_{c}") for c in axes for n, f in (("min", F.min), ("max", F.max))])
+    centre = {f"t{a}": F.when(F.col("min_lon").isNull(), 0.0).otherwise((F.col(f"min_{a}") + F.col(f"max_{a}")) * 0.5) for a in "xyz"}
+    moved = all_.join(box.withColumns(centre).select("dump_id", "mesh_id", *centre), ["dump_id", "mesh_id"]).withColumns({a: F.col(a) - F.col(f"t{a}") for a in "xyz"})
+    return moved, box

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from geoloom.functions import geo, text
 from geoloom.operators import capture, lookup, mesh
 from geoloom.plans.fixtures import sql, view
-from geoloom.plans.geodesy import r
+from geoloom.plans.geodesy import ECEF, ENU, origin, r
 from geoloom.sources import files
 from geoloom.storage import shared_dir
 
@@ -318,16 +318,40 @@ def a08(spark, d):
     return mesh.export_item_count(meshes(spark, d))
 
 
-@query("s09_write_mesh_tables", sql("gps_point", "SELECT path_id AS mesh_id, point_id AS vertex_idx, round(lon + path_id % 7, 9) AS x, round(lat - 1, 9) AS y, round(alt, 9) AS z FROM gps_point WHERE path_id % 5 <> 0"))
-def s09(spark, d):
-    """Written, and read back."""
-    p = view(spark, d, "gps_point")
+def _exported(spark, d) -> str:
+    """Paths of GPS points as meshes, every fifth a spline, written to a folder."""
+    from pyspark.sql import Window as W
+
     keys = [(F.col("path_id") % 3).alias("batch_id"), (F.col("path_id") % 6).alias("group_id"), F.col("path_id").alias("mesh_id")]
-    v = p.select(*keys, F.col("point_id").alias("vertex_idx"), F.col("lon").alias("x"), F.col("lat").alias("y"), F.col("alt").alias("z"))
-    m = p.select("path_id").distinct().select(*keys, (F.col("path_id") % 7).cast("double").alias("tx"), F.lit(-1.0).alias("ty"), F.lit(0.0).alias("tz"), (F.col("path_id") % 5 == 0).alias("is_spline"))
+    idx = (F.row_number().over(W.partitionBy("path_id").orderBy("point_id")) - 1).cast("bigint")
+    p = view(spark, d, "gps_point").withColumn("vertex_idx", idx)
+    uv = geo.uv_of(F.col("lon"), F.col("lat"), F.lit(-122.5), F.lit(37.0), F.lit(-121.5), F.lit(38.0))
+    v = p.withColumn("t", uv).select(*keys, "vertex_idx", F.col("lon").alias("x"), F.col("lat").alias("y"), F.col("alt").alias("z"), "t.u", "t.v")
+    n = F.max("vertex_idx").over(W.partitionBy("path_id"))
+    t = p.withColumn("n", n).where("vertex_idx <= n - 2").select(*keys, F.col("vertex_idx").alias("v0"), (F.col("vertex_idx") + 1).alias("v1"), (F.col("vertex_idx") + 2).alias("v2"))
+    m = p.select("path_id").distinct().select(*keys, (F.col("path_id") % 7).cast("double").alias("tx"), F.lit(-1.0).alias("ty"), F.lit(0.0).alias("tz"), (F.col("path_id") % 5 == 0).alias("is_spline"), F.when(F.col("path_id") % 4 > 0, F.col("path_id") % 4).alias("texture_idx"))
     where = f"{shared_dir(spark)}/steps/meshes-{uuid.uuid4().hex}"
-    mesh.write_mesh_tables(v, m, where)
-    return spark.read.parquet(where).select("mesh_id", "vertex_idx", *[F.round(a, 9).alias(a) for a in "xyz"])
+    mesh.write_mesh_tables(v, t, m, where, F.lit("area"))
+    return where
+
+
+_VIDX = ", vx AS (SELECT *, row_number() OVER (PARTITION BY path_id ORDER BY point_id) - 1 AS k, count(*) OVER (PARTITION BY path_id) AS n FROM gps_point)"
+
+
+@query("s09_write_mesh_tables", sql("gps_point", f"{_VIDX} SELECT path_id AS mesh_id, k AS vertex_idx, round(lon + path_id % 7, 9) AS x, round(lat - 1, 9) AS y, round(alt, 9) AS z, round(least(greatest(lon+122.5e0, 0), 1), 9)+0.0 AS u, round(least(greatest(lat-37, 0), 1), 9)+0.0 AS v FROM vx WHERE path_id % 5 <> 0"))
+def s09(spark, d):
+    """Written, and read back."""
+    return spark.read.parquet(f"{_exported(spark, d)}/vertices").select("mesh_id", "vertex_idx", *[F.round(a, 9).alias(a) for a in "xyz"], *[r(F.col(a), 9).alias(a) for a in "uv"])
+
+
+@query("s09_mesh_triangles", sql("gps_point", f"{_VIDX} SELECT path_id AS mesh_id, k AS v0, k+1 AS v1, k+2 AS v2 FROM vx WHERE path_id % 5 <> 0 AND k < n - 2"))
+def s09t(spark, d):
+    return spark.read.parquet(f"{_exported(spark, d)}/triangles").select("mesh_id", "v0", "v1", "v2")
+
+
+@query("s09_mesh_names", sql("gps_point", ", p AS (SELECT DISTINCT path_id FROM gps_point), n AS (SELECT path_id, dense_rank() OVER (PARTITION BY path_id % 3 ORDER BY path_id % 6) - 1 AS g, row_number() OVER (PARTITION BY path_id % 3, path_id % 6 ORDER BY path_id) - 1 AS m FROM p) SELECT path_id AS mesh_id, 'area_meshNode_' || g || '_' || m AS node_name, 'area_meshNode_' || g || '_' || m AS mesh_name, 'material_' || g || '_' || m AS material_name, CASE WHEN path_id % 4 > 0 THEN 'texture_' || g || '_' || path_id % 4 END AS texture_name FROM n WHERE path_id % 5 <> 0"))
+def s09n(spark, d):
+    return spark.read.parquet(f"{_exported(spark, d)}/meshes").select("mesh_id", "node_name", "mesh_name", "material_name", "texture_name")
 
 
 # paths and files
@@ -468,6 +492,33 @@ def m16(spark, d):
     return g.select("point_id", r(F.col("lon"), 6).alias("lon2"), r(F.col("lat"), 6).alias("lat2"), r(F.col("alt")).alias("alt2"))
 
 
+def _placed(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Paths as meshes of dumps; every third dump has no target."""
+    p = view(spark, d, "gps_point").withColumn("c", geo.cartesian_position(F.col("lat"), F.col("lon"), F.col("alt")))
+    k = (F.col("path_id") % 5).cast("double")
+    v = p.select(F.col("path_id").alias("dump_id"), (F.col("point_id") % 3).alias("mesh_id"), F.col("point_id").alias("vertex_idx"), (F.col("c.x") - k).alias("x"), F.col("c.y").alias("y"), F.col("c.z").alias("z"))
+    o, i = F.lit(0.0), F.lit(1.0)
+    t = p.where("path_id % 3 > 0").select("path_id").distinct().select(F.col("path_id").alias("dump_id"), F.array(i, o, o, o, o, i, o, o, o, o, i, o, k, o, o, i).alias("matrix"))
+    return mesh.place_meshes(v, t, origin())
+
+
+_PLACE = f""", {ECEF.format(src='gps_point')}, {ENU}, q AS (SELECT *, path_id AS dump_id, point_id % 3 AS mesh_id FROM enu WHERE path_id % 3 > 0)"""
+
+
+@query("m16_placed_vertices", sql("gps_point", f"""{_PLACE}, c AS (SELECT dump_id, mesh_id, (min(e)+max(e))*0.5e0 AS tx, (min(nn)+max(nn))*0.5e0 AS ty, (min(u)+max(u))*0.5e0 AS tz FROM q GROUP BY ALL)
+SELECT dump_id, mesh_id, point_id AS vertex_idx, round(e-tx,2)+0.0 AS x, round(nn-ty,2)+0.0 AS y, round(u-tz,2)+0.0 AS z FROM q JOIN c USING (dump_id, mesh_id)
+UNION ALL SELECT path_id, point_id % 3, point_id, NULL, NULL, NULL FROM gps_point WHERE path_id % 3 = 0"""))
+def m16v(spark, d):
+    """Placed vertices about their mesh's centre; those without a target have no place."""
+    v = _placed(spark, d)[0]
+    return v.select("dump_id", "mesh_id", "vertex_idx", *[F.when(F.col("lon").isNotNull(), r(F.col(a), 2)).alias(a) for a in "xyz"])
+
+
+@query("m16_placed_boxes", sql("gps_point", f"""{_PLACE} SELECT dump_id, mesh_id, round(min(e),2)+0.0 AS min_x, round(max(nn),2)+0.0 AS max_y, round(max(u),2)+0.0 AS max_z FROM q GROUP BY ALL"""))
+def m16x(spark, d):
+    return _placed(spark, d)[1].where("min_lon is not null").select("dump_id", "mesh_id", *[r(F.col(c), 2).alias(c) for c in ("min_x", "max_y", "max_z")])
+
+
 # order
 
 
@@ -486,8 +537,8 @@ def o02b(spark, d):
 
 @query("o03_ordered_points", sql("gps_point", "SELECT path_id, array_to_string(list(point_id ORDER BY point_id), ' ') AS points FROM gps_point GROUP BY path_id"))
 def o03(spark, d):
-    p = path_points(spark, d).groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("point_idx", "point_id"))).alias("p"))
-    return p.select("path_id", F.array_join(F.transform("p", lambda s: s["point_id"].cast("string")), " ").alias("points"))
+    p = files.ordered_points(path_points(spark, d), ["path_id"], ["point_id"])
+    return p.select("path_id", F.array_join(F.transform("points", lambda s: s["point_id"].cast("string")), " ").alias("points"))
 
 
 # lookup, metadata, selection

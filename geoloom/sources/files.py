@@ -23,19 +23,29 @@ def read_texts(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.text(glob, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
 
 
+#: What of a KML text decides on its paths: folders and documents, opened and closed, and the shapes; tags may have a prefix.
+_KML_TOKEN = r"(?s)<(?:\w+:)?(?:Folder|Document)\b[^>]*>|</(?:\w+:)?(?:Folder|Document)\s*>|<(?:\w+:)?(?:LineString|Polygon)\b.*?</(?:\w+:)?(?:LineString|Polygon)\s*>"
+
+
 def parse_kml(texts: DataFrame) -> DataFrame:
     """Points of every LineString and Polygon (outer ring): file, path_id, kind, point_idx, lon, lat, alt.
 
-    If a document has a folder, only placemarks inside folders count. Comments and
-    null texts hold nothing.
+    If a Document has a Folder, only its placemarks inside folders, nested ones
+    included, count. Comments and null texts hold nothing.
     """
     plain = F.regexp_replace("text", r"(?s)<!--.*?-->", "")
-    folders = F.array_join(F.regexp_extract_all(plain, F.lit(r"(?s)<Folder\b.*?</Folder>"), F.lit(0)), "")
-    body = F.when(plain.rlike(r"<Folder\b"), folders).otherwise(plain)
-    shapes = F.regexp_extract_all(body, F.lit(r"(?s)<(?:LineString|Polygon)\b.*?</(?:LineString|Polygon)>"), F.lit(0))
-    d = texts.select("file", F.posexplode(shapes).alias("path_id", "shape"))
-    d = d.withColumn("kind", F.regexp_extract("shape", r"^<(LineString|Polygon)", 1)).withColumn("c", F.trim(F.regexp_replace(F.regexp_extract("shape", r"(?s)<coordinates>(.*?)</coordinates>", 1), r"\s+", " ")))
-    d = d.where("c <> ''").select("file", F.col("path_id").cast("bigint").alias("path_id"), "kind", F.posexplode(F.split("c", " ")).alias("point_idx", "triple"))
+    t = texts.select("file", F.posexplode(F.regexp_extract_all(plain, F.lit(_KML_TOKEN), F.lit(0))).alias("k", "token"))
+    name, shut, whole = F.regexp_extract("token", r"^</?(?:\w+:)?(\w+)", 1), F.col("token").startswith("</"), F.col("token").endswith("/>")
+    step = F.when(shut, -1).when(whole, 0).otherwise(1)
+    order = W.partitionBy("file").orderBy("k")
+    t = t.withColumns({"name": name, "folders": F.sum(F.when(name == "Folder", step).otherwise(0)).over(order), "document": F.sum(((name == "Document") & ~shut).cast("int")).over(order)})
+    t = t.withColumn("has_folder", F.max(F.col("name") == "Folder").over(W.partitionBy("file", "document")))
+    t = t.where(F.col("name").isin("LineString", "Polygon") & (~F.col("has_folder") | (F.col("folders") > 0)))
+    points = r"<(?:\w+:)?coordinates[^>]*>(.*?)</(?:\w+:)?coordinates"
+    outer, first = F.regexp_extract("token", r"(?s)<(?:\w+:)?outerBoundaryIs\b.*?" + points, 1), F.regexp_extract("token", "(?s)" + points, 1)
+    c = F.trim(F.regexp_replace(F.when(outer != "", outer).otherwise(first), r"\s+", " "))
+    d = t.select("file", (F.row_number().over(order) - 1).cast("bigint").alias("path_id"), F.col("name").alias("kind"), c.alias("c")).where("c <> ''")
+    d = d.select("file", "path_id", "kind", F.posexplode(F.split("c", " ")).alias("point_idx", "triple"))
     part = F.split("triple", ",")
     number = lambda k: F.coalesce(F.try_element_at(part, F.lit(k)).try_cast("double"), F.lit(0.0))
     return d.select("file", "path_id", "kind", F.col("point_idx").cast("bigint").alias("point_idx"), number(1).alias("lon"), number(2).alias("lat"), number(3).alias("alt"))
@@ -199,6 +209,11 @@ def paths_to_lines(points: DataFrame) -> DataFrame:
     return points.where("kind = 'LineString'")
 
 
+def ordered_points(points: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """One row a path with its points in file order, as structs of point_idx and ``columns``."""
+    return points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("point_idx", *columns))).alias("points"))
+
+
 def polygons_to_loops(points: DataFrame) -> DataFrame:
     """Polygon loops without the closing point."""
     keys = [c for c in ("file", "path_id") if c in points.columns]

@@ -168,6 +168,94 @@ def test_kml_folders_hide_loose_placemarks(spark):
     assert got == [("a", "Polygon", 0, 0.0, 0.0), ("a", "Polygon", 1, 1.0, 2.0), ("b", "LineString", 0, 1.0, 3.0), ("b", "LineString", 1, 4.0, 6.0)]
 
 
+def test_kml_nested_folders_documents_and_prefixes(spark):
+    line = lambda x: f"<Placemark><LineString><coordinates>{x},1,2</coordinates></LineString></Placemark>"
+    hole = "<k:Polygon><k:innerBoundaryIs><k:LinearRing><k:coordinates>9,9,9</k:coordinates></k:LinearRing></k:innerBoundaryIs><k:outerBoundaryIs><k:LinearRing><k:coordinates>7,7,7</k:coordinates></k:LinearRing></k:outerBoundaryIs></k:Polygon>"
+    texts = {
+        "nested": f"<Document>{line(1)}<Folder><name>a</name><Folder>{line(2)}</Folder>{line(3)}</Folder>{line(4)}</Document>",
+        "two": f"<kml><Document>{line(1)}</Document><Document><Folder>{line(2)}</Folder>{line(3)}</Document></kml>",
+        "prefix": f"<k:Document><k:Folder>{hole}</k:Folder></k:Document>",
+        "empty": f"<Document><Folder/>{line(5)}</Document>",
+    }
+    got = {(r["file"], r["path_id"], r["lon"]) for r in files.parse_kml(spark.createDataFrame(list(texts.items()), "file string, text string")).collect()}
+    assert got == {("nested", 0, 2.0), ("nested", 1, 3.0), ("two", 0, 1.0), ("two", 1, 2.0), ("prefix", 0, 7.0)}
+
+
+def test_rigid_fit_step_by_step():
+    """Inexact triangles, turned by quaternions instead of matrices."""
+    rng = np.random.default_rng(5)
+
+    def rotate(v, axis, angle):
+        w, u = np.cos(angle / 2), np.sin(angle / 2) * axis
+        return v + 2 * np.cross(u, np.cross(u, v) + w * v)
+
+    for _ in range(50):
+        src, dst = rng.normal(size=(3, 3)), rng.normal(size=(3, 3)) * 3 + 5
+        a, b = src - src.mean(axis=0), dst - dst.mean(axis=0)
+        sums = []
+        for v in (a, b):
+            u = [x / np.linalg.norm(x) for x in v]
+            n = sum(np.cross(u[k], u[k - 2]) / np.linalg.norm(np.cross(u[k], u[k - 2])) * np.arccos(abs(u[k] @ u[k - 2])) for k in range(3))
+            sums.append(n / np.linalg.norm(n))
+        c = np.cross(*sums)
+        s = np.linalg.norm(c)
+        level = lambda v: rotate(v, c / s, np.arcsin(s))  # noqa: B023, E731
+        angles = []
+        for x, y in zip(a, b):
+            p, q = np.cross(sums[1], level(x)), np.cross(sums[1], y)
+            z = np.cross(p / np.linalg.norm(p), q / np.linalg.norm(q))
+            angles.append(np.arcsin(np.linalg.norm(z)) * np.sign(z @ sums[1]))
+        scale = np.mean([np.linalg.norm(x) for x in b]) / np.mean([np.linalg.norm(x) for x in a])
+        want = [rotate(level(x), sums[1], np.mean(angles)) * scale + dst.mean(axis=0) for x in a]
+        assert (np.c_[src, np.ones(3)] @ mesh.rigid_transform(src, dst))[:, :3] == pytest.approx(np.array(want))
+    assert np.isfinite(mesh.rigid_transform(np.array([[0.0, 0, 0], [1, 0, 0], [0, 1, 0]]), np.array([[2.0, 0, 0], [3, 0, 0], [2, 1, 0]]))).all()
+
+
+def test_duplicates_of_many_sizes_against_nested_loop(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(400):
+        size = float(rng.choice([0.01, 0.3, 1.0, 1.05, 7.0, 300.0]))
+        rows.append((k, k % 7, 3, 3, *(float(v) for v in rng.integers(-2, 3, 3) * size * 0.06 + rng.choice([-1.0, 0.0, 5.0]) * size), size))
+    m = spark.createDataFrame(rows, "mesh_id bigint, file_no int, n_vertex int, n_index int, x0 double, y0 double, z0 double, size double")
+    f, want = np.float32, set()
+    for p in rows:
+        for q in rows:
+            cut = [min(p[i] + p[7], q[i] + q[7]) - max(p[i], q[i]) for i in (4, 5, 6)]
+            if p[1] > q[1] and min(cut) > 0:
+                both = f(cut[0] * cut[1] * cut[2])
+                if both / f(p[7] ** 3) > f(0.8) and both / f(q[7] ** 3) > f(0.8):
+                    want.add((p[0], q[0]))
+    got = [tuple(r) for r in boxes.near_duplicate_pairs(m).collect()]
+    assert len(want) > 50 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_boxes_of_many_sizes_meet_in_few_cells(spark):
+    rng = np.random.default_rng(9)
+    make = lambda n: [(k, float(x), float(y), float(x + s), float(y + s * 0.7)) for k, (x, y, s) in enumerate(zip(*rng.uniform(-50, 50, (2, n)), rng.choice([0.01, 0.5, 3.0, 40.0, 9000.0], n)))]
+    a, b = make(80), make(80)
+    want = {(p[0], q[0]) for p in a for q in b if max(p[1], q[1]) < min(p[3], q[3]) and max(p[2], q[2]) < min(p[4], q[4])}
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} int, " + SQUARE)
+    got = [(r["a"], r["b"]) for r in boxes.box_overlap_join(frame(a, "a"), frame(b, "b"), 0.1).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_metadata_is_cut_at_whole_characters(spark):
+    rows = [(1, "a", "é" * 300), (1, "b", "x" * 600), (1, "c", "x" + "漢" * 200), (1, "d", "short")]
+    m = lookup.metadata_map(spark.createDataFrame(rows, "map_id int, name string, value string").withColumns({"type": F.lit("string"), "rows": F.lit(1)})).first()["metadata"]
+    assert m == {"a": "é" * 250, "b": "x" * 500, "c": "x" + "漢" * 166, "d": "short"}
+
+
+def test_run_bytes_of_all_widths_and_long_runs(spark):
+    rng = np.random.default_rng(2)
+    rows = [(b, k, int(v)) for b, values in enumerate([[5] * 70_000 + [9], [7] * 100 + [300] * 20_000, rng.integers(0, 2**20, 50), [-3], rng.integers(0, 200, 400), [1] * 63 + [2] * 64]) for k, v in enumerate(values)]
+    p = spark.createDataFrame(rows, "block_id bigint, pos bigint, v bigint")
+    assert sorted(map(tuple, raster.unpack_runs(raster.pack_runs(raster.rle_encode(p))).collect())) == rows
+    narrow = struct.pack("<iiiB", 10, -1, 13, 2) + bytes([0b11100100, 0b1])
+    assert raster.decode_block(narrow, 5).tolist() == [10, 11, 12, 13, 11]
+    assert raster.decode_block(struct.pack("<iiiB", 0, 1, 14, 0) + bytes([9]), 4).tolist() == [0] * 4
+
+
 def test_capture_files(spark, tmp_path):
     rec = lambda tag, body: struct.pack("<II", len(body), tag) + body
     good = struct.pack("<II", files.MAGIC, 1) + rec(0x10000005, b"ab") + rec(0x20000000, struct.pack("<I", 7) + b"xyz") + rec(0x40000000, b"") + rec(0xF0000000, b"") + rec(0x10000001, b"late")
