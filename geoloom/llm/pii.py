@@ -17,7 +17,6 @@ table.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from bisect import bisect_left
@@ -147,7 +146,6 @@ def iban_ok(s: str) -> bool:
     return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
-LABELERS = ("pattern", "check", "gazetteer", "context", "placeholder")
 _PLACEHOLDER = re.compile(r"(?i)example|sample|dummy|test|x{4,}|0{6,}|12345678|abcdef|your|changeme|placeholder")
 
 
