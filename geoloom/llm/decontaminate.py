@@ -185,11 +185,13 @@ class Block:
     rich: float  # passages of this weight are rows of the matrix
     part_weight: float  # of a part's row, a passage weighing 1
 
+    number: np.ndarray  # the block's number of each of the benchmark's terms up to its last own one, else -1
+
     def tokens(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
         """Own term numbers and half-windows of a group's tokens that are among the block's terms."""
-        k = np.searchsorted(self.terms, t.term)
-        k[k == len(self.terms)] = 0
-        own = np.flatnonzero(self.terms[k] == t.term)
+        known = t.term < len(self.number)
+        k = self.number[np.where(known, t.term, 0)]
+        own = np.flatnonzero(known & (k >= 0))
         return k[own], t.half[own]
 
 
@@ -236,7 +238,9 @@ def blocks_of(bench: Benchmark, w: Weights) -> list[Block]:
             np.add.at(parts[k], np.searchsorted(terms, x), w.weight[x])
         parts /= np.maximum(np.linalg.norm(parts, axis=1, keepdims=True), 1e-9)
         mass = np.median([w.weight[np.unique(x)].sum() for _, x in rows]) * STOCK
-        out.append(Block(terms, w.weight[terms], parts, np.array([q for q, _ in rows]), float(mass), w.passages / len(rows)))
+        number = np.full(int(terms[-1]) + 1, -1, np.int32)
+        number[terms] = np.arange(len(terms))
+        out.append(Block(terms, w.weight[terms], parts, np.array([q for q, _ in rows]), float(mass), w.passages / len(rows), number))
     return out
 
 
@@ -319,7 +323,8 @@ HIT = "doc_id bigint, item_id bigint, start bigint, cosine double, lcs double, a
 
 def present(keys: np.ndarray, n: int, terms: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
     """(terms x stretches) whether a term is at a place from a to before z. keys: term * n + place of all words, sorted, then a larger value; a in order, so that each term's look-ups go forward."""
-    low = terms.astype(np.int64)[:, None] * n
+    low = terms.astype(keys.dtype)[:, None] * keys.dtype.type(n)
+    a, z = a.astype(keys.dtype), z.astype(keys.dtype)
     return keys[np.searchsorted(keys, (low + a).reshape(-1)).reshape(len(terms), len(a))] < low + z
 
 
@@ -431,7 +436,8 @@ def search(bench: Benchmark, w: Weights, blocks: list[Block], spaces: list[np.nd
             a = np.where(w.plain[q], start + (np.arange(len(at)) - (np.cumsum(n_of) - n_of)[at]) * step[q], a[at])
             z = np.where(w.plain[q], a + stretch[q], z[at])
         z = np.minimum(z, lengths[doc])
-        keys = np.append(np.sort(t.term.astype(np.int64) * n + t.place), np.iinfo(np.int64).max)
+        small = np.int32 if (len(bench.terms) + 1) * n < 2**31 else np.int64
+        keys = np.append(np.sort(t.term.astype(small) * small(n) + t.place.astype(small)), np.iinfo(small).max)
         first = (ends - lengths)[doc]
         order = np.lexsort((first + a, q))
         b, q, a, z, first, cosine = (x[order] for x in (b, q, a, z, first, cosine))
