@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoloom.llm import brown, decontaminate, exact_dedup, language, licenses, mixing, near_dedup, pii, toxicity, url_filter
+from geoloom.llm import alignment, brown, decontaminate, exact_dedup, language, licenses, mixing, near_dedup, pii, resample, toxicity, url_filter, vector_dedup
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_source_mix": mixing.op8_source_mix,
         "op9_pii": pii.op9_pii,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "op11_token_alignment": alignment.op11_token_alignment,
+        "op12_resample": resample.op12_resample,
+        "op13_vector_dedup": vector_dedup.op13_vector_dedup,
     }
 
 
@@ -25,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_url_filter": url_filter.OP7_SQL,
         "op8_source_mix": mixing.OP8_SQL,
         "op10_exact_dedup": exact_dedup.OP10_SQL,
+        "op12_resample": resample.OP12_SQL,
     }
