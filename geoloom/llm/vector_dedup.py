@@ -33,8 +33,8 @@ from geoloom.storage import arrow_rows, job, materialize, result
 COSINE = 0.98
 #: Share of the links that searches are to reach, and the sampled vectors: for the codebooks, and as searchers for the radius.
 RECALL, SAMPLE, SEARCHERS = 0.999, 20_000, 512
-#: Vectors a cell aimed at, and the largest codebook.
-FILED, CENTROIDS = 48, 1024
+#: Vectors a cell aimed at, over all labels, and the largest codebook. Fewer vectors a cell mean more cells a search, each of which is sent a copy of the searcher.
+FILED, CENTROIDS = 512, 1024
 #: Vectors of a block.
 BLOCK = 1024
 #: Steps of the measured radius; sampled links below which only the made-up partners count.

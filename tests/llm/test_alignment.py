@@ -4,6 +4,8 @@ import collections
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("geoloom.llm")
@@ -28,17 +30,17 @@ def plain_groups(it, text):
     tokens = [(k, it.bytes_a[k]) for k in a], [(k, it.bytes_b[k]) for k in b]
     if not text or any(b"".join(x for _, x in side) != (" " + text).encode() for side in tokens):
         return None
-    ends = []
-    for side in tokens:
-        at, here = 0, []
-        for _, x in side:
-            at += len(x)
-            here.append(at)
-        ends.append(here)
-    groups, start = [], 0
-    for cut in sorted(set(ends[0]) & set(ends[1])):
-        groups.append(tuple([k for (k, _), e in zip(side, end) if start < e <= cut] for side, end in zip(tokens, ends)))
-        start = cut
+    ends = [np.cumsum([len(x) for _, x in side]).tolist() for side in tokens]
+    cuts, groups, at = sorted(set(ends[0]) & set(ends[1])), [], [0, 0]
+    for cut in cuts:
+        group = []
+        for k in (0, 1):
+            to = at[k]
+            while ends[k][to] < cut:
+                to += 1
+            group.append([name for name, _ in tokens[k][at[k] : to + 1]])
+            at[k] = to + 1
+        groups.append(tuple(group))
     return groups
 
 
@@ -60,30 +62,44 @@ def expected(it, texts):
 AWKWARD = ["", " ", "  ", "a ", "a  ", " a", "hello  world", "\n", "a \n b", "é漢字🙂x", "▁x", "a▁", "<0x41> <|endoftext|> <s> </s>", "a   b", "a　 b", "don't I'll 12345 3.14", "x" * 500, "ab " * 200, "🙂" * 40, "🙂 " * 9, "a\0b \0", "ﬁ ½ ①", "é ñ", "\t\t x", "a !  ?", "𝔘𝔫𝔦 ü Ü", "العربية नमस्ते ไทย", "﻿a b", "a\r\n b", "- ​ -", "<unk> <0x0A>"]
 
 
-def rows_of(it, texts):
-    return [[it.groups[u] for u in units] for units in it.numbers(texts)]
+def by_units(it, texts):
+    """Per text the groups put together from units; None without tokens."""
+    out = []
+    for part in al.portions(pa.array(texts, pa.string()), it.whole):
+        unit = it.numbers(part.units)
+        for k in range(part.n):
+            own = unit[part.owner == k]
+            fine = not part.empty[k] and not it.counts[own, 4].any()
+            out.append(b";".join(it.groups[u] for u in own).decode() if fine else None)
+    return out
+
+
+def written(groups):
+    return None if groups is None else ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
 
 
 def test_units_give_the_groups_of_whole_texts(both):
     assert not both.whole
-    for text, units in zip(AWKWARD, rows_of(both, AWKWARD)):
-        want = plain_groups(both, text)
-        numbers = both.numbers([text])[0]
-        whole = bool(numbers) and all(both.counts[u][4] for u in numbers)
-        assert whole == (want is not None), text
-        if want is not None:
-            assert ";".join(units) == ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in want), text
+    assert by_units(both, [*AWKWARD, None]) == [written(plain_groups(both, t)) for t in [*AWKWARD, ""]]
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from([*"aZ09.,'!-\n\t", *[" "] * 8, "the", " ing", "é", "漢", "🙂", "\u00a0", "▁", "<", "ß", "\u0301", "\u3000"]), max_size=60).map("".join))
-def test_units_of_any_text(text):
+@given(st.lists(st.lists(st.sampled_from([*"aZ09.,'!-\n\t", *[" "] * 8, "the", " ing", "é", "漢", "🙂", "\u00a0", "▁", "<", "ß", "\u0301", "\u3000"]), max_size=40).map("".join), min_size=1, max_size=4))
+def test_units_of_any_texts(texts):
     it = al.aligner(al.BYTE_BPE, al.PIECE_BPE)
-    want = plain_groups(it, text)
-    units = it.numbers([text])[0]
-    assert (bool(units) and all(it.counts[u][4] for u in units)) == (want is not None)
-    if want is not None:
-        assert [g for u in units for g in [(a, b) for _, a, b in it.spans[u]]] == want
+    assert by_units(it, texts) == [written(plain_groups(it, t)) for t in texts]
+
+
+def test_a_group_of_many_links(both):
+    """Neither a long run of characters that end together nowhere, nor many links, are cut short."""
+    it = al.Aligner(al.BYTE_BPE, al.PIECE_BPE)
+    a, b = np.arange(300) % 7, np.arange(500) % 11
+    ends = [np.append(np.arange(1, n) * 10 + shift, 9000) for n, shift in ((300, 0), (500, 3))]
+    it.tokens = lambda text: ((a, ends[0]), (b, ends[1]))
+    groups, counts, n, codes, times = it.learned([b"x" * 9000])[0]
+    assert counts.tolist() == [[300, 500, 1, 150_000, 0]] and n.tolist() == [77]
+    want = collections.Counter((x, y) for x in a.tolist() for y in b.tolist())
+    assert dict(zip(codes.tolist(), times.tolist())) == {x * it.size_b + y: k for (x, y), k in want.items()}
 
 
 def test_query_against_brute_force(spark, sf, both):
@@ -126,8 +142,17 @@ def test_empty_table(spark):
 
 
 def test_units_are_forgotten_and_learned_again(both, monkeypatch):
-    monkeypatch.setattr(al, "KEPT", 10)
-    first = rows_of(both, ["one two three", "four five"])
-    both.numbers(["six"])
-    assert len(both.groups) == 1
-    assert rows_of(both, ["one two three", "four five"]) == first
+    monkeypatch.setattr(al, "KEPT", 6)
+    both.clear()
+    first = by_units(both, ["one two three two", "four five one", "a b c d"])
+    by_units(both, ["six"])
+    assert set(both.number) == {b" one", b" two", b" six"}  # those looked up twice stay
+    assert by_units(both, ["one two three two", "four five one", "a b c d"]) == first
+    assert by_units(both, ["a a b b c c d d six six one"] * 3)[0] == written(plain_groups(both, "a a b b c c d d six six one"))
+
+
+@pytest.mark.parametrize("block", [1, 30, 20_000])
+def test_units_encoded_in_pieces_of_any_length(block, monkeypatch):
+    monkeypatch.setattr(al, "BLOCK", block)
+    it = al.Aligner(al.BYTE_BPE, al.PIECE_BPE)
+    assert by_units(it, AWKWARD) == [written(plain_groups(it, t)) for t in AWKWARD]
