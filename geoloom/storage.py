@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -13,8 +15,11 @@ from pyspark.sql import functions as F
 
 #: Folders made for sessions that name none, by application.
 _made: dict[str, str] = {}
-#: Folders of the jobs that are running, the innermost last, by application.
-_running: dict[str, list[str]] = {}
+#: Folders of the jobs that run in this thread (or task of an event loop), the innermost last.
+_running: ContextVar[tuple[str, ...]] = ContextVar("_running", default=())
+#: Row limits in force by session, and what held before the first of them.
+_limits: dict[int, tuple[str, list[int]]] = {}
+_lock = threading.Lock()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,14 +53,13 @@ def _remove(spark: SparkSession, path: str, now: bool) -> None:
 
 @contextmanager
 def job(spark: SparkSession) -> Iterator[None]:
-    """Within the block, tables of ``materialize`` belong to this job and are removed at its end, but for those of ``result``."""
-    running = _running.setdefault(spark.sparkContext.applicationId, [])
+    """Within the block, tables of ``materialize`` belong to this job and are removed at its end, but for those of ``result``. Jobs of several threads don't know of each other."""
     path = f"{shared_dir(spark)}/steps/{uuid.uuid4().hex}"
-    running.append(path)
+    before = _running.set((*_running.get(), path))
     try:
         yield
     finally:
-        running.remove(path)
+        _running.reset(before)
         _remove(spark, path, now=True)
 
 
@@ -64,6 +68,15 @@ def _written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for files that a job writes itself; it lasts as a table of ``materialize`` does."""
+    running = _running.get()
+    path = f"{running[-1] if running else shared_dir(spark) + '/steps'}/{name}-{uuid.uuid4().hex}"
+    if not running:
+        _remove(spark, path, now=False)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return a scan of it.
 
@@ -71,14 +84,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     recomputation, and a table used twice is computed once. Within a ``job`` the
     table lasts as long as the job, else as long as the session.
     """
-    running = _running.get(df.sparkSession.sparkContext.applicationId)
+    running = _running.get()
     return _written(df, f"{running[-1]}/{name}-{uuid.uuid4().hex}") if running else result(df, name)
 
 
 def result(df: DataFrame, name: str) -> DataFrame:
     """As ``materialize``, for what a job hands out: the table lasts as long as the session (or the job around this one)."""
     spark = df.sparkSession
-    outer = _running.get(spark.sparkContext.applicationId, [])[:-1]
+    outer = _running.get()[:-1]
     path = f"{outer[-1] if outer else shared_dir(spark) + '/steps'}/{name}-{uuid.uuid4().hex}"
     if not outer:
         _remove(spark, path, now=False)
@@ -87,14 +100,20 @@ def result(df: DataFrame, name: str) -> DataFrame:
 
 @contextmanager
 def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
-    """Within the block, jobs that are run hand at most ``n`` rows at a time to Python workers. For rows that are long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(n))
+    """Within the block, jobs that are run hand at most ``n`` rows at a time to Python workers. For rows that are long. Of several blocks, in any threads, the smallest limit holds until the last has ended."""
+    key, session = "spark.sql.execution.arrow.maxRecordsPerBatch", id(spark)
+    with _lock:
+        before, limits = _limits.setdefault(session, (spark.conf.get(key), []))
+        limits.append(n)
+        spark.conf.set(key, str(min(limits)))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        with _lock:
+            limits.remove(n)
+            spark.conf.set(key, str(min(limits)) if limits else before)
+            if not limits:
+                del _limits[session]
 
 
 def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], rows: str | None = None) -> DataFrame:

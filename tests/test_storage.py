@@ -45,3 +45,41 @@ def test_running_sums_in_ranges(spark):
         want[k] = (total, n)
         total += k % 7
     assert {r["k"]: (r["before"], r["number"]) for r in rows} == want
+
+
+def test_jobs_of_two_threads_keep_their_own_tables(spark):
+    """The job that ends first takes nothing of the other's with it, nor its limit of rows."""
+    import threading
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    first, second, seen = threading.Event(), threading.Event(), {}
+
+    def long() -> None:
+        with storage.arrow_rows(spark, 50), storage.job(spark):
+            table = storage.materialize(spark.range(11), "long")
+            first.set()
+            second.wait(60)
+            seen["long"] = table.count(), spark.conf.get(key)
+
+    def short() -> None:
+        first.wait(60)
+        with storage.arrow_rows(spark, 20), storage.job(spark):
+            storage.materialize(spark.range(5), "short")
+            seen["short"] = spark.conf.get(key)
+        second.set()
+
+    threads = [threading.Thread(target=f) for f in (long, short)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert seen == {"long": (11, "50"), "short": "20"} and spark.conf.get(key) == before
+
+
+def test_scratch_goes_with_its_job(spark):
+    with storage.job(spark):
+        path = storage.scratch(spark, "files")
+        spark.range(3).write.parquet(path)
+        assert spark.read.parquet(path).count() == 3
+    assert not os.path.exists(path.removeprefix("file://"))
