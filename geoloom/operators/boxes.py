@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from geoloom.operators.links import components
 from geoloom.storage import job, materialize, result
 
 SIDES = ("min_x", "min_y", "max_x", "max_y")
@@ -47,14 +48,14 @@ def intersection(a: str, b: str) -> dict[str, Column]:
     return out | {"overlaps": (out["min_x"] < out["max_x"]) & (out["min_y"] < out["max_y"])}
 
 
-#: Levels of cells; each is twice as wide as the one before.
-LEVELS = 12
+#: Highest level of cells; each is twice as wide as the one before.
+TOP = 60
 
 
 def _levels(boxes: DataFrame, cell: float) -> DataFrame:
     """Boxes with an inside, and the level whose cells are as large as they are."""
     size = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
-    level = F.greatest(F.lit(0), F.least(F.lit(LEVELS - 1), F.ceil(F.log2(F.greatest(size, F.lit(cell)) / cell)))).cast("int")
+    level = F.greatest(F.lit(0), F.least(F.lit(TOP), F.ceil(F.log2(F.greatest(size, F.lit(cell)) / cell)))).cast("int")
     return boxes.where("min_x < max_x and min_y < max_y").withColumn("_level", level)
 
 
@@ -65,6 +66,30 @@ def _cells(boxes: DataFrame, cell: float, level: Column) -> DataFrame:
     return boxes.withColumn("cell_x", span("x")).withColumn("cell_y", span("y"))
 
 
+def _roles(boxes: DataFrame, others: DataFrame, cell: float, at_home: list[int], away: int) -> DataFrame:
+    """Boxes in the cells of their own level, once for each meeting in ``at_home``, and as visitors in those of the higher levels that ``others`` have, for the meeting ``away``."""
+    boxes = boxes.withColumn("_levels", others.agg(F.collect_set("_level")).scalar())
+    home = F.array(*[F.struct(F.col("_level").alias("at"), F.lit(m).alias("meeting")) for m in at_home])
+    visits = F.transform(F.filter("_levels", lambda at: at > F.col("_level")), lambda at: F.struct(at.alias("at"), F.lit(away).alias("meeting")))
+    placed = boxes.withColumn("_role", F.explode(F.concat(home, visits))).select("*", F.col("_role.at").alias("_at"), F.col("_role.meeting").alias("_meeting"))
+    return _cells(placed, cell, F.col("_at")).drop(*SIDES, "_level", "_levels", "_role")
+
+
+def candidates(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
+    """Rows of both sides that meet in a cell of the level of the larger box; sides' columns end in _a and _b.
+
+    At their own level boxes are at home, at higher ones visitors. Homes of ``a`` meet
+    homes and visitors of ``b`` (meeting 0), visitors of ``a`` meet homes of ``b``
+    (meeting 1), and visitors never meet visitors. So a cell compares boxes of its own
+    size with what lies in it, and a few huge boxes cost a row for each box of the
+    other side, whatever is on their own.
+    """
+    left = _levels(a, cell).withColumnsRenamed({s: s + "_a" for s in SIDES}).withColumns({s: F.col(s + "_a") for s in SIDES})
+    right = _levels(b, cell).withColumnsRenamed({s: s + "_b" for s in SIDES}).withColumns({s: F.col(s + "_b") for s in SIDES})
+    homes = _roles(left, right, cell, [0], 1)
+    return homes.join(_roles(right, left, cell, [0, 1], 0), ["_at", "_meeting", "cell_x", "cell_y"])
+
+
 def box_overlap_join(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
     """All pairs of boxes that overlap, with their intersection as min_x..max_y; the other box columns are dropped.
 
@@ -73,20 +98,15 @@ def box_overlap_join(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
     four at most and the smaller one four, too, so a few huge boxes don't multiply
     into small cells. A pair that meets in several cells is kept in the one that
     holds the smallest corner of its intersection, so no distinct is needed. Only
-    levels that occur on the other side are looked into. Columns but the box must
-    differ between the sides.
+    levels that occur on the other side are looked into; each side's levels are found
+    by a pass over its box columns. Both sides are plain shuffles on the cell, so that
+    Spark splits a crowded one. Columns but the box must differ between the sides.
     """
-    left = _levels(a, cell).withColumnsRenamed({s: s + "_a" for s in SIDES}).withColumns({s: F.col(s + "_a") for s in SIDES})
-    right = _levels(b, cell).withColumnsRenamed({s: s + "_b" for s in SIDES}).withColumns({s: F.col(s + "_b") for s in SIDES})
-    # of a pair, the larger box is at its own level, the smaller one goes up to it
-    used = left.select("_level").union(right.select("_level")).agg(F.collect_set("_level")).scalar()
-    left = _cells(left.withColumn("_at", F.explode(used)).where("_at >= _level"), cell, F.col("_at")).drop(*SIDES).withColumnRenamed("_level", "_own_a")
-    right = _cells(right.withColumn("_at", F.explode(used)).where("_at >= _level"), cell, F.col("_at")).drop(*SIDES).withColumnRenamed("_level", "_own_b")
     cut = intersection("_a", "_b")
     width = F.lit(cell) * F.pow(F.lit(2.0), F.col("_at"))
     corner = (F.floor(cut["min_x"] / width) == F.col("cell_x")) & (F.floor(cut["min_y"] / width) == F.col("cell_y"))
-    met = left.join(right, ["_at", "cell_x", "cell_y"]).where((F.greatest("_own_a", "_own_b") == F.col("_at")) & cut["overlaps"] & corner)
-    return met.withColumns({s: cut[s] for s in SIDES}).drop("_at", "_own_a", "_own_b", "cell_x", "cell_y", *[s + e for s in SIDES for e in ("_a", "_b")])
+    met = candidates(a, b, cell).where(cut["overlaps"] & corner)
+    return met.withColumns({s: cut[s] for s in SIDES}).drop("_at", "_meeting", "cell_x", "cell_y", *[s + e for s in SIDES for e in ("_a", "_b")])
 
 
 def patch_overlap_index(patches: DataFrame, patch: str, others: dict[str, tuple[DataFrame, str]], cell: float) -> DataFrame:
@@ -158,27 +178,65 @@ def near_duplicate_pairs(meshes: DataFrame, share: float = 0.8) -> DataFrame:
     return met.where((f32(both / F.col("volume")) > F.lit(share).cast("float")) & (f32(both / F.col("other_volume")) > F.lit(share).cast("float"))).select("mesh_id", "earlier_id")
 
 
-def dedup_meshes(meshes: DataFrame, pairs: DataFrame) -> DataFrame:
+#: Pairs of a component that one task decides on; larger ones are decided in rounds.
+TOGETHER = 1_000_000
+
+
+def dedup_meshes(meshes: DataFrame, pairs: DataFrame, together: int = TOGETHER) -> DataFrame:
     """Meshes that match no kept mesh of an earlier file, decided in file order.
 
-    Rounds: an undecided mesh without a kept or undecided earlier match is kept; one
-    with a kept earlier match is dropped. Each round decides at least the earliest
-    undecided file, and is written, so lineage stays short; the table of open pairs
-    shrinks until it is empty.
+    The pairs fall into connected components, which don't know of each other. Each of
+    up to ``together`` pairs is decided by one task in one pass, whatever the length of
+    its chains, so the number of jobs is that of the components' rounds. Larger ones
+    are decided in rounds over the pair table: a mesh without a kept or undecided
+    earlier match is kept, one with a kept earlier match is dropped; each round is
+    written, and decides at least the earliest undecided file.
     """
     with job(meshes.sparkSession):
-        return result(meshes.join(_kept_meshes(meshes, pairs), "mesh_id", "left_semi"), "deduped")
-
-
-def _kept_meshes(meshes: DataFrame, pairs: DataFrame) -> DataFrame:
+        return result(meshes.join(_dropped_meshes(pairs, together), "mesh_id", "left_anti"), "deduped")
+
+
+def greedy(group: pa.Table) -> pa.Table:
+    """The meshes of a component that are dropped. A mesh is decided once its earlier matches are."""
+    later, waiting = {}, {}
+    for mesh, earlier in zip(group["mesh_id"].to_pylist(), group["earlier_id"].to_pylist()):
+        later.setdefault(earlier, []).append(mesh)
+        waiting[mesh] = waiting.get(mesh, 0) + 1
+        waiting.setdefault(earlier, 0)
+    dropped = set()
+    ready = [m for m, n in waiting.items() if not n]
+    while ready:
+        mesh = ready.pop()
+        for other in later.get(mesh, ()):
+            if mesh not in dropped:
+                dropped.add(other)
+            waiting[other] -= 1
+            if not waiting[other]:
+                ready.append(other)
+    return pa.table({"mesh_id": pa.array(sorted(dropped), pa.int64())})
+
+
+def _dropped_meshes(pairs: DataFrame, together: int) -> DataFrame:
+    pairs = materialize(pairs.select(F.col("mesh_id").cast("bigint"), F.col("earlier_id").cast("bigint")).distinct(), "pairs")
+    groups = components(pairs.select(F.col("earlier_id").alias("a"), F.col("mesh_id").alias("b")))
+    placed = materialize(pairs.join(groups.withColumnRenamed("node", "mesh_id"), "mesh_id"), "placed")
+    large = materialize(placed.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > together).select("component"), "large")
+    dropped = placed.join(large, "component", "left_anti").groupBy("component").applyInArrow(greedy, "mesh_id bigint")
+    if large.isEmpty():
+        return dropped
+    return dropped.union(_dropped_in_rounds(placed.join(large, "component", "left_semi").select("mesh_id", "earlier_id")))
+
+
+def _dropped_in_rounds(pairs: DataFrame) -> DataFrame:
     open_pairs = materialize(pairs, "pairs")
-    kept = materialize(meshes.select("mesh_id").join(open_pairs.select("mesh_id").distinct(), "mesh_id", "left_anti"), "kept")
-    all_kept = kept
+    earlier = open_pairs.select(F.col("earlier_id").alias("mesh_id")).distinct()
+    kept = materialize(earlier.join(open_pairs.select("mesh_id").distinct(), "mesh_id", "left_anti"), "kept")
+    all_dropped = None
     while not open_pairs.isEmpty():
         # a match with a kept mesh drops
         dropped = materialize(open_pairs.join(kept.select(F.col("mesh_id").alias("earlier_id")), "earlier_id", "left_semi").select("mesh_id").distinct(), "dropped")
         left = materialize(open_pairs.join(dropped, "mesh_id", "left_anti"), "left")
         open_pairs = materialize(left.join(dropped.select(F.col("mesh_id").alias("earlier_id")), "earlier_id", "left_anti"), "pairs")
         kept = materialize(left.select("mesh_id").distinct().join(open_pairs.select("mesh_id").distinct(), "mesh_id", "left_anti"), "kept")
-        all_kept = all_kept.union(kept)
-    return all_kept
+        all_dropped = dropped if all_dropped is None else all_dropped.union(dropped)
+    return all_dropped

@@ -9,8 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo
+from geoloom.operators.links import spread_join
+from geoloom.storage import job, materialize, numbered, result
 
 TRIANGLES, STRIP = 4, 5
+#: Rows of one batch or group that a task meets.
+AT_ONCE = 500_000
 
 
 def globe_vertices(spark: SparkSession) -> DataFrame:
@@ -58,11 +62,25 @@ def compact_vertices(index: DataFrame, n_vertex: DataFrame, keys: list[str], tri
 
 
 def mesh_numbers(meshes: DataFrame, stem: Column) -> DataFrame:
-    """Group number in the batch, mesh number in the group, and the export names."""
-    g = F.dense_rank().over(W.partitionBy("batch_id").orderBy("group_id")) - 1
-    m = F.row_number().over(W.partitionBy("batch_id", "group_id").orderBy("mesh_id")) - 1
-    out = meshes.withColumn("g", g.cast("bigint")).withColumn("m", m.cast("bigint"))
-    return out.withColumn("mesh_name", F.concat(stem, F.lit("_meshNode_"), "g", F.lit("_"), "m")).withColumn("material_name", F.concat(F.lit("material_"), "g", F.lit("_"), "m"))
+    """Group number in the batch, mesh number in the group, and the export names.
+
+    All meshes are numbered in one order, by ranges; a mesh's number in its group is
+    what it is beyond the group's first, and a group's in its batch likewise. So no
+    task holds a whole batch or group. Meshes of one group with one identifier may take
+    either number.
+    """
+    keys = ["batch_id", "group_id"]
+    with job(meshes.sparkSession):
+        n = materialize(numbered(meshes.withColumn("_at", F.struct(*keys, "mesh_id")), "_at").withColumnRenamed("number", "_number").drop("_at"), "numbered")
+        groups = materialize(n.groupBy(*keys).agg(F.min("_number").alias("_first"), F.count("*").alias("n")), "groups")
+        ordered = materialize(numbered(groups.withColumn("_at", F.struct(*keys)), "_at"), "ordered")
+        batches = ordered.groupBy("batch_id").agg(F.min("number").alias("_start"), F.count("*").alias("n"))
+        placed = spread_join(ordered.drop("_at", "n"), batches.drop("n"), ["batch_id"], "group_id", AT_ONCE, counts=batches.select("batch_id", "n"))
+        placed = placed.select(*keys, "_first", (F.col("number") - F.col("_start")).alias("g"))
+        out = spread_join(n, placed, keys, "mesh_id", AT_ONCE, counts=groups.select(*keys, "n"))
+        out = out.withColumn("m", F.col("_number") - F.col("_first")).select(*meshes.columns, "g", "m")
+        out = out.withColumn("mesh_name", F.concat(stem, F.lit("_meshNode_"), "g", F.lit("_"), "m")).withColumn("material_name", F.concat(F.lit("material_"), "g", F.lit("_"), "m"))
+        return result(out, "mesh-numbers")
 
 
 def with_triangles(meshes: DataFrame, draws: DataFrame) -> DataFrame:
