@@ -1,7 +1,7 @@
 """Recorded command streams: state in force, numbering, resolution of references.
 
-Windows are partitioned by dump and ordered by sequence number; payload bytes stay
-out of them and are joined afterwards.
+Windows are over chunks of a dump, in order of the sequence number, and over a row per
+chunk; payload bytes stay out of them and are joined afterwards.
 """
 
 from __future__ import annotations
@@ -13,17 +13,35 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 UNSET = -1
+#: Sequence numbers that share a chunk of a dump.
+CHUNK = 65_536
 
 
-def in_order(keys: tuple[str, ...] = ("dump_id",)) -> W:
-    return W.partitionBy(*keys).orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
+def within() -> W:
+    """The rows of a chunk in order."""
+    return W.partitionBy("dump_id", "_chunk").orderBy("seq")
+
+
+def up_to() -> W:
+    """A chunk's rows up to one."""
+    return within().rowsBetween(W.unboundedPreceding, W.currentRow)
+
+
+def earlier() -> W:
+    """The chunks of a dump before one."""
+    return W.partitionBy("dump_id").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+
+
+def chunked(records: DataFrame, chunk: int) -> DataFrame:
+    """Records with the chunk of their dump, which holds ``chunk`` of them at most."""
+    return records.withColumn("_chunk", F.floor(F.col("seq") / chunk))
 
 
 #: Attribute slots of meshes: position, colour, texture coordinates.
 ATTRIBUTES = (0, 2, 3)
 
 
-def draw_state_asof(records: DataFrame, slots: int = 4) -> DataFrame:
+def draw_state_asof(records: DataFrame, slots: int = 4, chunk: int = CHUNK) -> DataFrame:
     """State at each draw: matrix, active slot, texture in slot 0, bound array and element buffer, and per attribute its flag and pointer.
 
     Records have a tag, an argument, and an index (of the attribute). A texture goes
@@ -31,35 +49,62 @@ def draw_state_asof(records: DataFrame, slots: int = 4) -> DataFrame:
     that is bound at that moment (``buffer_<k>``), so slot and buffer are carried to
     those records first and their results to the draws. Binding nothing, disabling
     and what isn't set yet are UNSET, which a later record can't look through.
+
+    Each chunk of a dump finds its own last states; null is what it hasn't set. A row a
+    chunk, the states at its end are put together in order of the chunks, and what is
+    in force at a chunk's begin fills its nulls. A texture before the chunk's first
+    slot waits for the slot in force at the begin, and so does a pointer for its buffer.
     """
     index = F.col("index") if "index" in records.columns else F.lit(0)
-    last = lambda c, none: F.coalesce(F.last(c, ignorenulls=True).over(in_order()), F.lit(none))
+    last = lambda c, over: F.last(c, ignorenulls=True).over(over)
     of = lambda tag, value: F.when(F.col("tag") == tag, value)
     at = lambda k, tag, value: F.when((F.col("tag") == tag) & (index == k), value)
-    s = records.withColumns({
-        "matrix": last(of("matrix", F.col("arg")), UNSET),
-        "slot": last(of("enable", F.col("arg") % slots), 0),
-        "array_buffer": last(of("array_buffer", F.when(F.col("arg") != 0, F.col("arg")).otherwise(UNSET)), UNSET),
-        "element_buffer": last(of("element_buffer", F.when(F.col("arg") != 0, F.col("arg")).otherwise(UNSET)), UNSET),
-        **{f"enabled_{k}": last(F.coalesce(at(k, "enable_attribute", F.lit(1)), at(k, "disable_attribute", F.lit(0))), 0) for k in ATTRIBUTES},
-        **{f"pointer_{k}": last(at(k, "attribute_pointer", F.col("arg")), UNSET) for k in ATTRIBUTES},
+    some = F.when(F.col("arg") != 0, F.col("arg")).otherwise(UNSET)
+    plain = {
+        "matrix": (of("matrix", F.col("arg")), UNSET),
+        "slot": (of("enable", F.col("arg") % slots), 0),
+        "array_buffer": (of("array_buffer", some), UNSET),
+        "element_buffer": (of("element_buffer", some), UNSET),
+        **{f"enabled_{k}": (F.coalesce(at(k, "enable_attribute", F.lit(1)), at(k, "disable_attribute", F.lit(0))), 0) for k in ATTRIBUTES},
+        **{f"pointer_{k}": (at(k, "attribute_pointer", F.col("arg")), UNSET) for k in ATTRIBUTES},
+    }
+    c = chunked(records, chunk).withColumns({n: last(v, up_to()) for n, (v, _) in plain.items()})
+    texture = F.coalesce(of("bind_texture", F.col("arg")), of("disable_texture", F.lit(UNSET)))
+    c = c.withColumns({
+        "_known": last(F.when(F.col("slot") == 0, texture), up_to()),
+        "_open": last(F.when(F.col("slot").isNull(), texture), up_to()),
+        **{f"_held_{k}": last(at(k, "attribute_pointer", F.struct(F.col("array_buffer").alias("b"))), up_to()) for k in ATTRIBUTES},
     })
-    texture = F.when(F.col("slot") == 0, F.coalesce(of("bind_texture", F.col("arg")), of("disable_texture", F.lit(UNSET))))
-    s = s.withColumns({"texture": last(texture, UNSET), **{f"buffer_{k}": last(at(k, "attribute_pointer", F.col("array_buffer")), UNSET) for k in ATTRIBUTES}})
+    own = [*plain, "_known", "_open", *[f"_held_{k}" for k in ATTRIBUTES]]
+    ends = c.groupBy("dump_id", "_chunk").agg(F.max_by(F.struct(*own), "seq").alias("e")).select("dump_id", "_chunk", "e.*")
+    starts = ends.withColumns({f"in_{n}": F.coalesce(last(F.col(n), earlier()), F.lit(none)) for n, (_, none) in plain.items()})
+    late = {"texture": F.coalesce("_known", F.when(F.col("in_slot") == 0, F.col("_open"))), **{f"buffer_{k}": F.when(F.col(f"_held_{k}").isNotNull(), F.coalesce(F.col(f"_held_{k}.b"), F.col("in_array_buffer"))) for k in ATTRIBUTES}}
+    starts = starts.withColumns(late).withColumns({f"in_{n}": F.coalesce(last(F.col(n), earlier()), F.lit(UNSET)) for n in late})
+    starts = starts.select("dump_id", "_chunk", *[f"in_{n}" for n in (*plain, *late)])
+    draws = c.where(F.col("tag") == "draw").select("dump_id", "_chunk", "seq", *own).join(starts, ["dump_id", "_chunk"])
+    draws = draws.withColumns({n: F.coalesce(v, F.col(f"in_{n}")) for n, v in late.items()}).withColumns({n: F.coalesce(n, f"in_{n}") for n in plain})
     per = [f"{name}_{k}" for k in ATTRIBUTES for name in ("enabled", "pointer", "buffer")]
-    return s.where(F.col("tag") == "draw").select("dump_id", "seq", "matrix", "slot", "texture", "array_buffer", "element_buffer", *per)
+    return draws.select("dump_id", "seq", "matrix", "slot", "texture", "array_buffer", "element_buffer", *per)
 
 
-def dispatch_number(records: DataFrame) -> DataFrame:
-    """Running number, from 0, of draws and clears."""
-    hit = F.col("tag").isin("draw", "clear")
-    return records.withColumn("dispatch", F.sum(hit.cast("bigint")).over(in_order()) - 1).where(hit)
+def dispatch_number(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Running number, from 0, of draws and clears: within the chunk, after those of the chunks before."""
+    hits = chunked(records.where(F.col("tag").isin("draw", "clear")), chunk)
+    before = hits.groupBy("dump_id", "_chunk").agg(F.count("*").alias("_n")).select("dump_id", "_chunk", F.coalesce(F.sum("_n").over(earlier()), F.lit(0)).alias("_before"))
+    numbered = hits.withColumn("dispatch", F.count("*").over(up_to()) - 1).join(before, ["dump_id", "_chunk"])
+    return numbered.withColumn("dispatch", F.col("dispatch") + F.col("_before")).drop("_chunk", "_before")
 
 
-def data_sequence_gaps(records: DataFrame) -> DataFrame:
-    """Records whose stamp isn't the one before plus one."""
-    before = F.lag("seq").over(W.partitionBy("dump_id").orderBy("seq"))
-    return records.withColumn("expected", before + 1).where("seq <> expected")
+def data_sequence_gaps(records: DataFrame, stamp: str = "seq", chunk: int = CHUNK) -> DataFrame:
+    """Records whose stamp isn't the one before, in order of seq, plus one. A chunk's first record follows the last one of the chunks before."""
+    c = chunked(records, chunk)
+    ends = c.groupBy("dump_id", "_chunk").agg(F.max_by(stamp, "seq").alias("_last"))
+    starts = ends.select("dump_id", "_chunk", F.last("_last").over(earlier()).alias("_in"))
+    before = F.lag(stamp).over(within())
+    first = F.row_number().over(within()) == 1
+    c = c.withColumns({"_lag": before, "_first": first}).join(starts, ["dump_id", "_chunk"])
+    out = c.withColumn("expected", F.when(F.col("_first"), F.col("_in")).otherwise(F.col("_lag")) + 1).drop("_chunk", "_lag", "_first", "_in")
+    return out.where(F.col(stamp) != F.col("expected"))
 
 
 def matrix_inverse(m: pd.Series) -> pd.Series:
@@ -107,9 +152,10 @@ def texture_slots_by_first_use(binds: DataFrame, texture: str) -> DataFrame:
 
 
 def cut_after_end(records: DataFrame, strip: Column) -> DataFrame:
-    """Draws of each dump; after its first clear with the stencil bit strips only."""
-    over = F.max((F.col("tag") == "clear") & F.col("stencil")).over(in_order())
-    return records.withColumn("over", over).where((F.col("tag") == "draw") & (~F.col("over") | strip)).drop("over")
+    """Draws of each dump; after its first clear with the stencil bit strips only. One row a dump tells where that is."""
+    stop = records.where((F.col("tag") == "clear") & F.col("stencil")).groupBy("dump_id").agg(F.min("seq").alias("_stop"))
+    draws = records.where(F.col("tag") == "draw").join(stop, "dump_id", "left")
+    return draws.where(F.col("_stop").isNull() | (F.col("seq") < F.col("_stop")) | strip).drop("_stop")
 
 
 def records_of_class(records: DataFrame, tag: str = "code") -> DataFrame:
@@ -124,9 +170,14 @@ def drawable(position: Column, position_buffer: Column, uv: Column, uv_buffer: C
     return (position & position_buffer & uv & uv_buffer & indexed & element_buffer) | (strip & position & (position_buffer | (offset > 0)))
 
 
-def validate_codes(df: DataFrame, column: str, domain: DataFrame, code: str) -> DataFrame:
-    """Rows whose code isn't in the domain."""
-    return df.join(domain.select(F.col(code).alias(column)).distinct(), column, "left_anti")
+def validate_codes(df: DataFrame, columns: dict[str, str], domains: DataFrame, keys: list[str]) -> DataFrame:
+    """Violations (keys, column, domain, code) of code columns, each with its domain, against the table of domains (domain, code). Null codes are none.
+
+    One anti-join for all columns. The domains are fixed lists and small.
+    """
+    checks = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(d).alias("domain"), F.col(c).cast("bigint").alias("code")) for c, d in columns.items()])
+    each = df.select(*keys, F.explode(checks).alias("_check")).select(*keys, "_check.*").where("code is not null")
+    return each.join(domains.select("domain", F.col("code").cast("bigint")).distinct(), ["domain", "code"], "left_anti").select(*keys, "column", "domain", "code")
 
 
 def resolve_data_refs(records: DataFrame, data: DataFrame) -> DataFrame:

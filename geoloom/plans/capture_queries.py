@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import struct
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.functions import geo, text
+from geoloom.functions import codes, geo, text
 from geoloom.operators import capture, lookup, mesh
 from geoloom.plans.fixtures import sql, view
 from geoloom.plans.geodesy import ECEF, ENU, origin, r
 from geoloom.sources import files
-from geoloom.storage import shared_dir
+from geoloom.storage import scratch
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -58,9 +57,17 @@ def w02(spark, d):
     return capture.dispatch_number(rec(spark, d)).select("dump_id", "seq", "tag", "dispatch")
 
 
-@query("w03_data_sequence_gaps", sql("capture_record", ", l AS (SELECT dump_id, seq, lag(seq) OVER (PARTITION BY dump_id ORDER BY seq) + 1 AS expected FROM capture_record) SELECT * FROM l WHERE seq <> expected"))
+@query("w01_one_dump", sql("state_record", f", s AS (SELECT 0 AS dump_id, seq, tag, arg, index FROM state_record), t AS (SELECT *, {_cols(_STATE)} FROM s), u AS (SELECT *, {_cols(_STATE2)} FROM t) SELECT seq, {', '.join([*_STATE, *_STATE2])} FROM u WHERE tag='draw'"))
+def w01o(spark, d):
+    """All records as one dump, in chunks of 100."""
+    return capture.draw_state_asof(view(spark, d, "state_record").withColumn("dump_id", F.lit(0)), chunk=100).drop("dump_id")
+
+
+@query("w03_data_sequence_gaps", sql("capture_record", ", k AS (SELECT dump_id, seq, seq + seq // 97 + CASE WHEN seq % 211 = 5 THEN 3 ELSE 0 END AS stamp FROM capture_record), l AS (SELECT dump_id, seq, stamp, lag(stamp) OVER (PARTITION BY dump_id ORDER BY seq) + 1 AS expected FROM k) SELECT * FROM l WHERE stamp <> expected"))
 def w03(spark, d):
-    return capture.data_sequence_gaps(rec(spark, d)).select("dump_id", "seq", "expected")
+    """Stamps that jump at every 97th record, and stray at others; chunks of 64."""
+    c = rec(spark, d).withColumn("stamp", F.expr("seq + seq div 97 + CASE WHEN seq % 211 = 5 THEN 3 ELSE 0 END"))
+    return capture.data_sequence_gaps(c, "stamp", chunk=64).select("dump_id", "seq", "stamp", "expected")
 
 
 _TRI = [["1e0 + arg % 7", "CAST(arg % 3 AS DOUBLE)", "CAST(arg % 5 AS DOUBLE)", "0e0"], ["0e0", "2e0 + arg % 4", "CAST(arg % 2 AS DOUBLE)", "0e0"], ["0e0", "0e0", "1e0 + arg % 6", "0e0"], ["CAST(arg % 100 AS DOUBLE)", "CAST(arg % 90 AS DOUBLE)", "CAST(arg % 80 AS DOUBLE)", "1e0"]]
@@ -117,10 +124,21 @@ def f03(spark, d):
     return rec(spark, d).where("tag = 'draw'").where(ok).select("dump_id", "seq")
 
 
-@query("f06_validate_codes", sql("capture_record", "SELECT seq, arg % 40 AS code FROM capture_record WHERE arg % 40 NOT IN (SELECT n_nationkey FROM nation)"))
+# columns of codes, one a domain: every third record has a code of the domain, by its number in order, the others any
+_CODED = list(codes.DOMAINS)
+_some = lambda k, d: f"CASE WHEN (seq + {k}) % 3 = 0 THEN list_extract([{', '.join(map(str, codes.codes_of(d)))}], CAST(arg % {len(codes.codes_of(d))} AS BIGINT) + 1) WHEN arg % 11 = {k} THEN NULL ELSE {min(codes.codes_of(d))} + (arg * 7) % 40000 END"
+_allowed = " UNION ALL ".join(f"SELECT '{d}' AS domain, unnest([{', '.join(map(str, codes.codes_of(d)))}]) AS code" for d in _CODED)
+
+
+@query("f06_validate_codes", sql("capture_record", f", dom AS ({_allowed}), c AS ({' UNION ALL '.join(f"SELECT seq, 'c{k}' AS \"column\", '{d}' AS domain, {_some(k, d)} AS code FROM capture_record" for k, d in enumerate(_CODED))}) SELECT seq, \"column\", domain, code FROM c WHERE code IS NOT NULL AND NOT EXISTS (SELECT 1 FROM dom WHERE dom.domain = c.domain AND dom.code = c.code)"))
 def f06(spark, d):
-    domain = spark.read.parquet(f"{d}/nation.parquet")
-    return capture.validate_codes(rec(spark, d).select("seq", (F.col("arg") % 40).alias("code")), "code", domain, "n_nationkey").select("seq", "code")
+    """Violations of all seven domains."""
+    coded = rec(spark, d)
+    for k, name in enumerate(_CODED):
+        own = codes.codes_of(name)
+        good = F.element_at(F.array(*map(F.lit, own)), (F.col("arg") % len(own) + 1).cast("int")).cast("bigint")
+        coded = coded.withColumn(f"c{k}", F.when((F.col("seq") + k) % 3 == 0, good).when(F.col("arg") % 11 == k, F.lit(None)).otherwise(min(own) + (F.col("arg") * 7) % 40000))
+    return capture.validate_codes(coded, {f"c{k}": name for k, name in enumerate(_CODED)}, codes.domain_table(spark), ["seq"])
 
 
 _DATA = ", dat AS (SELECT dump_id, 100 + row_number() OVER (PARTITION BY dump_id ORDER BY seq) AS link_index, arg AS data FROM capture_record WHERE tag='enable')"
@@ -318,10 +336,18 @@ def a08(spark, d):
     return mesh.export_item_count(meshes(spark, d))
 
 
+#: Export sets that are written, by application and tables.
+_exports: dict[tuple[str, str], str] = {}
+
+
 def _exported(spark, d) -> str:
-    """Paths of GPS points as meshes, every fifth a spline, written to a folder."""
+    """Paths of GPS points as meshes, every fifth a spline, written to a folder, once a session."""
     from pyspark.sql import Window as W
 
+    key = spark.sparkContext.applicationId, d
+    if key in _exports:
+        return _exports[key]
+
     keys = [(F.col("path_id") % 3).alias("batch_id"), (F.col("path_id") % 6).alias("group_id"), F.col("path_id").alias("mesh_id")]
     idx = (F.row_number().over(W.partitionBy("path_id").orderBy("point_id")) - 1).cast("bigint")
     p = view(spark, d, "gps_point").withColumn("vertex_idx", idx)
@@ -330,8 +356,9 @@ def _exported(spark, d) -> str:
     n = F.max("vertex_idx").over(W.partitionBy("path_id"))
     t = p.withColumn("n", n).where("vertex_idx <= n - 2").select(*keys, F.col("vertex_idx").alias("v0"), (F.col("vertex_idx") + 1).alias("v1"), (F.col("vertex_idx") + 2).alias("v2"))
     m = p.select("path_id").distinct().select(*keys, (F.col("path_id") % 7).cast("double").alias("tx"), F.lit(-1.0).alias("ty"), F.lit(0.0).alias("tz"), (F.col("path_id") % 5 == 0).alias("is_spline"), F.when(F.col("path_id") % 4 > 0, F.col("path_id") % 4).alias("texture_idx"))
-    where = f"{shared_dir(spark)}/steps/meshes-{uuid.uuid4().hex}"
+    where = scratch(spark, "meshes")
     mesh.write_mesh_tables(v, t, m, where, F.lit("area"))
+    _exports[key] = where
     return where
 
 
@@ -372,7 +399,7 @@ _PATHS = ", pp AS (SELECT path_id, CAST(path_id AS VARCHAR) AS file, row_number(
 @query("s01_read_kml_paths", sql("gps_point", f"{_PATHS} SELECT file, kind, point_idx, lon, lat, alt FROM pp"))
 def s01(spark, d):
     """Paths written as KML files, and read back."""
-    where = f"{shared_dir(spark)}/steps/kml-{uuid.uuid4().hex}"
+    where = scratch(spark, "kml")
     files.write_kml(path_points(spark, d), where, mode=3)
     p = files.read_kml_paths(spark, f"{where}/*")
     return p.select(F.regexp_extract("file", "file=([^/]*)/", 1).alias("file"), "kind", "point_idx", "lon", "lat", "alt")
@@ -404,7 +431,7 @@ def s02(spark, d):
     long = F.format_string("<bounding><westbc>%s</westbc><eastbc>%s</eastbc><northbc>%s</northbc><southbc>%s</southbc></bounding>", "min_lon", F.col("min_lon") + F.col("size"), F.col("min_lat") + F.col("size"), "min_lat")
     short = F.format_string("<west>%s</west><east>%s</east><north>%s</north><south>%s</south>", F.col("min_lon") + F.col("size"), "min_lon", "min_lat", F.col("min_lat") + F.col("size"))
     t = m.select(F.col("map_id").cast("string").alias("file"), F.concat(F.when(F.col("map_id") % 2 == 0, long).otherwise(short), F.lit("<utmzone>"), 10 + F.col("map_id") % 3, F.lit("</utmzone>")).alias("text"))
-    where = f"{shared_dir(spark)}/steps/footprints-{uuid.uuid4().hex}"
+    where = scratch(spark, "footprints")
     t.repartition("file").write.partitionBy("file").text(where)
     return files.read_footprints(spark, f"{where}/*").withColumn("file", F.regexp_extract("file", "file=([^/]*)/", 1))
 
@@ -412,7 +439,7 @@ def s02(spark, d):
 @query("s03_read_world_files", sql("footprint_map", "SELECT CAST(map_id AS VARCHAR) AS file, size AS a, 0.25e0 AS b, min_lon AS c, -0.5e0 AS d, -size AS e, min_lat AS f FROM footprint_map"))
 def s03(spark, d):
     t = view(spark, d, "footprint_map").select(F.col("map_id").cast("string").alias("file"), F.concat_ws("\n", "size", F.lit(-0.5), F.lit(0.25), -F.col("size"), "min_lon", "min_lat").alias("text"))
-    where = f"{shared_dir(spark)}/steps/world-{uuid.uuid4().hex}"
+    where = scratch(spark, "world")
     t.repartition("file").write.partitionBy("file").text(where)
     return files.read_world_files(spark, f"{where}/*").withColumn("file", F.regexp_extract("file", "file=([^/]*)/", 1))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo
-from geoloom.storage import numbered
+from geoloom.storage import materialize, numbered
 
 MAGIC, END = 0xAABBCCDD, 0xF0000000
 #: Altitude modes by number; 0 is left out, 2 and 4 are plain tags, the others carry the extension's prefix.
@@ -122,6 +122,50 @@ def read_world_files(spark: SparkSession, glob: str) -> DataFrame:
 CAPTURE = "file string, seq bigint, tag bigint, kind string, link_index bigint, payload binary"
 
 
+#: Files longer than this are read in ranges of about as many bytes; bytes of payloads handed over at once.
+SPLIT, AT_ONCE = 128 << 20, 32 << 20
+#: Bytes read ahead while the headers of a long file are walked.
+AHEAD = 1 << 16
+#: Tasks that the ranges are dealt to at most.
+MOST_TASKS = 20_000
+
+
+def headers(read: Callable[[int, int], bytes], length: int) -> Iterator[tuple[int, int, int]]:
+    """(offset, size, tag) of each whole record of a capture of ``length`` bytes up to the end tag; ``read`` gives bytes from an offset."""
+    ahead = read(0, AHEAD)
+    if len(ahead) < 8 or struct.unpack_from("<I", ahead)[0] != MAGIC:
+        return
+    base, at = 0, 8
+    while at + 8 <= length:
+        if at + 8 > base + len(ahead):
+            base, ahead = at, read(at, AHEAD)
+        size, tag = struct.unpack_from("<II", ahead, at - base)
+        if tag == END or at + 8 + size > length:
+            return
+        yield at, size, tag
+        at += 8 + size
+
+
+def capture_rows(path: str, records: Iterator[tuple[int, int, int]], data: bytes, base: int, first: int) -> Iterator[pd.DataFrame]:
+    """Records whose bytes are in ``data``, which begins at the offset ``base``; numbers from ``first``."""
+    rows, held = [], 0
+
+    def frame() -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["file", "seq", "tag", "kind", "link_index", "payload"]).astype({"link_index": "Int64"})
+
+    for no, (at, size, tag) in enumerate(records, first):
+        body = data[at + 8 - base : at + 8 + size - base]
+        kind = {1: "command", 2: "data", 3: "picture"}.get(tag >> 28, "skipped")
+        link = struct.unpack_from("<I", body)[0] if kind == "data" and size >= 4 else None
+        rows.append((path, no, tag, kind, link, bytes(body[4:] if link is not None else body)))
+        held += size + 64
+        if held > AT_ONCE:
+            yield frame()
+            rows, held = [], 0
+    if rows:
+        yield frame()
+
+
 def parse_capture(files: DataFrame) -> DataFrame:
     """Records of capture files (path, content): magic, version, then (byte count, tag, payload) up to the end tag.
 
@@ -132,25 +176,84 @@ def parse_capture(files: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                rows, at = [], 8
-                if content is not None and len(content) >= 8 and struct.unpack_from("<I", content)[0] == MAGIC:
-                    while at + 8 <= len(content):
-                        size, tag = struct.unpack_from("<II", content, at)
-                        at += 8
-                        if tag == END or at + size > len(content):
-                            break
-                        body = content[at : at + size]
-                        at += size
-                        kind = {1: "command", 2: "data", 3: "picture"}.get(tag >> 28, "skipped")
-                        link = struct.unpack_from("<I", body)[0] if kind == "data" and size >= 4 else None
-                        rows.append((path, len(rows), tag, kind, link, bytes(body[4:] if link is not None else body)))
-                yield pd.DataFrame(rows, columns=["file", "seq", "tag", "kind", "link_index", "payload"]).astype({"link_index": "Int64"})
+                if content is not None:
+                    yield from capture_rows(path, headers(lambda at, n: content[at : at + n], len(content)), content, 0, 0)  # noqa: B023
 
     return files.select("path", "content").mapInPandas(scan, CAPTURE)
 
 
-def read_capture(spark: SparkSession, glob: str) -> DataFrame:
-    return parse_capture(spark.read.format("binaryFile").load(glob))
+def opened(path: str):
+    """A file to be read at any place, from the store that its address names."""
+    from pyarrow.fs import FileSystem
+
+    store, name = FileSystem.from_uri(f"file://{path[5:]}" if path.startswith("file:/") and not path.startswith("file://") else path)
+    return store.open_input_file(name)
+
+
+def reader(f) -> Callable[[int, int], bytes]:
+    def read(at: int, n: int) -> bytes:
+        f.seek(at)
+        return f.read(n)
+
+    return read
+
+
+def index_captures(listed: DataFrame, split: int = SPLIT) -> DataFrame:
+    """Byte ranges (path, begin, end, first) of whole records of the files (path, length), about ``split`` bytes long each, and the number of the first record. A task walks the headers of a file and skips the payloads."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, length in zip(batch["path"], batch["length"]):
+                ranges, begin, first, end, count = [], None, 0, 0, 0
+                with opened(path) as f:
+                    for at, size, _ in headers(reader(f), length):
+                        if begin is not None and at - begin >= split:
+                            ranges.append((path, begin, end, first))
+                            begin = None
+                        if begin is None:
+                            begin, first = at, count
+                        end, count = at + 8 + size, count + 1
+                if begin is not None:
+                    ranges.append((path, begin, end, first))
+                yield pd.DataFrame(ranges, columns=["path", "begin", "end", "first"])
+
+    return listed.select("path", "length").mapInPandas(walk, "path string, begin bigint, end bigint, first bigint")
+
+
+def parse_ranges(ranges: DataFrame) -> DataFrame:
+    """Records of the ranges of ``index_captures``; a task holds one range at a time."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, begin, end, first in zip(batch["path"], batch["begin"], batch["end"], batch["first"]):
+                with opened(path) as f:
+                    data = reader(f)(begin, end - begin)
+                at, records = begin, []
+                while at < end:
+                    size, tag = struct.unpack_from("<II", data, at - begin)
+                    records.append((at, size, tag))
+                    at += 8 + size
+                yield from capture_rows(path, iter(records), data, begin, first)
+
+    return ranges.mapInPandas(scan, CAPTURE)
+
+
+def read_capture(spark: SparkSession, glob: str, split: int = SPLIT) -> DataFrame:
+    """Records of capture files of any length.
+
+    Files of up to ``split`` bytes are read whole, by Spark's reader. Of longer ones a
+    task first finds where records begin, and ranges of whole records are then read by
+    tasks of their own, through the store that the file's address names. Such a range
+    is as long as ``split`` and its last record.
+    """
+    found = spark.read.format("binaryFile").load(glob)
+    short = parse_capture(found.where(F.col("length") <= split))
+    long = found.where(F.col("length") > split).select("path", "length")
+    files = long.count()  # a listing; contents aren't read
+    if not files:
+        return short
+    ranges = materialize(index_captures(long.repartition(min(files, MOST_TASKS)), split), "ranges")
+    return short.union(parse_ranges(ranges.repartition(max(1, min(ranges.count(), MOST_TASKS)))))
 
 
 def pack_capture(records: DataFrame) -> DataFrame:
