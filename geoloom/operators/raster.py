@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from geoloom.operators.boxes import bbox, prune_candidates
+from geoloom.storage import job, materialize, result, running_sums
+
 STEPS = 33  # of a height block
 
 
@@ -46,12 +49,20 @@ def decode_pixels(data: bytes, pixel_type: str) -> np.ndarray:
     return (x & (2**bits - 1)).reshape(-1)
 
 
-def samples_to_blocks(samples: DataFrame, size: int, pixel_type: str = "f64") -> DataFrame:
-    """Square tiles of pixels in little-endian order, rows after rows, padded with zeros past the map's edge. The imaginary part of complex ones is ``h_im``. ``size`` squared is a multiple of 8."""
+def samples_to_blocks(samples: DataFrame, size: int, pixel_type: str = "f64", packing: Column | None = None) -> DataFrame:
+    """Square tiles of pixels in little-endian order, rows after rows, padded with zeros past the map's edge. The imaginary part of complex ones is ``h_im``. ``size`` squared is a multiple of 8.
+
+    ``packing``, of block_y and block_x, names each tile's form: raw, runs (where they
+    make it smaller, else raw) or narrow (all values in the width of their range); the
+    column ``compressed`` then tells what a tile is. Pixels of 8, 16 and 32 bits can be
+    packed.
+    """
     keys = band_keys(samples)
     where = [F.floor(F.col(c) / size).cast("int").alias(n) for c, n in (("row", "block_y"), ("col", "block_x"))]
     cell = ((F.col("row") % size) * size + F.col("col") % size).cast("int")
     parts = ["h", *(["h_im"] if pixel_type[0] == "c" else [])]
+    names = [*keys, "block_y", "block_x"]
+    packed = packing is not None
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -61,24 +72,39 @@ def samples_to_blocks(samples: DataFrame, size: int, pixel_type: str = "f64") ->
             x = np.zeros((len(cells), size * size), complex if len(parts) == 2 else float)
             value = flat.field("h").to_numpy(zero_copy_only=False)
             x[tile, flat.field("cell").to_numpy()] = value + 1j * flat.field("h_im").to_numpy(zero_copy_only=False) if len(parts) == 2 else value
-            names = [*keys, "block_y", "block_x"]
-            yield pa.RecordBatch.from_arrays([*(b[n] for n in names), pa.array([encode_pixels(row, pixel_type) for row in x], pa.binary())], names=[*names, "data"])
+            forms = b["packing"].to_pylist() if packed else ["raw"] * len(x)
+            tiles = [encode_tile(row, pixel_type, form) for row, form in zip(x, forms)]
+            more = [pa.array([c for _, c in tiles], pa.bool_())] if packed else []
+            yield pa.RecordBatch.from_arrays([*(b[n] for n in names), pa.array([t for t, _ in tiles], pa.binary()), *more], names=[*names, "data", *(["compressed"] if packed else [])])
 
     tiles = samples.groupBy(*keys, *where).agg(F.collect_list(F.struct(cell.alias("cell"), *parts)).alias("cells"))
-    return tiles.mapInArrow(pack, ", ".join(f"{k} bigint" for k in keys) + ", block_y int, block_x int, data binary")
+    if packed:
+        tiles = tiles.withColumn("packing", packing)
+    return tiles.mapInArrow(pack, ", ".join(f"{k} bigint" for k in keys) + ", block_y int, block_x int, data binary" + (", compressed boolean" if packed else ""))
 
 
 def raster_blocks_to_samples(blocks: DataFrame, headers: DataFrame, size: int, pixel_type: str = "f64") -> DataFrame:
-    """A row per pixel inside the map; tiles without data are zeros. Complex pixels give ``h_im``, too."""
+    """A row per pixel inside the map; tiles without data are zeros. Complex pixels give ``h_im``, too.
+
+    Where blocks have a column ``compressed``, a tile with it set is one of runs, or of
+    values in a narrow width; a null flag is unset. Both kinds may be in one map.
+    """
     keys = band_keys(blocks)
     complex_ = pixel_type[0] == "c"
+    flagged = "compressed" in blocks.columns
     names = [*keys, "row", "col", "h", *(["h_im"] if complex_ else [])]
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.arange(size * size)
         for b in batches:
-            for k, (data, y, x, *own) in enumerate(zip(b["data"], b["block_y"].to_pylist(), b["block_x"].to_pylist(), *(b[c].to_pylist() for c in keys))):
-                h = decode_pixels(data.as_buffer(), pixel_type)[: size * size] if data.is_valid else np.zeros(size * size)
+            flags = b["compressed"].to_pylist() if flagged else [False] * b.num_rows
+            for data, flag, y, x, *own in zip(b["data"], flags, b["block_y"].to_pylist(), b["block_x"].to_pylist(), *(b[c].to_pylist() for c in keys)):
+                h = np.zeros(size * size)
+                if data.is_valid and flag:
+                    found = decode_block(data.as_py(), size * size, pixel_type)
+                    h = np.pad(found, (0, size * size - len(found)))
+                elif data.is_valid:
+                    h = decode_pixels(data.as_buffer(), pixel_type)[: size * size]
                 values = [h.real.astype(float), h.imag.astype(float)] if complex_ else [h.astype(float)]
                 columns = [*(np.full(size * size, v) for v in own), y * size + at // size, x * size + at % size, *values]
                 yield pa.RecordBatch.from_pydict(dict(zip(names, columns)))
@@ -98,12 +124,26 @@ def raster_range(samples: DataFrame, seeded: bool = False) -> DataFrame:
 
 
 def raster_statistics(samples: DataFrame) -> DataFrame:
-    """Minimum, maximum, mean, median, mode (the least of several) and standard deviation per map and band. Median and mode come from counts of the distinct heights."""
+    """Minimum, maximum, mean, median, mode (the least of several) and standard deviation per map and band.
+
+    Median and mode come from counts of the distinct heights. These are put into one
+    order by ranges with the running sum of their counts, so the two heights in the
+    middle of each map are found by position, and no buffer holds a map's heights.
+    """
     keys = band_keys(samples)
-    plain = samples.groupBy(*keys).agg(F.min("h").alias("minimum"), F.max("h").alias("maximum"), F.avg("h").alias("mean"), F.stddev_samp("h").alias("stddev"))
-    heights = samples.where("h is not null").groupBy(*keys, "h").agg(F.count("*").alias("n"))
-    ranked = heights.groupBy(*keys).agg(F.percentile("h", F.lit(0.5), F.col("n")).alias("median"), F.max_by("h", F.struct(F.col("n"), -F.col("h"))).alias("mode"))
-    return plain.join(ranked, keys, "left").select(*keys, "minimum", "maximum", "mean", "median", "mode", "stddev")
+    with job(samples.sparkSession):
+        plain = samples.groupBy(*keys).agg(F.min("h").alias("minimum"), F.max("h").alias("maximum"), F.avg("h").alias("mean"), F.stddev_samp("h").alias("stddev"))
+        heights = materialize(samples.where("h is not null").groupBy(*keys, "h").agg(F.count("*").alias("n")), "heights")
+        mode = heights.groupBy(*keys).agg(F.max_by("h", F.struct(F.col("n"), -F.col("h"))).alias("mode"))
+        ordered = running_sums(heights, [F.col(k) for k in (*keys, "h")], {"before": F.col("n")})
+        totals = ordered.groupBy(*keys).agg(F.sum("n").alias("total"), F.min("before").alias("start"))
+        place = F.col("before") - F.col("start")
+        middle = [F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)]
+        held = [(place <= m) & (m < place + F.col("n")) for m in middle]
+        halves = ordered.join(totals, keys).where(held[0] | held[1]).groupBy(*keys).agg(F.min(F.when(held[0], F.col("h"))).alias("low"), F.min(F.when(held[1], F.col("h"))).alias("high"))
+        median = halves.select(*keys, ((F.col("low") + F.col("high")) / 2).alias("median"))
+        out = plain.join(mode, keys, "left").join(median, keys, "left")
+        return result(out.select(*keys, "minimum", "maximum", "mean", "median", "mode", "stddev"), "statistics")
 
 
 def raster_histogram(samples: DataFrame, bins: int, lo: float, hi: float) -> DataFrame:
@@ -134,21 +174,48 @@ def bilinear(fx: Column, fy: Column) -> Column:
     return f32(f32(top * (one - y)) + f32(low * y))
 
 
-def bilinear_sample(queries: DataFrame, samples: DataFrame) -> DataFrame:
-    """Heights at fractional (map_id, x, y); points outside their map have none.
+#: Rows and columns of the tiles that queries meet.
+TILE = 32
+
+
+def halo_tiles(samples: DataFrame, tile: int = TILE) -> DataFrame:
+    """Square tiles of heights as arrays, row after row, with a further row below and column to the right, which are the neighbours' first ones. Pixels that aren't there are null."""
+    keys = band_keys(samples)
+    along = lambda c: F.when((F.col(c) % tile == 0) & (F.col(c) > 0), F.array(F.floor(F.col(c) / tile), F.floor(F.col(c) / tile) - 1)).otherwise(F.array(F.floor(F.col(c) / tile)))
+    placed = samples.where("h is not null").withColumn("tile_y", F.explode(along("row"))).withColumn("tile_x", F.explode(along("col")))
+    side = tile + 1
+    cell = ((F.col("row") - F.col("tile_y") * tile) * side + F.col("col") - F.col("tile_x") * tile).cast("int")
+    names = [*keys, "tile_y", "tile_x"]
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cells = b["cells"].combine_chunks() if isinstance(b["cells"], pa.ChunkedArray) else b["cells"]
+            flat = cells.flatten()
+            at = np.repeat(np.arange(len(cells)), np.diff(cells.offsets.to_numpy())) * side * side + flat.field("cell").to_numpy()
+            heights, absent = np.zeros(len(cells) * side * side), np.ones(len(cells) * side * side, bool)
+            heights[at], absent[at] = flat.field("h").to_numpy(zero_copy_only=False), False
+            arrays = pa.ListArray.from_arrays(np.arange(len(cells) + 1, dtype=np.int32) * side * side, pa.array(heights, mask=absent))
+            yield pa.RecordBatch.from_arrays([*(b[n] for n in names), arrays], [*names, "heights"])
+
+    tiles = placed.groupBy(*names).agg(F.collect_list(F.struct(cell.alias("cell"), F.col("h").cast("double").alias("h"))).alias("cells"))
+    return tiles.mapInArrow(fill, ", ".join(f"{n} bigint" for n in names) + ", heights array<double>")
+
 
-    Four equi-joins on the pixel, for it and its right, lower and lower right
-    neighbours, that share one distribution of the samples. Where a neighbour is
-    missing, at the edge or in a gap, the nearer pixel is used again.
+def bilinear_sample(queries: DataFrame, samples: DataFrame, tile: int = TILE) -> DataFrame:
+    """Heights at fractional (map_id, x, y); points outside their map, or on a pixel without a height, have none.
+
+    One equi-join: a query meets the tile that holds its pixel and, with the tile's
+    halo, the right, lower and lower right neighbours, too. Queries are shuffled once.
+    Where a neighbour is missing, at the edge or in a gap, the nearer pixel is used
+    again.
     """
     keys = band_keys(queries, samples)
-    out = queries.withColumn("col", F.floor("x")).withColumn("row", F.floor("y"))
-    for name, down, right in (("h", 0, 0), ("h01", 0, 1), ("h10", 1, 0), ("h11", 1, 1)):
-        s = samples.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("row").alias("_row"), F.col("col").alias("_col"), F.col("h").alias(name))
-        same = (F.col("row") + down == F.col("_row")) & (F.col("col") + right == F.col("_col"))
-        for k in keys:
-            same = same & (F.col(k) == F.col(f"_{k}"))
-        out = out.join(s, same, "left" if name != "h" else "inner").drop("_row", "_col", *[f"_{k}" for k in keys])
+    q = queries.withColumn("col", F.floor("x")).withColumn("row", F.floor("y"))
+    q = q.withColumns({"tile_y": F.floor(F.col("row") / tile), "tile_x": F.floor(F.col("col") / tile)})
+    out = q.join(halo_tiles(samples, tile), [*keys, "tile_y", "tile_x"])
+    at = ((F.col("row") - F.col("tile_y") * tile) * (tile + 1) + F.col("col") - F.col("tile_x") * tile).cast("int")
+    pixel = {n: F.get("heights", at + down * (tile + 1) + right) for n, down, right in (("h", 0, 0), ("h01", 0, 1), ("h10", 1, 0), ("h11", 1, 1))}
+    out = out.withColumns(pixel).where("h is not null").drop("heights", "tile_y", "tile_x")
     out = out.withColumn("h11", F.when(F.col("h10").isNull(), F.col("h01")).otherwise(F.coalesce("h11", "h10")))
     out = out.withColumns({c: F.coalesce(c, F.col("h")) for c in ("h01", "h10", "h11")})
     return out.withColumn("height", bilinear(F.col("x") - F.col("col"), F.col("y") - F.col("row")))
@@ -259,20 +326,27 @@ def apply_palette(samples: DataFrame, palette: DataFrame) -> DataFrame:
     return samples.join(palette, "value", "left").withColumns({c: F.coalesce(c, F.lit(1.0)) for c in ("red", "green", "blue", "opacity")})
 
 
-def rle_encode(pixels: DataFrame) -> DataFrame:
-    """Runs of equal values per block (run_no, value - minimum, repeat) with the minimum, the bit width, and whether it is smaller than the raw block.
+#: Bytes before the counts of a compressed block, and repeats from which their count takes one byte more.
+HEADER, LONGER = 13, (2**6, 2**14, 2**22)
+
 
-    A run costs its value's bytes and a count of 1, 2 or 4 bytes below 0x40, 0x4000 and above.
+def rle_encode(pixels: DataFrame, raw_bits: int = 32) -> DataFrame:
+    """Runs of equal values per block (run_no, value - minimum, repeat) with the minimum, the bit width, and whether runs make the block smaller.
+
+    A run costs its value's bytes and a count of 1 to 4 bytes. The block is smaller if
+    its header, counts and values take fewer bytes than its pixels of ``raw_bits``.
     """
     w = W.partitionBy("block_id").orderBy("pos")
     marked = pixels.withColumn("new", F.when(F.lag("v").over(w) == F.col("v"), 0).otherwise(1))
     runs = marked.withColumn("run_no", F.sum("new").over(w) - 1).groupBy("block_id", "run_no", "v").agg(F.count("*").alias("repeat"))
     per = pixels.groupBy("block_id").agg(F.min("v").alias("minimum"), (F.max("v") - F.min("v")).alias("span"), F.count("*").alias("pixels"))
     per = per.withColumn("bits", F.when(F.col("span") < 0xFF, 8).when(F.col("span") < 0xFFFF, 16).otherwise(32))
-    count_bytes = F.when(F.col("repeat") < 0x40, 1).when(F.col("repeat") < 0x4000, 2).otherwise(4)
+    count_bytes = F.lit(1)
+    for k in LONGER:
+        count_bytes = count_bytes + (F.col("repeat") >= k).cast("int")
     out = runs.join(per, "block_id")
-    cost = F.sum(F.expr("bits div 8") + count_bytes).over(W.partitionBy("block_id"))
-    return out.select("block_id", "run_no", (F.col("v") - F.col("minimum")).alias("value"), "repeat", "minimum", "bits", (cost < F.col("pixels") * F.expr("bits div 8")).alias("smaller"))
+    cost = F.sum(F.expr("bits div 8") + count_bytes).over(W.partitionBy("block_id")) + HEADER
+    return out.select("block_id", "run_no", (F.col("v") - F.col("minimum")).alias("value"), "repeat", "minimum", "bits", (cost < F.col("pixels") * (raw_bits // 8)).alias("smaller"))
 
 
 def rle_decode(runs: DataFrame) -> DataFrame:
@@ -282,14 +356,35 @@ def rle_decode(runs: DataFrame) -> DataFrame:
     return e.select("block_id", (F.col("start") + F.col("k")).alias("pos"), (F.col("value") + F.col("minimum")).alias("v"))
 
 
-#: A run's repeat takes 1 to 4 bytes, high byte first, whose first two bits say how many more there are.
-def pack_runs(runs: DataFrame) -> DataFrame:
-    """Runs of ``rle_encode`` as one block of bytes each: (block_id, pixels, data).
+def encode_counts(repeats: np.ndarray) -> bytes:
+    """Repeats of 1 to 4 bytes, high byte first, whose first two bits say how many more there are."""
+    return b"".join((n | (k - 1) << (8 * k - 2)).to_bytes(k, "big") for n in repeats.tolist() for k in (1 + sum(n >= x for x in LONGER),))
 
-    Minimum, number of runs and where the values begin, 4 bytes each, the bit width,
-    then the repeats and the values less the minimum, high byte first. Blocks that
-    runs don't make smaller hold all values in that width, and -1 for the runs.
-    """
+
+def encode_block(low: int, bits: int, values: np.ndarray, repeats: np.ndarray | None) -> bytes:
+    """Minimum, number of runs and where the values begin, 4 bytes each, the bit width, then the repeats and the values less the minimum, high byte first. Without repeats, -1 for the runs and all values."""
+    counts = b"" if repeats is None else encode_counts(repeats)
+    head = struct.pack("<IiIB", low & 0xFFFFFFFF, -1 if repeats is None else len(values), HEADER + len(counts), bits)
+    return head + counts + values.astype(f">u{bits // 8}").tobytes()
+
+
+def encode_tile(pixels: np.ndarray, pixel_type: str, form: str) -> tuple[bytes, bool]:
+    """A tile's bytes in the form asked for, and whether they are compressed. Values are taken as the unsigned numbers of their bits."""
+    raw = encode_pixels(pixels, pixel_type)
+    if form == "raw":
+        return raw, False
+    x = np.frombuffer(raw, f"<u{PIXEL_BITS[pixel_type] // 8}").astype(np.int64)
+    low, span = int(x.min()), int(x.max() - x.min())
+    bits = 8 if span < 0xFF else 16 if span < 0xFFFF else 32
+    if form == "narrow":
+        return encode_block(low, bits, x - low, None), True
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    block = encode_block(low, bits, x[first] - low, np.diff(np.append(first, len(x))))
+    return (block, True) if len(block) < len(raw) else (raw, False)
+
+
+def pack_runs(runs: DataFrame) -> DataFrame:
+    """Runs of ``rle_encode`` as one block of bytes each: (block_id, pixels, data). Blocks that runs don't make smaller hold all values in their width."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -297,14 +392,8 @@ def pack_runs(runs: DataFrame) -> DataFrame:
             for rows in b["runs"].to_pylist():
                 bits, low = rows[0]["bits"], rows[0]["minimum"]
                 values, repeats = np.array([r["value"] for r in rows]), np.array([r["repeat"] for r in rows])
-                if rows[0]["smaller"]:
-                    counts = b"".join((n | (k - 1) << (8 * k - 2)).to_bytes(k, "big") for n in repeats.tolist() for k in (1 + (n >= 2**6) + (n >= 2**14) + (n >= 2**22),))
-                    head = struct.pack("<iiiB", low, len(rows), 13 + len(counts), bits)
-                else:
-                    counts, values = b"", np.repeat(values, repeats)
-                    head = struct.pack("<iiiB", low, -1, 13, bits)
                 sizes.append(int(repeats.sum()))
-                out.append(head + counts + values.astype(f">u{bits // 8}").tobytes())
+                out.append(encode_block(low, bits, values, repeats) if rows[0]["smaller"] else encode_block(low, bits, np.repeat(values, repeats), None))
             yield pa.RecordBatch.from_arrays([b["block_id"].cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], names=["block_id", "pixels", "data"])
 
     rows = runs.groupBy(F.col("block_id").cast("bigint").alias("block_id")).agg(F.array_sort(F.collect_list(F.struct("run_no", "value", "repeat", "minimum", "bits", "smaller"))).alias("runs"))
@@ -320,17 +409,21 @@ def _values(data: bytes, bits: int, n: int) -> np.ndarray:
     return np.frombuffer(data, f">u{bits // 8}", n).astype(np.int64)
 
 
-def decode_block(data: bytes, pixels: int) -> np.ndarray:
-    """Pixels of a compressed block; runs that go past its size are cut."""
-    low, n, begin, bits = struct.unpack_from("<iiiB", data)
+def decode_block(data: bytes, pixels: int, pixel_type: str = "s32") -> np.ndarray:
+    """Pixels of a compressed block; runs that go past its size are cut. Sums with the minimum are taken as the bits of the pixel type, also of floats."""
+    low, n, begin, bits = struct.unpack_from("<IiIB", data)
     if n == -1:
-        return _values(data[13:], bits, pixels) + low
-    repeats, at = np.zeros(n, np.int64), 13
-    for k in range(n):
-        more = data[at] >> 6
-        repeats[k] = int.from_bytes(data[at : at + 1 + more], "big") & (1 << (6 + 8 * more)) - 1
-        at += 1 + more
-    return np.repeat(_values(data[begin:], bits, n) + low, repeats)[:pixels]
+        found = _values(data[HEADER:], bits, pixels)
+    else:
+        repeats, at = np.zeros(n, np.int64), HEADER
+        for k in range(n):
+            more = data[at] >> 6
+            repeats[k] = int.from_bytes(data[at : at + 1 + more], "big") & (1 << (6 + 8 * more)) - 1
+            at += 1 + more
+        found = np.repeat(_values(data[begin:], bits, n), repeats)[:pixels]
+    found = (found + low) & 0xFFFFFFFF
+    width = PIXEL_BITS[pixel_type]
+    return found if width < 8 else found.astype(f"<u{width // 8}").view(LAYOUT[pixel_type])
 
 
 def unpack_runs(blocks: DataFrame) -> DataFrame:
@@ -339,7 +432,7 @@ def unpack_runs(blocks: DataFrame) -> DataFrame:
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, pixels, data in zip(b["block_id"].to_pylist(), b["pixels"].to_pylist(), b["data"].to_pylist()):
-                v = decode_block(data, pixels)
+                v = decode_block(data, pixels).astype(np.int64)
                 yield pa.RecordBatch.from_pydict({"block_id": np.full(len(v), block), "pos": np.arange(len(v)), "v": v})
 
     return blocks.select("block_id", "pixels", "data").mapInArrow(unpack, "block_id bigint, pos bigint, v bigint")
@@ -385,3 +478,23 @@ def drape(points: DataFrame, triangles: DataFrame, cell: float) -> DataFrame:
     """Add the highest hit of the vertical ray through each point to its altitude; points without a hit keep theirs. The greatest t per point is folded before it is joined back."""
     best = ray_hits(points, triangles, cell).groupBy("point_id").agg(F.max("t").alias("t"))
     return points.join(best, "point_id", "left").withColumn("draped", F.col("alt") + F.coalesce("t", F.lit(0.0)))
+
+
+def drape_paths(points: DataFrame, triangles: DataFrame, levels: list[str], cell: float) -> DataFrame:
+    """``drape`` of the points of paths (path_id), each on the meshes whose boxes overlap its own at every level.
+
+    Triangles have the keys of ``levels``, from the batch to the mesh. Overlap is
+    strict: a path along a meridian or a parallel, or of one point, has a box without
+    an inside, and keeps its altitudes. Points and triangles that are in no pair are
+    left out before the rays are cast, the rest of the pairs decides on the hits.
+    """
+    corners = [f"{a}{k}" for a in "xy" for k in range(3)]
+    with job(points.sparkSession):
+        paths = bbox(points, ["path_id"], {"x": "lon", "y": "lat"})
+        meshes = triangles.groupBy(*levels).agg(*[f(g(*[c for c in corners if c[0] == a])).alias(f"{n}_{a}") for n, f, g in (("min", F.min, F.least), ("max", F.max, F.greatest)) for a in "xy"])
+        pairs = materialize(prune_candidates(paths, meshes, levels, cell), "pairs")
+        some_points = points.join(pairs.select("path_id").distinct(), "path_id", "left_semi")
+        some_triangles = triangles.join(pairs.select(*levels).distinct(), levels, "left_semi")
+        hits = ray_hits(some_points.select("path_id", "point_id", "lon", "lat", "alt"), some_triangles.select(*levels, *[f"{a}{k}" for a in "xyz" for k in range(3)]), cell)
+        best = hits.groupBy("path_id", "point_id", *levels).agg(F.max("t").alias("t")).join(pairs, ["path_id", *levels], "left_semi").groupBy("path_id", "point_id").agg(F.max("t").alias("t"))
+        return result(points.join(best, ["path_id", "point_id"], "left").withColumn("draped", F.col("alt") + F.coalesce("t", F.lit(0.0))), "draped")

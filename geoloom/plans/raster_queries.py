@@ -122,6 +122,24 @@ def s04b(spark, d):
     return out
 
 
+# tiles of three pixel types, whose pixels come in runs; forms go by the tile's place
+_RUNS = {"u8": "({r}//5 + {c}//16) % 256", "s16": "({r}//3)*37 - 300 - {c}//8", "f32": "({r}//4)*0.25e0 - {c}//16"}
+_FORMS = ("raw", "runs", "narrow", "absent")
+
+
+@query("s04_compressed_tiles", sql("raster_sample", "SELECT t.i AS pixel_type, map_id, \"row\", col, CASE WHEN (\"row\"//16 + col//16) % 4 = 3 THEN 0e0 ELSE CAST(CASE t.i " + " ".join(f"WHEN {k} THEN {e.format(r='CAST(\"row\" AS BIGINT)', c='col')}" for k, e in enumerate(_RUNS.values())) + " END AS DOUBLE) END AS h FROM raster_sample, generate_series(0, 2) t(i)"))
+def s04c(spark, d):
+    """Raw, run, narrow and absent tiles in each map."""
+    s, out = samples(spark, d), None
+    form = F.element_at(F.array(*map(F.lit, _FORMS)), (F.col("block_y") + F.col("block_x")) % 4 + 1)
+    for k, (name, e) in enumerate(_RUNS.items()):
+        t = s.withColumn("h", F.expr("cast(" + e.format(r="row", c="col").replace("//", " div ") + " as double)"))
+        tiles = raster.samples_to_blocks(t, 16, name, F.when(form == "absent", "raw").otherwise(form)).withColumn("data", F.when(form != "absent", F.col("data")))
+        back = raster.raster_blocks_to_samples(tiles, headers(s), 16, name).select(F.lit(k).cast("bigint").alias("pixel_type"), "map_id", "row", "col", "h")
+        out = back if out is None else out.union(back)
+    return out
+
+
 @query("f07_nodata_to_null", sql("raster_sample", ', k AS (SELECT map_id, "row", col, floor(h/50e0) AS h FROM raster_sample) SELECT map_id, "row", col, nullif(h, CAST(map_id % 5 AS DOUBLE)) AS h FROM k'))
 def f07(spark, d):
     s = samples(spark, d).withColumn("h", F.floor(F.col("h") / 50.0).cast("double"))
@@ -151,9 +169,9 @@ def w08(spark, d):
     return raster.bilinear_sample(q, s).select("point_id", "map_id", F.round(F.col("height").cast("double"), 2).alias("height"))
 
 
-NB2 = NB.replace("nb AS", "nb2 AS").replace("a.map_id, a.", "a.map_id, a.band, a.").replace("raster_sample", "band_sample").replace(".map_id=a.map_id", ".map_id=a.map_id AND {}.band=a.band")
-for _t in "bce":
-    NB2 = NB2.replace(f"{_t}.map_id=a.map_id AND {{}}", f"{_t}.map_id=a.map_id AND {_t}")
+NB2 = """, n1 AS (SELECT *, CASE WHEN lead(col) OVER w = col + 1 THEN lead(h) OVER w END AS r FROM band_sample WINDOW w AS (PARTITION BY map_id, band, "row" ORDER BY col)),
+n2 AS MATERIALIZED (SELECT *, CASE WHEN lead("row") OVER w = "row" + 1 THEN lead(h) OVER w END AS l, CASE WHEN lead("row") OVER w = "row" + 1 THEN lead(r) OVER w END AS lr FROM n1 WINDOW w AS (PARTITION BY map_id, band, col ORDER BY "row")),
+nb2 AS (SELECT map_id, band, "row", col, h, coalesce(r, h) AS h01, coalesce(l, h) AS h10, CASE WHEN l IS NULL THEN coalesce(r, h) ELSE coalesce(lr, l) END AS h11 FROM n2)"""
 
 
 @query("w08_band_bilinear", sql("band_sample gps_point", f"""{NB2}, q AS (SELECT point_id, band, point_id % 3 AS map_id, (lon+122.5e0)*63 AS x, (lat-37)*63 AS y FROM gps_point, generate_series(0, 1) g(band))
@@ -273,10 +291,11 @@ def j16(spark, d):
 
 @query("w09_rle_encode", sql("pixel_run_input", """, m AS (SELECT *, CASE WHEN lag(v) OVER w = v THEN 0 ELSE 1 END AS new FROM pixel_run_input WINDOW w AS (PARTITION BY block_id ORDER BY pos)), n AS (SELECT *, sum(new) OVER (PARTITION BY block_id ORDER BY pos) - 1 AS run_no FROM m),
 s AS (SELECT block_id, CAST(run_no AS BIGINT) AS run_no, v, count(*) AS repeat FROM n GROUP BY ALL), p AS (SELECT block_id, min(v) AS minimum, max(v)-min(v) AS span, count(*) AS pixels FROM pixel_run_input GROUP BY ALL), b AS (SELECT *, CASE WHEN span < 255 THEN 8 WHEN span < 65535 THEN 16 ELSE 32 END AS bits FROM p),
-c AS (SELECT block_id, sum(bits//8 + CASE WHEN repeat < 64 THEN 1 WHEN repeat < 16384 THEN 2 ELSE 4 END) AS cost FROM s JOIN b USING (block_id) GROUP BY block_id)
-SELECT s.block_id, run_no, v-minimum AS value, repeat, minimum, bits, cost < pixels*(bits//8) AS smaller FROM s JOIN b USING (block_id) JOIN c USING (block_id)"""))
+c AS (SELECT block_id, 13 + sum(bits//8 + CASE WHEN repeat < 64 THEN 1 WHEN repeat < 16384 THEN 2 WHEN repeat < 4194304 THEN 3 ELSE 4 END) AS cost FROM s JOIN b USING (block_id) GROUP BY block_id)
+SELECT s.block_id, run_no, v-minimum AS value, repeat, minimum, bits, cost < pixels*2 AS smaller FROM s JOIN b USING (block_id) JOIN c USING (block_id)"""))
 def w09(spark, d):
-    return raster.rle_encode(view(spark, d, "pixel_run_input"))
+    """Pixels of 16 bits."""
+    return raster.rle_encode(view(spark, d, "pixel_run_input"), raw_bits=16)
 
 
 @query("w10_rle_decode", sql("pixel_run_input", "SELECT block_id, pos, v FROM pixel_run_input"))
@@ -311,6 +330,23 @@ def j05(spark, d):
     return raster.drape(view(spark, d, "gps_point"), surface(spark, d), 0.004).select("point_id", r(F.col("draped")).alias("draped"))
 
 
+_TRI2 = SQL["j05_drape_points"].split("tri AS (")[1].split("hit AS (")[0].replace("SELECT a.px AS x0", "SELECT a.map_id AS mesh_id, a.px AS x0").replace("UNION ALL SELECT a.px", "UNION ALL SELECT a.map_id, a.px")
+
+
+@query("j05_drape_paths", SQL["j05_drape_points"].split("tri AS (")[0] + "tri AS (" + _TRI2 + """pt AS (SELECT point_id, path_id, CASE WHEN path_id % 7 IN (0, 2) THEN -122.3e0 - path_id*1e-4 ELSE lon END AS lon, CASE WHEN path_id % 7 IN (1, 2) THEN 37.87e0 ELSE lat END AS lat, alt FROM gps_point),
+pb AS (SELECT path_id, min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1 FROM pt GROUP BY path_id), mb AS (SELECT mesh_id, min(least(x0,x1,x2)) AS x0, max(greatest(x0,x1,x2)) AS x1, min(least(y0,y1,y2)) AS y0, max(greatest(y0,y1,y2)) AS y1 FROM tri GROUP BY mesh_id),
+pr AS (SELECT path_id, mesh_id FROM pb JOIN mb ON greatest(pb.x0,mb.x0) < least(pb.x1,mb.x1) AND greatest(pb.y0,mb.y0) < least(pb.y1,mb.y1)),
+hit AS (SELECT point_id, path_id, mesh_id, ((lat-y0)*(x2-x0)-(lon-x0)*(y2-y0))/((y1-y0)*(x2-x0)-(x1-x0)*(y2-y0)) AS u, ((lon-x0)*(y1-y0)-(lat-y0)*(x1-x0))/((y1-y0)*(x2-x0)-(x1-x0)*(y2-y0)) AS v, alt, z0, z1, z2 FROM pt JOIN tri ON lon >= x0 - 0.0011e0 AND lon <= x0 + 0.0011e0 AND lat <= y0 + 0.0011e0 AND lat >= y0 - 0.0011e0),
+best AS (SELECT point_id, max(z0+u*(z1-z0)+v*(z2-z0)-alt) AS t FROM hit JOIN pr USING (path_id, mesh_id) WHERE u >= 0 AND u <= 1 AND v >= 0 AND u+v <= 1 GROUP BY point_id)
+SELECT point_id, path_id, round(alt+coalesce(t,0),3)+0.0 AS draped FROM pt LEFT JOIN best USING (point_id)""")
+def j05p(spark, d):
+    """Of seven paths one runs along a meridian, one along a parallel, and one stays in one place: these lie over the maps and aren't draped."""
+    kind = F.col("path_id") % 7
+    p = view(spark, d, "gps_point").withColumns({"lon": F.when(kind.isin(0, 2), F.lit(-122.3) - F.col("path_id") * 1e-4).otherwise(F.col("lon")), "lat": F.when(kind.isin(1, 2), F.lit(37.87)).otherwise(F.col("lat"))})
+    t = surface(spark, d).withColumnRenamed("map_id", "mesh_id").withColumns({"batch_id": F.col("mesh_id") % 2, "group_id": F.col("mesh_id") % 4})
+    return raster.drape_paths(p, t, ["batch_id", "group_id", "mesh_id"], 0.004).select("point_id", "path_id", r(F.col("draped")).alias("draped"))
+
+
 def surface_numbers(spark, d) -> DataFrame:
     """Triangles with a number: map, then cell, then half."""
     t = surface(spark, d)

@@ -271,3 +271,290 @@ def test_lookup_without_match(spark):
     t = spark.createDataFrame([("a ", "low", 2), ("A ", "high", 1), ("12", "twelve", 3)], "k string, v string, line_no int")
     got = {c: [r["v"] for r in lookup.lookup_first(df, "key", t, "k", "v", c).orderBy(F.col("key").asc_nulls_last()).collect()] for c in ("exact", "nocase", "integer")}
     assert got == {"exact": ["", "high", ""], "nocase": ["", "high", ""], "integer": ["twelve", "high", "high"]}
+
+
+# overlap in levels
+
+
+def test_one_huge_box_meets_each_box_of_the_other_side_once(spark):
+    """Small boxes visit the huge one's level, but not each other there."""
+    n = 3000
+    small = lambda name, shift: spark.range(n).select(F.col("id").alias(name), (F.col("id") % 60 + shift).alias("min_x"), (F.floor(F.col("id") / 60) + shift).alias("min_y")).withColumns({"max_x": F.col("min_x") + 0.5, "max_y": F.col("min_y") + 0.5})
+    a, b = small("a", 0.1), small("b", 0.3)
+    huge = spark.createDataFrame([(n, -1.0, -1.0, 200.0, 200.0)], "a bigint, " + SQUARE)
+    with_huge = a.union(huge)
+    alone = boxes.candidates(a, b, 0.5).count()
+    met = boxes.candidates(with_huge, b, 0.5).count()
+    assert met <= alone + 4 * n  # and not n * n
+    assert boxes.box_overlap_join(with_huge, b, 0.5).count() == boxes.box_overlap_join(a, b, 0.5).count() + n
+    both = b.union(huge.withColumnRenamed("a", "b"))
+    assert boxes.candidates(with_huge, both, 0.5).count() <= alone + 8 * n + 16
+    assert boxes.box_overlap_join(with_huge, both, 0.5).count() == boxes.box_overlap_join(a, b, 0.5).count() + 2 * n + 1
+
+
+def test_overlap_of_all_levels_against_nested_loop(spark):
+    rng = np.random.default_rng(8)
+
+    def make(n):
+        size = 2.0 ** rng.uniform(-6, 9, n)
+        at = rng.uniform(-40, 40, (n, 2))
+        return [(k, float(x), float(y), float(x + s), float(y + s * w)) for k, ((x, y), s, w) in enumerate(zip(at, size, rng.uniform(0.1, 1, n)))]
+
+    a, b = make(150), make(150)
+    want = {(p[0], q[0]): (max(p[1], q[1]), max(p[2], q[2]), min(p[3], q[3]), min(p[4], q[4])) for p in a for q in b if max(p[1], q[1]) < min(p[3], q[3]) and max(p[2], q[2]) < min(p[4], q[4])}
+    got = boxes.box_overlap_join(spark.createDataFrame(a, "a int, " + SQUARE), spark.createDataFrame(b, "b int, " + SQUARE), 0.05).collect()
+    assert len(got) == len(want) and {(r["a"], r["b"]): (r["min_x"], r["min_y"], r["max_x"], r["max_y"]) for r in got} == want
+
+
+# greedy dedup
+
+
+def jobs_of(spark, f):
+    """How many jobs ``f`` runs."""
+    tracker, group = spark.sparkContext.statusTracker(), f"count-{id(f)}"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        f()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(tracker.getJobIdsForGroup(group))
+
+
+def test_dedup_of_long_chains_takes_as_many_jobs_as_of_short_ones(spark):
+    chain = lambda n: (spark.range(n).select(F.col("id").alias("mesh_id"), F.col("id").alias("file_no")), spark.range(1, n).select(F.col("id").alias("mesh_id"), (F.col("id") - 1).alias("earlier_id")))
+    m, p = chain(2000)
+    assert {r["mesh_id"] for r in boxes.dedup_meshes(m, p).collect()} == set(range(0, 2000, 2))
+    long, short = (jobs_of(spark, lambda: boxes.dedup_meshes(*chain(n))) for n in (2000, 40))
+    assert long <= short + 40  # rounds of the components; rounds by depth would be a thousand times four
+
+
+@pytest.mark.parametrize("together", [boxes.TOGETHER, 12, 0])
+def test_dedup_of_components_of_any_size(spark, together):
+    """Those of more pairs than ``together`` are decided in rounds; both ways together equal the loop."""
+    rng = np.random.default_rng(6)
+    meshes = [(k, int(rng.integers(25))) for k in range(300)]
+    pairs = [(a[0], b[0]) for a in meshes for b in meshes if a[1] > b[1] and a[0] // 15 == b[0] // 15 and rng.random() < (0.03 if a[0] < 150 else 0.3)]
+    pairs += pairs[:3]
+    got = boxes.dedup_meshes(spark.createDataFrame(meshes, "mesh_id bigint, file_no int"), spark.createDataFrame(pairs, "mesh_id bigint, earlier_id bigint"), together)
+    assert {r["mesh_id"] for r in got.collect()} == greedy(meshes, pairs)
+
+
+def test_dedup_without_pairs(spark):
+    m = spark.createDataFrame([(1, 1), (2, 1)], "mesh_id bigint, file_no int")
+    assert boxes.dedup_meshes(m, spark.createDataFrame([], "mesh_id bigint, earlier_id bigint")).count() == 2
+
+
+def test_components_with_a_hub_met_in_pieces(spark, monkeypatch):
+    from geoloom.operators import links
+
+    monkeypatch.setattr(links, "HUB", 50)
+    pairs = spark.range(1, 1000).select(F.lit(0).cast("bigint").alias("a"), F.col("id").alias("b")).union(spark.range(2000, 2100).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))).repartition(7)
+    got = {r["node"]: r["component"] for r in links.components(pairs).collect()}
+    assert got == {k: 0 for k in range(1000)} | {k: 2000 for k in range(2000, 2101)}
+
+
+# state in chunks
+
+
+def replayed(records, slots=4):
+    """State at the draws of one dump, record by record."""
+    s = {"matrix": -1, "slot": 0, "texture": -1, "array_buffer": -1, "element_buffer": -1} | {f"{n}_{k}": (0 if n == "enabled" else -1) for k in capture.ATTRIBUTES for n in ("enabled", "pointer", "buffer")}
+    out = []
+    for _, seq, tag, arg, index in records:
+        if tag == "matrix":
+            s["matrix"] = arg
+        elif tag == "enable":
+            s["slot"] = arg % slots
+        elif tag in ("array_buffer", "element_buffer"):
+            s[tag] = arg or -1
+        elif tag in ("bind_texture", "disable_texture") and s["slot"] == 0:
+            s["texture"] = arg if tag == "bind_texture" else -1
+        elif tag in ("enable_attribute", "disable_attribute") and index in capture.ATTRIBUTES:
+            s[f"enabled_{index}"] = int(tag == "enable_attribute")
+        elif tag == "attribute_pointer" and index in capture.ATTRIBUTES:
+            s[f"pointer_{index}"], s[f"buffer_{index}"] = arg, s["array_buffer"]
+        elif tag == "draw":
+            out.append({"seq": seq} | s)
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 7, 50, 100_000])
+def test_state_in_chunks_equals_a_replay(spark, chunk):
+    rng = np.random.default_rng(9)
+    tags = ["matrix", "enable", "array_buffer", "element_buffer", "bind_texture", "disable_texture", "enable_attribute", "disable_attribute", "attribute_pointer", "draw", "draw", "other"]
+    rows = {d: [(d, int(seq), tags[int(rng.integers(len(tags)))], int(rng.integers(0, 9)), int(rng.integers(0, 4))) for seq in np.sort(rng.choice(900, 300, False))] for d in (1, 2)}
+    df = spark.createDataFrame([r for d in rows for r in rows[d]], "dump_id bigint, seq bigint, tag string, arg bigint, index bigint").repartition(4)
+    got = [r.asDict() for r in capture.draw_state_asof(df, chunk=chunk).orderBy("dump_id", "seq").collect()]
+    assert got == [{"dump_id": d} | s for d in (1, 2) for s in replayed(rows[d])]
+
+
+def test_no_window_of_the_state_is_over_a_whole_dump(spark, sf):
+    """But for those over a row a chunk."""
+    from geoloom.plans.fixtures import view
+
+    plan = capture.draw_state_asof(view(spark, sf, "state_record"))._jdf.queryExecution().optimizedPlan().toString()
+    over = [line for line in plan.splitlines() if line.strip(" :+-").startswith("Window")]
+    assert over and all("_chunk" in line for line in over)
+    assert any("_chunk" in line.split("], [")[-2] for line in over)
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 1000])
+def test_numbers_gaps_and_end_in_chunks(spark, chunk):
+    rows = [(d, k, ["draw", "clear", "other"][(k * 7 + d) % 3], k + (k > 5) + 2 * (k == 9), k == 11) for d in (1, 2) for k in range(0, 40, 2 if d == 2 else 1)]
+    df = spark.createDataFrame(rows, "dump_id int, seq bigint, tag string, stamp bigint, stencil boolean").repartition(3)
+    hits = [[r for r in rows if r[0] == d and r[2] != "other"] for d in (1, 2)]
+    assert sorted((r["dump_id"], r["seq"], r["dispatch"]) for r in capture.dispatch_number(df, chunk).collect()) == [(r[0], r[1], n) for h in hits for n, r in enumerate(h)]
+    gaps = [(b[0], b[1], a[3] + 1) for d in (1, 2) for a, b in zip([r for r in rows if r[0] == d], [r for r in rows if r[0] == d][1:]) if b[3] != a[3] + 1]
+    assert sorted((r["dump_id"], r["seq"], r["expected"]) for r in capture.data_sequence_gaps(df, "stamp", chunk).collect()) == gaps
+    stop = {1: min((r[1] for r in rows if r[0] == 1 and r[2] == "clear" and r[4]), default=10**9), 2: 10**9}
+    assert {(r["dump_id"], r["seq"]) for r in capture.cut_after_end(df, F.col("seq") % 4 == 0).collect()} == {(r[0], r[1]) for r in rows if r[2] == "draw" and (r[1] < stop[r[0]] or r[1] % 4 == 0)}
+
+
+def test_codes_of_all_domains(spark):
+    from geoloom.functions import codes
+
+    assert [len(set(codes.codes_of(d))) for d in codes.DOMAINS] == [len(codes.codes_of(d)) for d in codes.DOMAINS]
+    df = spark.createDataFrame([(1, 0x1903, 0x88E0, None), (2, 0x88E0, 0x1903, 0x0104), (3, None, 0x88E9, 0x2200)], "seq int, f bigint, u bigint, op bigint")
+    got = capture.validate_codes(df, {"f": "format", "u": "buffer_usage", "op": "texture_env_op"}, codes.domain_table(spark), ["seq"])
+    assert sorted(map(tuple, got.collect())) == [(2, "f", "format", 0x88E0), (2, "u", "buffer_usage", 0x1903), (3, "op", "texture_env_op", 0x2200)]
+
+
+# captures in ranges
+
+
+def capture_bytes(rng, n):
+    out = struct.pack("<II", files.MAGIC, 1)
+    for _ in range(n):
+        body = rng.bytes(int(rng.integers(0, 300)))
+        out += struct.pack("<II", len(body), (int(rng.integers(1, 6)) << 28) + int(rng.integers(0, 999))) + body
+    return out
+
+
+def test_a_long_capture_is_read_by_several_tasks(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    whole = capture_bytes(rng, 400)
+    (tmp_path / "a.dump").write_bytes(whole + struct.pack("<II", 0, files.END) + b"rest")
+    (tmp_path / "b.dump").write_bytes(whole[:-50])  # cut off
+    (tmp_path / "c.dump").write_bytes(capture_bytes(rng, 3))
+    (tmp_path / "d.dump").write_bytes(b"no capture" * 2000)
+    (tmp_path / "e.dump").write_bytes(b"")
+    once, parted = (files.read_capture(spark, f"{tmp_path}/*.dump", split) for split in (files.SPLIT, 3000))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=lambda r: (r[0], r[1]))
+    assert rows(once) == rows(parted) and once.count() > 700
+    tasks = parted.where("file like '%a.dump'").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 5
+
+
+def test_index_of_a_capture_over_two_gigabytes(spark, tmp_path):
+    """A file with holes: headers are found without reading the payloads."""
+    sizes, path = [900_000_000, 5, 900_000_000, 700_000_000, 0], tmp_path / "long.dump"
+    with open(path, "wb") as f:
+        f.write(struct.pack("<II", files.MAGIC, 1))
+        for size in sizes:
+            f.write(struct.pack("<II", size, 2 << 28))
+            f.seek(size, 1)
+        f.write(struct.pack("<II", 0, files.END))
+    listed = spark.read.format("binaryFile").load(str(path)).select("path", "length")
+    got = [tuple(r)[1:] for r in files.index_captures(listed, 1_000_000_000).orderBy("begin").collect()]
+    ends = np.cumsum([8, *[8 + s for s in sizes]]).tolist()
+    assert got == [(ends[0], ends[3], 0), (ends[3], ends[5], 3)]
+
+
+# runs and tiles
+
+
+def test_smaller_compares_real_lengths(spark):
+    rng = np.random.default_rng(12)
+    for bits, top in ((8, 250), (16, 60_000), (32, 2**31)):
+        blocks = [np.full(5, 1), np.full(13, 7), np.repeat(rng.integers(0, top, 6), rng.integers(1, 9, 6)), rng.integers(0, top, 40), np.full(70, 3), np.repeat([1, top - 1], 20_000), np.arange(20) % top, np.repeat(rng.integers(0, min(top, 90), 200), 2)]
+        rows = [(b, p, int(v)) for b, x in enumerate(blocks) for p, v in enumerate(x)]
+        runs = raster.rle_encode(spark.createDataFrame(rows, "block_id bigint, pos bigint, v bigint"), bits).collect()
+        for b, x in enumerate(blocks):
+            own = sorted((r["run_no"], r["value"], r["repeat"], r["minimum"], r["bits"], r["smaller"]) for r in runs if r["block_id"] == b)
+            data = raster.encode_block(own[0][3], own[0][4], np.array([r[1] for r in own]), np.array([r[2] for r in own]))
+            assert {r[5] for r in own} == {len(data) < len(x) * bits // 8}
+            assert raster.decode_block(data, len(x)).tolist() == [v - (v >= 2**31) * 2**32 for v in x.tolist()]
+
+
+@pytest.mark.parametrize("pixel_type", ["u8", "s8", "u16", "s16", "u32", "s32", "f32"])
+def test_tiles_of_all_forms(pixel_type):
+    rng = np.random.default_rng(13)
+    low, high = (-3.5, 3.5) if pixel_type == "f32" else (np.iinfo(raster.LAYOUT[pixel_type]).min, np.iinfo(raster.LAYOUT[pixel_type]).max)
+    for x in (np.repeat(rng.uniform(low, high, 4), 16), rng.uniform(low, high, 64), np.zeros(64), np.repeat([low, high], 32)):
+        x = np.floor(x) if pixel_type != "f32" else x.astype("<f4").astype(float)
+        for form in ("raw", "runs", "narrow"):
+            data, compressed = raster.encode_tile(x, pixel_type, form)
+            back = raster.decode_block(data, 64, pixel_type) if compressed else raster.decode_pixels(data, pixel_type)
+            assert back.astype(float).tolist() == x.tolist()
+    assert raster.encode_tile(np.zeros(64), pixel_type, "runs")[1] and not raster.encode_tile(np.arange(64) % 7, pixel_type, "runs")[1] or pixel_type.endswith("32")
+
+
+def test_compressed_flags_and_short_blocks(spark):
+    head = spark.createDataFrame([(1, 8, 8)], "map_id bigint, nx int, ny int")
+    run = raster.encode_block(2, 8, np.array([0, 5]), np.array([3, 2]))  # fewer pixels than the tile has
+    rows = [(1, 0, 0, run, True), (1, 0, 1, raster.encode_pixels(np.arange(16), "u8"), None), (1, 1, 0, None, True), (1, 1, 1, raster.encode_block(0, 8, np.array([9]), np.array([99])), True)]
+    blocks = spark.createDataFrame(rows, "map_id bigint, block_y int, block_x int, data binary, compressed boolean")
+    got = {(r["row"], r["col"]): r["h"] for r in raster.raster_blocks_to_samples(blocks, head, 4, "u8").collect()}
+    assert [got[0, c] for c in range(8)] == [2.0, 2.0, 2.0, 7.0, 0.0, 1.0, 2.0, 3.0]
+    assert got[1, 0] == 7.0 and got[1, 1] == got[5, 0] == 0.0 and got[7, 7] == 9.0
+
+
+def test_median_of_distinct_heights(spark):
+    rng = np.random.default_rng(14)
+    maps = {1: rng.normal(size=901), 2: rng.normal(size=900), 3: np.array([5.0]), 4: np.array([1.0, 1.0, 9.0, 9.0]), 5: np.repeat([2.0, 3.0], [7, 2])}
+    rows = [(m, 0, k, float(h)) for m, x in maps.items() for k, h in enumerate(x)] + [(3, 1, 0, None), (6, 0, 0, None)]
+    got = {r["map_id"]: r for r in raster.raster_statistics(spark.createDataFrame(rows, "map_id bigint, row bigint, col bigint, h double").repartition(5)).collect()}
+    for m, x in maps.items():
+        assert got[m]["median"] == pytest.approx(np.median(x)) and got[m]["maximum"] == x.max()
+    assert got[4]["mode"] == 1.0 and got[6]["median"] is None
+
+
+@pytest.mark.parametrize("tile", [1, 4, 32])
+def test_bilinear_over_tiles_and_gaps(spark, tile):
+    rng = np.random.default_rng(15)
+    h = {(m, y, x): float(rng.integers(-50, 50)) for m in (1, 2) for y in range(11) for x in range(9) if rng.random() < 0.85}
+    s = spark.createDataFrame([(*k, v) for k, v in h.items()] + [(1, 20, 20, None)], "map_id bigint, row bigint, col bigint, h double")
+    q = [(k, int(rng.integers(1, 3)), float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(-1, 11, (400, 2)))] + [(900, 1, 8.0, 10.0), (901, 1, 20.0, 20.0)]
+    got = {r["k"]: r["height"] for r in raster.bilinear_sample(spark.createDataFrame(q, "k int, map_id bigint, x double, y double"), s, tile).collect()}
+    want = {}
+    for k, m, x, y in q:
+        c, r = int(np.floor(x)), int(np.floor(y))
+        if (m, r, c) in h:
+            a = h[m, r, c]
+            b, low = h.get((m, r, c + 1)), h.get((m, r + 1, c))
+            lr = h.get((m, r + 1, c + 1))
+            b2 = a if b is None else b
+            low2, lr2 = (a, b2) if low is None else (low, low if lr is None else lr)
+            fx, fy = np.float32(x - c), np.float32(y - r)
+            one = np.float32(1)
+            want[k] = float((np.float32(a) * (one - fx) + np.float32(b2) * fx) * (one - fy) + (np.float32(low2) * (one - fx) + np.float32(lr2) * fx) * fy)
+    assert got == pytest.approx(want, abs=1e-4)
+
+
+def test_queries_of_heights_are_shuffled_once(spark, sf):
+    from geoloom.plans import raster_queries
+
+    plan = raster_queries.w08(spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("heights") and sum("Join" in line for line in plan.splitlines()) == 2  # with the headers, and with the tiles
+
+
+def test_flat_paths_are_not_draped(spark):
+    t = [(1, 1, 1, 0.0, 0.0, 5.0, 10.0, 0.0, 5.0, 0.0, 10.0, 5.0), (1, 1, 2, 20.0, 20.0, 9.0, 21.0, 20.0, 9.0, 20.0, 21.0, 9.0)]
+    tri = spark.createDataFrame(t, "batch_id int, group_id int, mesh_id int, " + ", ".join(f"{a}{k} double" for k in range(3) for a in "xyz"))
+    p = [(1, 1, 1.0, 1.0, 0.0), (1, 2, 2.0, 2.0, 0.0), (2, 1, 3.0, 1.0, 1.0), (2, 2, 3.0, 2.0, 1.0), (3, 1, 1.0, 4.0, 2.0), (3, 2, 2.0, 4.0, 2.0), (4, 1, 1.0, 1.0, 3.0), (5, 1, 30.0, 30.0, 4.0), (5, 2, 31.0, 31.0, 4.0), (6, 1, 9.0, 9.0, 0.0), (6, 2, 20.2, 20.2, 0.0)]
+    got = raster.drape_paths(spark.createDataFrame(p, "path_id int, point_id int, lon double, lat double, alt double"), tri, ["batch_id", "group_id", "mesh_id"], 0.5)
+    assert {(r["path_id"], r["point_id"]): r["draped"] for r in got.collect()} == {(1, 1): 5.0, (1, 2): 5.0, (2, 1): 1.0, (2, 2): 1.0, (3, 1): 2.0, (3, 2): 2.0, (4, 1): 3.0, (5, 1): 4.0, (5, 2): 4.0, (6, 1): 0.0, (6, 2): 9.0}
+
+
+def test_numbers_of_one_batch_and_group(spark, monkeypatch):
+    """All meshes in one batch; the join with the group's first number is in pieces."""
+    monkeypatch.setattr(mesh, "AT_ONCE", 100)
+    df = spark.range(1000).select(F.lit(1).alias("batch_id"), (F.col("id") % 3 * 10 - F.col("id") % 3).alias("group_id"), (1000 - F.col("id")).alias("mesh_id")).union(spark.createDataFrame([(2, 5, 1)], "batch_id int, group_id bigint, mesh_id bigint")).repartition(5)
+    rows = mesh.mesh_numbers(df, F.lit("s")).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault((r["batch_id"], r["group_id"]), []).append(r)
+    assert len(rows) == 1001 and {k: {r["g"] for r in v} for k, v in groups.items()} == {(1, 0): {0}, (1, 9): {1}, (1, 18): {2}, (2, 5): {0}}
+    for own in groups.values():
+        assert [r["m"] for r in sorted(own, key=lambda r: r["mesh_id"])] == list(range(len(own)))
+    assert rows[0]["mesh_name"] == f"s_meshNode_{rows[0]['g']}_{rows[0]['m']}"
