@@ -15,6 +15,7 @@ pytest.importorskip("geoloom.llm")
 
 from geoloom.llm import brown, catalog, decontaminate, exact_dedup, graph, language, licenses, mixing, near_dedup, pii, toxicity, url_filter  # noqa: E402
 from geoloom.llm.words import split  # noqa: E402
+from geoloom.operators import links  # noqa: E402
 from geoloom.storage import materialize  # noqa: E402
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -210,8 +211,8 @@ def test_a_crowded_key_is_joined_in_pieces(spark, monkeypatch):
     left = spark.range(1000).select(F.col("id").alias("a"), F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("b"))
     right = spark.range(500).select(F.col("id").alias("b"), (F.col("id") * 2).alias("x"))
     want = sorted(left.join(right, ["b"], "left").select("a", "b", "x").collect(), key=repr)
-    for bound in (graph.BROADCAST_IDS, 0):
-        monkeypatch.setattr(graph, "BROADCAST_IDS", bound)
+    for bound in (links.BROADCAST_KEYS, 0):
+        monkeypatch.setattr(links, "BROADCAST_KEYS", bound)
         assert sorted(graph.spread_join(left, right, ["b"], "a", 20, "left").select("a", "b", "x").collect(), key=repr) == want
 
 
