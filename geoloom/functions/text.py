@@ -36,6 +36,16 @@ def tile_request_key(lon: Column, lat: Column, zoom: Column) -> Column:
     return F.concat(F.lit("lon@"), six_digits(lon), F.lit("_lat@"), six_digits(lat), F.lit("_zoom@"), zoom.cast("string"))
 
 
+#: Pixels of a requested tile, and the margin above and below it, which the request adds to its height.
+TILE_PIXELS, TILE_MARGIN = 512, 22
+
+
+def tile_request(lon: Column, lat: Column, zoom: Column, width: int = TILE_PIXELS, height: int = TILE_PIXELS) -> dict[str, Column]:
+    """Key, centre and size of the request for a tile; the height has the margin on both sides."""
+    size = F.lit(f"{width}x{height + 2 * TILE_MARGIN}")
+    return {"key": tile_request_key(lon, lat, zoom), "center": F.concat(six_digits(lat), F.lit(","), six_digits(lon)), "size": size}
+
+
 def primitive_name(code: Column) -> Column:
     return F.when((code >= 0) & (code < len(PRIMITIVES)), F.element_at(F.array(*map(F.lit, PRIMITIVES)), code.cast("int") + 1))
 

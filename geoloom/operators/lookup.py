@@ -42,15 +42,26 @@ def metadata_route(entries: DataFrame) -> DataFrame:
     return out.withColumn("number", F.when(F.col("kind") == "d", F.expr("try_cast(value as double)")).when(F.col("kind") == "l", F.expr("try_cast(value as bigint)").cast("double")))
 
 
-def points_in_quads(points: DataFrame, quads: DataFrame, cell: float) -> DataFrame:
-    """(point, quad) for points (px, py), taken at the pixel's centre, inside convex quads (x0, y0 .. x3, y3): the four cross products share one strict sign."""
-    span = lambda a: F.explode(F.sequence(F.floor(F.least(*[f"{a}{k}" for k in range(4)]) / cell), F.floor(F.greatest(*[f"{a}{k}" for k in range(4)]) / cell)))
-    q = quads.withColumn("cell_x", span("x")).withColumn("cell_y", span("y"))
+def points_in_quads(points: DataFrame, quads: DataFrame, cell: float, top: int = 60) -> DataFrame:
+    """(point, quad) for points (px, py), taken at the pixel's centre, inside convex quads (x0, y0 .. x3, y3): the four cross products share one strict sign.
+
+    A quad lies in the cells, four at most, of the level whose cells, ``cell`` times a
+    power of two, are as large as it is; points look into one cell a level that occurs.
+    """
+    low = {a: F.least(*[f"{a}{k}" for k in range(4)]) for a in "xy"}
+    high = {a: F.greatest(*[f"{a}{k}" for k in range(4)]) for a in "xy"}
+    size = F.greatest(*[high[a] - low[a] for a in "xy"])
+    level = F.greatest(F.lit(0), F.least(F.lit(top), F.ceil(F.log2(F.greatest(size, F.lit(cell)) / cell)))).cast("int")
+    q = quads.withColumn("_level", level)
+    width = F.lit(cell) * F.pow(F.lit(2.0), F.col("_level"))
+    span = lambda a: F.explode(F.sequence(F.floor(low[a] / width), F.floor(high[a] / width)))
+    used = q.agg(F.collect_set("_level")).scalar()
+    q = q.withColumn("cell_x", span("x")).withColumn("cell_y", span("y"))
     x, y = F.col("px") + 0.5, F.col("py") + 0.5
-    p = points.withColumn("cell_x", F.floor(x / cell)).withColumn("cell_y", F.floor(y / cell))
+    p = points.withColumn("_level", F.explode(used)).withColumn("cell_x", F.floor(x / width)).withColumn("cell_y", F.floor(y / width))
     cross = [(F.col(f"x{(k + 1) % 4}") - F.col(f"x{k}")) * (y - F.col(f"y{k}")) - (F.col(f"y{(k + 1) % 4}") - F.col(f"y{k}")) * (x - F.col(f"x{k}")) for k in range(4)]
     inside = (F.least(*cross) > 0) | (F.greatest(*cross) < 0)
-    return p.join(q, ["cell_x", "cell_y"]).where(inside).drop("cell_x", "cell_y", *[f"{a}{k}" for a in "xy" for k in range(4)])
+    return p.join(q, ["_level", "cell_x", "cell_y"]).where(inside).drop("_level", "cell_x", "cell_y", *[f"{a}{k}" for a in "xy" for k in range(4)])
 
 
 def patch_selection(quads: DataFrame, hits: DataFrame) -> DataFrame:

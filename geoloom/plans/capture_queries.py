@@ -196,9 +196,10 @@ def t01(spark, d):
     return view(spark, d, "gps_point").select("point_id", *[c.alias(n) for n, c in text.split_path(path).items()])
 
 
-@query("t02_tile_request_key", sql("gps_point", "SELECT point_id, 'lon@' || printf('%g', lon) || '_lat@' || printf('%g', lat) || '_zoom@' || (1 + point_id % 14) AS key FROM gps_point"))
+@query("t02_tile_request_key", sql("gps_point", "SELECT point_id, 'lon@' || printf('%g', lon) || '_lat@' || printf('%g', lat) || '_zoom@' || (1 + point_id % 14) AS key, printf('%g', lat) || ',' || printf('%g', lon) AS center, '512x556' AS size FROM gps_point"))
 def t02(spark, d):
-    return view(spark, d, "gps_point").select("point_id", text.tile_request_key(F.col("lon"), F.col("lat"), 1 + F.col("point_id") % 14).alias("key"))
+    request = text.tile_request(F.col("lon"), F.col("lat"), 1 + F.col("point_id") % 14)
+    return view(spark, d, "gps_point").select("point_id", *[c.alias(n) for n, c in request.items()])
 
 
 @query("t07_pixel_type", sql("capture_record", "SELECT seq, (['u1','u2','u4','u8','s8','u16','s16','u32','s32','f32','f64','c64','c128'])[arg % 15 + 1] AS pixel_type, ([1,2,4,8,8,16,16,32,32,32,64,64,128])[arg % 15 + 1] AS bits FROM capture_record"))
@@ -469,6 +470,15 @@ def s05(spark, d):
     return files.parse_capture(capture_files(spark, d)).withColumn("payload", F.hex("payload"))
 
 
+@query("s05_capture_ranges", SQL["s05_read_capture"])
+def s05r(spark, d):
+    """Written as files, each read back in ranges of about 4 KB."""
+    where = scratch(spark, "captures")
+    files.write_captures(capture_files(spark, d), where).count()
+    name = F.regexp_extract("file", "([^/]*)$", 1)
+    return files.read_capture(spark, where, split=4096).withColumn("file", name).withColumn("payload", F.hex("payload"))
+
+
 @query("s06_explode_vertex_stream_blocks", sql("capture_record", f", n AS (SELECT *, row_number() OVER (PARTITION BY dump_id ORDER BY seq) - 1 AS no FROM capture_record) SELECT CAST(dump_id AS VARCHAR) AS file, no AS seq, b AS block_no, arg AS ref_tag, {_vert} AS data FROM n, generate_series(0, 1) g(b) WHERE tag = 'enable'"))
 def s06(spark, d):
     data = files.parse_capture(capture_files(spark, d)).where("kind = 'data'")
@@ -491,45 +501,97 @@ def j17(spark, d):
     return capture.polyline_source_target(dumps, polygons)
 
 
-_KS = (3.0, 10.0, -20.0, 5.0)
+#: Targets of the rigid fit: the sources scaled, turned about z by a sine and a cosine, moved, and bent, so that no similarity takes all of them there.
+_TARGET = {"tx": "3e0*(0.8e0*sx - 0.6e0*sy) + 10 + k*0.5e0", "ty": "3e0*(0.6e0*sx + 0.8e0*sy) - 20 - (dump_id % 3)*k*0.2e0", "tz": "3e0*sz + 5 + (dump_id % 4)*k*0.3e0"}
 
 
 def _rigid_pairs(spark, d) -> DataFrame:
-    """Targets are the sources turned a quarter about z, scaled by 3 and moved; the transform must be found from three of them."""
     p = path_points(spark, d).select(F.col("path_id").alias("dump_id"), F.col("point_idx").alias("k"), (F.col("lon") * 10).alias("sx"), (F.col("lat") * 10).alias("sy"), (F.col("alt") / 100).alias("sz"))
-    s, a, b, e = _KS
-    return p.withColumns({"tx": -F.col("sy") * s + a, "ty": F.col("sx") * s + b, "tz": F.col("sz") * s + e})
-
-
-@query("m15_fit_rigid", sql("gps_point", "SELECT DISTINCT path_id AS dump_id, 0e0 AS m0, 3e0 AS m1, -3e0 AS m4, 3e0 AS m10, 10e0 AS m12, -20e0 AS m13, 5e0 AS m14 FROM gps_point"))
+    return p.withColumns({n: F.expr(e) for n, e in _TARGET.items()})
+
+
+def _rigid_sql() -> str:
+    """The fit of three pairs, a stage of columns after the other."""
+    stages = []
+
+    def stage(columns: dict[str, str]) -> None:
+        stages.append(f"r{len(stages) + 1} AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in columns.items())} FROM r{len(stages)})")
+
+    v = lambda n: [f"{n}{a}" for a in "xyz"]
+    named = lambda n, e: dict(zip(v(n), e))
+    dot = lambda a, b: "(" + " + ".join(f"{x}*{y}" for x, y in zip(a, b)) + ")"
+    cross = lambda a, b: [f"({a[1]}*{b[2]} - {a[2]}*{b[1]})", f"({a[2]}*{b[0]} - {a[0]}*{b[2]})", f"({a[0]}*{b[1]} - {a[1]}*{b[0]})"]
+    unit = lambda a: [f"({x} / coalesce(nullif(sqrt({dot(a, a)}), 0), 1))" for x in a]
+    turn = lambda n, c, s: [f"({c}*{int(i == j)} + (1 - {c})*{n[i]}*{n[j]} + {s}*{k})" for i in range(3) for j, k in enumerate((["0", n[2], f"(-{n[1]})"], [f"(-{n[2]})", "0", n[0]], [n[1], f"(-{n[0]})", "0"])[i])]
+    times = lambda a, m: [dot(a, m[j::3]) for j in range(3)]
+    for side in "st":
+        stage(named(f"c{side}", [f"({side}0{a} + {side}1{a} + {side}2{a})/3e0" for a in "xyz"]))
+        for k in range(3):
+            stage(named(f"{side}a{k}", [f"{side}{k}{a} - c{side}{a}" for a in "xyz"]))
+        for k in range(3):
+            stage(named(f"{side}u{k}", unit(v(f"{side}a{k}"))))
+        for k in range(3):
+            stage(named(f"{side}n{k}", unit(cross(v(f"{side}u{k}"), v(f"{side}u{(k + 1) % 3}")))))
+            stage({f"{side}w{k}": f"acos(least(abs({dot(v(f'{side}u{k}'), v(f'{side}u{(k + 1) % 3}'))}), 1))"})
+        stage(named(f"{side}m", [" + ".join(f"{side}n{k}{a}*{side}w{k}" for k in range(3)) for a in "xyz"]))
+        stage(named(f"{side}z", unit(v(f"{side}m"))))
+        stage({f"{side}r": "(" + " + ".join(f"sqrt({dot(v(f'{side}a{k}'), v(f'{side}a{k}'))})" for k in range(3)) + ")/3e0"})
+    stage(named("ax", cross(v("sz"), v("tz"))))
+    stage({"sine": f"least(sqrt({dot(v('ax'), v('ax'))}), 1)"})
+    stage(named("au", unit(v("ax"))))
+    stage({f"l{n}": e for n, e in enumerate(turn(v("au"), "sqrt(1 - sine*sine)", "sine"))})
+    level = [f"l{n}" for n in range(9)]
+    for k in range(3):
+        stage(named(f"e{k}", unit(times(v(f"sa{k}"), level))))
+        stage(named(f"p{k}", unit(cross(v("tz"), v(f"e{k}")))))
+        stage(named(f"q{k}", unit(cross(v("tz"), v(f"tu{k}")))))
+        stage(named(f"x{k}", cross(v(f"p{k}"), v(f"q{k}"))))
+        stage({f"g{k}": f"asin(least(sqrt({dot(v(f'x{k}'), v(f'x{k}'))}), 1)) * CASE WHEN {dot(v(f'x{k}'), v('tz'))} < 0 THEN -1 ELSE 1 END"})
+    stage({"g": "(g0 + g1 + g2)/3e0", "scale": "tr/sr"})
+    stage({f"f{n}": e for n, e in enumerate(turn(v("tz"), "cos(g)", "sin(g)"))})
+    stage({f"o{3 * i + j}": f"{dot(level[3 * i : 3 * i + 3], [f'f{j}', f'f{3 + j}', f'f{6 + j}'])}*scale" for i in range(3) for j in range(3)})
+    stage({f"m{12 + j}": f"ct{a} - {dot(v('cs'), [f'o{j}', f'o{3 + j}', f'o{6 + j}'])}" for j, a in enumerate("xyz")})
+    first = ", ".join(f"max(CASE WHEN k = {k} THEN {side}{a} END) AS {side}{k}{a}" for side in "st" for k in range(3) for a in "xyz")
+    out = {0: "o0", 1: "o1", 4: "o3", 6: "o5", 10: "o8", 12: "m12", 13: "m13", 14: "m14"}
+    plain = {0: 1, 10: 1}
+    columns = ", ".join(f"CASE WHEN n < 3 THEN {plain.get(k, 0)}e0 ELSE round({e}, 3)+0.0 END AS m{k}" for k, e in out.items())
+    return f""", pr AS (SELECT path_id AS dump_id, row_number() OVER (PARTITION BY path_id ORDER BY point_id) - 1 AS k, lon*10 AS sx, lat*10 AS sy, alt/100 AS sz FROM gps_point), pt AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in _TARGET.items())} FROM pr),
+r0 AS (SELECT dump_id, count(*) AS n, {first} FROM pt GROUP BY dump_id), {', '.join(stages)} SELECT dump_id, {columns} FROM r{len(stages)}"""
+
+
+@query("m15_fit_rigid", sql("gps_point", _rigid_sql()))
 def m15(spark, d):
+    """Triangles that aren't similar."""
     f = mesh.fit_rigid(_rigid_pairs(spark, d))
-    return f.select("dump_id", *[r(F.col("matrix")[k], 3).alias(f"m{k}") for k in (0, 1, 4, 10, 12, 13, 14)])
+    return f.select("dump_id", *[r(F.col("matrix")[k], 3).alias(f"m{k}") for k in (0, 1, 4, 6, 10, 12, 13, 14)])
 
 
-@query("m16_georeference_meshes", sql("gps_point", "SELECT point_id, round(lon,6)+0.0 AS lon2, round(lat,6)+0.0 AS lat2, round(alt,3)+0.0 AS alt2 FROM gps_point"))
-def m16(spark, d):
-    """Points moved away by a dump's matrix come back to their place."""
+def _turned(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Points on the ellipsoid, and for each dump a matrix that turns them about the earth's axis by none to three quarters."""
     p = view(spark, d, "gps_point").withColumn("c", geo.cartesian_position(F.col("lat"), F.col("lon"), F.col("alt")))
-    k = (F.col("path_id") % 5).cast("double")
-    v = p.select("point_id", F.col("path_id").alias("dump_id"), (F.col("c.x") - k).alias("x"), F.col("c.y").alias("y"), F.col("c.z").alias("z"))
+    v = p.select(F.col("path_id").alias("dump_id"), (F.col("point_id") % 3).alias("mesh_id"), "point_id", "c.*")
+    k = (F.col("path_id") % 4).cast("int")
+    cos, sin = (F.element_at(F.array(*map(F.lit, x)), k + 1) for x in ((1.0, 0.0, -1.0, 0.0), (0.0, 1.0, 0.0, -1.0)))
     o, i = F.lit(0.0), F.lit(1.0)
-    t = p.select("path_id").distinct().select(F.col("path_id").alias("dump_id"), F.array(i, o, o, o, o, i, o, o, o, o, i, o, k, o, o, i).alias("matrix"))
-    g = mesh.georeference(v, t, (F.lit(-122.0), F.lit(37.5), F.lit(0.0)))
+    t = p.select("path_id").distinct().select(F.col("path_id").alias("dump_id"), F.array(cos, sin, o, o, -sin, cos, o, o, o, o, i, o, o, o, o, i).alias("matrix"))
+    return v, t
+
+
+@query("m16_georeference_meshes", sql("gps_point", "SELECT point_id, round(lon + 90*(path_id % 4),6)+0.0 AS lon2, round(lat,6)+0.0 AS lat2, round(alt,3)+0.0 AS alt2 FROM gps_point"))
+def m16(spark, d):
+    """A quarter's turn takes a point a quarter around the earth."""
+    v, t = _turned(spark, d)
+    g = mesh.georeference(v.select("point_id", "dump_id", "x", "y", "z"), t, (F.lit(-122.0), F.lit(37.5), F.lit(0.0)))
     return g.select("point_id", r(F.col("lon"), 6).alias("lon2"), r(F.col("lat"), 6).alias("lat2"), r(F.col("alt")).alias("alt2"))
 
 
 def _placed(spark, d) -> tuple[DataFrame, DataFrame]:
     """Paths as meshes of dumps; every third dump has no target."""
-    p = view(spark, d, "gps_point").withColumn("c", geo.cartesian_position(F.col("lat"), F.col("lon"), F.col("alt")))
-    k = (F.col("path_id") % 5).cast("double")
-    v = p.select(F.col("path_id").alias("dump_id"), (F.col("point_id") % 3).alias("mesh_id"), F.col("point_id").alias("vertex_idx"), (F.col("c.x") - k).alias("x"), F.col("c.y").alias("y"), F.col("c.z").alias("z"))
-    o, i = F.lit(0.0), F.lit(1.0)
-    t = p.where("path_id % 3 > 0").select("path_id").distinct().select(F.col("path_id").alias("dump_id"), F.array(i, o, o, o, o, i, o, o, o, o, i, o, k, o, o, i).alias("matrix"))
-    return mesh.place_meshes(v, t, origin())
+    v, t = _turned(spark, d)
+    return mesh.place_meshes(v.withColumnRenamed("point_id", "vertex_idx"), t.where("dump_id % 3 > 0"), origin())
 
 
-_PLACE = f""", {ECEF.format(src='gps_point')}, {ENU}, q AS (SELECT *, path_id AS dump_id, point_id % 3 AS mesh_id FROM enu WHERE path_id % 3 > 0)"""
+_PLACE = f""", turned AS (SELECT point_id, path_id, lon + 90*(path_id % 4) AS lon, lat, alt FROM gps_point), {ECEF.format(src='turned')}, {ENU}, q AS (SELECT *, path_id AS dump_id, point_id % 3 AS mesh_id FROM enu WHERE path_id % 3 > 0)"""
 
 
 @query("m16_placed_vertices", sql("gps_point", f"""{_PLACE}, c AS (SELECT dump_id, mesh_id, (min(e)+max(e))*0.5e0 AS tx, (min(nn)+max(nn))*0.5e0 AS ty, (min(u)+max(u))*0.5e0 AS tz FROM q GROUP BY ALL)

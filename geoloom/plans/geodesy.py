@@ -65,18 +65,30 @@ def filter_valid_gps(spark, d):
 
 @query("f01_gps_errors", sql("gps_point_raw", """SELECT point_id, CASE WHEN NOT (abs(lon) <= 180 AND abs(lat) <= 90) THEN 'lon: ' || CAST(CAST(lon AS BIGINT) AS VARCHAR) || '; lat: ' || CAST(CAST(lat AS BIGINT) AS VARCHAR) END AS error FROM gps_point_raw"""))
 def gps_errors(spark, d):
-    text = F.concat(lit("lon: "), c("lon").cast("bigint"), lit("; lat: "), c("lat").cast("bigint"))
-    return view(spark, d, "gps_point_raw").select("point_id", F.when(~geo.valid_gps(c("lon"), c("lat")), text).alias("error"))
+    return view(spark, d, "gps_point_raw").select("point_id", geo.gps_error(c("lon"), c("lat")).alias("error"))
 
 
 @query("f02_filter_region_nonempty", sql("gps_point_raw", """, regions AS (SELECT a.point_id, a.lon AS lon0, a.lat AS lat0, b.lon AS lon1, b.lat AS lat1 FROM gps_point_raw a JOIN gps_point_raw b ON b.point_id = a.point_id + 1)
 SELECT point_id, lon0, lat0, lon1, lat1 FROM regions WHERE abs(lon0) <= 180 AND abs(lat0) <= 90 AND abs(lon1) <= 180 AND abs(lat1) <= 90"""))
 def filter_region(spark, d):
-    """Regions made of neighbouring points; only invalid corners reject one, however small its extent is."""
+    """Regions made of neighbouring points."""
+    return geo.filter_region_nonempty(_regions(spark, d))
+
+
+def _regions(spark, d):
     p = view(spark, d, "gps_point_raw")
     nxt = p.select((c("point_id") - 1).alias("point_id"), c("lon").alias("lon1"), c("lat").alias("lat1"))
-    box = p.select("point_id", c("lon").alias("lon0"), c("lat").alias("lat0")).join(nxt, "point_id")
-    return box.where(geo.valid_gps(c("lon0"), c("lat0")) & geo.valid_gps(c("lon1"), c("lat1")))
+    return p.select("point_id", c("lon").alias("lon0"), c("lat").alias("lat0")).join(nxt, "point_id")
+
+
+_ERROR = "CASE WHEN NOT (abs(lon{k}) <= 180 AND abs(lat{k}) <= 90) THEN 'lon: ' || CAST(CAST(lon{k} AS BIGINT) AS VARCHAR) || '; lat: ' || CAST(CAST(lat{k} AS BIGINT) AS VARCHAR) END"
+
+
+@query("f02_region_errors", sql("gps_point_raw", f""", regions AS (SELECT a.point_id, a.lon AS lon0, a.lat AS lat0, b.lon AS lon1, b.lat AS lat1 FROM gps_point_raw a JOIN gps_point_raw b ON b.point_id = a.point_id + 1), e AS (SELECT point_id, {_ERROR.format(k=0)} AS a, {_ERROR.format(k=1)} AS b FROM regions)
+SELECT point_id, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN a || '<==>' || b ELSE coalesce(a, b) END AS error FROM e"""))
+def region_errors(spark, d):
+    """What is wrong with one or both corners."""
+    return _regions(spark, d).select("point_id", geo.region_error(c("lon0"), c("lat0"), c("lon1"), c("lat1")).alias("error"))
 
 
 @query("g01_lla_to_ecef", geo_sql("SELECT point_id, round(x,3)+0.0 AS x, round(y,3)+0.0 AS y, round(z,3)+0.0 AS z FROM ecef"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
@@ -266,6 +267,23 @@ def pack_capture(records: DataFrame) -> DataFrame:
     return body.select("path", F.concat(joined, F.unhex(F.lit("00000000000000F0"))).alias("content"))
 
 
+def write_captures(captures: DataFrame, directory: str) -> DataFrame:
+    """Files (path, content) to ``directory``, which all tasks see, one each; returns the addresses. A task that is run again writes the same file again."""
+    from pyarrow.fs import FileSystem
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = FileSystem.from_uri(directory)
+        for batch in batches:
+            names = [f"{root}/{quote(path, safe='')}" for path in batch["path"]]
+            for name, content in zip(names, batch["content"]):
+                with store.open_output_stream(name) as f:
+                    f.write(content)
+            yield pd.DataFrame({"path": names})
+
+    FileSystem.from_uri(directory)[0].create_dir(FileSystem.from_uri(directory)[1], recursive=True)
+    return captures.select("path", "content").mapInPandas(write, "path string")
+
+
 def explode_vertex_stream_blocks(data: DataFrame) -> DataFrame:
     """Sub-blocks (reference tag, size, bytes) of vertex-stream records: file, seq, block_no, ref_tag, data."""
 
