@@ -23,8 +23,10 @@
    of them in more than MAX_DF of the passages) is compared by all its words with
    stretches little longer than itself, and in whole if it is short.
 
-The driver holds the benchmark's words and a group's matrices, about 40 MB for
-GROUP blocks of PARTS parts; a larger benchmark takes more groups.
+The driver and the tasks hold a slice of the benchmark, SLICE bytes of its text, and a
+group's matrices, about 40 MB for GROUP blocks of PARTS parts. A larger benchmark takes
+more groups, and more slices, each of which codes the documents anew: an item's weights
+and candidates don't depend on other items, so the parts' hits are all there are.
 """
 
 from __future__ import annotations
@@ -50,6 +52,8 @@ STOCK = 0.5
 #: Share of an item's words in the common subsequence; the lower one needs ANSWER of the last ANSWER_WORDS words.
 LCS, LCS_LOW, ANSWER, ANSWER_WORDS = 0.6, 0.45, 0.8, 8
 TOKENS = 60_000  # worked on at a time
+#: Bytes of the benchmark's text that the driver holds at a time.
+SLICE = 8 << 20
 
 
 @dataclass
@@ -485,19 +489,38 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     either side gives an empty result; further columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.col(item_text).alias("text")).where("item is not null").orderBy("item", "text").collect()
-    bench = read_benchmark(rows, "item", "text")
-    if not len(bench.terms):
-        return docs.sparkSession.createDataFrame([], HIT)
+    items = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.col(item_text).alias("text")).where("item is not null")
     with job(docs.sparkSession):
-        coded = materialize(texts.mapInArrow(encode(bench.terms), "doc_id bigint, terms binary"), "coded")
-        weights = weigh(coded, bench)
-        blocks, found = blocks_of(bench, weights), None
-        for k in range(0, len(blocks), GROUP):
-            group = blocks[k : k + GROUP]
-            hits = coded.mapInArrow(search(bench, weights, group, latent_spaces(coded, group)), HIT)
-            found = hits if found is None else found.unionByName(hits)
-        return result(found, "hits")
+        found = None
+        for rows in slices(items):
+            bench = read_benchmark(rows, "item", "text")
+            if len(bench.terms):
+                hits = materialize(_contaminated(texts, bench), "hits")
+                found = hits if found is None else found.unionByName(hits)
+        return docs.sparkSession.createDataFrame([], HIT) if found is None else result(found, "hits")
+
+
+def slices(items: DataFrame) -> Iterator[list]:
+    """The items in parts of about SLICE bytes of text, which the driver and the tasks hold one at a time."""
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-total // SLICE)
+    if n <= 1:
+        yield items.orderBy("item", "text").collect()
+        return
+    dealt = materialize(items.withColumn("slice", F.pmod(F.xxhash64("item", "text"), F.lit(n))), "benchmark")
+    for k in range(n):
+        yield dealt.where(F.col("slice") == k).select("item", "text").orderBy("item", "text").collect()
+
+
+def _contaminated(texts: DataFrame, bench: Benchmark) -> DataFrame:
+    coded = materialize(texts.mapInArrow(encode(bench.terms), "doc_id bigint, terms binary"), "coded")
+    weights = weigh(coded, bench)
+    blocks, found = blocks_of(bench, weights), None
+    for k in range(0, len(blocks), GROUP):
+        group = blocks[k : k + GROUP]
+        hits = coded.mapInArrow(search(bench, weights, group, latent_spaces(coded, group)), HIT)
+        found = hits if found is None else found.unionByName(hits)
+    return found
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoloom.storage import job, materialize, result
+
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds that only the method finds.
 OWN_KINDS = ("account", "secret", "phone_plain", "iban", "national_id", "person", "address")
@@ -218,16 +220,24 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     return out
 
 
-def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of (votes, features) over the base spans and candidates of each batch."""
+SPANS = "array<struct<kind:int,start:bigint,end:bigint,base:boolean,votes:array<int>,features:array<int>>>"
+
+
+def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Base spans and candidates of each text, in this order, with the labelers' votes and the features."""
+    ints = pa.list_(pa.int32())
     for batch in batches:
-        held: Counter[tuple] = Counter()
+        rows, sizes = [], []
         for text in batch["text"].to_pylist():
-            if text:
-                base = base_spans(text)
-                for kind, a, b in base + candidates(text, base):
-                    held[votes(kind, text, a, b), features(kind, text, a, b)] += 1
-        yield pa.RecordBatch.from_pydict({"votes": pa.array([list(k[0]) for k in held], pa.list_(pa.int32())), "features": pa.array([list(k[1]) for k in held], pa.list_(pa.int32())), "n": pa.array(list(held.values()), pa.int64())})
+            base = base_spans(text) if text else []
+            own = [*base, *candidates(text, base)] if text else []
+            sizes.append(len(own))
+            rows += [(ALL_KINDS.index(k), a, b, n < len(base), votes(k, text, a, b), features(k, text, a, b)) for n, (k, a, b) in enumerate(own)]
+        columns = list(zip(*rows)) if rows else [()] * 6
+        fields = [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), ints, ints))]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        spans = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, ["kind", "start", "end", "base", "votes", "features"]))
+        yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), spans], ["doc_id", "spans"])
 
 
 #: Candidates that the estimate over all kinds counts for in the estimate of one.
@@ -258,9 +268,9 @@ def expand(f: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.stack([*cols, np.ones(len(f))], axis=1)
 
 
-def train(docs: DataFrame) -> tuple[np.ndarray, dict[str, list[np.ndarray]]]:
-    """Weights of the span classifier, and by kind the labelers' chances of their votes given true and false, from all spans of ``docs`` (text)."""
-    rows = docs.mapInArrow(patterns, "votes array<int>, features array<int>, n bigint").groupBy("votes", "features").agg(F.sum("n").alias("n")).collect()
+def train(scanned: DataFrame) -> tuple[np.ndarray, dict[str, list[np.ndarray]]]:
+    """Weights of the span classifier, and by kind the labelers' chances of their votes given true and false, from all spans of ``scanned``."""
+    rows = scanned.select(F.inline("spans")).groupBy("votes", "features").agg(F.count("*").alias("n")).collect()  # as many as patterns are possible
     if not rows:
         return np.zeros(0), {}
     rows.sort(key=lambda r: (r["votes"], r["features"]))
@@ -282,22 +292,21 @@ def train(docs: DataFrame) -> tuple[np.ndarray, dict[str, list[np.ndarray]]]:
     return w, of_kind
 
 
-def finder(w: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def judge(w: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Base spans as they are, and the candidates that the classifier accepts."""
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base_out, own_out = [], []
-            for text in batch["text"].to_pylist():
-                base = base_spans(text) if text else []
-                own = candidates(text, base) if text and len(w) else []
-                p: list[float] = []
-                if own:
-                    x = expand(np.array([features(k, text, a, b) for k, a, b in own]), np.array([votes(k, text, a, b) for k, a, b in own]))
-                    p = (1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))).tolist()
-                base_out.append([{"kind": k, "start": a, "end": b, "p": 1.0} for k, a, b in base])
-                own_out.append([{"kind": k, "start": a, "end": b, "p": q} for (k, a, b), q in zip(own, p) if q >= 0.5])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(base_out, span_type), pa.array(own_out, span_type)], names=["doc_id", "base", "added"])
+            found = batch["spans"].to_pylist()
+            own = [s for spans in found for s in spans if not s["base"]]
+            if own:
+                x = expand(np.array([s["features"] for s in own]), np.array([s["votes"] for s in own]))
+                for s, q in zip(own, (1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))).tolist()):
+                    s["p"] = q
+            named = [[{"kind": ALL_KINDS[s["kind"]], "start": s["start"], "end": s["end"], "p": s.get("p", 1.0), "base": s["base"]} for s in spans] for spans in found]
+            base, added = ([[s for s in spans if s["base"] == is_base and s["p"] >= 0.5] for spans in named] for is_base in (True, False))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(base, span_type), pa.array(added, span_type)], names=["doc_id", "base", "added"])
 
     return run
 
@@ -306,14 +315,15 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row per document: doc_id, base (spans of the base kinds), added (spans the classifier accepts).
 
     Spans count code points, end exclusive. Null text is empty and has no span.
-    Texts of any length are searched whole. Repeated rows get a result each, and
-    count as often in training; an empty table gives an empty result; further columns
-    are ignored.
+    Texts of any length are searched whole, once: spans are written with their votes,
+    counted, and judged. Repeated rows get a result each, and count as often in
+    training; an empty table gives an empty result; further columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    w, _ = train(texts.select("text"))
-    kind = "array<struct<kind:string,start:bigint,end:bigint,p:double>>"
-    return texts.mapInArrow(finder(w), f"doc_id bigint, base {kind}, added {kind}")
+    with job(docs.sparkSession):
+        scanned = materialize(texts.mapInArrow(scan, f"doc_id bigint, spans {SPANS}"), "spans")
+        kind = "array<struct<kind:string,start:bigint,end:bigint,p:double>>"
+        return result(scanned.mapInArrow(judge(train(scanned)[0]), f"doc_id bigint, base {kind}, added {kind}"), "pii")
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

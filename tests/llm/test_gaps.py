@@ -125,3 +125,23 @@ def test_spun_text_is_linked_whole(spark):
                 parent[y] = x
     got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {k: find(k) for k, _ in rows}
+
+
+def test_a_benchmark_in_slices_gives_the_same_hits(spark, monkeypatch):
+    from geoloom.llm import decontaminate
+
+    rng = random.Random(3)
+    names = [f"term{k}" for k in range(3000)]
+    items = [(k, " ".join(rng.sample(names, rng.randrange(8, 60)))) for k in range(60)] + [(60, None), (61, ""), (None, "no number")]
+    docs = []
+    for k in range(150):
+        text = rng.choices(names, k=rng.randrange(20, 200))
+        if k % 3 == 0:
+            text[10:10] = items[k % 60][1].split()
+        docs.append((k, " ".join(text)))
+    frames = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), spark.createDataFrame(items, "item_id bigint, text string")
+    hits = lambda: sorted((r["doc_id"], r["item_id"], r["lcs"], r["answer"]) for r in decontaminate.contaminated(*frames).collect())
+    whole = hits()
+    assert {(d, q) for d, q, *_ in whole} >= {(k, k % 60) for k in range(0, 150, 3)}
+    monkeypatch.setattr(decontaminate, "SLICE", 6000)
+    assert hits() == whole
