@@ -67,17 +67,18 @@ def mesh_numbers(meshes: DataFrame, stem: Column) -> DataFrame:
     All meshes are numbered in one order, by ranges; a mesh's number in its group is
     what it is beyond the group's first, and a group's in its batch likewise. So no
     task holds a whole batch or group. Meshes of one group with one identifier may take
-    either number.
+    either number. Null keys are keys like others, ordered first.
     """
-    keys = ["batch_id", "group_id"]
     with job(meshes.sparkSession):
-        n = materialize(numbered(meshes.withColumn("_at", F.struct(*keys, "mesh_id")), "_at").withColumnRenamed("number", "_number").drop("_at"), "numbered")
-        groups = materialize(n.groupBy(*keys).agg(F.min("_number").alias("_first"), F.count("*").alias("n")), "groups")
-        ordered = materialize(numbered(groups.withColumn("_at", F.struct(*keys)), "_at"), "ordered")
-        batches = ordered.groupBy("batch_id").agg(F.min("number").alias("_start"), F.count("*").alias("n"))
-        placed = spread_join(ordered.drop("_at", "n"), batches.drop("n"), ["batch_id"], "group_id", AT_ONCE, counts=batches.select("batch_id", "n"))
-        placed = placed.select(*keys, "_first", (F.col("number") - F.col("_start")).alias("g"))
-        out = spread_join(n, placed, keys, "mesh_id", AT_ONCE, counts=groups.select(*keys, "n"))
+        # keys as structs, which are equal where both are null
+        n = meshes.withColumns({"_batch": F.struct("batch_id"), "_group": F.struct("batch_id", "group_id"), "_at": F.struct("batch_id", "group_id", "mesh_id")})
+        n = materialize(numbered(n, "_at").withColumnRenamed("number", "_number").drop("_at"), "numbered")
+        groups = materialize(n.groupBy("_batch", "_group").agg(F.min("_number").alias("_first"), F.count("*").alias("n")), "groups")
+        ordered = materialize(numbered(groups, "_group"), "ordered")
+        batches = ordered.groupBy("_batch").agg(F.min("number").alias("_start"), F.count("*").alias("n"))
+        placed = spread_join(ordered.drop("n"), batches.drop("n"), ["_batch"], "_group", AT_ONCE, counts=batches.select("_batch", "n"))
+        placed = placed.select("_group", "_first", (F.col("number") - F.col("_start")).alias("g"))
+        out = spread_join(n, placed, ["_group"], "mesh_id", AT_ONCE, counts=groups.select("_group", "n"))
         out = out.withColumn("m", F.col("_number") - F.col("_first")).select(*meshes.columns, "g", "m")
         out = out.withColumn("mesh_name", F.concat(stem, F.lit("_meshNode_"), "g", F.lit("_"), "m")).withColumn("material_name", F.concat(F.lit("material_"), "g", F.lit("_"), "m"))
         return result(out, "mesh-numbers")

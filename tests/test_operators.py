@@ -549,12 +549,12 @@ def test_flat_paths_are_not_draped(spark):
 def test_numbers_of_one_batch_and_group(spark, monkeypatch):
     """All meshes in one batch; the join with the group's first number is in pieces."""
     monkeypatch.setattr(mesh, "AT_ONCE", 100)
-    df = spark.range(1000).select(F.lit(1).alias("batch_id"), (F.col("id") % 3 * 10 - F.col("id") % 3).alias("group_id"), (1000 - F.col("id")).alias("mesh_id")).union(spark.createDataFrame([(2, 5, 1)], "batch_id int, group_id bigint, mesh_id bigint")).repartition(5)
+    df = spark.range(1000).select(F.lit(1).alias("batch_id"), (F.col("id") % 3 * 10 - F.col("id") % 3).alias("group_id"), (1000 - F.col("id")).alias("mesh_id")).union(spark.createDataFrame([(2, 5, 1), (None, None, 1), (None, None, 2), (2, None, 1)], "batch_id int, group_id bigint, mesh_id bigint")).repartition(5)
     rows = mesh.mesh_numbers(df, F.lit("s")).collect()
     groups = {}
     for r in rows:
         groups.setdefault((r["batch_id"], r["group_id"]), []).append(r)
-    assert len(rows) == 1001 and {k: {r["g"] for r in v} for k, v in groups.items()} == {(1, 0): {0}, (1, 9): {1}, (1, 18): {2}, (2, 5): {0}}
+    assert len(rows) == 1004 and {k: {r["g"] for r in v} for k, v in groups.items()} == {(1, 0): {0}, (1, 9): {1}, (1, 18): {2}, (2, 5): {1}, (2, None): {0}, (None, None): {0}}
     for own in groups.values():
         assert [r["m"] for r in sorted(own, key=lambda r: r["mesh_id"])] == list(range(len(own)))
     assert rows[0]["mesh_name"] == f"s_meshNode_{rows[0]['g']}_{rows[0]['m']}"
