@@ -185,9 +185,9 @@ TOGETHER = 1_000_000
 def dedup_meshes(meshes: DataFrame, pairs: DataFrame, together: int = TOGETHER) -> DataFrame:
     """Meshes that match no kept mesh of an earlier file, decided in file order.
 
-    The pairs fall into connected components, which don't know of each other. Each of
-    up to ``together`` pairs is decided by one task in one pass, whatever the length of
-    its chains, so the number of jobs is that of the components' rounds. Larger ones
+    Up to ``together`` pairs are decided by one task in one pass. More fall into connected
+    components, which don't know of each other. Each of up to ``together`` pairs is
+    decided by one task in one pass, whatever the length of its chains, so the number of jobs is that of the components' rounds. Larger ones
     are decided in rounds over the pair table: a mesh without a kept or undecided
     earlier match is kept, one with a kept earlier match is dropped; each round is
     written, and decides at least the earliest undecided file.
@@ -196,6 +196,9 @@ def dedup_meshes(meshes: DataFrame, pairs: DataFrame, together: int = TOGETHER)
         return result(meshes.join(_dropped_meshes(pairs, together), "mesh_id", "left_anti"), "deduped")
 
 
+PAIR = pa.schema([("mesh_id", pa.int64()), ("earlier_id", pa.int64())])
+
+
 def greedy(group: pa.Table) -> pa.Table:
     """The meshes of a component that are dropped. A mesh is decided once its earlier matches are."""
     later, waiting = {}, {}
@@ -218,6 +221,8 @@ def greedy(group: pa.Table) -> pa.Table:
 
 def _dropped_meshes(pairs: DataFrame, together: int) -> DataFrame:
     pairs = materialize(pairs.select(F.col("mesh_id").cast("bigint"), F.col("earlier_id").cast("bigint")).distinct(), "pairs")
+    if pairs.count() <= together:  # as few as one component may have: all in one pass
+        return pairs.coalesce(1).mapInArrow(lambda batches: greedy(pa.Table.from_batches(batches, schema=PAIR)).to_batches(), "mesh_id bigint")
     groups = components(pairs.select(F.col("earlier_id").alias("a"), F.col("mesh_id").alias("b")))
     placed = materialize(pairs.join(groups.withColumnRenamed("node", "mesh_id"), "mesh_id"), "placed")
     large = materialize(placed.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > together).select("component"), "large")

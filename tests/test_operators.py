@@ -324,7 +324,8 @@ def test_dedup_of_long_chains_takes_as_many_jobs_as_of_short_ones(spark):
     chain = lambda n: (spark.range(n).select(F.col("id").alias("mesh_id"), F.col("id").alias("file_no")), spark.range(1, n).select(F.col("id").alias("mesh_id"), (F.col("id") - 1).alias("earlier_id")))
     m, p = chain(2000)
     assert {r["mesh_id"] for r in boxes.dedup_meshes(m, p).collect()} == set(range(0, 2000, 2))
-    long, short = (jobs_of(spark, lambda: boxes.dedup_meshes(*chain(n))) for n in (2000, 40))
+    both = lambda n: tuple(x.union(y) for x, y in zip(chain(n), (f.select(*[(F.col(c) + 10_000).alias(c) for c in f.columns]) for f in chain(n))))
+    long, short = (jobs_of(spark, lambda: boxes.dedup_meshes(*both(n), together=n)) for n in (2000, 40))  # two components
     assert long <= short + 40  # rounds of the components; rounds by depth would be a thousand times four
 
 
