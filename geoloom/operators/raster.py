@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geoloom.operators.boxes import bbox, prune_candidates
+from geoloom.operators.links import shuffled
 from geoloom.storage import job, materialize, result, running_sums
 
 STEPS = 33  # of a height block
@@ -248,6 +249,28 @@ def grid_triangles(grids: DataFrame) -> DataFrame:
     return g.withColumn("t", F.explode(F.array(tri(0, F.col("a"), b, d), tri(1, F.col("a"), d, c)))).select(*grids.columns, "y", "x", "t.*")
 
 
+def grid_surface(samples: DataFrame, headers: DataFrame) -> DataFrame:
+    """Triangles (a, b, d) and (a, d, c), ``half`` 0 and 1, of the cells (y, x) of rasters, with corners x0, y0, z0 .. x2, y2, z2; those with a pixel that isn't there are left out.
+
+    A pixel is handed to the four cells that it is a corner of, so the cells come from
+    one grouping, and pixels aren't joined with their neighbours.
+    """
+    keys = band_keys(samples, headers)
+    corner = [F.struct(F.lit(k).alias("corner"), (F.col("row") - k // 2).alias("y"), (F.col("col") - k % 2).alias("x")) for k in range(4)]  # a, b, c, d
+    placed = samples.select(*keys, "h", F.explode(F.array(*corner)).alias("p")).select(*keys, "h", "p.*")
+    cells = placed.groupBy(*keys, "y", "x").agg(*[F.max(F.when(F.col("corner") == k, F.col("h"))).alias(f"h{k}") for k in range(4)], F.bit_or(F.expr("shiftleft(1, corner)")).alias("there"))
+    halves = F.array(*[F.when(F.col("there").bitwiseAND(m) == m, F.lit(k)) for k, m in enumerate((0b1011, 0b1101))])
+    t = cells.withColumn("half", F.explode(F.array_compact(halves))).join(headers.select(*keys, "ul_x", "ul_y", "pixel"), keys)
+    first = F.col("half") == 0
+    x, y = lambda right: F.col("ul_x") + (F.col("x") + right) * F.col("pixel"), lambda down: F.col("ul_y") - (F.col("y") + down) * F.col("pixel")
+    at = {
+        "x0": x(0), "y0": y(0), "z0": F.col("h0"),
+        "x1": x(1), "y1": F.when(first, y(0)).otherwise(y(1)), "z1": F.when(first, F.col("h1")).otherwise(F.col("h3")),
+        "x2": F.when(first, x(1)).otherwise(x(0)), "y2": y(1), "z2": F.when(first, F.col("h3")).otherwise(F.col("h2")),
+    }
+    return t.select(*keys, "y", "x", "half", *[c.alias(n) for n, c in at.items()])
+
+
 def grid_quads(grids: DataFrame) -> DataFrame:
     """(a, b, d, c) a cell."""
     g = _grid(grids, F.col("nx") - 1, F.col("ny") - 1).withColumn("a", F.col("y") * F.col("nx") + F.col("x"))
@@ -445,7 +468,8 @@ def ray_hits(points: DataFrame, triangles: DataFrame, cell: float, levels: int =
     cells, ``cell`` times a power of two, are as large as its box, and so in four
     cells at most; points look into one cell a level that occurs. Triangles larger
     than the last level's cells take more cells there. Bounds are inclusive,
-    flat-on-edge triangles (|a| < 1e-30) never hit.
+    flat-on-edge triangles (|a| < 1e-30) never hit. Points outside the triangles' box,
+    and triangles outside the points', are left out first.
     """
     low = {a: F.least(*[f"{a}{k}" for k in range(3)]) for a in "xy"}
     high = {a: F.greatest(*[f"{a}{k}" for k in range(3)]) for a in "xy"}
@@ -454,9 +478,17 @@ def ray_hits(points: DataFrame, triangles: DataFrame, cell: float, levels: int =
     tri = triangles.withColumn("_level", level)
     width = F.lit(cell) * F.pow(F.lit(2.0), F.col("_level"))
     span = lambda a: F.explode(F.sequence(F.floor(low[a] / width), F.floor(high[a] / width)))
-    used = tri.agg(F.collect_set("_level")).scalar()
+    place = {"x": F.col("lon"), "y": F.col("lat")}
+    about = lambda lows, highs: [f(c[a]).alias(f"{n}_{a}") for a in "xy" for n, f, c in (("min", F.min, lows), ("max", F.max, highs))]
+    of_points = points.agg(F.struct(*about(place, place))).scalar()
+    of_triangles = tri.agg(F.struct(F.collect_set("_level").alias("levels"), *about(low, high))).scalar()
+    for a in "xy":
+        tri = tri.where((high[a] >= of_points[f"min_{a}"]) & (low[a] <= of_points[f"max_{a}"]))
     tri = tri.withColumn("_cell_x", span("x")).withColumn("_cell_y", span("y"))
-    pts = points.withColumn("_level", F.explode(used)).withColumns({"_cell_x": F.floor(F.col("lon") / width), "_cell_y": F.floor(F.col("lat") / width)})
+    some = points
+    for a in "xy":
+        some = some.where(place[a].between(of_triangles[f"min_{a}"], of_triangles[f"max_{a}"]))
+    pts = some.withColumn("_level", F.explode(of_triangles["levels"])).withColumns({"_cell_x": F.floor(F.col("lon") / width), "_cell_y": F.floor(F.col("lat") / width)})
     e1, e2 = ([F.col(f"{a}{k}") - F.col(f"{a}0") for a in "xyz"] for k in (1, 2))
     a = e1[1] * e2[0] - e1[0] * e2[1]
     s = [F.col("lon") - F.col("x0"), F.col("lat") - F.col("y0"), F.col("alt") - F.col("z0")]
@@ -465,7 +497,7 @@ def ray_hits(points: DataFrame, triangles: DataFrame, cell: float, levels: int =
     q = [s[1] * e1[2] - s[2] * e1[1], s[2] * e1[0] - s[0] * e1[2], s[0] * e1[1] - s[1] * e1[0]]
     v = f * q[2]
     t = f * (e2[0] * q[0] + e2[1] * q[1] + e2[2] * q[2])
-    hit = pts.join(tri, ["_level", "_cell_x", "_cell_y"]).where((u >= 0) & (u <= 1) & (v >= 0) & (u + v <= 1))
+    hit = pts.join(shuffled(tri), ["_level", "_cell_x", "_cell_y"]).where((u >= 0) & (u <= 1) & (v >= 0) & (u + v <= 1))
     return hit.withColumn("t", t).drop("_level", "_cell_x", "_cell_y")
 
 

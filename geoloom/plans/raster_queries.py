@@ -312,12 +312,7 @@ def w10b(spark, d):
 def surface(spark, d) -> DataFrame:
     """Triangles of the rasters' grids with their corners."""
     s = samples(spark, d)
-    hd = headers(s)
-    xyz = s.join(hd, "map_id").select("map_id", (F.col("row") * F.col("nx") + F.col("col")).alias("v"), (F.col("ul_x") + F.col("col") * F.col("pixel")).alias("x"), (F.col("ul_y") - F.col("row") * F.col("pixel")).alias("y"), F.col("h").alias("z"))
-    t = raster.grid_triangles(hd).select("map_id", "v0", "v1", "v2")
-    for k in range(3):
-        t = t.join(xyz.withColumnsRenamed({"v": f"v{k}", "x": f"x{k}", "y": f"y{k}", "z": f"z{k}"}), ["map_id", f"v{k}"])
-    return t
+    return raster.grid_surface(s, headers(s))
 
 
 @query("j05_drape_points", sql("gps_point raster_sample", f"""{HEAD}, g AS (SELECT map_id, "row" AS y, col AS x, ul_x+col*pixel AS px, ul_y-"row"*pixel AS py, h FROM raster_sample JOIN hd USING (map_id)),
@@ -349,8 +344,7 @@ def j05p(spark, d):
 
 def surface_numbers(spark, d) -> DataFrame:
     """Triangles with a number: map, then cell, then half."""
-    t = surface(spark, d)
-    return t.withColumn("triangle", (F.col("map_id") * 4096 + F.least("v0", "v1", "v2")) * 2 + (F.col("v2") - F.col("v0") == 64).cast("bigint"))
+    return surface(spark, d).withColumn("triangle", (F.col("map_id") * 4096 + F.col("y") * 64 + F.col("x")) * 2 + F.col("half"))
 
 
 @query("o01_topmost_hit", SQL["j05_drape_points"].split("tri AS (")[0] + """tri AS (SELECT (a.map_id*4096+a.y*64+a.x)*2 AS triangle, a.px AS x0, a.py AS y0, a.h AS z0, b.px AS x1, b.py AS y1, b.h AS z1, d.px AS x2, d.py AS y2, d.h AS z2 FROM g a JOIN g b ON b.map_id=a.map_id AND b.y=a.y AND b.x=a.x+1 JOIN g d ON d.map_id=a.map_id AND d.y=a.y+1 AND d.x=a.x+1

@@ -1,0 +1,42 @@
+"""Joins that would hand exploded tables to every task, and work that would grow with pairs."""
+
+import contextlib
+import io
+
+from pyspark.sql import functions as F
+
+from geoloom.operators import raster
+
+
+def plan(df):
+    """The plan as it is before it runs."""
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain()
+    return out.getvalue()
+
+
+def test_rays_dont_broadcast_triangles(spark):
+    """Both sides are small here, so the planner would, as it would with any that are exploded."""
+    t = spark.createDataFrame([(1, *[0.0] * 9)], "triangle int, " + ", ".join(f"{a}{k} double" for k in range(3) for a in "xyz"))
+    p = spark.createDataFrame([(1, 0.0, 0.0, 0.0)], "point_id int, lon double, lat double, alt double")
+    assert "SortMergeJoin" in plan(raster.ray_hits(p, t, 0.3)) and "BroadcastHashJoin" not in plan(raster.ray_hits(p, t, 0.3))
+
+
+def test_surface_with_holes(spark):
+    """A triangle needs its three pixels; a null height is there, a pixel left out isn't."""
+    s = spark.createDataFrame([(0, 0, c, float(c)) for c in range(3)] + [(0, 1, 0, 10.0), (0, 1, 1, None)], "map_id bigint, row bigint, col bigint, h double")
+    head = spark.createDataFrame([(0, 100.0, 50.0, 0.5, 3, 2)], "map_id bigint, ul_x double, ul_y double, pixel double, nx int, ny int")
+    got = sorted((r["y"], r["x"], r["half"], r["x0"], r["y0"], r["z0"], r["x1"], r["y1"], r["z1"], r["x2"], r["y2"], r["z2"]) for r in raster.grid_surface(s, head).collect())
+    assert got == [(0, 0, 0, 100.0, 50.0, 0.0, 100.5, 50.0, 1.0, 100.5, 49.5, None), (0, 0, 1, 100.0, 50.0, 0.0, 100.5, 49.5, None, 100.0, 49.5, 10.0)]
+
+
+def test_rays_at_the_edges_of_the_boxes(spark):
+    """Points on the corners of the triangles' common box hit; those beyond it, and triangles away from all points, don't matter."""
+    tri = [(1, 0.0, 0.0, 1.0, 1.0, 0.0, 1.0, 0.0, 1.0, 1.0), (2, 50.0, 50.0, 2.0, 51.0, 50.0, 2.0, 50.0, 51.0, 2.0)]
+    t = spark.createDataFrame(tri, "triangle int, " + ", ".join(f"{a}{k} double" for k in range(3) for a in "xyz"))
+    p = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 1.0, 0.0, 0.0), (3, 0.0, 1.0, 0.0), (4, -9.0, 0.0, 0.0)], "point_id int, lon double, lat double, alt double")
+    assert {(r["point_id"], r["triangle"]) for r in raster.ray_hits(p, t, 0.3).collect()} == {(1, 1), (2, 1), (3, 1)}
+    assert raster.ray_hits(p.where(F.col("point_id") == 4), t, 0.3).count() == 0
+    assert raster.ray_hits(p.where("false"), t, 0.3).count() == 0
+    assert raster.ray_hits(p, t.where("false"), 0.3).count() == 0
