@@ -95,14 +95,19 @@ def dxt1_encode(pixels: DataFrame) -> DataFrame:
     The ends are the corners of the colour box, inset by a sixteenth, in 5:6:5 with
     the high bits repeated below. A pixel takes one of the two colours between them
     if it is nearer than both ends (sum of absolute differences), else an end.
+    Pixels of 8 bits a channel are folded to a row a block, which is shuffled once and
+    unfolded in its place, so none is joined with its block's ends. A block may lack pixels, and a pixel that lacks a channel has no code.
     """
     inset = lambda c: F.expr(f"(max({c}) - min({c})) div 16")
-    ends = pixels.groupBy("block_id").agg(*[(F.max(c) - inset(c)).alias(f"hi_{c}") for c in "rgb"], *[(F.min(c) + inset(c)).alias(f"lo_{c}") for c in "rgb"])
+    colour = F.expr("(r << 16) | (g << 8) | b").cast("int")
+    ends = pixels.where("block_id is not null").groupBy("block_id").agg(*[(F.max(c) - inset(c)).alias(f"hi_{c}") for c in "rgb"], *[(F.min(c) + inset(c)).alias(f"lo_{c}") for c in "rgb"], *[F.max(F.when(F.col("pixel") == k, colour)).alias(f"p{k}") for k in range(16)])
     pack = lambda p: F.expr(f"(({p}_r div 8) << 11) | (({p}_g div 4) << 5) | ({p}_b div 8)")
     repeat = lambda c, low: F.col(c).bitwiseAND(0xFF - low).bitwiseOR(F.shiftright(c, 6 if low == 3 else 5)).cast("bigint")
     colours = ends.withColumns({"c0": pack("hi"), "c1": pack("lo")} | {f"{n}{k}": repeat(f"{e}_{c}", 3 if c == "g" else 7) for n, e in (("a", "hi"), ("b", "lo")) for k, c in enumerate("rgb")})
-    j = pixels.join(colours.select("block_id", "c0", "c1", *[f"{e}{k}" for e in "ab" for k in range(3)]), "block_id")
     tables = [[F.col(f"a{k}") for k in range(3)], [F.col(f"b{k}") for k in range(3)], [F.expr(f"(2 * a{k} + b{k}) div 3") for k in range(3)], [F.expr(f"(a{k} + 2 * b{k}) div 3") for k in range(3)]]
+    each = F.posexplode(F.array(*[f"p{k}" for k in range(16)])).alias("pixel", "packed")
+    j = colours.select("block_id", "c0", "c1", *[f"{e}{k}" for e in "ab" for k in range(3)], each)
+    j = j.withColumns({c: F.shiftright("packed", s).bitwiseAND(0xFF) for c, s in (("r", 16), ("g", 8), ("b", 0))})
     j = j.withColumns({f"d{n}": sum((F.abs(F.col(c) - t[k]) for k, c in enumerate("rgb")), F.lit(0)) for n, t in enumerate(tables)})
     between = F.expr("(d2 < d0 and d2 < d1) or (d3 < d0 and d3 < d1)")
     far = F.expr("d3 < d0 and d3 < d2")
