@@ -6,7 +6,7 @@ import io
 from pyspark.sql import functions as F
 
 from geoloom.functions import text
-from geoloom.operators import capture, raster
+from geoloom.operators import boxes, capture, lookup, raster
 
 
 def plan(df):
@@ -76,3 +76,31 @@ def test_names_of_unknown_tags_are_listed_once(spark, monkeypatch):
     out = capture.unknown_tag_candidates(calls, fn, ",")
     assert sorted((r["dump_id"], r["tag"], r["words"], r["names"]) for r in out.collect()) == [(d, t, 2 + t % 3, names[2 + t % 3]) for d in range(4) for t in (0, 3, 4)]
     assert "collect_list" not in plan(out)
+
+
+def test_selection_joins_each_pixel_once(spark, sf, tmp_path):
+    """A hundred times the points, on the same pixels, bring no more hits to the quads; the actions still count each."""
+    q = spark.createDataFrame([(1, True), (2, False), (3, True)], "quad_id bigint, initial boolean")
+    corners = spark.createDataFrame([(k, *map(float, (10 * k, 0, 10 * k + 8, 0, 10 * k + 8, 8, 10 * k, 8))) for k in (1, 2, 3)], "quad_id bigint, " + ", ".join(f"{a}{k} double" for k in range(4) for a in "xy"))
+    p = spark.createDataFrame([(12, 3, "click")] * 101 + [(22, 3, "set"), (22, 3, "click"), (22, 3, "click"), (33, 3, "remove")], "px int, py int, action string")
+    folded = lookup.points_in_quads(lookup.fold_actions(p, ["px", "py"]), corners, 4.0)
+    assert folded.count() == 3
+    got = {r["quad_id"]: r["selected"] for r in lookup.patch_selection(q, folded).collect()}
+    assert got == {1: False, 2: True, 3: False} == {r["quad_id"]: r["selected"] for r in lookup.patch_selection(q, lookup.points_in_quads(p, corners, 4.0)).collect()}
+
+
+def test_exploded_cells_arent_broadcast(spark):
+    b = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 1.0)], "k int, min_x double, min_y double, max_x double, max_y double")
+    corners = spark.createDataFrame([(1, *[0.0] * 8)], "quad_id bigint, " + ", ".join(f"{a}{k} double" for k in range(4) for a in "xy"))
+    for joined in (boxes.candidates(b.withColumnRenamed("k", "a"), b, 0.1), lookup.points_in_quads(spark.createDataFrame([(1, 1)], "px int, py int"), corners, 4.0)):
+        assert "SortMergeJoin" in plan(joined) and "BroadcastHashJoin" not in plan(joined)
+
+
+def test_small_boxes_meet_in_small_cells(spark):
+    """Boxes far below the cell that is asked for, all of them in one such cell, don't all meet."""
+    k = F.col("id")
+    b = spark.range(400).select(k.alias("k"), (k % 20 / 20).alias("min_x"), (F.floor(k / 20) / 20).alias("min_y"))
+    b = b.withColumns({"max_x": F.col("min_x") + 0.06, "max_y": F.col("min_y") + 0.06})
+    a = b.withColumnRenamed("k", "a")
+    assert boxes.candidates(a, b, 1.0).count() < 160_000 / 4
+    assert boxes.box_overlap_join(a, b, 1.0).count() == 58 * 58
