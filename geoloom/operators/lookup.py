@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.operators.links import shuffled
+
 # Statistics fields that metadata may hold, with their types
 KNOWN = {"STATISTICS_MINIMUM": "d", "STATISTICS_MAXIMUM": "d", "STATISTICS_MEAN": "d", "STATISTICS_MEDIAN": "d", "STATISTICS_MODE": "d", "STATISTICS_STDDEV": "d", "STATISTICS_HISTONUMBINS": "l", "STATISTICS_HISTOMIN": "d", "STATISTICS_HISTOMAX": "d", "LAYER_TYPE": "e"}
 LONGEST = 500
@@ -45,15 +47,16 @@ def metadata_route(entries: DataFrame) -> DataFrame:
 def points_in_quads(points: DataFrame, quads: DataFrame, cell: float, top: int = 60) -> DataFrame:
     """(point, quad) for points (px, py), taken at the pixel's centre, inside convex quads (x0, y0 .. x3, y3): the four cross products share one strict sign.
 
-    A quad lies in the cells, four at most, of the level whose cells, ``cell`` times a
-    power of two, are as large as it is; points look into one cell a level that occurs.
+    A quad lies in the cells, 25 at most, of the level whose cells are a quarter of
+    ``cell`` times a power of two that is as large as it is, so a point meets few quads
+    that it isn't near to; points look into one cell a level that occurs.
     """
     low = {a: F.least(*[f"{a}{k}" for k in range(4)]) for a in "xy"}
     high = {a: F.greatest(*[f"{a}{k}" for k in range(4)]) for a in "xy"}
     size = F.greatest(*[high[a] - low[a] for a in "xy"])
     level = F.greatest(F.lit(0), F.least(F.lit(top), F.ceil(F.log2(F.greatest(size, F.lit(cell)) / cell)))).cast("int")
     q = quads.withColumn("_level", level)
-    width = F.lit(cell) * F.pow(F.lit(2.0), F.col("_level"))
+    width = F.lit(cell / 4) * F.pow(F.lit(2.0), F.col("_level"))
     span = lambda a: F.explode(F.sequence(F.floor(low[a] / width), F.floor(high[a] / width)))
     used = q.agg(F.collect_set("_level")).scalar()
     q = q.withColumn("cell_x", span("x")).withColumn("cell_y", span("y"))
@@ -61,12 +64,19 @@ def points_in_quads(points: DataFrame, quads: DataFrame, cell: float, top: int =
     p = points.withColumn("_level", F.explode(used)).withColumn("cell_x", F.floor(x / width)).withColumn("cell_y", F.floor(y / width))
     cross = [(F.col(f"x{(k + 1) % 4}") - F.col(f"x{k}")) * (y - F.col(f"y{k}")) - (F.col(f"y{(k + 1) % 4}") - F.col(f"y{k}")) * (x - F.col(f"x{k}")) for k in range(4)]
     inside = (F.least(*cross) > 0) | (F.greatest(*cross) < 0)
-    return p.join(q, ["_level", "cell_x", "cell_y"]).where(inside).drop("_level", "cell_x", "cell_y", *[f"{a}{k}" for a in "xy" for k in range(4)])
+    return p.join(shuffled(q), ["_level", "cell_x", "cell_y"]).where(inside).drop("_level", "cell_x", "cell_y", *[f"{a}{k}" for a in "xy" for k in range(4)])
+
+
+def fold_actions(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key whether there is a set and a remove action, and the number of clicks (set, removed, clicks). Folded ones can be folded again."""
+    folded = "clicks" in hits.columns
+    set_, removed, clicks = (F.col(c) for c in ("set", "removed", "clicks")) if folded else (F.col("action") == "set", F.col("action") == "remove", (F.col("action") == "click").cast("bigint"))
+    return hits.groupBy(*keys).agg(F.bool_or(set_).alias("set"), F.bool_or(removed).alias("removed"), F.sum(clicks).alias("clicks"))
 
 
 def patch_selection(quads: DataFrame, hits: DataFrame) -> DataFrame:
-    """Selected or not per quad: ((initial or any set hit) and no remove hit), turned over if the click hits are odd."""
-    h = hits.groupBy("quad_id").agg(F.bool_or(F.col("action") == "set").alias("set"), F.bool_or(F.col("action") == "remove").alias("removed"), F.sum((F.col("action") == "click").cast("bigint")).alias("clicks"))
+    """Selected or not per quad: ((initial or any set hit) and no remove hit), turned over if the click hits are odd. Hits have an action, or are those of pixels whose actions are folded."""
+    h = fold_actions(hits, ["quad_id"])
     no = F.lit(False)
     out = quads.join(h, "quad_id", "left")
     base = (F.col("initial") | F.coalesce("set", no)) & ~F.coalesce("removed", no)

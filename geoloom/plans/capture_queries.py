@@ -676,20 +676,21 @@ def _quads(spark, d) -> DataFrame:
     return view(spark, d, "footprint_map").select(F.col("map_id").alias("quad_id"), *[v.alias(k) for k, v in c.items()])
 
 
-def _hits(spark, d) -> DataFrame:
-    p = view(spark, d, "gps_point").select("point_id", "path_id", F.floor((F.col("lon") + 122.5) * 1000).alias("px"), F.floor((F.col("lat") - 37) * 1000).alias("py"))
-    return lookup.points_in_quads(p, _quads(spark, d), 50.0)
+def _pixels(spark, d) -> DataFrame:
+    return view(spark, d, "gps_point").select("point_id", "path_id", F.floor((F.col("lon") + 122.5) * 1000).alias("px"), F.floor((F.col("lat") - 37) * 1000).alias("py"))
 
 
 def _selection(spark, d) -> DataFrame:
+    """Points of one pixel hit the same quads, so their actions are folded first."""
     m = F.col("path_id") % 40
-    h = _hits(spark, d).withColumn("action", F.when(m == 0, "set").when(m == 1, "remove").otherwise("click"))
+    p = _pixels(spark, d).withColumn("action", F.when(m == 0, "set").when(m == 1, "remove").otherwise("click"))
+    h = lookup.points_in_quads(lookup.fold_actions(p, ["px", "py"]), _quads(spark, d), 50.0)
     return lookup.patch_selection(_quads(spark, d).select("quad_id", (F.col("quad_id") % 2 == 0).alias("initial")), h)
 
 
 @query("j06_points_in_quads", sql("gps_point footprint_map", f"{_Q} SELECT point_id, quad_id FROM hits"))
 def j06(spark, d):
-    return _hits(spark, d).select("point_id", "quad_id")
+    return lookup.points_in_quads(_pixels(spark, d), _quads(spark, d), 50.0).select("point_id", "quad_id")
 
 
 @query("a10_patch_selection", sql("gps_point footprint_map", f"{_SEL} SELECT quad_id, selected FROM sel"))
