@@ -518,15 +518,16 @@ def drape_paths(points: DataFrame, triangles: DataFrame, levels: list[str], cell
     Triangles have the keys of ``levels``, from the batch to the mesh. Overlap is
     strict: a path along a meridian or a parallel, or of one point, has a box without
     an inside, and keeps its altitudes. Points and triangles that are in no pair are
-    left out before the rays are cast, the rest of the pairs decides on the hits.
+    left out before the rays are cast, the rest of the pairs decides on the hits. Boxes,
+    pairs and the triangles left are written, as they are asked for several times.
     """
     corners = [f"{a}{k}" for a in "xy" for k in range(3)]
     with job(points.sparkSession):
-        paths = bbox(points, ["path_id"], {"x": "lon", "y": "lat"})
-        meshes = triangles.groupBy(*levels).agg(*[f(g(*[c for c in corners if c[0] == a])).alias(f"{n}_{a}") for n, f, g in (("min", F.min, F.least), ("max", F.max, F.greatest)) for a in "xy"])
-        pairs = materialize(prune_candidates(paths, meshes, levels, cell), "pairs")
+        paths = materialize(bbox(points, ["path_id"], {"x": "lon", "y": "lat"}), "paths")
+        boxes = triangles.groupBy(*levels).agg(*[f(g(*[c for c in corners if c[0] == a])).alias(f"{n}_{a}") for n, f, g in (("min", F.min, F.least), ("max", F.max, F.greatest)) for a in "xy"])
+        pairs = materialize(prune_candidates(paths, materialize(boxes, "meshes"), levels, cell), "pairs")
         some_points = points.join(pairs.select("path_id").distinct(), "path_id", "left_semi")
-        some_triangles = triangles.join(pairs.select(*levels).distinct(), levels, "left_semi")
-        hits = ray_hits(some_points.select("path_id", "point_id", "lon", "lat", "alt"), some_triangles.select(*levels, *[f"{a}{k}" for a in "xyz" for k in range(3)]), cell)
-        best = hits.groupBy("path_id", "point_id", *levels).agg(F.max("t").alias("t")).join(pairs, ["path_id", *levels], "left_semi").groupBy("path_id", "point_id").agg(F.max("t").alias("t"))
+        some_triangles = triangles.join(pairs.select(*levels).distinct(), levels, "left_semi").select(*levels, *[f"{a}{k}" for a in "xyz" for k in range(3)])
+        hits = ray_hits(some_points.select("path_id", "point_id", "lon", "lat", "alt"), materialize(some_triangles, "triangles"), cell)
+        best = hits.groupBy("path_id", "point_id", *levels).agg(F.max("t").alias("t")).join(shuffled(pairs), ["path_id", *levels], "left_semi").groupBy("path_id", "point_id").agg(F.max("t").alias("t"))
         return result(points.join(best, ["path_id", "point_id"], "left").withColumn("draped", F.col("alt") + F.coalesce("t", F.lit(0.0))), "draped")

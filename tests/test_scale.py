@@ -104,3 +104,25 @@ def test_small_boxes_meet_in_small_cells(spark):
     a = b.withColumnRenamed("k", "a")
     assert boxes.candidates(a, b, 1.0).count() < 160_000 / 4
     assert boxes.box_overlap_join(a, b, 1.0).count() == 58 * 58
+
+
+def test_pairs_of_meshes_arent_joined_again(spark):
+    """Upper levels are cut first; nothing is joined with the pairs that come out last."""
+    m = spark.createDataFrame([(b, g, 10 * g + k, 10.0 * g + k, 0.0, 10.0 * g + k + 1.5, 1.0) for b in (0, 1) for g in (2 * b, 2 * b + 1) for k in range(3)], "batch_id int, group_id int, mesh_id int, min_x double, min_y double, max_x double, max_y double")
+    p = spark.createDataFrame([(1, 0.5, 0.5, 1.2, 2.0), (2, 5.0, 0.1, 9.0, 0.9), (3, 31.0, 0.2, 32.0, 0.3), (4, 90.0, 0.0, 95.0, 1.0), (5, 11.2, 1.0, 12.0, 2.0)], "path_id int, min_x double, min_y double, max_x double, max_y double")
+    out = boxes.prune_candidates(p, m, ["batch_id", "group_id", "mesh_id"], 1.0)
+    last = next(line for line in plan(out).splitlines() if "Join" in line)
+    assert "Inner" in last
+    assert sorted((r["path_id"], r["mesh_id"]) for r in out.collect()) == [(1, 0), (1, 1), (3, 30), (3, 31)]
+
+
+def test_draping_computes_triangles_once_for_the_rays(spark, monkeypatch):
+    """The rays ask for the triangles' box and levels, and for the triangles: those left are read from a step's table."""
+    seen = []
+    rays = raster.ray_hits
+    monkeypatch.setattr(raster, "ray_hits", lambda p, t, cell: seen.append(t.inputFiles()) or rays(p, t, cell))
+    t = spark.createDataFrame([(0, 0, 0, *map(float, (0, 0, 5, 4, 0, 5, 0, 4, 5)))], "batch_id int, group_id int, mesh_id int, " + ", ".join(f"{a}{k} double" for k in range(3) for a in "xyz"))
+    p = spark.createDataFrame([(1, 1, 0.5, 0.5, 1.0), (1, 2, 1.0, 1.5, 1.0)], "path_id int, point_id int, lon double, lat double, alt double")
+    out = raster.drape_paths(p, t, ["batch_id", "group_id", "mesh_id"], 0.5)
+    assert sorted((r["point_id"], r["draped"]) for r in out.collect()) == [(1, 5.0), (2, 5.0)]
+    assert seen and all("/triangles-" in f for f in seen[0]) and seen[0]
