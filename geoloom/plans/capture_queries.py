@@ -402,8 +402,8 @@ def s01(spark, d):
     """Paths written as KML files, and read back."""
     where = scratch(spark, "kml")
     files.write_kml(path_points(spark, d), where, mode=3)
-    p = files.read_kml_paths(spark, f"{where}/*")
-    return p.select(F.regexp_extract("file", "file=([^/]*)/", 1).alias("file"), "kind", "point_idx", "lon", "lat", "alt")
+    p = files.read_kml_paths(spark, where)
+    return p.select(F.regexp_extract("file", r"([^/]*)\.kml$", 1).alias("file"), "kind", "point_idx", "lon", "lat", "alt")
 
 
 @query("s07_write_kml", sql("gps_point", f"""{_PATHS}, c AS (SELECT file, path_id, kind, string_agg(printf('%d,%d,%d', CAST(floor(lon*1000) AS BIGINT), CAST(floor(lat*1000) AS BIGINT), CAST(floor(alt) AS BIGINT)), ' ' ORDER BY point_idx) AS c FROM pp GROUP BY ALL)
@@ -433,16 +433,16 @@ def s02(spark, d):
     short = F.format_string("<west>%s</west><east>%s</east><north>%s</north><south>%s</south>", F.col("min_lon") + F.col("size"), "min_lon", "min_lat", F.col("min_lat") + F.col("size"))
     t = m.select(F.col("map_id").cast("string").alias("file"), F.concat(F.when(F.col("map_id") % 2 == 0, long).otherwise(short), F.lit("<utmzone>"), 10 + F.col("map_id") % 3, F.lit("</utmzone>")).alias("text"))
     where = scratch(spark, "footprints")
-    t.repartition("file").write.partitionBy("file").text(where)
-    return files.read_footprints(spark, f"{where}/*").withColumn("file", F.regexp_extract("file", "file=([^/]*)/", 1))
+    files.write_texts(t, where, ".xml")
+    return files.read_footprints(spark, where).withColumn("file", F.regexp_extract("file", r"([^/]*)\.xml$", 1))
 
 
 @query("s03_read_world_files", sql("footprint_map", "SELECT CAST(map_id AS VARCHAR) AS file, size AS a, 0.25e0 AS b, min_lon AS c, -0.5e0 AS d, -size AS e, min_lat AS f FROM footprint_map"))
 def s03(spark, d):
     t = view(spark, d, "footprint_map").select(F.col("map_id").cast("string").alias("file"), F.concat_ws("\n", "size", F.lit(-0.5), F.lit(0.25), -F.col("size"), "min_lon", "min_lat").alias("text"))
     where = scratch(spark, "world")
-    t.repartition("file").write.partitionBy("file").text(where)
-    return files.read_world_files(spark, f"{where}/*").withColumn("file", F.regexp_extract("file", "file=([^/]*)/", 1))
+    files.write_texts(t, where, ".tfw")
+    return files.read_world_files(spark, where).withColumn("file", F.regexp_extract("file", r"([^/]*)\.tfw$", 1))
 
 
 _TAGN = "CASE tag WHEN 'matrix' THEN 268435456 WHEN 'bind_texture' THEN 268435457 WHEN 'enable' THEN 536870912 WHEN 'draw' THEN 268435458 ELSE 805306368 END"

@@ -8,6 +8,8 @@ from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +26,16 @@ def read_texts(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.text(glob, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
 
 
+def write_texts(texts: DataFrame, directory: str, ending: str) -> None:
+    """Texts (file, text) to a new ``directory``, which all tasks see, a file each by its name and ``ending``.
+
+    Tasks write the files where they stay: no folder a file, nothing is moved or counted
+    by the driver, and a task that is run again writes the same file again.
+    """
+    contents = texts.select(F.concat(F.coalesce(F.col("file").cast("string"), F.lit("")), F.lit(ending)).alias("path"), F.concat("text", F.lit("\n")).cast("binary").alias("content"))
+    write_captures(contents.where("content is not null"), directory).write.format("noop").mode("overwrite").save()
+
+
 #: What of a KML text decides on its paths: folders and documents, opened and closed, and the shapes; tags may have a prefix.
 _KML_TOKEN = r"(?s)<(?:\w+:)?(?:Folder|Document)\b[^>]*>|</(?:\w+:)?(?:Folder|Document)\s*>|<(?:\w+:)?(?:LineString|Polygon)\b.*?</(?:\w+:)?(?:LineString|Polygon)\s*>"
 
@@ -74,8 +86,8 @@ def kml_texts(paths: DataFrame, mode: int = 0, keys: tuple[str, ...] = ("file",)
 
 
 def write_kml(paths: DataFrame, directory: str, mode: int = 0, key: str = "file") -> None:
-    """One folder and file per value of ``key``."""
-    kml_texts(paths, mode, (key,)).repartition(key).write.partitionBy(key).text(directory)
+    """One file per value of ``key``, named by it."""
+    write_texts(kml_texts(paths, mode, (key,)).select(F.col(key).alias("file"), "text"), directory, ".kml")
 
 
 def curve_records(paths: DataFrame) -> DataFrame:
@@ -129,6 +141,13 @@ SPLIT, AT_ONCE = 128 << 20, 32 << 20
 AHEAD = 1 << 16
 #: Tasks that the ranges are dealt to at most.
 MOST_TASKS = 20_000
+#: Files or ranges that a task takes one after the other, if all of them are short.
+FILES_A_TASK = 2_000
+
+
+def tasks_for(spark: SparkSession, n: int, size: int) -> int:
+    """Tasks for ``n`` files or ranges of ``size`` bytes in all: by bytes and number, so that short ones share a task; a task for each core at least, if there are as many."""
+    return max(1, min(n, MOST_TASKS, max(spark.sparkContext.defaultParallelism, -(-size // SPLIT), -(-n // FILES_A_TASK))))
 
 
 def headers(read: Callable[[int, int], bytes], length: int) -> Iterator[tuple[int, int, int]]:
@@ -183,11 +202,16 @@ def parse_capture(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(scan, CAPTURE)
 
 
-def opened(path: str):
-    """A file to be read at any place, from the store that its address names."""
+def store_of(address: str):
+    """The store that an address names, and the name within it."""
     from pyarrow.fs import FileSystem
 
-    store, name = FileSystem.from_uri(f"file://{path[5:]}" if path.startswith("file:/") and not path.startswith("file://") else path)
+    return FileSystem.from_uri(f"file://{address[5:]}" if address.startswith("file:/") and not address.startswith("file://") else address)
+
+
+def opened(path: str):
+    """A file to be read at any place, from the store that its address names."""
+    store, name = store_of(path)
     return store.open_input_file(name)
 
 
@@ -250,11 +274,12 @@ def read_capture(spark: SparkSession, glob: str, split: int = SPLIT) -> DataFram
     found = spark.read.format("binaryFile").load(glob)
     short = parse_capture(found.where(F.col("length") <= split))
     long = found.where(F.col("length") > split).select("path", "length")
-    files = long.count()  # a listing; contents aren't read
+    files, size = long.agg(F.count("*"), F.sum("length")).first()  # a listing; contents aren't read
     if not files:
         return short
-    ranges = materialize(index_captures(long.repartition(min(files, MOST_TASKS)), split), "ranges")
-    return short.union(parse_ranges(ranges.repartition(max(1, min(ranges.count(), MOST_TASKS)))))
+    ranges = materialize(index_captures(long.repartition(tasks_for(spark, files, size)), split), "ranges")
+    n, size = ranges.agg(F.count("*"), F.sum(F.col("end") - F.col("begin"))).first()
+    return short.union(parse_ranges(ranges.repartition(tasks_for(spark, n, size or 0))))
 
 
 def pack_capture(records: DataFrame) -> DataFrame:
@@ -263,16 +288,16 @@ def pack_capture(records: DataFrame) -> DataFrame:
     record = F.concat(size(F.length("payload").cast("bigint")), tag(F.col("tag")), F.col("payload"))
     body = records.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", record.alias("r")))).alias("rs"))
     head = F.unhex(F.lit("DDCCBBAA01000000"))
-    joined = F.aggregate("rs", head, lambda acc, x: F.concat(acc, x["r"]))
-    return body.select("path", F.concat(joined, F.unhex(F.lit("00000000000000F0"))).alias("content"))
+    # put together at once: adding records one by one would copy a file once a record
+    joined = F.unhex(F.array_join(F.transform("rs", lambda x: F.hex(x["r"])), ""))
+    return body.select("path", F.concat(head, joined, F.unhex(F.lit("00000000000000F0"))).alias("content"))
 
 
 def write_captures(captures: DataFrame, directory: str) -> DataFrame:
     """Files (path, content) to ``directory``, which all tasks see, one each; returns the addresses. A task that is run again writes the same file again."""
-    from pyarrow.fs import FileSystem
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, root = FileSystem.from_uri(directory)
+        store, root = store_of(directory)
         for batch in batches:
             names = [f"{root}/{quote(path, safe='')}" for path in batch["path"]]
             for name, content in zip(names, batch["content"]):
@@ -280,7 +305,8 @@ def write_captures(captures: DataFrame, directory: str) -> DataFrame:
                     f.write(content)
             yield pd.DataFrame({"path": names})
 
-    FileSystem.from_uri(directory)[0].create_dir(FileSystem.from_uri(directory)[1], recursive=True)
+    store, root = store_of(directory)
+    store.create_dir(root, recursive=True)
     return captures.select("path", "content").mapInPandas(write, "path string")
 
 
@@ -304,25 +330,41 @@ def explode_vertex_stream_blocks(data: DataFrame) -> DataFrame:
 
 
 def unpack_vertices(blocks: DataFrame, stride: int, offset: int, n: int) -> DataFrame:
-    """Vertices of buffers: keys, vertex_idx, n floats from ``offset``, and the four bytes after them as a colour."""
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parts = []
-            for file, seq, no, body in zip(batch["file"], batch["seq"], batch["block_no"], batch["data"]):
-                count = (len(body) - offset - 4 * n) // stride + 1 if len(body) >= offset + 4 * n else 0
-                raw = np.frombuffer(body, np.uint8)
-                at = offset + stride * np.arange(count)[:, None]
-                floats = raw[at + np.arange(4 * n)].copy().view("<f4").astype(float) if count else np.empty((0, n))
-                colour = np.zeros(count, np.int64)
+    """Vertices of buffers: keys, vertex_idx, n floats from ``offset``, and the four bytes after them as a colour (those past the end are 0)."""
+    names = ["file", "seq", "block_no", "vertex_idx", "values", "color"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = np.array([x or 0 for x in pc.binary_length(b["data"]).to_pylist()], np.int64)
+            begins = np.cumsum(sizes) - sizes
+            raw = np.frombuffer(b"".join(x or b"" for x in b["data"].to_pylist()), np.uint8)
+            counts = np.where(sizes >= offset + 4 * n, (sizes - offset - 4 * n) // stride + 1, 0)
+            firsts = np.cumsum(counts) - counts
+            for x, y in slices(counts):
+                block = np.repeat(np.arange(x, y), counts[x:y])
+                idx = np.arange(len(block)) + firsts[x] - firsts[block]
+                at = begins[block] + offset + stride * idx
+                floats = raw[at[:, None] + np.arange(4 * n)].view("<f4").astype(float).reshape(-1)
+                colour = np.zeros(len(block), np.int64)
                 for k in range(4):
-                    there = at[:, 0] + 4 * n + k < len(body)
-                    colour[there] |= raw[at[there, 0] + 4 * n + k].astype(np.int64) << (8 * k)
-                parts.append(pd.DataFrame({"file": file, "seq": seq, "block_no": no, "vertex_idx": np.arange(count), "values": list(floats), "color": colour}))
-            if parts:
-                yield pd.concat(parts)
-
-    return blocks.select("file", "seq", "block_no", "data").mapInPandas(scan, "file string, seq bigint, block_no bigint, vertex_idx bigint, values array<double>, color bigint")
+                    there = at + 4 * n + k < begins[block] + sizes[block]
+                    colour[there] |= raw[at[there] + 4 * n + k].astype(np.int64) << (8 * k)
+                values = pa.ListArray.from_arrays(np.arange(len(block) + 1, dtype=np.int32) * n, pa.array(floats))
+                keys = [b[c].take(pa.array(block)) for c in names[:3]]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(idx.astype(np.int64)), values, pa.array(colour)], names=names)
+
+    return blocks.select("file", "seq", "block_no", "data").mapInArrow(scan, "file string, seq bigint, block_no bigint, vertex_idx bigint, values array<double>, color bigint")
+
+
+def slices(counts: np.ndarray, rows: int = 100_000) -> Iterator[tuple[int, int]]:
+    """Spans of blocks of about ``rows`` rows each, a block at least; those without rows may be left out."""
+    total = np.cumsum(counts)
+    x = 0
+    while x < len(counts):
+        y = max(x + 1, int(np.searchsorted(total, (total[x - 1] if x else 0) + rows, "right")))
+        if total[y - 1] > (total[x - 1] if x else 0):
+            yield x, y
+        x = y
 
 
 def paths_to_lines(points: DataFrame) -> DataFrame:
