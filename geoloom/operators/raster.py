@@ -50,6 +50,18 @@ def decode_pixels(data: bytes, pixel_type: str) -> np.ndarray:
     return (x & (2**bits - 1)).reshape(-1)
 
 
+#: Pixels of tiles that a task packs at a time, however many tiles come together.
+PIXELS_AT_ONCE = 1 << 16
+
+
+def tiles_at_once(batches: Iterator[pa.RecordBatch], pixels: int) -> Iterator[pa.RecordBatch]:
+    """Batches of tiles of ``pixels`` pixels, cut to about PIXELS_AT_ONCE: what a task holds beside a batch doesn't grow with its rows."""
+    step = max(1, PIXELS_AT_ONCE // pixels)
+    for b in batches:
+        for k in range(0, b.num_rows, step):
+            yield b.slice(k, step)
+
+
 def samples_to_blocks(samples: DataFrame, size: int, pixel_type: str = "f64", packing: Column | None = None) -> DataFrame:
     """Square tiles of pixels in little-endian order, rows after rows, padded with zeros past the map's edge. The imaginary part of complex ones is ``h_im``. ``size`` squared is a multiple of 8.
 
@@ -66,7 +78,7 @@ def samples_to_blocks(samples: DataFrame, size: int, pixel_type: str = "f64", pa
     packed = packing is not None
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tiles_at_once(batches, size * size):
             cells = b["cells"].combine_chunks() if isinstance(b["cells"], pa.ChunkedArray) else b["cells"]
             flat = cells.flatten()
             tile = np.repeat(np.arange(len(cells)), np.diff(cells.offsets.to_numpy()))
