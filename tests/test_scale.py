@@ -126,3 +126,22 @@ def test_draping_computes_triangles_once_for_the_rays(spark, monkeypatch):
     out = raster.drape_paths(p, t, ["batch_id", "group_id", "mesh_id"], 0.5)
     assert sorted((r["point_id"], r["draped"]) for r in out.collect()) == [(1, 5.0), (2, 5.0)]
     assert seen and all("/triangles-" in f for f in seen[0]) and seen[0]
+
+
+def test_near_duplicates_of_all_sizes_and_places(spark):
+    """Against all pairs; copies for cells aren't broadcast, and a pair comes once."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n = 400
+    size = np.exp2(rng.choice([-1.0, -0.52, -0.5, -0.48, 0.0, 1.0, 3.5], n)) * rng.uniform(0.97, 1.03, n)
+    low = np.round(rng.uniform(-2, 2, (n, 3))) * 4 + rng.choice([-0.37, 0.0, 0.13, 0.5], (n, 1)) + rng.uniform(-0.05, 0.05, (n, 3)) * size[:, None]
+    rows = [(k, int(k % 7), 3, 6, *map(float, low[k]), float(size[k])) for k in range(n)]
+    m = spark.createDataFrame(rows, "mesh_id bigint, file_no int, n_vertex int, n_index int, x0 double, y0 double, z0 double, size double")
+    for share in (0.5, 0.8):
+        cut = np.minimum((low + size[:, None])[:, None], (low + size[:, None])[None]) - np.maximum(low[:, None], low[None])
+        both = np.where((cut > 0).all(axis=2), cut.prod(axis=2), 0)
+        want = sorted((a, b) for a, b in zip(*np.nonzero((both > share * size[:, None] ** 3) & (both > share * size[None] ** 3))) if a % 7 > b % 7)
+        out = boxes.near_duplicate_pairs(m, share)
+        assert "BroadcastHashJoin" not in plan(out)
+        assert sorted((r["mesh_id"], r["earlier_id"]) for r in out.collect()) == want and len(want) > 20
