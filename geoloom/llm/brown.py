@@ -128,10 +128,9 @@ def read_items(counts: DataFrame) -> Items:
     return Items(key[order], n[order], bucket_n, bucket_words, ends or 0)
 
 
-def sequences(words: Words, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(item before, item) of all tokens in order, each text closed and opened by the end; and each token's text."""
-    key, bucket = word_keys(words)
-    own = items.of(key, bucket)
+def sequences(words: Words, items: Items, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item before, item) of all tokens in order, each text closed and opened by the end; and each token's text. ``own``: the words' items, if known."""
+    own = items.of(*word_keys(words)) if own is None else own
     n = len(words.first) - 1
     at = np.arange(len(own)) + words.text_of()
     line = np.full(len(own) + n, BUCKETS, np.int64)
@@ -142,6 +141,8 @@ def sequences(words: Words, items: Items) -> tuple[np.ndarray, np.ndarray, np.nd
 
 #: An item's neighbours: int32 codes (2 * item after it, 2 * item before it + 1) in order, and int64 counts.
 NEIGHBOURS = "slot int, item int, codes binary, counts binary"
+#: ... and whose turn it is; the rows of a turn lie together, so that a scan skips the others.
+BY_TURN = "item int, turn int, codes binary, counts binary"
 
 
 def rows_of(item: np.ndarray, code: np.ndarray, n: np.ndarray, slot: int) -> pa.RecordBatch:
@@ -226,6 +227,11 @@ def merge_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     yield from carry
 
 
+def with_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b["item"], pa.array(turn_of(b["item"].to_numpy()).astype(np.int32)), b["codes"], b["counts"]], names=["item", "turn", "codes", "counts"])
+
+
 def neighbours(training: DataFrame, items: Items) -> DataFrame:
     """One row an item with all of its neighbours. Slots (tasks) are merged 2**FAN_IN at a time, so that a frequent word's rows from all tasks don't meet in one."""
     with arrow_rows(training.sparkSession, 500):
@@ -235,7 +241,8 @@ def neighbours(training: DataFrame, items: Items) -> DataFrame:
             table = table.withColumn("slot", F.shiftright("slot", FAN_IN)).repartition("slot", "item").sortWithinPartitions("slot", "item").mapInArrow(merge_neighbours, NEIGHBOURS)
             last >>= FAN_IN
             if not last:
-                return materialize(table.drop("slot"), "merged")
+                turns = table.mapInArrow(with_turn, BY_TURN)
+                return materialize(turns.sortWithinPartitions("turn", "item"), "merged")
 
 
 def by_class(flat: Flat, classes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -263,13 +270,43 @@ def count_bigrams(classes: np.ndarray, k: int) -> Callable[[Iterator[pa.RecordBa
     return run
 
 
-def bigrams_of(table: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
-    rows = table.mapInArrow(count_bigrams(classes, k), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+def count_changes(classes: np.ndarray, new: np.ndarray, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """By how much the cells of the class bigrams change if classes become ``new``, summed over a partition of the items that move. A bigram of two of them is counted with the first."""
+    moves = classes != new
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k)
+        for batch in batches:
+            flat = Flat.of(batch)
+            own, other, before = flat.items[flat.row], flat.code >> 1, (flat.code & 1) == 1
+            counted = ~(before & moves[other])
+            own, other, before, n = own[counted], other[counted], before[counted], flat.n[counted]
+            first, second = np.where(before, other, own), np.where(before, own, other)
+            for c, sign in ((new, 1), (classes, -1)):
+                total += sign * np.bincount(c[first] * k + c[second], n, minlength=k * k)
+        yield pa.RecordBatch.from_pydict({"cell": np.arange(k * k), "n": total.astype(np.int64)})
+
+    return run
+
+
+def summed(cells: DataFrame, k: int) -> np.ndarray:
+    rows = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(k * k)
     out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
     return out.reshape(k, k)
 
 
+def bigrams_of(table: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
+    return summed(table.mapInArrow(count_bigrams(classes, k), "cell bigint, n bigint"), k)
+
+
+def bigrams_after(table: DataFrame, bigrams: np.ndarray, classes: np.ndarray, new: np.ndarray, k: int) -> np.ndarray:
+    """The class bigrams once classes are ``new``: only rows of items that move are counted."""
+    moved = table.sparkSession.createDataFrame(pa.table({"item": np.flatnonzero(classes != new).astype(np.int32)}))
+    some = table.join(F.broadcast(moved), "item", "left_semi").select("item", "codes", "counts")
+    return bigrams + summed(some.mapInArrow(count_changes(classes, new, k), "cell bigint, n bigint"), k)
+
+
 def xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
@@ -324,13 +361,11 @@ def gains(bigrams: np.ndarray, own: np.ndarray, after: np.ndarray, before: np.nd
     return score
 
 
-def best_moves(classes: np.ndarray, bigrams: np.ndarray, turn: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Items whose turn it is and whose best class is another, and by how much."""
+def best_moves(classes: np.ndarray, bigrams: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Items whose best class is another, and by how much."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            item = batch["item"].to_numpy()
-            batch = batch.take(pa.array(np.flatnonzero((turn_of(item) == turn % 2) & (item != BUCKETS))))
             if not batch.num_rows:
                 continue
             flat = Flat.of(batch)
@@ -372,14 +407,15 @@ def cluster(table: DataFrame, weight: np.ndarray, tolerance: float, k: int) -> t
     bigrams = bigrams_of(table, classes, k)
     reached, least, idle, turns = [likelihood(bigrams)], tolerance * max(weight.sum(), 1), 0, 0
     while idle < 2:  # both halves had their turn
-        moves = table.mapInArrow(best_moves(classes, bigrams, turns), "item int, best int, gain double").toArrow()
+        mine = table.where((F.col("turn") == turns % 2) & (F.col("item") != BUCKETS)).select("item", "codes", "counts")
+        moves = mine.mapInArrow(best_moves(classes, bigrams), "item int, best int, gain double").toArrow()
         item, best, gain = (moves[c].to_numpy() for c in ("item", "best", "gain"))
         turn = np.lexsort((item, -gain))
         before = reached[-1]
         while len(turn):
             new = classes.copy()
             new[item[turn]] = best[turn]
-            table_of_new = bigrams_of(table, new, k)
+            table_of_new = bigrams_after(table, bigrams, classes, new, k)
             if likelihood(table_of_new) > before:
                 classes, bigrams = new, table_of_new
                 reached.append(likelihood(bigrams))
@@ -421,12 +457,13 @@ def score_heads(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
         for batch in batches:
             for words in split(batch["text"]):
                 t = len(words.first) - 1
-                before, own, text = sequences(words, items)
+                key, bucket = word_keys(words)
+                item = items.of(key, bucket)
+                before, own, text = sequences(words, items, item)
                 score = np.bincount(text, model.transition[of_item[before], of_item[own]] + model.emission[own], minlength=t)
                 heads = np.bincount(text, base[own], minlength=t)
                 known = np.bincount(text, own > BUCKETS, minlength=t).astype(np.int64) + (items.n_texts > 0)
-                key, bucket = word_keys(words)
-                rare = np.flatnonzero(items.of(key, bucket) < BUCKETS)
+                rare = np.flatnonzero(item < BUCKETS)
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(words.text_of()[rare], minlength=t))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(words.at, t).cast(pa.int64()), batch["held_out"].slice(words.at, t), pa.array(words.counts + 1, pa.int64()), pa.array(known), pa.array(heads), pa.array(score), pa.ListArray.from_arrays(offsets, key[rare])], schema=schema)
 
