@@ -47,16 +47,28 @@ def strip_to_triangles(strips: DataFrame, keys: list[str]) -> DataFrame:
     return t.select(*keys, F.col("_k").cast("bigint").alias("triangle"), F.when(odd, F.col("_b")).otherwise(F.col("_a")).alias("v0"), F.when(odd, F.col("_a")).otherwise(F.col("_b")).alias("v1"), F.col("_c").alias("v2"))
 
 
-def compact_vertices(index: DataFrame, n_vertex: DataFrame, keys: list[str], triangles: bool = True) -> DataFrame:
+def dealt(df: DataFrame, rows: int | None = None) -> int:
+    """Tasks that meet about AT_ONCE of the rows each, at least one a core. ``rows``, if known, spares counting."""
+    rows = df.count() if rows is None else rows
+    return max(-(-rows // AT_ONCE), df.sparkSession.sparkContext.defaultParallelism)
+
+
+def compact_vertices(index: DataFrame, n_vertex: DataFrame, keys: list[str], triangles: bool = True, rows: int | None = None) -> DataFrame:
     """Renumber the referenced vertices in range by first use: pos, vertex_idx, new_idx.
 
     A triangle with an index out of range goes as a whole; strips lose the index only.
+    No index (null) is out of range. Rows are few bytes in a shuffle and many in a sort,
+    so each step deals them by their number (``rows``, if known), not by the bytes.
     """
-    i = index.join(n_vertex, keys).withColumn("ok", (F.col("vertex_idx") >= 0) & (F.col("vertex_idx") < F.col("n_vertex")))
+    n = dealt(index, rows)
+    inside = (F.col("vertex_idx") >= 0) & (F.col("vertex_idx") < F.col("n_vertex"))
+    i = index.join(n_vertex.repartition(n, *keys), keys).select(*keys, "pos", "vertex_idx", F.coalesce(inside, F.lit(False)).alias("ok"))
     if triangles:
-        i = i.withColumn("ok", F.min("ok").over(W.partitionBy(*keys, F.floor(F.col("pos") / 3))))
-    i = i.where("ok")
-    first = i.groupBy(*keys, "vertex_idx").agg(F.min("pos").alias("first"))
+        i = i.withColumn("_triangle", F.floor(F.col("pos") / 3)).repartition(n, *keys, "_triangle")
+        i = i.withColumn("ok", F.min("ok").over(W.partitionBy(*keys, "_triangle")))
+    # the join asks for keys that aren't null: said here, both of its sides read one shuffle
+    i = i.where("ok and vertex_idx is not null").select(*keys, "pos", "vertex_idx").repartition(n, *keys, "vertex_idx")
+    first = i.groupBy(*keys, "vertex_idx").agg(F.min("pos").alias("first")).repartition(n, *keys)
     number = first.select(*keys, "vertex_idx", (F.row_number().over(W.partitionBy(*keys).orderBy("first")) - 1).cast("bigint").alias("new_idx"))
     return i.join(number, [*keys, "vertex_idx"]).select(*keys, "pos", "vertex_idx", "new_idx")
 

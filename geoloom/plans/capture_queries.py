@@ -257,12 +257,16 @@ def a07(spark, d):
 _IDX = ", ix AS (SELECT l_orderkey AS mesh_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos, l_suppkey % 9 AS vertex_idx FROM lineitem)"
 
 
+def lineitem(spark, d) -> DataFrame:
+    return spark.read.parquet(f"{d}/lineitem.parquet")
+
+
 def indices(spark, d) -> DataFrame:
     from pyspark.sql import Window as W
 
-    li = spark.read.parquet(f"{d}/lineitem.parquet")
-    pos = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")) - 1
-    return li.select(F.col("l_orderkey").alias("mesh_id"), pos.cast("bigint").alias("pos"), (F.col("l_suppkey") % 9).cast("bigint").alias("vertex_idx"))
+    li = lineitem(spark, d).select(F.col("l_orderkey").alias("mesh_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    pos = F.row_number().over(W.partitionBy("mesh_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")) - 1
+    return li.repartition(mesh.dealt(li), "mesh_id").select("mesh_id", pos.cast("bigint").alias("pos"), (F.col("l_suppkey") % 9).cast("bigint").alias("vertex_idx"))
 
 
 @query("w07_strip_to_triangles", "WITH" + _IDX[1:] + ", t AS (SELECT mesh_id, lag(vertex_idx, 2) OVER w AS a, lag(vertex_idx, 1) OVER w AS b, vertex_idx AS c, pos - 2 AS k FROM ix WINDOW w AS (PARTITION BY mesh_id ORDER BY pos)) SELECT mesh_id, k AS triangle, CASE WHEN k % 2 = 1 THEN b ELSE a END AS v0, CASE WHEN k % 2 = 1 THEN a ELSE b END AS v1, c AS v2 FROM t WHERE k >= 0 AND a <> b AND b <> c AND a <> c")
@@ -282,13 +286,13 @@ def _n_vertex(i: DataFrame) -> DataFrame:
 @query("w06_compact_vertices", _compact(True))
 def w06(spark, d):
     i = indices(spark, d)
-    return mesh.compact_vertices(i, _n_vertex(i), ["mesh_id"])
+    return mesh.compact_vertices(i, _n_vertex(i), ["mesh_id"], rows=lineitem(spark, d).count())
 
 
 @query("w06_compact_strip", _compact(False))
 def w06s(spark, d):
     i = indices(spark, d)
-    return mesh.compact_vertices(i, _n_vertex(i), ["mesh_id"], triangles=False)
+    return mesh.compact_vertices(i, _n_vertex(i), ["mesh_id"], triangles=False, rows=lineitem(spark, d).count())
 
 
 _MESH = ", ms AS (SELECT o_custkey % 3 AS batch_id, o_custkey % 30 AS group_id, o_orderkey AS mesh_id, o_custkey % 50 AS texture_id, o_custkey % 12 AS texture_idx, o_custkey % 3 = 0 AS is_capture FROM orders)"

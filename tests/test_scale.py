@@ -2,11 +2,13 @@
 
 import contextlib
 import io
+import re
 
 from pyspark.sql import functions as F
 
 from geoloom.functions import text
-from geoloom.operators import boxes, capture, lookup, raster
+from geoloom.operators import boxes, capture, lookup, mesh, raster
+from geoloom.plans import capture_queries
 
 
 def plan(df):
@@ -145,3 +147,31 @@ def test_near_duplicates_of_all_sizes_and_places(spark):
         out = boxes.near_duplicate_pairs(m, share)
         assert "BroadcastHashJoin" not in plan(out)
         assert sorted((r["mesh_id"], r["earlier_id"]) for r in out.collect()) == want and len(want) > 20
+
+
+def test_compaction_deals_rows_by_their_number(spark, sf, monkeypatch):
+    """However few bytes a shuffle packs them to, each step's tasks meet about as many rows; against a plain loop, with indices out of range and none."""
+    import numpy as np
+
+    monkeypatch.setattr(mesh, "AT_ONCE", 100)
+    tasks = lambda df: {int(k) for k in re.findall(r"Exchange hashpartitioning\(.*, (\d+)\)", plan(df))}
+    rng = np.random.default_rng(5)
+    lists = {m: [None if v == 11 else int(v) - 1 for v in rng.integers(0, 12, n)] for m, n in enumerate([*rng.integers(1, 60, 60), 900])}
+    size = {m: 9 + m % 2 for m in lists if m != 7}
+    index = spark.createDataFrame([(m, p, v) for m, vs in lists.items() for p, v in enumerate(vs)], "mesh_id bigint, pos bigint, vertex_idx bigint")
+    n_vertex = spark.createDataFrame(list(size.items()), "mesh_id bigint, n_vertex bigint")
+    rows = sum(map(len, lists.values()))
+    for triangles in (True, False):
+        want = []
+        for m in size:
+            ok = [v is not None and 0 <= v < size[m] for v in lists[m]]
+            if triangles:
+                ok = [all(ok[p - p % 3 : p - p % 3 + 3]) for p in range(len(ok))]
+            new = {}
+            want += [(m, p, v, new.setdefault(v, len(new))) for p, v in enumerate(lists[m]) if ok[p]]
+        for known in (None, rows):
+            out = mesh.compact_vertices(index, n_vertex, ["mesh_id"], triangles, known)
+            assert tasks(out) == {-(-rows // 100)}
+            assert sorted(map(tuple, out.collect())) == want and len(want) > 300
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert tasks(capture_queries.indices(spark, sf)) == {-(-li // 100)}
