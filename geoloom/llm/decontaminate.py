@@ -4,14 +4,16 @@
    are kept in that short form; all later passes read it instead of the texts.
 2. Items, in parts of up to PART words, are dealt to blocks of about PARTS parts.
    Each block has a latent space of its own, so its rank keeps up with the benchmark,
-   and all blocks of a group are worked off in the same passes. A block's TF-IDF
-   matrix holds its parts, as heavy as all passages together, and the passages of
-   HALF words that carry much of its vocabulary. Weights are roots of inverse
-   document frequencies over all documents, so that a few rare words beside an item
-   don't hide it. The matrix's leading right singular vectors come from a randomised
-   SVD: a random subspace goes twice through A'A, each pass one distributed job that
-   sums a (terms x RANK + EXTRA) matrix a block, with an orthonormalisation between
-   them, and a small eigenproblem at the end.
+   and all blocks of a group are searched in the same pass. A block's TF-IDF
+   matrix holds all passages of HALF words of all documents that have any of its terms,
+   and its parts, which are HEAVY times as heavy as all passages together. Weights are
+   roots of inverse document frequencies over all documents, so that a few rare words
+   beside an item don't hide it. The matrix's leading right singular vectors come from
+   a randomised SVD: a random subspace goes twice through A'A, with an
+   orthonormalisation between, and a small eigenproblem at the end. A distributed job
+   sums A'A from the pairs of terms in each passage, for as many blocks at a time as
+   have CELLS pairs of terms; a block with more goes through A and A' in two jobs that
+   sum a (terms x RANK + EXTRA) matrix.
 3. Candidates are windows of HALF and 2 * HALF words (every HALF words) whose cosine
    with a part of an item, within the latent space, is COSINE at least. Since the
    space holds the block's parts, this cosine is never below that of the TF-IDF
@@ -33,6 +35,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +50,10 @@ HALF, RANK, EXTRA, MAX_DF, LITTLE = 24, 160, 16, 0.2, 0.05
 PART, PARTS, GROUP = 2 * HALF, 128, 16
 #: Least cosine of a candidate.
 COSINE = 0.35
-#: A passage is a row of a block's matrix if it weighs this share of the block's median part.
-STOCK = 0.5
+#: Weight of a block's parts in its matrix, all passages together weighing 1.
+HEAVY = 16
+#: Pairs of terms whose sums a task holds at a time, eight bytes each.
+CELLS = 12_000_000
 #: Share of an item's words in the common subsequence; the lower one needs ANSWER of the last ANSWER_WORDS words.
 LCS, LCS_LOW, ANSWER, ANSWER_WORDS = 0.6, 0.45, 0.8, 8
 TOKENS = 60_000  # worked on at a time
@@ -145,22 +150,12 @@ def count_terms(n_terms: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return run
 
 
-@dataclass
-class Rich:
-    """The heavy halves, renumbered: their tokens, and squared norm of each."""
-
-    term: np.ndarray
-    half: np.ndarray
-    square: np.ndarray
-
-
-def rich_halves(term: np.ndarray, half: np.ndarray, n: int, weight: np.ndarray, least: float) -> Rich:
-    """Of n halves those that weigh at least ``least``."""
-    own = weight[term]
-    keep = np.bincount(half, own, minlength=n) >= least
-    at = np.flatnonzero(keep[half])
-    half = (np.cumsum(keep) - 1)[half[at]]
-    return Rich(term[at], half, np.bincount(half, own[at] ** 2, minlength=int(keep.sum())))
+def unit_passages(term: np.ndarray, half: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Passages as rows of unit length: the half, term and value of all that isn't 0, in order."""
+    cells, counts = np.unique(half * len(weight) + term, return_counts=True)
+    half, term = np.divmod(cells, len(weight))
+    value = weight[term] * counts
+    return half, term, value / np.sqrt(np.maximum(np.bincount(half, value**2), 1e-12))[half]
 
 
 def sums_of(term: np.ndarray, half: np.ndarray, n: int, rows: np.ndarray) -> np.ndarray:
@@ -186,9 +181,7 @@ class Block:
     weight: np.ndarray
     parts: np.ndarray  # unit rows over the terms
     item_of: np.ndarray  # item of each part
-    rich: float  # passages of this weight are rows of the matrix
     part_weight: float  # of a part's row, a passage weighing 1
-
     number: np.ndarray  # the block's number of each of the benchmark's terms up to its last own one, else -1
 
     def tokens(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
@@ -241,31 +234,30 @@ def blocks_of(bench: Benchmark, w: Weights) -> list[Block]:
         for k, (_, x) in enumerate(rows):
             np.add.at(parts[k], np.searchsorted(terms, x), w.weight[x])
         parts /= np.maximum(np.linalg.norm(parts, axis=1, keepdims=True), 1e-9)
-        mass = np.median([w.weight[np.unique(x)].sum() for _, x in rows]) * STOCK
         number = np.full(int(terms[-1]) + 1, -1, np.int32)
         number[terms] = np.arange(len(terms))
-        out.append(Block(terms, w.weight[terms], parts, np.array([q for q, _ in rows]), float(mass), w.passages / len(rows), number))
+        out.append(Block(terms, w.weight[terms], parts, np.array([q for q, _ in rows]), HEAVY * w.passages / len(rows), number))
     return out
 
 
 def through(blocks: list[Block], bases: list[np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (block, term, values) of each block's A'A times its basis, summed over the partition; A's rows are the rich passages, of unit length."""
+    """Rows (block, term, values) of each block's A'A times its basis, summed over the partition; A's rows are all passages, of unit length."""
     width = max(b.shape[1] for b in bases)
-    weighted = [(basis * b.weight[:, None]).astype(np.float32) for b, basis in zip(blocks, bases)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = [np.zeros(basis.shape, np.float64) for basis in bases]
         for batch in batches:
             for t in halves(batch):
-                for b, rows, total in zip(blocks, weighted, totals):
-                    r = rich_halves(*b.tokens(t), len(t.doc_of_half), b.weight, b.rich)
-                    if not len(r.term):
+                for b, basis, total in zip(blocks, bases, totals):
+                    half, term, value = unit_passages(*b.tokens(t), b.weight)
+                    if not len(half):
                         continue
-                    image = sums_of(r.term, r.half, len(r.square), rows) / np.maximum(r.square, 1e-12)[:, None].astype(np.float32)
-                    order = np.argsort(r.term, kind="stable")
-                    own, half = r.term[order], r.half[order]
-                    begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                    total[own[begin]] += b.weight[own[begin]][:, None] * np.add.reduceat(image[half], begin, axis=0)
+                    begin = np.diff(half, prepend=-1) > 0
+                    image = np.add.reduceat(value[:, None] * basis[term], np.flatnonzero(begin), axis=0)
+                    order = np.argsort(term, kind="stable")
+                    own, row = term[order], (np.cumsum(begin) - 1)[order]
+                    begin = np.flatnonzero(np.diff(own, prepend=-1))
+                    total[own[begin]] += np.add.reduceat(value[order][:, None] * image[row], begin, axis=0)
         for k, total in enumerate(totals):
             some = np.flatnonzero(np.abs(total).max(axis=1))
             values = np.zeros((len(some), width), np.float32)
@@ -289,16 +281,67 @@ def multiply(coded: DataFrame, blocks: list[Block], bases: list[np.ndarray]) ->
     return out
 
 
+def products(blocks: list[Block]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (block, cell, value) of each block's A'A above the diagonal, and the half of it, summed over the partition; A's rows are all passages, of unit length. A cell is the smaller term's number times the number of terms, and the larger's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = [np.zeros(len(b.terms) ** 2) for b in blocks]
+        for batch in batches:
+            for t in halves(batch):
+                for b, total in zip(blocks, totals):
+                    half, term, value = unit_passages(*b.tokens(t), b.weight)
+                    cells, values = [term * (len(b.terms) + 1)], [value**2 / 2]
+                    for d in range(1, HALF):  # terms of a passage are in order
+                        at = np.flatnonzero(half[d:] == half[:-d])
+                        if not len(at):
+                            break
+                        cells.append(term[at] * len(b.terms) + term[at + d])
+                        values.append(value[at] * value[at + d])
+                    np.add.at(total, np.concatenate(cells), np.concatenate(values))
+        for k, total in enumerate(totals):
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some.astype(np.int32)), pa.array(total[some].astype(np.float32))], names=["block", "cell", "value"])
+
+    return run
+
+
+def multiplier(coded: DataFrame, blocks: list[Block]) -> Callable[[list[np.ndarray]], list[np.ndarray]]:
+    """What ``multiply`` does for blocks of up to CELLS pairs of terms in all, with A'A summed in one job."""
+    rows = coded.mapInArrow(products(blocks), "block int, cell int, value float").groupBy("block", "cell").agg(F.sum("value").cast("float").alias("value")).toArrow()
+    block, cell, value = (rows[c].to_numpy() for c in ("block", "cell", "value"))
+    squares = []
+    for k, b in enumerate(blocks):
+        half = np.zeros(len(b.terms) ** 2, np.float32)
+        half[cell[block == k]] = value[block == k]
+        half = half.reshape(len(b.terms), -1)
+        squares.append(half + half.T)
+    return lambda bases: [square @ basis + b.part_weight * (b.parts.T @ (b.parts @ basis)) for b, square, basis in zip(blocks, squares, bases)]
+
+
 def latent_spaces(coded: DataFrame, blocks: list[Block], rank: int = RANK) -> list[np.ndarray]:
     """Terms x rank of each block: the leading right singular vectors of its passages and parts."""
     rng = np.random.default_rng(4)
     starts = [np.linalg.qr(rng.standard_normal((len(b.terms), min(rank + EXTRA, len(b.terms)))))[0] for b in blocks]
-    bases = [np.linalg.qr(x)[0] for x in multiply(coded, blocks, starts)]
-    out = []
-    for basis, image in zip(bases, multiply(coded, blocks, bases)):
-        small = basis.T @ image
-        values, vectors = np.linalg.eigh((small + small.T) / 2)
-        out.append(basis @ vectors[:, np.argsort(-values)[: min(rank, basis.shape[1])]])
+    wide, dealt, taken = [], [], 0
+    for k, b in enumerate(blocks):
+        cells = len(b.terms) ** 2
+        if cells > CELLS:
+            wide.append(k)
+            continue
+        if not dealt or taken + cells > CELLS:
+            dealt.append([])
+            taken = 0
+        dealt[-1].append(k)
+        taken += cells
+    out: list[np.ndarray] = [np.empty(0)] * len(blocks)
+    for some in [*dealt, *([wide] if wide else [])]:
+        own = [blocks[k] for k in some]
+        times = partial(multiply, coded, own) if some is wide else multiplier(coded, own)
+        bases = [np.linalg.qr(x)[0] for x in times([starts[k] for k in some])]
+        for k, basis, image in zip(some, bases, times(bases)):
+            small = basis.T @ image
+            values, vectors = np.linalg.eigh((small + small.T) / 2)
+            out[k] = basis @ vectors[:, np.argsort(-values)[: min(rank, basis.shape[1])]]
     return out
 
 
