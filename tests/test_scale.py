@@ -108,6 +108,19 @@ def test_small_boxes_meet_in_small_cells(spark):
     assert boxes.box_overlap_join(a, b, 1.0).count() == 58 * 58
 
 
+def test_large_boxes_meet_small_ones_near_them(spark):
+    """Narrow boxes as long as all the small ones' square meet a few more small ones than they overlap, and no cell holds most of them."""
+    k = F.col("id")
+    small = spark.range(2500).select(k.alias("b"), (k % 50 * 1.0).alias("min_x"), (F.floor(k / 50) * 1.0).alias("min_y"))
+    small = small.withColumns({"max_x": F.col("min_x") + 0.9, "max_y": F.col("min_y") + 0.9})
+    large = spark.range(20).select(k.alias("a"), (k * 0.3 + 0.95).alias("min_x"), F.lit(0.95).alias("min_y"), (k * 0.3 + 2.5).alias("max_x"), F.lit(49.5).alias("max_y"))
+    pairs = boxes.box_overlap_join(large, small, 1.0).count()
+    met = boxes.candidates(large, small, 1.0)
+    assert pairs == sum(49 * sum(max(x, 0.95 + 0.3 * a) < min(x + 0.9, 2.5 + 0.3 * a) for x in range(50)) for a in range(20))
+    assert pairs < met.count() < 8 * pairs
+    assert max(r["count"] for r in met.groupBy("_at", "cell_x", "cell_y").count().collect()) < met.count() / 4
+
+
 def test_pairs_of_meshes_arent_joined_again(spark):
     """Upper levels are cut first; nothing is joined with the pairs that come out last."""
     m = spark.createDataFrame([(b, g, 10 * g + k, 10.0 * g + k, 0.0, 10.0 * g + k + 1.5, 1.0) for b in (0, 1) for g in (2 * b, 2 * b + 1) for k in range(3)], "batch_id int, group_id int, mesh_id int, min_x double, min_y double, max_x double, max_y double")
