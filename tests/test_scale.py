@@ -188,3 +188,55 @@ def test_compaction_deals_rows_by_their_number(spark, sf, monkeypatch):
             assert sorted(map(tuple, out.collect())) == want and len(want) > 300
     li = spark.read.parquet(f"{sf}/lineitem.parquet").count()
     assert tasks(capture_queries.indices(spark, sf)) == {-(-li // 100)}
+
+
+def listed(patches, others):
+    """The lists by a nested loop over rows (key, box)."""
+    over = lambda p, q: max(p[1], q[1]) < min(p[3], q[3]) and max(p[2], q[2]) < min(p[4], q[4])
+    full = lambda r: None not in r
+    return sorted((p[0], *[sorted(q[0] for q in rows if full(q) and full(p) and over(p, q)) or None for rows in others]) for p in patches)
+
+
+def test_lists_of_overlaps_are_made_without_a_shuffle_of_pairs(spark, monkeypatch):
+    """One shuffle, of boxes; against a nested loop, with boxes on tiles' edges, without inside, null, and alike."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+
+    def make(n, least, most, first):
+        at, size = np.round(rng.uniform(-2, 2, (n, 2)) * 8) / 8, np.round(rng.uniform(least, most, n) * 16) / 16
+        return [(first + k, *map(float, (x, y, x + s, y + s))) for k, ((x, y), s) in enumerate(zip(at, size))]
+
+    p, a, b = make(300, 0.1, 0.4, 10), make(200, 0.05, 0.9, 9), make(5, 3, 4, -3)
+    p += [(990, None, 0.0, 1.0, 1.0), (991, 0.0, 0.0, 0.0, 1.0), (992, 77.0, 77.0, 77.25, 77.25)]
+    a += [(None, 0.0, 0.0, 0.5, 0.5), (880, 0.0, 0.0, None, 1.0), (881, 0.25, 0.25, 0.25, 0.5)]
+    schema = "k bigint, min_x double, min_y double, max_x double, max_y double"
+    patches, others = spark.createDataFrame(p, schema), {"a": (spark.createDataFrame(a, schema), "k"), "b": (spark.createDataFrame(b, schema), "k")}
+    want = listed(p, [a, b])
+    assert sum(len(r[1] or ()) for r in want) > 1000 and any(r[1] is None for r in want)
+    monkeypatch.setattr(boxes, "COPIES", 400)  # the large ones of b lie in many tiles
+    for at_once, least, keys in ((4_000_000, 256, 1_000_000), (50, 1, 7), (1000, 3, 1)):
+        for name, value in (("AT_ONCE", at_once), ("COMPARED", least), ("LISTED", keys)):
+            monkeypatch.setattr(boxes, name, value)
+        out = boxes.patch_overlap_index(patches, "k", others, 0.1)
+        assert "Join" not in plan(out) and "Aggregate" not in plan(out) and plan(out).count("Exchange") == 1
+        assert sorted(map(tuple, out.collect())) == want
+    text = boxes.patch_overlap_index(patches, "k", others, 0.1, ";")
+    assert sorted(map(tuple, text.collect())) == [(k, *[x and ";".join(map(str, x)) for x in lists]) for k, *lists in want]
+    assert boxes.patch_overlap_index(patches.where("false"), "k", others, 0.1).count() == 0
+    none = boxes.patch_overlap_index(patches, "k", {"a": (patches.where("false"), "k")}, 0.1)
+    assert sorted(map(tuple, none.collect())) == [(r[0], None) for r in want]
+
+
+def test_lists_of_overlaps_of_boxes_of_all_sizes(spark):
+    """Where copies in tiles would be too many, or a patch comes twice, pairs are grouped; the lists are the same."""
+    p = [(k, float(k), 0.0, k + 0.5, 0.5) for k in range(40)]
+    huge = [(90, -1.0, -1.0, 1e6, 1e6)]
+    schema = "k bigint, min_x double, min_y double, max_x double, max_y double"
+    for rows, others in ((p, p + huge), (p + huge, p), (p, [(91, -1.0, -1.0, float("inf"), 1e3)]), (p + p[:1], p)):
+        if others[0][3] == float("inf"):
+            assert boxes._tile_width(spark.createDataFrame(rows, schema), "k", {"a": (spark.createDataFrame(others, schema), "k")}, 0.1) == (None, 0)
+            continue
+        out = boxes.patch_overlap_index(spark.createDataFrame(rows, schema), "k", {"a": (spark.createDataFrame(others, schema), "k")}, 0.1, ",")
+        want = listed(rows, [others]) if len(set(rows)) == len(rows) else [(r[0], r[1] * (1 + (r[0] == 0))) for r in listed(rows, [others])]
+        assert sorted(map(tuple, out.collect())) == [(k, ",".join(map(str, x))) for k, x in want]
