@@ -80,6 +80,21 @@ def test_names_of_unknown_tags_are_listed_once(spark, monkeypatch):
     assert "collect_list" not in plan(out)
 
 
+def test_long_lists_of_names_are_copied_a_row_at_a_time(spark, monkeypatch):
+    """A join that broadcasts tags to the names, or an explode beside them, would hold a long row's copies all at once."""
+    fn = spark.createDataFrame([(100 + k, f"f{k:02}", 0, k % 3, 0) for k in range(20)], "function_tag bigint, name string, pointers int, params int, returns int")
+    calls = spark.createDataFrame([(d, t, t % 4) for d in range(5) for t in range(9)], "dump_id bigint, tag bigint, words int")
+    names = {w: ",".join(f"f{k:02}" for k in range(w, 20, 3)) for w in range(3)}
+    for rows in (20_000, 2):  # tags of a number of words in one piece, and in many
+        monkeypatch.setattr(capture, "TAGS_AT_ONCE", rows)
+        out = capture.unknown_tag_candidates(calls, fn, ",")
+        assert sorted((r["dump_id"], r["tag"], r["words"], r["names"]) for r in out.collect()) == [(d, t, t % 4, names[t % 4]) for d in range(5) for t in range(9) if t % 4 < 3]
+        lines = plan(out).splitlines()
+        assert not [x for x in lines if "Generate" in x and "names" in x]
+        last = next(x for x in lines if "Join" in x)
+        assert "SortMergeJoin" in last
+
+
 def test_selection_joins_each_pixel_once(spark, sf, tmp_path):
     """A hundred times the points, on the same pixels, bring no more hits to the quads; the actions still count each."""
     q = spark.createDataFrame([(1, True), (2, False), (3, True)], "quad_id bigint, initial boolean")
